@@ -85,10 +85,15 @@ def invalid_overrides(requests: DataFrame) -> DataFrame:
     return requests.filter(~_names_and_reasons())
 
 
-def gated_promote(df: DataFrame, decisions: DataFrame, on: str) -> DataFrame:
-    """Rows whose run or batch (`on`) the gate lets through; the rest is held back whole."""
-    promoted = decisions.groupBy(col(on)).agg(F.bool_or("blocked").alias("_blocked"))
-    passed = promoted.filter(~F.col("_blocked")).select(col(on))
+def gated_promote(df: DataFrame, decisions: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose run, batch or dataset (`on`) the gate lets through; the rest is held back.
+
+    What no decision names is held back too. Where several decisions share the `on`
+    values, one that blocks is enough.
+    """
+    names = [col(c) for c in on]
+    passed = (decisions.groupBy(*names).agg(F.bool_or("blocked").alias("_blocked"))
+              .filter(~F.col("_blocked")).select(*names))
     return df.join(passed, on, "left_semi").select(*[col(c) for c in df.columns])
 
 

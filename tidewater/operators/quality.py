@@ -108,8 +108,12 @@ def _schema_outcome(df: DataFrame, rule: dict) -> Column:
     return _outcome(rule, F.lit(not parts), F.lit(found), len(expected), F.lit("; ".join(parts)))
 
 
+SHARED_PASS = ("row_count_min", "schema_conformance", "completeness", "freshness",
+               "business_rule")
+
+
 def _shared_metric(rule: dict) -> Column | None:
-    """What the rule needs from the shared pass; None if it needs another one."""
+    """The aggregate a rule adds to the shared pass, if it needs more than the row count."""
     kind = rule["type"]
     if kind == "completeness":
         return F.count_if(col(rule["column"]).isNull())
@@ -117,8 +121,6 @@ def _shared_metric(rule: dict) -> Column | None:
         return F.max(col(rule["column"]))
     if kind == "business_rule":
         return F.count_if(~F.coalesce(F.expr(rule["predicate"]), F.lit(False)))
-    if kind in ("row_count_min", "schema_conformance"):
-        return F.lit(None)
     return None
 
 
@@ -187,20 +189,20 @@ def quality_suite(df: DataFrame, rules: list[dict], run_id: str, dataset: str,
         raise ValueError(f"dataset must be namespace.table: {dataset}")
     namespace, name = dataset.split(".")
 
-    shared = [(i, r, _shared_metric(r)) for i, r in enumerate(rules)]
-    in_pass = [(i, r, m) for i, r, m in shared if m is not None]
     parts = []
-    if in_pass:
-        totals = df.agg(F.count("*").alias("_total"), *[
-            (m if r["type"] not in ("row_count_min", "schema_conformance") else F.max(m)
-             ).alias(f"_m{i}") for i, r, m in in_pass])
-        verdicts = F.array(*[_shared_outcome(df, r, F.col(f"_m{i}"), as_of) for i, r, _ in in_pass])
-        parts.append(totals.select(F.explode(verdicts).alias("o")))
-    for i, rule, metric in shared:
-        if metric is None:
-            parts.append(_uniqueness(df, rule) if rule["type"] == "uniqueness"
-                         else _referential(df, rule, refs))
-    outcomes = reduce(DataFrame.unionByName, parts).select("o.*")
+    shared = [(f"_m{i}", r) for i, r in enumerate(rules) if r["type"] in SHARED_PASS]
+    if shared:
+        metrics = [(name, _shared_metric(r)) for name, r in shared]
+        totals = df.agg(F.count("*").alias("_total"),
+                        *[m.alias(name) for name, m in metrics if m is not None])
+        verdicts = F.array(*[_shared_outcome(df, r, F.col(name), as_of) for name, r in shared])
+        parts.append(totals.select(F.inline(verdicts)))
+    for rule in rules:
+        if rule["type"] == "uniqueness":
+            parts.append(_uniqueness(df, rule).select("o.*"))
+        elif rule["type"] == "referential_integrity":
+            parts.append(_referential(df, rule, refs).select("o.*"))
+    outcomes = reduce(DataFrame.unionByName, parts)
     return outcomes.select(
         F.lit(run_id).alias("run_id"), F.lit(namespace).alias("dataset_namespace"),
         F.lit(name).alias("dataset_name"), F.lit(namespace).alias("zone"),

@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,17 +68,21 @@ def version_log(spark: SparkSession, table: str) -> DataFrame:
     """All commits of a table; empty for a table that does not exist."""
     try:
         return spark.read.schema(LOG_DDL).parquet(f"{table}/versions")
-    except Exception as failure:
-        if "PATH_NOT_FOUND" not in str(failure):
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LOG_DDL)
 
 
-def _live(spark: SparkSession, table: str) -> list:
-    """Log rows of the live directories; metadata, one row per delivery held."""
-    rows = version_log(spark, table).orderBy("version").collect()
-    since = max((i for i, r in enumerate(rows) if r["unit"] == WHOLE), default=0)
-    newest = {r["unit"]: r for r in rows[since:]}
+def _commits(spark: SparkSession, table: str) -> list[Row]:
+    """The log in order; metadata only, one row per commit."""
+    return sorted(version_log(spark, table).collect(), key=lambda r: r["version"])
+
+
+def _live(commits: list[Row]) -> list[Row]:
+    """Rows of the live directories: the newest `*`, then the newest version per unit."""
+    since = max((i for i, r in enumerate(commits) if r["unit"] == WHOLE), default=0)
+    newest = {r["unit"]: r for r in commits[since:]}
     return sorted(newest.values(), key=lambda r: r["version"])
 
 
@@ -91,34 +96,38 @@ def _schema_of(rows: list) -> T.StructType:
 
 def read_table(spark: SparkSession, table: str, unit: str | None = None) -> DataFrame:
     """Live rows under the newest schema: older files show later columns as null."""
-    rows = _live(spark, table)
-    if not rows:
+    commits = _commits(spark, table)
+    if not commits:
         raise LookupError(f"table not found: {table}")
-    chosen = [r for r in rows if unit is None or r["unit"] == unit]
-    schema = _schema_of(rows)
+    return _read(spark, table, commits, unit)
+
+
+def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None = None) -> DataFrame:
+    schema = _schema_of(commits)
+    chosen = [r for r in _live(commits) if unit is None or r["unit"] == unit]
     if not chosen:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[f"{table}/{r['directory']}" for r in chosen])
 
 
-def _commit(df: DataFrame, table: str, unit: str, operation: str, zone: str,
-            now: datetime | str, schema: T.StructType, partition_by: list[str],
+def _commit(df: DataFrame, table: str, commits: list[Row], unit: str, operation: str, zone: str,
+            now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None,
             directory: str | None = None) -> int:
-    spark = df.sparkSession
-    last = version_log(spark, table).agg(F.max("version")).first()[0]
-    version = (last or 0) + 1
+    """Write the data, then its log row."""
+    version = commits[-1]["version"] + 1 if commits else 1
     directory = directory or f"data/v={version}"
-    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{table}/{directory}")
-    entry = spark.range(1).select(
+        # Few files per directory; AQE splits a directory that holds most of the rows.
+        df = df.hint("rebalance", *partition_by)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
+    properties = [F.lit(x) for kv in zone_options(zone).items() for x in kv]
+    entry = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(version).cast("bigint").alias("version"), F.lit(unit).alias("unit"),
         F.lit(operation).alias("operation"), instant(now).alias("committed_at"),
         F.lit(directory).alias("directory"), F.lit(schema.json()).alias("schema_json"),
-        F.create_map(*[F.lit(x) for kv in zone_options(zone).items() for x in kv])
-        .alias("properties"))
-    entry.coalesce(1).write.mode("append").parquet(f"{table}/versions")
+        F.create_map(*properties).alias("properties"))
+    entry.write.mode("append").parquet(f"{table}/versions")
     return version
 
 
@@ -135,23 +144,26 @@ def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
     """
     if on_existing not in ("fail", "replace"):
         raise ValueError(f"on_existing must be fail or replace: {on_existing}")
-    spark, parts = df.sparkSession, partition_by or []
-    rows = _live(spark, table)
-    if not rows:
-        return _commit(df, table, batch_id, "create", "bronze", now, _nullable(df.schema), parts)
-    held_schema = _schema_of(rows)
+    spark = df.sparkSession
+    commits = _commits(spark, table)
+    if not commits:
+        return _commit(df, table, commits, batch_id, "create", "bronze", now,
+                       _nullable(df.schema), partition_by)
+    held_schema = _schema_of(commits)
     refuse_conflicts(table, held_schema, df.schema)
     schema = merged_schema(held_schema, df.schema)
-    named = batch_id in {r["unit"] for r in rows}
-    held = named or batch_is_held(read_table(spark, table), batch_id)
+    live = {r["unit"] for r in _live(commits)}
+    named = batch_id in live
+    held = named or (WHOLE in live and batch_is_held(
+        _read(spark, table, commits, WHOLE), batch_id))
     if held and on_existing == "fail":
         raise BatchHeld(f"batch {batch_id} is already in {table}; replay it with replace")
     if held and not named:
         # The batch sits inside a compacted version: rewrite that version without it.
-        whole = replace_batch(read_table(spark, table), df, batch_id)
-        return _commit(whole, table, WHOLE, "replace", "bronze", now, schema, parts)
-    return _commit(to_schema(df, schema), table, batch_id, "replace" if held else "append",
-                   "bronze", now, schema, parts)
+        whole = replace_batch(_read(spark, table, commits), df, batch_id)
+        return _commit(whole, table, commits, WHOLE, "replace", "bronze", now, schema, partition_by)
+    return _commit(to_schema(df, schema), table, commits, batch_id,
+                   "replace" if held else "append", "bronze", now, schema, partition_by)
 
 
 def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
@@ -161,50 +173,50 @@ def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
     With `keys` the rows are distributed by them first, so a following merge finds few
     files per key range.
     """
+    commits = _commits(df.sparkSession, table)
     out = df.repartition(*[col(k) for k in keys]) if keys else df
-    operation = "overwrite" if exists(df.sparkSession, table) else "create"
-    return _commit(out, table, WHOLE, operation, zone, now, _nullable(df.schema),
-                   partition_by or [])
+    return _commit(out, table, commits, WHOLE, "overwrite" if commits else "create", zone, now,
+                   _nullable(df.schema), partition_by)
 
 
-def create_results(spark: SparkSession, table: str, schema: T.StructType, now) -> int:
+def create_results(spark: SparkSession, table: str, schema: str, now: datetime | str) -> int:
     """Provision the evidence table; quality runs append and never create it."""
-    return _commit(spark.createDataFrame([], schema), table, WHOLE, "create", "platform", now,
-                   _nullable(schema), [])
+    empty = spark.createDataFrame([], schema)
+    return _commit(empty, table, [], WHOLE, "create", "platform", now, _nullable(empty.schema))
 
 
 def append_results(df: DataFrame, table: str, run_id: str, now: datetime | str) -> int:
-    """Append one run's evidence, stored by zone and day of the check."""
-    spark = df.sparkSession
-    rows = _live(spark, table)
-    if not rows:
+    """Append one run's evidence."""
+    commits = _commits(df.sparkSession, table)
+    if not commits:
         raise LookupError(f"{table} does not exist; provision it before running checks")
-    schema = _schema_of(rows)
-    unit = f"{run_id}@{len(rows)}"
-    return _commit(df.select(*RESULT_COLUMNS), table, unit, "append", "platform", now, schema, [])
+    schema = _schema_of(commits)
+    rows = df.select(*RESULT_COLUMNS)
+    return _commit(rows, table, commits, f"{run_id}@{len(commits)}", "append", "platform", now,
+                   schema)
 
 
 def commit_micro_batch(df: DataFrame, table: str, batch_id: int, zone: str, now: datetime | str,
                        partition_by: list[str] | None = None) -> bool:
     """Idempotent streaming commit: a micro-batch in the log is not written again."""
-    spark, unit = df.sparkSession, f"micro-batch-{batch_id}"
-    logged = version_log(spark, table).filter(F.col("unit") == unit)
-    if not logged.limit(1).isEmpty():
+    unit = f"micro-batch-{batch_id}"
+    commits = _commits(df.sparkSession, table)
+    if any(r["unit"] == unit for r in commits):
         return False
-    rows = _live(spark, table)
-    schema = merged_schema(_schema_of(rows), df.schema) if rows else _nullable(df.schema)
-    _commit(align_schema(df, schema), table, unit, "append", zone, now, schema,
-            partition_by or [], directory=f"data/{unit}")
+    schema = merged_schema(_schema_of(commits), df.schema) if commits else _nullable(df.schema)
+    _commit(align_schema(df, schema), table, commits, unit, "append", zone, now, schema,
+            partition_by, directory=f"data/{unit}")
     return True
 
 
 def compact_table(spark: SparkSession, table: str, now: datetime | str, zone: str,
                   target_bytes: int = TARGET_FILE_BYTES) -> int:
     """Rewrite the live files to the target size; the rows stay the same."""
-    live = read_table(spark, table)
+    commits = _commits(spark, table)
+    live = _read(spark, table, commits)
     size = file_inventory(live).agg(F.sum("size_bytes")).first()[0] or 0
-    return _commit(compact(live, size, target_bytes), table, WHOLE, "compact", zone, now,
-                   live.schema, [])
+    return _commit(compact(live, size, target_bytes), table, commits, WHOLE, "compact", zone, now,
+                   live.schema)
 
 
 def file_inventory(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,21 +63,31 @@ def cdc_decode(df: DataFrame, schema: T.StructType) -> DataFrame:
         F.col("timestamp").alias("received_at"))
 
 
+def _fold_positions(df: DataFrame, held: DataFrame | None) -> DataFrame:
+    """One row per topic position, first received, with its copies and whether it is held.
+
+    A minimum over row structs folds copies on the map side, so a position delivered over
+    and over never gathers in one task; ties are settled by the row's own columns.
+    """
+    rest = [c for c in df.columns if c not in (*POSITION, "received_at")]
+    first = F.min(F.struct("received_at", *[col(c) for c in rest])).alias("_first")
+    folded = df.groupBy(*POSITION).agg(first, F.count("*").alias("_copies"))
+    rows = folded.select(
+        *[col(c) if c in POSITION else F.col("_first").getField(c).alias(c) for c in df.columns],
+        "_copies")
+    if held is None:
+        return rows.withColumn("_held", F.lit(False))
+    known = held.select(*POSITION).distinct().withColumn("_known", F.lit(True))
+    return rows.join(known, POSITION, "left").select(
+        *[col(c) for c in df.columns], "_copies", F.col("_known").isNotNull().alias("_held"))
+
+
 def cdc_dedup(df: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One row per topic position, first received; positions already held are left out."""
-    checked = _mark_duplicates(df, held)
-    return checked.filter(~F.col("_duplicate")).drop("_duplicate")
+    return _fold_positions(df, held).filter(~F.col("_held")).drop("_held", "_copies")
 
 
-def _mark_duplicates(df: DataFrame, held: DataFrame | None) -> DataFrame:
-    order = Window.partitionBy(*POSITION).orderBy(F.col("received_at").asc_nulls_last())
-    marked = df.withColumn("_duplicate", F.row_number().over(order) > 1)
-    if held is None:
-        return marked
-    known = held.select(*POSITION).distinct().withColumn("_held", F.lit(True))
-    return (marked.join(known, POSITION, "left")
-            .select(*[col(c) for c in df.columns],
-                    (F.col("_duplicate") | F.col("_held").isNotNull()).alias("_duplicate")))
+DUPLICATE = "offset_not_duplicate"
 
 
 def _checks(rules: CdcRules) -> list[tuple[str, str, Column]]:
@@ -86,23 +96,24 @@ def _checks(rules: CdcRules) -> list[tuple[str, str, Column]]:
     return [
         ("key_present", BLOCKING, col(rules.key).isNotNull()),
         ("operation_allowed", BLOCKING, holds(F.col("operation").isin(*rules.allowed_ops))),
-        ("offset_not_duplicate", BLOCKING, ~F.col("_duplicate")),
+        (DUPLICATE, BLOCKING, ~F.col("_held")),
         ("event_time_present", "warning", F.col("event_time").isNotNull()),
         *[(n, "warning", holds(F.expr(p))) for n, p in rules.warnings.items()],
     ]
 
 
 def cdc_check(df: DataFrame, rules: CdcRules, held: DataFrame | None = None) -> DataFrame:
-    """Decoded records with the names of the checks they break.
+    """Decoded records, one per topic position, with the names of the checks they break.
 
     `_blocking` and `_warning` are arrays of check names; everything later is a filter on
-    them, so the record rules cost one projection.
+    them, so the record rules cost one projection. `_copies` counts the deliveries of a
+    position; all but the first are duplicates.
     """
-    marked = _mark_duplicates(df, held)
+    folded = _fold_positions(df, held)
     names = lambda severity: F.filter(F.array(*[
         F.when(~ok, F.lit(name)) for name, s, ok in _checks(rules) if s == severity
     ]), lambda n: n.isNotNull())
-    return marked.withColumns({"_blocking": names(BLOCKING), "_warning": names("warning")})
+    return folded.withColumns({"_blocking": names(BLOCKING), "_warning": names("warning")})
 
 
 def accepted_records(checked: DataFrame, now: datetime | str, run_id: str | None = None) -> DataFrame:
@@ -112,13 +123,21 @@ def accepted_records(checked: DataFrame, now: datetime | str, run_id: str | None
         "event_time": F.coalesce(F.col("event_time"), instant(now)),
         "ingested_at": instant(now),
         "pipeline_run_id": F.lit(run_id).cast("string"),
-    }).drop("_blocking", "_warning", "_duplicate", "received_at")
+    }).drop("_blocking", "_warning", "_copies", "_held", "received_at")
 
 
 def rejected_records(checked: DataFrame) -> DataFrame:
-    """Dead letters: where the record stood in the log and every reason it was refused."""
-    return checked.filter(F.size("_blocking") > 0).select(
-        *POSITION, "event_id", "operation", F.array_join("_blocking", ",").alias("reason"))
+    """Dead letters: topic position, every reason, and how many records they stand for.
+
+    Further deliveries of a position are one row that counts them.
+    """
+    letter = lambda reason, records: F.struct(
+        reason.alias("reason"), records.cast("bigint").alias("records"))
+    letters = F.array(
+        F.when(F.size("_blocking") > 0, letter(F.array_join("_blocking", ","), F.lit(1))),
+        F.when(F.col("_copies") > 1, letter(F.lit(DUPLICATE), F.col("_copies") - 1)))
+    return (checked.select(*POSITION, "event_id", "operation", F.explode(letters).alias("l"))
+            .filter("l IS NOT NULL").select(*POSITION, "event_id", "operation", "l.*"))
 
 
 def record_results(checked: DataFrame, rules: CdcRules, dataset: str, run_id: str,
@@ -127,9 +146,10 @@ def record_results(checked: DataFrame, rules: CdcRules, dataset: str, run_id: st
     namespace, name = dataset.split(".")
     checks = [(n, s) for n, s, _ in _checks(rules)]
     found = F.array_union("_blocking", "_warning")
+    broken = lambda n: F.array_contains(found, n).cast("bigint") + (
+        F.col("_copies") - 1 if n == DUPLICATE else F.lit(0))
     counts = checked.groupBy("source_topic").agg(
-        F.count("*").alias("_all"),
-        *[F.count_if(F.array_contains(found, n)).alias(n) for n, _ in checks])
+        F.sum("_copies").alias("_all"), *[F.sum(broken(n)).alias(n) for n, _ in checks])
     verdicts = F.array(*[
         F.struct(
             F.lit(n).alias("check_name"), F.lit(s).alias("severity"),

@@ -16,18 +16,21 @@ from tidewater.operators.conform import latest_by_key
 from tidewater.operators.lineage import stream_lineage
 from tidewater.sources import zones
 from tidewater.streaming.cdc import (
-    CdcRules, accepted_records, cdc_check, cdc_decode, record_results, rejected_records,
+    POSITION, CdcRules, accepted_records, cdc_check, cdc_decode, record_results, rejected_records,
 )
 
 
 def stream_table(spark: SparkSession, folder: str, table: str,
                  files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table as a stream; a broker topic gives the same columns to what follows."""
-    path = f"{folder.rstrip('/')}/{table}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    """A Parquet table as a stream; a broker topic gives the same columns to what follows.
+
+    The path is written as a pattern so that a table may be a directory or one file.
+    """
+    folder = folder.rstrip("/")
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}.parquet").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{folder}/{table}.parque[t]")
 
 
 def stream_key_counts(df: DataFrame, ts: str, lateness: str, key: str,
@@ -60,7 +63,7 @@ def start_counts(counts: DataFrame, path: str, checkpoint: str,
     after a failure overwrites its own directory.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{path}/batch-{batch_id:012d}")
 
     return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -94,6 +97,21 @@ class BronzeStream:
     rules: CdcRules
 
 
+def _held_positions(spark: SparkSession, table: str, decoded: DataFrame,
+                    run_id: str) -> DataFrame | None:
+    """Positions other batches committed, within the offsets this batch spans.
+
+    Offsets outside that span cannot match, and a batch holds neighbouring offsets, so
+    the pushed-down range skips nearly all files of the table.
+    """
+    if not zones.exists(spark, table):
+        return None
+    offset = F.col("source_offset")
+    low, high = decoded.agg(F.min(offset), F.max(offset)).first()
+    others = zones.read_table(spark, table).filter(F.col("pipeline_run_id") != run_id)
+    return others.filter(offset.between(low, high)).select(*POSITION)
+
+
 def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | str]
                         ) -> Callable[[DataFrame, int], None]:
     """What one micro-batch does: accepted rows, dead letters, evidence, then lineage.
@@ -104,9 +122,9 @@ def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | st
     """
     def write(rows: DataFrame, batch_id: int) -> None:
         spark, now, run_id = rows.sparkSession, clock(batch_id), f"batch-{batch_id}"
-        held = (zones.read_table(spark, spec.table)
-                if zones.exists(spark, spec.table) else None)
-        checked = cdc_check(cdc_decode(rows, spec.envelope), spec.rules, held).persist()
+        decoded = cdc_decode(rows, spec.envelope)
+        held = _held_positions(spark, spec.table, decoded, run_id)
+        checked = cdc_check(decoded, spec.rules, held).persist()
         try:
             accepted = accepted_records(checked, now, run_id).withColumn(
                 "event_day", F.to_date("event_time"))
