@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.names import col
 from tidewater.functions.time import age_minutes, as_instant
-from tidewater.session import checkpointed
+from tidewater.session import scratch_path, written
 
 # Fixed value: how an instant is written into a lineage payload.
 PAYLOAD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -39,31 +39,31 @@ def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
     """Every (source, target) reachable along edges, with the shortest distance.
 
     Breadth-first: each round joins the newly reached pairs to the edges and keeps
-    those not seen before, so cycles end by themselves. Rounds are checkpointed in the
-    shared folder, and the loop stops when one adds nothing; lineage graphs are shallow
-    (landing, bronze, silver, gold), so there are few. A path longer than `max_depth`
-    is an error, not a silent cut.
+    those not seen before, so cycles end by themselves. Rounds are written to the shared
+    folder, and the loop stops when one adds nothing; lineage graphs are shallow (landing,
+    bronze, silver, gold), so there are few. A path longer than `max_depth` is an error,
+    not a silent cut.
     """
     spark = edges.sparkSession
-    links = edges.select("source", "target").distinct()
-    step = links.select(F.col("source").alias("_via"), F.col("target").alias("_next"))
-    frontier = checkpointed(spark, links.filter("source <> target").withColumn("depth", F.lit(1)))
-    rounds = [frontier]
-    seen = frontier
-    depth = 1
+    root = scratch_path(spark, "closure")
+    links = written(spark, edges.select("source", "target").filter("source <> target").distinct(),
+                    f"{root}/links")
+    step = links.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+    paths = [f"{root}/depth-1"]
+    frontier = written(spark, links.withColumn("depth", F.lit(1)), paths[0])
     while not frontier.isEmpty():
-        depth += 1
-        found = (frontier.join(step, frontier["target"] == step["_via"])
-                 .select("source", F.col("_next").alias("target")).distinct()
-                 .filter("source <> target")
+        depth = len(paths) + 1
+        seen = spark.read.schema(frontier.schema).parquet(*paths).select("source", "target")
+        found = (frontier.join(step, "target")
+                 .select("source", F.col("_next").alias("target"))
+                 .filter("source <> target").distinct()
                  .join(seen, ["source", "target"], "left_anti")
                  .withColumn("depth", F.lit(depth)))
-        frontier = checkpointed(spark, found)
+        paths.append(f"{root}/depth-{depth}")
+        frontier = written(spark, found, paths[-1])
         if depth > max_depth and not frontier.isEmpty():
             raise ValueError(f"lineage reaches deeper than max_depth={max_depth}")
-        rounds.append(frontier)
-        seen = seen.unionByName(frontier)
-    return seen
+    return spark.read.schema(frontier.schema).parquet(*paths)
 
 
 def stream_lineage(accepted: DataFrame, batch_id: int, snapshot_id: int, target: str) -> DataFrame:

@@ -59,15 +59,16 @@ def null_key_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def upsert_with_deletes(target: DataFrame, batch: DataFrame, keys: list[str], seq: str,
                         delete_flag: str, null_flag_deletes: bool,
-                        ties: list[str] | None = None) -> DataFrame:
+                        ties: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Guarded upsert in which a newer delete leaves a tombstone.
 
     The tombstone stays in the state with its sequence, so an older upsert that
-    arrives late cannot bring the row back; `live_rows` hides it from readers. What a
-    missing flag means is the caller's statement.
+    arrives late cannot bring the row back; `live_rows` hides it from readers. It holds
+    the keys, the sequence, the `ties` and the columns named in `keep`; the others are
+    emptied. What a missing flag means is the caller's statement.
     """
     flag = F.coalesce(col(delete_flag).cast("boolean"), F.lit(null_flag_deletes))
-    kept = {k.lower() for k in keys} | {seq.lower(), delete_flag.lower()}
+    kept = {c.lower() for c in [*keys, seq, delete_flag, *(ties or []), *(keep or [])]}
     marked = batch.withColumn(delete_flag, flag)
     emptied = marked.select(*[
         col(c) if c.lower() in kept else F.when(~col(delete_flag), col(c)).alias(c)

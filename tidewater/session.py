@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What a cluster run should start with: AQE splits skewed joins and merges small
 # shuffle partitions, so the initial partition number can be generous.
@@ -64,8 +64,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(spark: SparkSession, df):
-    """Cut lineage through the shared folder, so a lost executor costs no replay."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Store a step of an iteration in the shared folder and go on from the stored rows.
+
+    This cuts the plan's lineage, survives a lost executor, runs the step once and gives
+    the next one real sizes to choose its joins by.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -187,7 +187,7 @@ def cdc_current_state(target: DataFrame, changes: DataFrame, keys: list[str], se
         "last_operation": F.col("operation"),
         "is_deleted": F.coalesce(F.col("operation").isin(*delete_ops), F.lit(False))})
     return upsert_with_deletes(target, flagged, keys, seq, "is_deleted",
-                               null_flag_deletes=False, ties=ties)
+                               null_flag_deletes=False, ties=ties, keep=["last_operation"])
 
 
 def consumer_lag(source: DataFrame, sink: DataFrame) -> DataFrame:
