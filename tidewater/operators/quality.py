@@ -231,39 +231,45 @@ def reconcile_batches(landed: DataFrame, written: DataFrame, batch_col: str) ->
     return both.withColumn("missing_rows", missing).withColumn("reconciled", missing == 0)
 
 
+def _measures(df: DataFrame, aggs: dict[str, Column], side: str) -> DataFrame:
+    """One aggregate pass as rows of (measure, value of this side)."""
+    totals = df.agg(*[x.cast("double").alias(n) for n, x in aggs.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("measure"), col(n).alias(side)) for n in aggs])
+    return totals.select(F.inline(rows))
+
+
+def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides' measures in one row each; a few rows, brought together by name."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.groupBy("measure").agg(
+        F.max("left_value").alias("left_value"), F.max("right_value").alias("right_value"))
+
+
 def dataset_parity(a: DataFrame, b: DataFrame, aggs: dict[str, Column] | None = None) -> DataFrame:
     """Do two answers agree: one row per measure with both values.
 
     Contents are compared as bags in a single aggregation: rows of `a` count +1, rows
     of `b` count -1, and what does not cancel out is on one side only.
     """
-    sides = lambda name, x, y: F.struct(
-        F.lit(name).alias("measure"), x.cast("double").alias("left_value"),
-        y.cast("double").alias("right_value"))
     types = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields}
     same_schema = types(a) == types(b)
-    aggs = aggs or {}
-    measure = lambda df: df.agg(
-        F.lit(1).alias("_one"), F.count("*").alias("row_count"),
-        *[x.alias(f"agg_{n}") for n, x in aggs.items()])
-    totals = measure(a).alias("x").join(measure(b).alias("y"), "_one")
-    verdicts = [sides("rows", F.col("x.row_count"), F.col("y.row_count")),
-                sides("schema", F.lit(1), F.lit(1 if same_schema else 0))]
-    verdicts += [sides(n, F.col(f"x.agg_{n}"), F.col(f"y.agg_{n}")) for n in aggs]
-    parts = totals.select(F.inline(F.array(*verdicts)))
+    wanted = {"rows": F.count("*"), **(aggs or {})}
+    left = _measures(a, {**wanted, "schema": F.lit(1)}, "left_value")
+    right = _measures(b, {**wanted, "schema": F.lit(int(same_schema))}, "right_value")
+    parts = _side_by_side(left, right)
     if same_schema:
         columns = [col(c) for c in a.columns]
         signed = a.select(*columns, F.lit(1).alias("_sign")).unionByName(
             b.select(*columns, F.lit(-1).alias("_sign")))
         surplus = signed.groupBy(*columns).agg(F.sum("_sign").alias("_d"))
-        content = surplus.agg(
-            F.coalesce(F.sum(F.greatest(F.col("_d"), F.lit(0))), F.lit(0)).alias("l"),
-            F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).alias("r"))
-        parts = parts.unionByName(content.select(
-            F.inline(F.array(sides("rows_on_one_side_only", F.col("l"), F.col("r"))))))
-    one_sided = F.col("measure") == "rows_on_one_side_only"
+        one_sided = lambda d: F.coalesce(
+            F.sum(F.greatest(d, F.lit(0))), F.lit(0)).cast("double")
+        parts = parts.unionByName(surplus.agg(
+            F.lit("rows_on_one_side_only").alias("measure"),
+            one_sided(F.col("_d")).alias("left_value"), one_sided(-F.col("_d")).alias("right_value")))
+    none_left = (F.col("left_value") == 0) & (F.col("right_value") == 0)
     return parts.withColumn("agrees", F.when(
-        one_sided, (F.col("left_value") == 0) & (F.col("right_value") == 0)
+        F.col("measure") == "rows_on_one_side_only", none_left
     ).otherwise(F.col("left_value").eqNullSafe(F.col("right_value"))))
 
 
@@ -275,18 +281,21 @@ def mart_checks(mart: DataFrame, gold: DataFrame, rules: list[dict], run_id: str
     `parity` maps a measure name to (expression over the mart, expression over gold).
     """
     evidence = quality_suite(mart, rules, run_id, dataset, as_of, refs)
-    left = mart.agg(F.lit(1).alias("_one"), *[m.alias(f"m_{n}") for n, (m, _) in parity.items()])
-    right = gold.agg(F.lit(1).alias("_one"), *[g.alias(f"g_{n}") for n, (_, g) in parity.items()])
-    verdicts = []
-    for name in parity:
-        rule = {"type": "aggregate_parity", "name": f"parity_{name}", "severity": BLOCKING}
-        gap = F.abs(F.col(f"m_{name}") - F.col(f"g_{name}"))
-        ok = F.coalesce(gap == 0, F.lit(False))
-        verdicts.append(_outcome(rule, ok, gap, 0.0, F.lit(f"{name} differs between mart and gold")))
-    checked = left.join(right, "_one").select(F.inline(F.array(*verdicts)))
+    values = _side_by_side(
+        _measures(mart, {n: m for n, (m, _) in parity.items()}, "left_value"),
+        _measures(gold, {n: g for n, (_, g) in parity.items()}, "right_value"))
+    gap = F.abs(F.col("left_value") - F.col("right_value"))
+    agrees = F.coalesce(gap == 0, F.lit(False))
     namespace, name = dataset.split(".")
-    return evidence.unionByName(checked.select(
+    return evidence.unionByName(values.select(
         F.lit(run_id).alias("run_id"), F.lit(namespace).alias("dataset_namespace"),
-        F.lit(name).alias("dataset_name"), F.lit(namespace).alias("zone"), "*",
+        F.lit(name).alias("dataset_name"), F.lit(namespace).alias("zone"),
+        F.lit("aggregate_parity").alias("check_type"),
+        F.concat(F.lit("parity_"), "measure").alias("check_name"),
+        F.lit(BLOCKING).alias("severity"),
+        F.when(agrees, PASSED).otherwise(FAILED).alias("status"), gap.alias("metric_value"),
+        F.lit(0.0).alias("threshold"),
+        F.when(~agrees, F.concat("measure", F.lit(" differs between mart and gold")))
+        .alias("failure_detail"),
         F.lit(None).cast("string").alias("pipeline_run_id"), instant(as_of).alias("checked_at"),
         F.lit(None).cast("bigint").alias("snapshot_id")))

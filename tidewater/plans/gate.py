@@ -7,7 +7,7 @@ from tidewater.operators import gate
 from tidewater.operators.gate import RUN_SCOPE
 from tidewater.operators.quality import RESULT_COLUMNS
 from tidewater.plans.inputs import (
-    BRONZE_ORDERS, DECISIONS, EVIDENCE, bronze_orders, evidence, requested,
+    BRONZE_ORDERS, DECISIONS, EVIDENCE, at, bronze_orders, evidence, requested,
 )
 from tidewater.plans.registry import query
 from tidewater.sources.extract import scan
@@ -111,28 +111,33 @@ batches AS (SELECT _batch_id, count(*) AS n FROM bronze_orders GROUP BY _batch_i
 checked AS (
   SELECT _batch_id, n AS batch_rows, CASE WHEN _batch_id LIKE '%-07' THEN n + 1 ELSE n END AS expected_rows,
          CAST(CASE WHEN n < 20 THEN 0 WHEN _batch_id LIKE '%-03' THEN 2 ELSE 1 END AS BIGINT) AS passing_results
-  FROM batches)
-SELECT 'bronze' AS dataset_namespace, 'orders' AS dataset_name, 'pipe-' || _batch_id AS pipeline_run_id,
+  FROM batches),
+commits AS (
+  SELECT strftime(o_orderdate, '%Y') AS year, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS snapshot_id
+  FROM orders WHERE o_orderdate < '2001-01-01' GROUP BY 1)
+SELECT 'bronze' AS dataset_namespace, 'orders_' || _batch_id[:4] AS dataset_name, 'pipe-' || _batch_id AS pipeline_run_id,
        _batch_id, expected_rows, batch_rows, passing_results,
-       (SELECT max(o_orderkey) FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)) AS snapshot_id,
+       snapshot_id,
        CASE WHEN batch_rows <> expected_rows THEN 'row count'
-            WHEN passing_results <> 1 THEN 'quality result' END AS problem,
-       batch_rows = expected_rows AND passing_results = 1 AS verified
-FROM checked""")
+            WHEN passing_results <> 1 THEN 'quality result'
+            WHEN snapshot_id IS NULL THEN 'snapshot' END AS problem,
+       batch_rows = expected_rows AND passing_results = 1 AND snapshot_id IS NOT NULL AS verified
+FROM checked LEFT JOIN commits ON year = _batch_id[:4]""")
 def verify_pipeline(spark, folder):
     orders = bronze_orders(spark, folder)
     batch, run = F.col("_batch_id"), F.concat(F.lit("pipe-"), F.col("_batch_id"))
     counted = orders.groupBy("_batch_id").agg(F.count("*").alias("n"))
+    dataset = F.concat(F.lit("orders_"), F.substring("_batch_id", 1, 4)).alias("dataset_name")
     expected = counted.select(
         run.alias("pipeline_run_id"), F.lit("bronze").alias("dataset_namespace"),
-        F.lit("orders").alias("dataset_name"), batch,
+        dataset, batch,
         (F.col("n") + F.when(batch.like("%-07"), 1).otherwise(0)).alias("expected_rows"))
     copies = F.when(batch.like("%-03"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     results = counted.select(
         run.alias("run_id"), run.alias("pipeline_run_id"), F.lit("bronze").alias("dataset_namespace"),
-        F.lit("orders").alias("dataset_name"), F.lit("row_count_min").alias("check_type"),
+        dataset, F.lit("row_count_min").alias("check_type"),
         F.when(F.col("n") >= 20, "PASSED").otherwise("FAILED").alias("status"), F.explode(copies))
-    commits = scan(spark, folder, "orders").select(
-        F.lit("bronze").alias("dataset_namespace"), F.lit("orders").alias("dataset_name"),
+    commits = orders.filter(F.col("o_orderdate") < at("2001-01-01")).select(
+        F.lit("bronze").alias("dataset_namespace"), dataset,
         F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("committed_at"))
     return gate.verify_pipeline(orders, results, commits, expected)

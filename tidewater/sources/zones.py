@@ -1,6 +1,6 @@
 """Stored tables: version directories and a version log, nothing more.
 
-    <table>/data/v=<n>/...     one immutable directory per commit
+    <table>/data/v=<n>/...     one immutable directory per commit, partitioned below if asked
     <table>/versions/...       one row per commit, written after its data
 
 A commit is visible once its log row exists, so a failed write leaves no trace for
@@ -107,26 +107,33 @@ def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None
     chosen = [r for r in _live(commits) if unit is None or r["unit"] == unit]
     if not chosen:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{table}/{r['directory']}" for r in chosen])
+    rows = spark.read.option("basePath", f"{table}/data").schema(schema).parquet(
+        *[f"{table}/{r['directory']}" for r in chosen])
+    return rows.select(*[col(f) for f in schema.fieldNames()])
 
 
 def _commit(df: DataFrame, table: str, commits: list[Row], unit: str, operation: str, zone: str,
-            now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None,
-            directory: str | None = None) -> int:
-    """Write the data, then its log row."""
+            now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None) -> int:
+    """Write the data, then its log row.
+
+    A table is partitioned as its first commit was. A write that failed before its log
+    row is overwritten by the next attempt, which gets the same version.
+    """
     version = commits[-1]["version"] + 1 if commits else 1
-    directory = directory or f"data/v={version}"
+    if commits:
+        partition_by = [c for c in commits[0]["properties"]["partition-by"].split(",") if c]
+    directory = f"data/v={version}"
     if partition_by:
         # Few files per directory; AQE splits a directory that holds most of the rows.
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
-    properties = [F.lit(x) for kv in zone_options(zone).items() for x in kv]
+    properties = {**zone_options(zone), "partition-by": ",".join(partition_by or [])}
     entry = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(version).cast("bigint").alias("version"), F.lit(unit).alias("unit"),
         F.lit(operation).alias("operation"), instant(now).alias("committed_at"),
         F.lit(directory).alias("directory"), F.lit(schema.json()).alias("schema_json"),
-        F.create_map(*properties).alias("properties"))
+        F.create_map(*[F.lit(x) for kv in properties.items() for x in kv]).alias("properties"))
     entry.write.mode("append").parquet(f"{table}/versions")
     return version
 
@@ -161,9 +168,9 @@ def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
     if held and not named:
         # The batch sits inside a compacted version: rewrite that version without it.
         whole = replace_batch(_read(spark, table, commits), df, batch_id)
-        return _commit(whole, table, commits, WHOLE, "replace", "bronze", now, schema, partition_by)
+        return _commit(whole, table, commits, WHOLE, "replace", "bronze", now, schema)
     return _commit(to_schema(df, schema), table, commits, batch_id,
-                   "replace" if held else "append", "bronze", now, schema, partition_by)
+                   "replace" if held else "append", "bronze", now, schema)
 
 
 def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
@@ -205,7 +212,7 @@ def commit_micro_batch(df: DataFrame, table: str, batch_id: int, zone: str, now:
         return False
     schema = merged_schema(_schema_of(commits), df.schema) if commits else _nullable(df.schema)
     _commit(align_schema(df, schema), table, commits, unit, "append", zone, now, schema,
-            partition_by, directory=f"data/{unit}")
+            partition_by)
     return True
 
 

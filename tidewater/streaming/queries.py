@@ -122,7 +122,8 @@ def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | st
     """
     def write(rows: DataFrame, batch_id: int) -> None:
         spark, now, run_id = rows.sparkSession, clock(batch_id), f"batch-{batch_id}"
-        decoded = cdc_decode(rows, spec.envelope)
+        # The source is read once; the checked rows feed four writes.
+        decoded = cdc_decode(rows, spec.envelope).persist()
         held = _held_positions(spark, spec.table, decoded, run_id)
         checked = cdc_check(decoded, spec.rules, held).persist()
         try:
@@ -139,6 +140,7 @@ def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | st
             zones.commit_micro_batch(traced, spec.lineage_table, batch_id, "platform", now)
         finally:
             checked.unpersist()
+            decoded.unpersist()
 
     return write
 
