@@ -20,24 +20,29 @@ def frame(spark, data, ddl=DDL):
     return spark.createDataFrame(data, ddl)
 
 
-def test_newer_wins_equal_and_older_do_nothing(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_newer_wins_equal_and_older_do_nothing(spark, small):
     held = frame(spark, [(1, 5, "a"), (2, 5, "b"), (3, 5, "c"), (4, 5, "d")])
     sent = frame(spark, [(1, 6, "newer"), (2, 5, "equal"), (3, 4, "older"), (5, 1, "new")])
-    assert rows(merge.upsert(held, sent, ["k"], "seq")) == rows(frame(
+    assert rows(merge.upsert(held, sent, ["k"], "seq", small_batch=small)) == rows(frame(
         spark, [(1, 6, "newer"), (2, 5, "b"), (3, 5, "c"), (4, 5, "d"), (5, 1, "new")]))
 
 
-def test_null_sequence_can_be_corrected_but_does_not_correct(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_null_sequence_can_be_corrected_but_does_not_correct(spark, small):
     held = frame(spark, [(1, None, "a"), (2, 5, "b"), (3, None, "c")])
     sent = frame(spark, [(1, 1, "fixed"), (2, None, "no"), (3, None, "still without")])
-    assert rows(merge.upsert(held, sent, ["k"], "seq")) == rows(frame(
+    assert rows(merge.upsert(held, sent, ["k"], "seq", small_batch=small)) == rows(frame(
         spark, [(1, 1, "fixed"), (2, 5, "b"), (3, None, "still without")]))
 
 
-def test_null_key_is_inserted_again_unless_null_safe(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_null_key_is_inserted_again_unless_null_safe(spark, small):
     held, sent = frame(spark, [(None, 1, "a")]), frame(spark, [(None, 2, "b")])
-    assert rows(merge.upsert(held, sent, ["k"], "seq")) == [(None, 1, "a"), (None, 2, "b")]
-    assert rows(merge.upsert(held, sent, ["k"], "seq", null_safe=True)) == [(None, 2, "b")]
+    merged = lambda null_safe: rows(merge.upsert(
+        held, sent, ["k"], "seq", null_safe=null_safe, small_batch=small))
+    assert merged(False) == [(None, 1, "a"), (None, 2, "b")]
+    assert merged(True) == [(None, 2, "b")]
     assert merge.null_key_rows(held, ["k"]).count() == 1
 
 

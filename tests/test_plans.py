@@ -55,6 +55,16 @@ def test_upsert_shuffles_each_side_once(big, sf):
     assert len(re.findall(r"Exchange \(", tree)) == 2
 
 
+def test_small_batch_leaves_the_target_in_place(spark, sf):
+    held = latest_by_key(lines(spark, sf), ["l_orderkey", "l_linenumber"], "l_shipdate")
+    sent = spark.createDataFrame(held.limit(3).collect(), held.schema)
+    stored = lines(spark, sf)
+    merged = merge.upsert(stored, sent, ["l_orderkey", "l_linenumber"], "l_shipdate", small_batch=True)
+    merged.collect()
+    final = plan(merged).split("Initial Plan")[0]
+    assert "SortMergeJoin" not in final and final.count("BroadcastHashJoin") >= 3
+
+
 def test_batch_filter_reaches_the_scan(spark, sf, tmp_path):
     path = str(tmp_path / "b")
     lines(spark, sf).withColumn("_batch_id", F.col("l_returnflag")).write.partitionBy("_batch_id").parquet(path)

@@ -1,5 +1,6 @@
 """Maintenance triggers, expiry, orphans, bins, lineage, quantiles, text."""
 
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -84,7 +85,8 @@ def test_bins_follow_the_running_total_of_a_hot_table(spark):
     files = spark.createDataFrame(data, "table_name string, path string, size_bytes bigint, created_at timestamp")
     seen = {(r["table_name"], r["path"]): r["bin"] for r in maintenance.compaction_plan(files, 100).collect()}
     expected, total = {("cold", "q"): 0}, 0
-    for row in sorted((d for d in data if d[0] == "hot"), key=lambda d: (d[3], d[1])):
+    day = lambda d: (d[3].date(), hashlib.md5(d[1].encode()).hexdigest())
+    for row in sorted((d for d in data if d[0] == "hot"), key=day):
         expected[("hot", row[1])] = total // 100
         total += row[2]
     assert seen == expected

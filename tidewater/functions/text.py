@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,20 +32,37 @@ def blank_to_null(value: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+# Text without any of these holds nothing the secret patterns could match.
+_SECRET_HINTS = ("bearer", "secret", "password", "token", "credential", "authorization", "key")
+
+
 def redact(value: Column, cap: int | None = None) -> Column:
-    """Mask secrets, fold to one line and, where a cap is given, cut the result."""
+    """Mask secrets, fold to one line and, where a cap is given, cut the result.
+
+    Most text holds no secret, so a plain search decides whether the patterns run at all.
+    """
+    lowered = F.lower(value)
+    hinted = reduce(or_, [lowered.contains(word) for word in _SECRET_HINTS])
     masked = F.regexp_replace(value, BEARER_PATTERN, f"Bearer {REDACTED}")
     masked = F.regexp_replace(masked, KEY_VALUE_PATTERN, f"$1{REDACTED}")
     masked = F.regexp_replace(masked, SPOKEN_PATTERN, f"$1{REDACTED}")
-    masked = F.regexp_replace(masked, URI_USER_PATTERN, f"$1{REDACTED}@")
-    folded = F.translate(masked, "\r\n\t", "___")
+    masked = F.when(hinted, masked).otherwise(value)
+    without_user = F.regexp_replace(masked, URI_USER_PATTERN, f"$1{REDACTED}@")
+    folded = F.when(value.contains("://"), without_user).otherwise(masked)
+    for control in "\r\n\t":
+        folded = F.replace(folded, F.lit(control), F.lit("_"))
     return folded if cap is None else F.substring(folded, 1, cap)
 
 
+_CONTROLS = "".join(chr(code) for code in range(0x21))
+
+
 def path_key(path: Column) -> Column:
     """Bucket and key of a file location, without scheme or leading slashes."""
-    bare = F.regexp_replace(path, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?s)^.*?://", ""), r"^/+", "")
+    bare = F.btrim(path, F.lit(_CONTROLS))
+    scheme = F.instr(bare, "://")
+    rest = F.when(scheme > 0, F.substr(bare, scheme + 3)).otherwise(bare)
+    return F.ltrim(rest, F.lit("/"))
 
 
 def joined(values: Column) -> Column:

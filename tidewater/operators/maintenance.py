@@ -110,15 +110,15 @@ def orphan_files(listed: DataFrame, referenced: DataFrame, older_than: datetime,
         F.when(young, "within_minimum_age").otherwise("orphan").alias("verdict"))
 
 
-def running_total(df: DataFrame, group: list[str], slice_by: Column, order: list[str],
+def running_total(df: DataFrame, group: list[str], slice_by: list[Column], order: list[Column],
                   value: str, name: str) -> DataFrame:
     """Sum of `value` over all earlier rows of the group, the row itself excluded.
 
-    `slice_by` must not decrease along `order`. Totals per slice are summed first and
-    carried into each slice as an offset, so a window holds one slice of a group
+    Rows are ordered by `slice_by`, then by `order`. Totals per slice are summed first
+    and carried into each slice as an offset, so a window holds one slice of a group
     rather than a group: a hot group is spread over its slices.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    sliced = df.withColumn("_slice", F.struct(*slice_by))
     whole = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (sliced.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum"))
@@ -132,19 +132,22 @@ def running_total(df: DataFrame, group: list[str], slice_by: Column, order: list
             .drop("_before", "_local", "_slice"))
 
 
-def compaction_plan(files: DataFrame, target_bytes: int, slice_unit: str = "hour") -> DataFrame:
+def compaction_plan(files: DataFrame, target_bytes: int, period: str = "day") -> DataFrame:
     """Assign files below the target size to output files of about that size.
 
-    Files are taken in creation order per table; a bin closes once the bytes before a
-    file reach the next multiple of the target.
+    Files of a table are taken period by period, so a bin holds neighbours in time, and
+    inside a period in order of a digest of their path. The digest splits a period into
+    256 slices of like size, however many files one bulk load left in it. A bin closes
+    once the bytes before a file reach the next multiple of the target.
     """
-    small = files.filter(F.col("size_bytes") < target_bytes)
+    small = files.filter(F.col("size_bytes") < target_bytes).withColumn("_digest", F.md5("path"))
     placed = running_total(
-        small, ["table_name"], F.date_trunc(slice_unit, F.col("created_at")),
-        ["created_at", "path"], "size_bytes", "_before_bytes")
+        small, ["table_name"],
+        [F.date_trunc(period, F.col("created_at")), F.substring("_digest", 1, 2)],
+        [F.col("_digest"), F.col("path")], "size_bytes", "_before_bytes")
     return placed.select(
         *[col(c) for c in files.columns],
-        F.floor(F.col("_before_bytes") / F.lit(target_bytes)).cast("bigint").alias("bin"))
+        F.expr(f"_before_bytes div {int(target_bytes)}").alias("bin"))
 
 
 def compact(df: DataFrame, total_bytes: int, target_bytes: int) -> DataFrame:

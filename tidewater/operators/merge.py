@@ -16,18 +16,23 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], seq: str,
-           ties: list[str] | None = None, null_safe: bool = False) -> DataFrame:
+           ties: list[str] | None = None, null_safe: bool = False,
+           small_batch: bool = False) -> DataFrame:
     """State after merging `batch`: a row changes only when a newer one arrives.
 
     A matched row is replaced when the batch sequence is higher or the held one is
     null; an unmatched row is inserted; older and equal sequences change nothing.
     Silver keeps its columns: extra batch columns are left out, missing ones refused.
+    A null key matches nothing, as under SQL equality, so its row is inserted each time;
+    with `null_safe`, null keys are compared as equal instead.
 
-    The batch is collapsed first, so both sides of the join hold a key at most once
-    and no key can be hot. Target rows with a null key match nothing under SQL
-    equality; they bypass the join, so they cannot pile up in one shuffle partition.
-    With `null_safe`, null keys are compared as equal instead. A target bucketed on
-    the keys is not shuffled at all.
+    The batch is collapsed first, so both sides hold a key at most once and no key is
+    hot. Two plans give the same rows:
+
+    * the default shuffles each side once, for one full outer join (a target bucketed on
+      the keys is not shuffled at all);
+    * `small_batch` joins without moving the target where the batch is small: Catalyst
+      and AQE broadcast it when its measured size allows, and sort-merge it otherwise.
     """
     keys = require_columns(target, keys, "business key")
     (seq,) = require_columns(target, [seq], "sequence column")
@@ -35,23 +40,50 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], seq: str,
     held_names = require_columns(batch, columns, "silver column")
     batch = batch.select(*[col(b).alias(t) for b, t in zip(held_names, columns)])
     newest = latest_by_key(batch, keys, seq, ties)
+    merge = _merge_small if small_batch else _merge_full
+    return merge(target, newest, keys, seq, null_safe)
+
+
+def _same_key(keys: list[str], left: str, right: str, null_safe: bool) -> Column:
+    return _all([
+        col(k, left).eqNullSafe(col(k, right)) if null_safe else col(k, left) == col(k, right)
+        for k in keys
+    ])
+
+
+def _newer(seq: str) -> Column:
+    return F.coalesce((col(seq, "s") > col(seq, "t")) | col(seq, "t").isNull(), F.lit(False))
 
+
+def _merge_full(target: DataFrame, newest: DataFrame, keys: list[str], seq: str,
+                null_safe: bool) -> DataFrame:
+    """Target rows with a null key bypass the join: they cannot match, and would pile up
+    in one shuffle partition."""
     keyed = _all([col(k).isNotNull() for k in keys])
     matchable = target if null_safe else target.filter(keyed)
     held = matchable.withColumn("_held", F.lit(True)).alias("t")
     sent = newest.withColumn("_sent", F.lit(True)).alias("s")
-    same = _all([
-        col(k, "t").eqNullSafe(col(k, "s")) if null_safe else col(k, "t") == col(k, "s")
-        for k in keys
-    ])
-    newer = (col(seq, "s") > col(seq, "t")) | col(seq, "t").isNull()
-    take = F.col("_sent").isNotNull() & (F.col("_held").isNull() | F.coalesce(newer, F.lit(False)))
-    merged = held.join(sent, same, "full_outer").select(*[
-        F.when(take, col(c, "s")).otherwise(col(c, "t")).alias(c) for c in columns
+    take = F.col("_sent").isNotNull() & (F.col("_held").isNull() | _newer(seq))
+    merged = held.join(sent, _same_key(keys, "t", "s", null_safe), "full_outer").select(*[
+        F.when(take, col(c, "s")).otherwise(col(c, "t")).alias(c) for c in target.columns
     ])
     return merged if null_safe else merged.unionByName(target.filter(~keyed))
 
 
+def _merge_small(target: DataFrame, newest: DataFrame, keys: list[str], seq: str,
+                 null_safe: bool) -> DataFrame:
+    """Updates by a left join from the target, inserts from the keys it does not hold."""
+    sent = newest.withColumn("_sent", F.lit(True)).alias("s")
+    take = F.col("_sent").isNotNull() & _newer(seq)
+    kept = target.alias("t").join(sent, _same_key(keys, "t", "s", null_safe), "left").select(*[
+        F.when(take, col(c, "s")).otherwise(col(c, "t")).alias(c) for c in target.columns
+    ])
+    touched = target.select(*map(col, keys)).alias("t").join(
+        newest.alias("s"), _same_key(keys, "t", "s", null_safe), "left_semi").alias("x")
+    inserted = newest.alias("n").join(touched, _same_key(keys, "n", "x", null_safe), "left_anti")
+    return kept.unionByName(inserted.select(*map(col, target.columns)))
+
+
 def null_key_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that can never match in a merge, for a report."""
     return df.filter(~_all([col(k).isNotNull() for k in keys]))

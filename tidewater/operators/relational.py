@@ -28,11 +28,13 @@ def anti_reference(df: DataFrame, column: str, ref: DataFrame, ref_col: str) ->
     return kept.join(known, col(column) == F.col("_value"), "left_anti")
 
 
-def conditional_rollup(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:
-    """Rows and one conditional count per name, in a single pass."""
+def conditional_rollup(df: DataFrame, by: list[str], conditions: dict[str, Column],
+                       measures: dict[str, Column] | None = None) -> DataFrame:
+    """Rows, one conditional count per name and any further aggregates, in a single pass."""
     return df.groupBy(*[col(b) for b in by]).agg(
         F.count("*").alias("row_count"),
-        *[F.count_if(c).alias(name) for name, c in conditions.items()])
+        *[F.count_if(c).alias(name) for name, c in conditions.items()],
+        *[m.alias(name) for name, m in (measures or {}).items()])
 
 
 def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from tidewater.plans.inputs import (
 )
 from tidewater.plans.registry import query
 from tidewater.session import scratch_path
-from tidewater.sources import extract, landing
+from tidewater.sources import extract, landing, zones
 from tidewater.sources.extract import scan
 
 CUSTOMER_DDL = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -242,3 +242,57 @@ def landing_rejects(spark, folder):
     fits, rejects = landing.read_landing_checked(spark, path, "c_custkey bigint, nation int")
     return fits.select("c_custkey", F.lit(False).alias("rejected")).unionByName(
         rejects.select(F.col("c_custkey").cast("bigint"), F.lit(True).alias("rejected")))
+
+
+def _stored_bronze(spark, folder):
+    """Three yearly deliveries on disk: one replayed, then compacted, then one more."""
+    table = scratch_path(spark, "bronze") + "/orders"
+    rows = bronze_orders(spark, folder)
+    part = lambda name, since, until: rows.filter(
+        (F.col("o_orderdate") >= at(since)) & (F.col("o_orderdate") < at(until))
+    ).withColumn("_batch_id", F.lit(name))
+    early, middle, late = (part("early", "1900-01-01", "1997-01-01"),
+                           part("middle", "1997-01-01", "2000-01-01"),
+                           part("late", "2000-01-01", "2100-01-01"))
+    zones.land_batch(early.withColumn("o_orderstatus", F.lit("?")), table, "early", NOW)
+    zones.land_batch(middle, table, "middle", NOW)
+    zones.land_batch(early, table, "early", NOW, on_existing="replace")
+    zones.compact_table(spark, table, NOW, "bronze")
+    zones.land_batch(late, table, "late", NOW)
+    return table
+
+
+@query("bronze_table", "WITH" + BRONZE_ORDERS + """
+SELECT * REPLACE (CASE WHEN o_orderdate < '1997-01-01' THEN 'early'
+                       WHEN o_orderdate < '2000-01-01' THEN 'middle' ELSE 'late' END AS _batch_id)
+FROM bronze_orders""")
+def bronze_table(spark, folder):
+    return zones.read_table(spark, _stored_bronze(spark, folder))
+
+
+@query("version_log", """
+WITH log(version, unit, operation) AS (
+  VALUES (1, 'early', 'create'), (2, 'middle', 'append'), (3, 'early', 'replace'), (4, '*', 'compact'),
+         (5, 'late', 'append'))
+SELECT CAST(version AS BIGINT) AS version, unit, operation,
+       CASE unit WHEN 'early' THEN (SELECT count(*) FROM orders WHERE o_orderdate < '1997-01-01')
+         WHEN 'middle' THEN (SELECT count(*) FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '2000-01-01')
+         WHEN 'late' THEN (SELECT count(*) FROM orders WHERE o_orderdate >= '2000-01-01')
+         ELSE (SELECT count(*) FROM orders WHERE o_orderdate < '2000-01-01') END AS row_count
+FROM log""")
+def version_log(spark, folder):
+    """Every commit with the rows its directory holds."""
+    table = _stored_bronze(spark, folder)
+    rows = spark.read.parquet(f"{table}/data").groupBy(
+        F.concat(F.lit("data/v="), F.col("v").cast("string")).alias("directory")).agg(
+        F.count("*").alias("row_count"))
+    return zones.version_log(spark, table).join(rows, "directory").select(
+        "version", "unit", "operation", "row_count")
+
+
+@query("file_inventory", """
+SELECT count(*) AS row_count, FALSE AS has_empty_file FROM lineitem""")
+def file_inventory(spark, folder):
+    inventory = zones.file_inventory(scan(spark, folder, "lineitem"))
+    return inventory.agg(F.sum("row_count").alias("row_count"),
+                         F.bool_or(F.col("size_bytes") <= 0).alias("has_empty_file"))

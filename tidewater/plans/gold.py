@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import relational
 from tidewater.operators.products import materialise
-from tidewater.plans.inputs import BRONZE_ORDERS, EVIDENCE, bronze_orders, evidence
+from tidewater.plans.inputs import BRONZE_ORDERS, EVIDENCE, NOW, bronze_orders, evidence
 from tidewater.plans.registry import query
+from tidewater.session import scratch_path
+from tidewater.sources import zones
 from tidewater.sources.extract import scan
 
 REVENUE = ("CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) "
@@ -67,14 +69,14 @@ SELECT event_type, count(*) AS row_count, count(*) FILTER (value >= 130) AS high
        count(DISTINCT user_id) AS users, max(CASE WHEN value < 100 THEN ts END) AS last_normal
 FROM events GROUP BY event_type""")
 def conditional_rollup(spark, folder):
-    events, value = scan(spark, folder, "events"), F.col("value")
-    counts = relational.conditional_rollup(events, ["event_type"], {
+    value = F.col("value")
+    return relational.conditional_rollup(scan(spark, folder, "events"), ["event_type"], {
         "high": value >= 130, "low": (value < 10) | value.isNull(),
-        "even_users": F.col("user_id") % 2 == 0, "no_props": F.col("props").isNull()})
-    extra = events.groupBy("event_type").agg(
-        F.count_distinct("user_id").alias("users"),
-        F.max(F.when(value < 100, F.col("ts"))).alias("last_normal"))
-    return counts.join(extra, "event_type")
+        "even_users": F.col("user_id") % 2 == 0, "no_props": F.col("props").isNull(),
+    }, {
+        "users": F.count_distinct("user_id"),
+        "last_normal": F.max(F.when(value < 100, F.col("ts"))),
+    })
 
 
 @query("distinct_keys", """
@@ -102,3 +104,13 @@ SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHER
 def anti_reference(spark, folder):
     solvent = scan(spark, folder, "customer").filter(F.col("c_acctbal") >= 0)
     return relational.anti_reference(scan(spark, folder, "orders"), "o_custkey", solvent, "c_custkey")
+
+
+@query("gold_publish", COUNT_BY_NATION.format(customer="customer", nation="nation"))
+def gold_publish(spark, folder):
+    """The stored form: a rebuild replaces the table, readers see the newest version."""
+    table = scratch_path(spark, "gold") + "/customers_by_nation"
+    zones.publish(scan(spark, folder, "nation").select("n_name", F.lit(0).alias("customers")),
+                  table, "gold", NOW)
+    zones.publish(gold_count_by_nation(spark, folder), table, "gold", NOW)
+    return zones.read_table(spark, table)

@@ -49,6 +49,14 @@ def upsert_guarded(spark, folder):
     return merge.upsert(_state(events, "2024-01-20"), delivery, ["user_id"], "ts")
 
 
+@query("upsert_small_batch", "WITH everything AS (" + newest_event() + ") SELECT * FROM everything")
+def upsert_small_batch(spark, folder):
+    """The same merge planned so that a broadcastable delivery leaves the target in place."""
+    events = _events(spark, folder)
+    delivery = events.filter(F.col("ts") >= at("2024-01-18"))
+    return merge.upsert(_state(events, "2024-01-20"), delivery, ["user_id"], "ts", small_batch=True)
+
+
 @query("upsert_stale_replay", "WITH everything AS (" + newest_event() + ") SELECT * FROM everything")
 def upsert_stale_replay(spark, folder):
     events = _events(spark, folder)

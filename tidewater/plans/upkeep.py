@@ -100,11 +100,11 @@ TARGET = 64_000_000
 
 @query("compaction_plan", "WITH" + FILES + f"""
 SELECT *, CAST(coalesce(sum(size_bytes) OVER (
-         PARTITION BY table_name ORDER BY created_at, path
+         PARTITION BY table_name ORDER BY date_trunc('month', created_at), md5(path), path
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {TARGET} AS bin
 FROM files WHERE size_bytes < {TARGET}""")
 def compaction_plan(spark, folder):
-    return maintenance.compaction_plan(files(spark, folder), TARGET, "day")
+    return maintenance.compaction_plan(files(spark, folder), TARGET, "month")
 
 
 @query("file_health", "WITH" + VERSIONS + "," + FILES + """,

@@ -13,6 +13,7 @@ is deployed, use that instead.
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -226,6 +227,13 @@ def compact_table(spark: SparkSession, table: str, now: datetime | str, zone: st
                    live.schema)
 
 
+def drop_probe_table(spark: SparkSession, table: str, allowed: str) -> None:
+    """Drop and purge one catalog table, only if its whole name matches `allowed`."""
+    if not re.fullmatch(allowed, table):
+        raise ValueError(f"refusing to drop {table}: it does not match {allowed}")
+    spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
+
+
 def file_inventory(df: DataFrame) -> DataFrame:
     """One row per file behind a DataFrame read from files, with its rows and size."""
     meta = df.select("_metadata.file_path", "_metadata.file_size",
