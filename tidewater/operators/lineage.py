@@ -29,10 +29,12 @@ def lineage_edges(events: DataFrame) -> DataFrame:
     fields = F.from_json("payload", EVENT_DDL).alias("e")
     single = events.select(fields).select(
         F.col("e.type").alias("type"), F.explode(F.split("e.source", ",")).alias("source"),
-        F.col("e.target").alias("target"), F.col("e.timestamp").alias("seen"))
+        F.col("e.target").alias("target"),
+        F.to_timestamp("e.timestamp", PAYLOAD_TIME).alias("_seen"))
+    spelt = lambda moment: F.date_format(moment, PAYLOAD_TIME)
     return single.groupBy("type", F.trim("source").alias("source"), "target").agg(
-        F.count("*").alias("runs"), F.min("seen").alias("first_seen"),
-        F.max("seen").alias("last_seen"))
+        F.count("*").alias("runs"), spelt(F.min("_seen")).alias("first_seen"),
+        spelt(F.max("_seen")).alias("last_seen"))
 
 
 def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:

@@ -16,51 +16,66 @@ def _slice(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size).cast("bigint")
 
 
-def nearest_rank(df: DataFrame, metric: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank quantiles per metric, without gathering a metric in one task.
+def _ranked(df: DataFrame, metric: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Rows of (metric, quantile, its exact nearest-rank value, totals of the metric).
 
     A histogram of value slices (bounded in size, built by partial aggregation) gives
-    the slice each rank falls in; only the distinct values of those slices are then
-    ordered. A metric that holds most of the rows is spread like any other.
+    the slice each rank falls in and every total; only the distinct values of those
+    slices are then ordered. A metric that holds most of the rows is spread like any other.
     """
     sliced = df.filter(col(value).isNotNull()).select(
         col(metric).alias("_metric"), col(value).alias("_value"),
         _slice(col(value)).alias("_slice"))
     upto = Window.partitionBy("_metric").orderBy("_slice")
     whole = Window.partitionBy("_metric")
-    histogram = (sliced.groupBy("_metric", "_slice").agg(F.count("*").alias("_n"))
-                 .withColumn("_upto", F.sum("_n").over(upto))
-                 .withColumn("_all", F.sum("_n").over(whole)))
+    histogram = sliced.groupBy("_metric", "_slice").agg(
+        F.count("*").alias("_n"), F.sum("_value").alias("_sum"),
+        F.min("_value").alias("_low"), F.max("_value").alias("_high")
+    ).withColumns({
+        "_upto": F.sum("_n").over(upto), "samples": F.sum("_n").over(whole),
+        "total": F.sum("_sum").over(whole), "lowest": F.min("_low").over(whole),
+        "highest": F.max("_high").over(whole)})
     wanted = F.array(*[
         F.struct(F.lit(name).alias("_quantile"),
-                 F.greatest(F.ceil(F.lit(float(q)) * F.col("_all")), F.lit(1)).alias("_rank"))
+                 F.greatest(F.ceil(F.lit(float(q)) * F.col("samples")), F.lit(1)).alias("_rank"))
         for name, q in quantiles.items()])
+    totals = ["samples", "total", "lowest", "highest"]
     located = (histogram.select("*", F.inline(wanted))
                .filter((F.col("_rank") <= F.col("_upto"))
                        & (F.col("_rank") > F.col("_upto") - F.col("_n")))
-               .select("_metric", "_slice", "_quantile",
+               .select("_metric", "_slice", "_quantile", *totals,
                        (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
     counted = (sliced.join(located, ["_metric", "_slice"])
-               .groupBy("_metric", "_quantile", "_rank", "_value").agg(F.count("*").alias("_n")))
+               .groupBy("_metric", "_quantile", "_rank", *totals, "_value")
+               .agg(F.count("*").alias("_n")))
     order = Window.partitionBy("_metric", "_quantile").orderBy("_value")
     reached = counted.withColumn("_upto", F.sum("_n").over(order))
-    hit = F.when(F.col("_upto") >= F.col("_rank"), F.col("_value"))
-    return reached.groupBy(F.col("_metric").alias(metric)).agg(*[
-        F.min(F.when(F.col("_quantile") == name, hit)).alias(name) for name in quantiles])
+    return (reached.filter(F.col("_upto") >= F.col("_rank"))
+            .groupBy("_metric", "_quantile", *totals).agg(F.min("_value").alias("_value")))
+
+
+def _quantile_columns(quantiles: dict[str, float]) -> list[Column]:
+    return [F.max(F.when(F.col("_quantile") == name, F.col("_value"))).alias(name)
+            for name in quantiles]
+
+
+def nearest_rank(df: DataFrame, metric: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank quantiles per metric, without gathering a metric in one task."""
+    ranked = _ranked(df, metric, value, quantiles)
+    return ranked.groupBy(F.col("_metric").alias(metric)).agg(*_quantile_columns(quantiles))
 
 
 def timing_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
     """Samples, total, mean, min, p50, p95 and max per metric; nanoseconds in, whole ms out."""
-    basics = df.filter(col(value).isNotNull()).groupBy(col(metric)).agg(
-        F.count("*").alias("samples"), F.sum(col(value)).alias("_total"),
-        F.min(col(value)).alias("_min"), F.max(col(value)).alias("_max"))
-    quantiles = nearest_rank(df, metric, value, {"_p50": 0.50, "_p95": 0.95})
-    both = basics.join(quantiles, metric)
+    quantiles = {"_p50": 0.50, "_p95": 0.95}
+    rows = _ranked(df, metric, value, quantiles).groupBy(
+        F.col("_metric").alias(metric), "samples", "total", "lowest", "highest"
+    ).agg(*_quantile_columns(quantiles))
     millis = lambda expr, name: F.expr(f"{expr} div 1000000").alias(name)
-    return both.select(
-        col(metric), "samples", millis("_total", "total_ms"),
-        millis("(_total div samples)", "mean_ms"), millis("_min", "min_ms"),
-        millis("_p50", "p50_ms"), millis("_p95", "p95_ms"), millis("_max", "max_ms"))
+    return rows.select(
+        col(metric), "samples", millis("total", "total_ms"),
+        millis("(total div samples)", "mean_ms"), millis("lowest", "min_ms"),
+        millis("_p50", "p50_ms"), millis("_p95", "p95_ms"), millis("highest", "max_ms"))
 
 
 # The counters a task reports, in the order they are summed.
