@@ -50,17 +50,17 @@ def gate_decision(results: DataFrame, requested: DataFrame, run_only: bool = Fal
         F.coalesce("overridden", F.lit(False)).alias("overridden"))
 
 
-def gate_override(results: DataFrame, requests: DataFrame, now: datetime | str,
-                  run_only: bool = False) -> DataFrame:
-    """Evidence plus one override record per blocked request.
+def override_records(results: DataFrame, requests: DataFrame, now: datetime | str,
+                     run_only: bool = False) -> DataFrame:
+    """One override record per blocked request.
 
     `requests` carries run, dataset, `principal` and `reason`; both must be non-blank
-    or the request is refused (see `invalid_overrides`). Recorded verdicts stay as
-    they are, and a run that is not blocked gets no record.
+    or the request is passed over (see `invalid_overrides`). A run that is not blocked
+    gets no record.
     """
     valid = requests.filter(_names_and_reasons())
     blocked = gate_decision(results, valid, run_only).filter("blocked")
-    made = blocked.join(valid, RUN_SCOPE).select(
+    return blocked.join(valid, RUN_SCOPE).select(
         *RUN_SCOPE, F.col("dataset_namespace").alias("zone"),
         F.lit(OVERRIDE_CHECK).alias("check_type"), F.lit(OVERRIDE_CHECK).alias("check_name"),
         F.lit(BLOCKING).alias("severity"), F.lit(OVERRIDDEN).alias("status"),
@@ -71,8 +71,14 @@ def gate_override(results: DataFrame, requests: DataFrame, now: datetime | str,
                  ).alias("failure_detail"),
         F.lit(None).cast("string").alias("pipeline_run_id"),
         instant(now).cast(results.schema["checked_at"].dataType).alias("checked_at"),
-        F.lit(None).cast("bigint").alias("snapshot_id"))
-    return results.select(*RESULT_COLUMNS).unionByName(made.select(*RESULT_COLUMNS))
+        F.lit(None).cast("bigint").alias("snapshot_id")).select(*RESULT_COLUMNS)
+
+
+def gate_override(results: DataFrame, requests: DataFrame, now: datetime | str,
+                  run_only: bool = False) -> DataFrame:
+    """Evidence with the override records added; recorded verdicts stay as they are."""
+    return results.select(*RESULT_COLUMNS).unionByName(
+        override_records(results, requests, now, run_only))
 
 
 def _names_and_reasons():

@@ -87,6 +87,11 @@ def _live(commits: list[Row]) -> list[Row]:
     return sorted(newest.values(), key=lambda r: r["version"])
 
 
+def live_directories(spark: SparkSession, table: str) -> list[str]:
+    """Directories readers see now."""
+    return [r["directory"] for r in _live(_commits(spark, table))]
+
+
 def exists(spark: SparkSession, table: str) -> bool:
     return not version_log(spark, table).limit(1).isEmpty()
 
@@ -193,15 +198,24 @@ def create_results(spark: SparkSession, table: str, schema: str, now: datetime |
     return _commit(empty, table, [], WHOLE, "create", "platform", now, _nullable(empty.schema))
 
 
-def append_results(df: DataFrame, table: str, run_id: str, now: datetime | str) -> int:
-    """Append one run's evidence."""
+def append_rows(df: DataFrame, table: str, unit: str, now: datetime | str) -> int:
+    """Append to a platform table (evidence, lineage), creating it if need be."""
     commits = _commits(df.sparkSession, table)
-    if not commits:
+    schema = _schema_of(commits) if commits else _nullable(df.schema)
+    return _commit(to_schema(df, schema), table, commits, f"{unit}@{len(commits)}", "append",
+                   "platform", now, schema)
+
+
+def append_results(df: DataFrame, table: str, run_id: str, now: datetime | str) -> int:
+    """Append one run's evidence; the table must have been provisioned."""
+    if not exists(df.sparkSession, table):
         raise LookupError(f"{table} does not exist; provision it before running checks")
-    schema = _schema_of(commits)
-    rows = df.select(*RESULT_COLUMNS)
-    return _commit(rows, table, commits, f"{run_id}@{len(commits)}", "append", "platform", now,
-                   schema)
+    return append_rows(df.select(*RESULT_COLUMNS), table, run_id, now)
+
+
+def current_version(spark: SparkSession, table: str) -> int | None:
+    """The newest version, which evidence names as the state it judged."""
+    return version_log(spark, table).agg(F.max("version")).first()[0]
 
 
 def commit_micro_batch(df: DataFrame, table: str, batch_id: int, zone: str, now: datetime | str,
