@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 from collections import Counter
 from datetime import date, datetime
@@ -65,3 +67,11 @@ def differences(df, con, sql: str) -> list[str]:
     if not right:
         found.append("the SQL gives no rows")
     return found
+
+
+def plan(df) -> str:
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()

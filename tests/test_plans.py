@@ -1,31 +1,14 @@
 """What the plans must look like to hold at scale."""
 
-import contextlib
-import io
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tests.compare import plan
 from tidewater.operators import gate, maintenance, merge, quality, relational
-from tidewater.operators.conform import batch_filter, latest_by_key
-
-BATCH_QUERIES = sorted(n for n in entry.queries() if not n.startswith("stream_") and n != "replay_rebuild")
-
-
-def plan(df) -> str:
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
-@pytest.mark.parametrize("name", BATCH_QUERIES)
-def test_no_cross_join_and_no_python_rows(spark, sf, name):
-    text = plan(entry.queries()[name](spark, sf))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "PythonUDF" not in text and "BatchEvalPython" not in text and "InPandas" not in text
+from tidewater.operators.conform import batch_filter, conform, latest_by_key
 
 
 @pytest.fixture
@@ -55,6 +38,13 @@ def test_upsert_shuffles_each_side_once(big, sf):
     assert len(re.findall(r"Exchange \(", tree)) == 2
 
 
+def test_transform_collapses_and_merges_in_two_shuffles(big, sf):
+    rows = lines(big, sf).withColumn("_batch_id", F.col("l_returnflag"))
+    keys = ["l_orderkey", "l_linenumber"]
+    merged = merge.upsert(lines(big, sf), conform(rows, keys, "l_shipdate", "R"), keys, "l_shipdate")
+    assert len(re.findall(r"Exchange \(", plan(merged).split("\n\n")[0])) == 2
+
+
 def test_small_batch_leaves_the_target_in_place(spark, sf):
     held = latest_by_key(lines(spark, sf), ["l_orderkey", "l_linenumber"], "l_shipdate")
     sent = spark.createDataFrame(held.limit(3).collect(), held.schema)

@@ -30,7 +30,7 @@ def lineage_edges(events: DataFrame) -> DataFrame:
     single = events.select(fields).select(
         F.col("e.type").alias("type"), F.explode(F.split("e.source", ",")).alias("source"),
         F.col("e.target").alias("target"),
-        F.to_timestamp("e.timestamp", PAYLOAD_TIME).alias("_seen"))
+        F.col("e.timestamp").cast("timestamp").alias("_seen"))
     spelt = lambda moment: F.date_format(moment, PAYLOAD_TIME)
     return single.groupBy("type", F.trim("source").alias("source"), "target").agg(
         F.count("*").alias("runs"), spelt(F.min("_seen")).alias("first_seen"),

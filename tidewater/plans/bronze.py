@@ -159,7 +159,13 @@ SELECT event_type, CAST(ts AS DATE) AS _day, count(*) AS row_count,
        min(ts) AS first_ts, max(ts) AS last_ts
 FROM events GROUP BY ALL""")
 def partition_layout(spark, folder):
-    return bronze.partition_counts(scan(spark, folder, "events"), "event_type", "ts")
+    """Written in the declared order below zone and day, then counted from what is stored."""
+    path = scratch_path(spark, "layout")
+    laid = bronze.layout(scan(spark, folder, "events"), "event_type", "ts",
+                         [("ts", True), ("event_id", False)])
+    laid.write.partitionBy("event_type", "_day").parquet(path)
+    stored = spark.read.schema(laid.schema).parquet(path)
+    return bronze.partition_counts(stored, "event_type", "ts")
 
 
 @query("empty_clone", """

@@ -8,7 +8,7 @@ from tidewater.operators.merge import live_rows
 from tidewater.operators.quality import dataset_parity
 from tidewater.plans.inputs import AS_OF, DECODED, ENVELOPE, IMAGE, RULES, at, topic_rows
 from tidewater.plans.registry import query
-from tidewater.session import scratch_path
+from tidewater.session import scratch_path, written
 from tidewater.sources import zones
 from tidewater.sources.extract import scan
 from tidewater.streaming import cdc, queries
@@ -75,7 +75,8 @@ FROM judged WHERE reason <> ''
 UNION ALL SELECT event_id, source_partition, source_offset, operation, 'offset_not_duplicate', 1, FALSE
 FROM judged WHERE copies = 2""")
 def cdc_split(spark, folder):
-    accepted, rejected, _ = cdc.cdc_split(_decoded(spark, folder), RULES, AS_OF, DATASET, RUN)
+    accepted, rejected, _ = cdc.cdc_split(_decoded(spark, folder), RULES, AS_OF, DATASET, RUN,
+                                          path=scratch_path(spark, "checked"))
     columns = ["event_id", "source_partition", "source_offset", "operation"]
     return accepted.select(
         *columns, F.lit(None).cast("string").alias("reason"), F.lit(1).alias("records"),
@@ -89,8 +90,9 @@ FROM accepted
 QUALIFY operation <> 'd'
   AND row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, source_offset) = 1""")
 def cdc_current_state(spark, folder):
-    """Two deliveries, the newer one first: the older must not undo it."""
-    changes = _accepted(spark, folder).withColumnRenamed("event_time", "last_event_time")
+    """Two deliveries of stored changes, the newer one first: the older must not undo it."""
+    changes = written(spark, _accepted(spark, folder), scratch_path(spark, "changes"))
+    changes = changes.withColumnRenamed("event_time", "last_event_time")
     schema = T.StructType([
         *IMAGE.fields, T.StructField("last_operation", T.StringType()),
         T.StructField("last_event_time", T.TimestampType()),

@@ -183,8 +183,8 @@ def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
             keys: list[str] | None = None, partition_by: list[str] | None = None) -> int:
     """Replace a silver or gold table by a new version.
 
-    With `keys` the rows are distributed by them first, so a following merge finds few
-    files per key range.
+    With `keys` the rows are distributed by them first. A merge result is clustered by its
+    keys already and needs none.
     """
     commits = _commits(df.sparkSession, table)
     out = df.repartition(*[col(k) for k in keys]) if keys else df

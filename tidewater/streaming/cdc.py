@@ -18,6 +18,7 @@ from tidewater.functions.names import col
 from tidewater.functions.time import instant
 from tidewater.operators.merge import upsert_with_deletes
 from tidewater.operators.quality import BLOCKING, FAILED, PASSED, WARNING
+from tidewater.session import written
 
 POSITION = ["source_topic", "source_partition", "source_offset"]
 
@@ -169,9 +170,16 @@ def record_results(checked: DataFrame, rules: CdcRules, dataset: str, run_id: st
 
 
 def cdc_split(df: DataFrame, rules: CdcRules, now: datetime | str, dataset: str, run_id: str,
-              held: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted, rejected, quality evidence) of decoded records."""
+              held: DataFrame | None = None,
+              path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accepted, rejected, quality evidence) of decoded records.
+
+    With a `path` in the shared folder the checked records are stored there once and all
+    three read them back; without it each one is a plan of its own over `df`.
+    """
     checked = cdc_check(df, rules, held)
+    if path:
+        checked = written(df.sparkSession, checked, path)
     return (accepted_records(checked, now, run_id), rejected_records(checked),
             record_results(checked, rules, dataset, run_id, now))
 
