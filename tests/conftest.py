@@ -8,10 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tidewater.session import local_session  # noqa: E402
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="session", autouse=True)
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shared"))
-    session = local_session(8, "tests", memory="6g", **{"spark.checkpoint.dir": folder})
+    session = local_session(8, "tests", memory="6g", **{
+        "spark.checkpoint.dir": folder,
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield session
     session.stop()
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators import schema
+from tidewater.operators.quality import RESULT_DDL, quality_suite
 from tidewater.operators.bronze import append_batch, replace_batch
 from tidewater.operators.conform import align_schema, normalise
 from tidewater.sources import landing, zones
@@ -75,6 +76,26 @@ def test_results_table_must_exist(spark, tmp_path):
         zones.append_results(spark.range(1), str(tmp_path / "none"), "r", "2026-01-01")
 
 
+def test_null_in_a_required_column_leaves_the_table_unmoved(spark, tmp_path):
+    table = str(tmp_path / "results")
+    zones.create_results(spark, table, RESULT_DDL, "2026-01-01")
+    good = quality_suite(spark.range(1), [{"type": "row_count_min"}], "r", "bronze.t", "2026-01-01")
+    bad = good.withColumn("severity", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="null in required column severity"):
+        zones.append_results(bad, table, "r", "2026-01-01")
+    assert zones.current_version(spark, table) == 1 and zones.read_table(spark, table).isEmpty()
+    zones.append_results(good, table, "r", "2026-01-01")
+    assert zones.read_table(spark, table).count() == 1
+
+
+def test_dropping_is_limited_to_the_named_pattern(spark):
+    with pytest.raises(ValueError, match="refusing"):
+        zones.drop_probe_table(spark, "silver.customers", r"probe_[a-z0-9]+")
+    spark.sql("CREATE TABLE probe_1 USING parquet AS SELECT 1 AS x")
+    zones.drop_probe_table(spark, "probe_1", r"probe_[a-z0-9]+")
+    assert not spark.catalog.tableExists("probe_1")
+
+
 def test_zone_options():
     assert zones.zone_options("silver")["write.distribution-mode"] == "hash"
     assert "append-only" not in zones.zone_options("silver")

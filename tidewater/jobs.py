@@ -65,7 +65,9 @@ def ingest(lake: Lake, source_file: str, target: str, source_system: str, batch_
     """Landing file to bronze; returns the rows the batch holds afterwards."""
     rows = stamp(normalise(read_landing(lake.spark, source_file, schema)), batch_id,
                  source_file, now)
-    zones.land_batch(rows, lake.path(target), batch_id, now, on_existing)
+    zones.land_batch(rows, lake.path(target), batch_id, now, on_existing, notes={
+        "source-system": source_system, "last-source-file": source_file,
+        "last-ingestion-run-id": run_id})
     _trace(lake, "INGESTION", f"external:{source_system}/{source_file}", target, run_id, now)
     return batch_filter(lake.read(target), batch_id).count()
 

@@ -47,6 +47,18 @@ def align_schema(df: DataFrame, held: T.StructType) -> DataFrame:
     return df.select(*projection)
 
 
+def require_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows; reading a null in one of the columns fails the job that writes them.
+
+    Parquet does not enforce required columns, so the check rides along with the write
+    instead of costing a pass of its own.
+    """
+    names = require_columns(df, columns, "required column")
+    return df.withColumns({
+        n: F.coalesce(col(n), F.raise_error(F.lit(f"null in required column {n}")))
+        for n in names})
+
+
 def batch_filter(df: DataFrame, batch_id: str) -> DataFrame:
     """One delivery; prunes to its directory when the table is partitioned by batch."""
     return df.filter(F.col(BATCH_ID) == batch_id)

@@ -32,6 +32,7 @@ RESULT_DDL = (
     "snapshot_id bigint"
 )
 RESULT_COLUMNS = [part.split()[0] for part in RESULT_DDL.split(", ")]
+REQUIRED_RESULT_COLUMNS = [p.split()[0] for p in RESULT_DDL.split(", ") if p.endswith("NOT NULL")]
 
 COMMON_FIELDS = {"type", "name", "severity"}
 RULE_FIELDS = {
@@ -136,7 +137,7 @@ def _shared_outcome(df: DataFrame, rule: dict, metric: Column, as_of: datetime |
         limit = float(rule.get("maxNullRate", 0.0))
         rate = F.when(total == 0, F.lit(0.0)).otherwise(metric / total)
         return _outcome(rule, rate <= limit, rate, limit, F.format_string(
-            f"null rate %.4f exceeds {limit:.4f} for column {rule['column']}", rate))
+            "null rate %.4f exceeds %.4f for column %s", rate, F.lit(limit), F.lit(rule["column"])))
     if kind == "freshness":
         limit = float(rule.get("maxAgeMinutes", sys.float_info.max))
         age = age_minutes(metric, as_of)
@@ -144,7 +145,7 @@ def _shared_outcome(df: DataFrame, rule: dict, metric: Column, as_of: datetime |
         detail = F.when(
             metric.isNull(), F.lit(f"no timestamp found in column {rule['column']}")
         ).otherwise(F.format_string(
-            f"latest record is %.1f minutes old, SLA is {limit:.1f}", age))
+            "latest record is %.1f minutes old, SLA is %.1f", age, F.lit(limit)))
         return _outcome(rule, ok, age, limit, detail)
     by_rate = "maxViolationRate" in rule
     limit = float(rule["maxViolationRate"] if by_rate else rule.get("maxViolations", 0))

@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from tidewater.functions.names import BATCH_ID, col
 from tidewater.functions.time import instant
 from tidewater.operators.bronze import replace_batch
-from tidewater.operators.conform import align_schema, batch_is_held
+from tidewater.operators.conform import align_schema, batch_is_held, require_values
 from tidewater.operators.maintenance import compact
-from tidewater.operators.quality import RESULT_COLUMNS
+from tidewater.operators.quality import REQUIRED_RESULT_COLUMNS, RESULT_COLUMNS
 from tidewater.operators.schema import merged_schema, refuse_conflicts, to_schema
 
 WHOLE = "*"
@@ -119,7 +119,8 @@ def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None
 
 
 def _commit(df: DataFrame, table: str, commits: list[Row], unit: str, operation: str, zone: str,
-            now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None) -> int:
+            now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None,
+            notes: dict[str, str] | None = None) -> int:
     """Write the data, then its log row.
 
     A table is partitioned as its first commit was. A write that failed before its log
@@ -134,7 +135,8 @@ def _commit(df: DataFrame, table: str, commits: list[Row], unit: str, operation:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
-    properties = {**zone_options(zone), "partition-by": ",".join(partition_by or [])}
+    properties = {**zone_options(zone), "partition-by": ",".join(partition_by or []),
+                  **(notes or {})}
     entry = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(version).cast("bigint").alias("version"), F.lit(unit).alias("unit"),
         F.lit(operation).alias("operation"), instant(now).alias("committed_at"),
@@ -149,11 +151,13 @@ def _nullable(schema: T.StructType) -> T.StructType:
 
 
 def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
-               on_existing: str = "fail", partition_by: list[str] | None = None) -> int:
+               on_existing: str = "fail", partition_by: list[str] | None = None,
+               notes: dict[str, str] | None = None) -> int:
     """Write one stamped delivery to bronze; returns the version.
 
     Types are checked against the table before any job. A delivery that is held is
-    refused, or with `on_existing="replace"` rewritten alone.
+    refused, or with `on_existing="replace"` rewritten alone. `notes` (where it came
+    from, which run brought it) are kept with the commit.
     """
     if on_existing not in ("fail", "replace"):
         raise ValueError(f"on_existing must be fail or replace: {on_existing}")
@@ -161,7 +165,7 @@ def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
     commits = _commits(spark, table)
     if not commits:
         return _commit(df, table, commits, batch_id, "create", "bronze", now,
-                       _nullable(df.schema), partition_by)
+                       _nullable(df.schema), partition_by, notes)
     held_schema = _schema_of(commits)
     refuse_conflicts(table, held_schema, df.schema)
     schema = merged_schema(held_schema, df.schema)
@@ -174,9 +178,10 @@ def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
     if held and not named:
         # The batch sits inside a compacted version: rewrite that version without it.
         whole = replace_batch(_read(spark, table, commits), df, batch_id)
-        return _commit(whole, table, commits, WHOLE, "replace", "bronze", now, schema)
+        return _commit(whole, table, commits, WHOLE, "replace", "bronze", now, schema,
+                       notes=notes)
     return _commit(to_schema(df, schema), table, commits, batch_id,
-                   "replace" if held else "append", "bronze", now, schema)
+                   "replace" if held else "append", "bronze", now, schema, notes=notes)
 
 
 def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
@@ -207,10 +212,11 @@ def append_rows(df: DataFrame, table: str, unit: str, now: datetime | str) -> in
 
 
 def append_results(df: DataFrame, table: str, run_id: str, now: datetime | str) -> int:
-    """Append one run's evidence; the table must have been provisioned."""
+    """Append one run's evidence; the table must exist, and required columns be filled."""
     if not exists(df.sparkSession, table):
         raise LookupError(f"{table} does not exist; provision it before running checks")
-    return append_rows(df.select(*RESULT_COLUMNS), table, run_id, now)
+    rows = require_values(df.select(*RESULT_COLUMNS), REQUIRED_RESULT_COLUMNS)
+    return append_rows(rows, table, run_id, now)
 
 
 def current_version(spark: SparkSession, table: str) -> int | None:

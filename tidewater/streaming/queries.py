@@ -21,16 +21,17 @@ from tidewater.streaming.cdc import (
 
 
 def stream_table(spark: SparkSession, folder: str, table: str,
-                 files_per_trigger: int | None = None) -> DataFrame:
+                 files_per_trigger: int = 1000) -> DataFrame:
     """A Parquet table as a stream; a broker topic gives the same columns to what follows.
 
-    The path is written as a pattern so that a table may be a directory or one file.
+    A micro-batch takes at most `files_per_trigger` files, so catching up with a long
+    backlog is a row of bounded batches. The path is written as a pattern so that a
+    table may be a directory or one file.
     """
     folder = folder.rstrip("/")
     reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}.parquet").schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{folder}/{table}.parque[t]")
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(
+        f"{folder}/{table}.parque[t]")
 
 
 def stream_key_counts(df: DataFrame, ts: str, lateness: str, key: str,
