@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions.time import instant
 from tidewater.operators import gate
-from tidewater.operators.conform import batch_filter, conform, normalise, stamp
+from tidewater.operators.conform import conform, normalise, stamp
 from tidewater.operators.lineage import lineage_events
 from tidewater.operators.maintenance import orphan_files, snapshots_to_expire
 from tidewater.operators.merge import upsert
@@ -69,7 +69,7 @@ def ingest(lake: Lake, source_file: str, target: str, source_system: str, batch_
         "source-system": source_system, "last-source-file": source_file,
         "last-ingestion-run-id": run_id})
     _trace(lake, "INGESTION", f"external:{source_system}/{source_file}", target, run_id, now)
-    return batch_filter(lake.read(target), batch_id).count()
+    return zones.read_batch(lake.spark, lake.path(target), batch_id).count()
 
 
 def check(lake: Lake, target: str, rules: list[dict], run_id: str, now: datetime,
@@ -125,7 +125,9 @@ def transform(lake: Lake, source: str, target: str, keys: list[str], seq: str, r
               small_batch: bool = False) -> int:
     """Bronze to silver, gated where a quality run is named; returns the rows in silver."""
     _require_promotion(lake, quality_run, [source])
-    rows = conform(lake.read(source), keys, seq, batch_id)
+    held = (lake.read(source) if batch_id is None
+            else zones.read_batch(lake.spark, lake.path(source), batch_id))
+    rows = conform(held, keys, seq, batch_id)
     if zones.exists(lake.spark, lake.path(target)):
         rows = upsert(lake.read(target), rows, keys, seq, small_batch=small_batch)
     # The collapse and the join leave rows clustered by key; no further shuffle is needed.

@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from tidewater.functions.names import BATCH_ID, col
 from tidewater.functions.time import instant
 from tidewater.operators.bronze import replace_batch
-from tidewater.operators.conform import align_schema, batch_is_held, require_values
+from tidewater.operators.conform import (
+    align_schema, batch_filter, batch_is_held, require_values,
+)
 from tidewater.operators.maintenance import compact
 from tidewater.operators.quality import REQUIRED_RESULT_COLUMNS, RESULT_COLUMNS
 from tidewater.operators.schema import merged_schema, refuse_conflicts, to_schema
@@ -108,6 +110,15 @@ def read_table(spark: SparkSession, table: str, unit: str | None = None) -> Data
     return _read(spark, table, commits, unit)
 
 
+def read_batch(spark: SparkSession, table: str, batch_id: str) -> DataFrame:
+    """One delivery: its own directory, or its rows inside a compacted version."""
+    commits = _commits(spark, table)
+    if not commits:
+        raise LookupError(f"table not found: {table}")
+    live = {r["unit"] for r in _live(commits)}
+    return batch_filter(_read(spark, table, commits, batch_id if batch_id in live else WHOLE), batch_id)
+
+
 def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None = None) -> DataFrame:
     schema = _schema_of(commits)
     chosen = [r for r in _live(commits) if unit is None or r["unit"] == unit]
