@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, differences, plan
-
-ORACLES = entry.oracle_sql()
+from tidewater.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +12,9 @@ def con(request):
     return connect("/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, sf, con, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     text = plan(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "PythonUDF" not in text and "BatchEvalPython" not in text and "InPandas" not in text
@@ -32,4 +31,4 @@ def test_entry_gives_revenue_for_every_nation(spark, con):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)

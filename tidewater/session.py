@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,29 +42,35 @@ def local_session(cores: int | str = 8, name: str = "tidewater", memory: str = "
     return spark
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_USED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by `spark.checkpoint.dir`.
+    """The folder all executors see: `spark.checkpoint.dir`.
 
-    A local session without the setting gets a temporary folder of its own; a
-    cluster without it is refused, as a driver-local folder would lose data.
+    Where a session leaves it unset, a folder beside the warehouse tables takes its place, which
+    every executor must reach anyway.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tidewater-")
-    return _LOCAL_FOLDERS[application]
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_steps").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for this application's intermediate data, deleted when Python ends."""
+    own = f"{shared_folder(spark)}/tidewater-{spark.sparkContext.applicationId}"
+    if own not in _USED:
+        _USED.add(own)
+        atexit.register(discard, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a step that nothing reads any more; a stopped session leaves it to the store's own expiry."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
