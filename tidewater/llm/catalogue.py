@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, linededup, mixing
+from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup
+from tidewater.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -100,6 +101,31 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    return langid.identify(docs, learn=out).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op8_licenses")
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(
+        ":", s["label"], s["first"].cast("string"), s["end"].cast("string"), s["edits"].cast("string"))), ",")
+    return licenses.scan_licenses(table(spark, folder, "documents")).withColumn("spans", spans)
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 @query("op10_line_dedup", r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words and ends lines' margins: space, tab, line feed, vertical tab, form feed,
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+BATCH_BYTES, BATCH_ROWS = "4m", "2000"
+
+
 def free_name(columns: Iterable[str], stem: str) -> str:
     """`stem`, with underscores added until no column has that name in any spelling."""
     taken = {name.lower() for name in columns}
@@ -29,6 +32,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a task hands to Python at once.
+
+    A batch exists several times over, in the JVM, in Arrow and as Python values; at the default of 64 MB
+    two tasks can outgrow an executor's memory beside its heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
