@@ -74,7 +74,7 @@ class CollisionIndex:
         """The k best ids other than `own`, with their inner products, ties to smaller ids."""
         # The query, at the norm that the vectors have been lifted to.
         centre = (query * (self.norm / math.sqrt(float(query @ query)))) @ self.axes[:-1]
-        wanted = k + 1 + max(200, math.ceil(verified * len(ids)))
+        wanted = k + 1 + max(300, math.ceil(verified * len(ids)))
         rows = self.candidates(centre, wanted, math.ceil(threshold * len(centre)))
         rows = rows[ids[rows] != own]
         scores = self.vectors[rows] @ query

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup
+from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, warc
 from tidewater.llm.common import held_out
+from tidewater.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -101,6 +102,24 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op3_warc", r"""
+WITH digested AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (  -- base 32 of the 20 bytes: 32 groups of 5 bits
+    SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST(((CAST('0x' || substr(hex || '000', 1 + (i * 5) // 4, 3) AS INTEGER)
+                   >> (12 - 5 - (i * 5) % 4)) & 31) AS INTEGER), 1)), '') AS base32
+    FROM (SELECT DISTINCT hex FROM digested)
+), heads AS (SELECT hex, max(page_id) AS head, count(*) AS n FROM digested GROUP BY hex)
+SELECT page_id, octet_length(payload) AS payload_bytes, base32 AS payload_digest,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM head AND head IS NOT NULL THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM digested JOIN bits USING (hex) JOIN heads USING (hex)""")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "archives"))
+    return warc.read_archives(manifest, payloads=False).drop("url")
+
+
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
