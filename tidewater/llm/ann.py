@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import quoted
+from tidewater.llm.common import prepare_python, quoted
 from tidewater.session import scratch_path, written
 
 SHARD = 8192
@@ -125,6 +125,7 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     table gives an empty one; other columns are not looked at.
     """
     spark = vectors.sparkSession
+    prepare_python(spark)
     rows = written(spark, usable(vectors, vec_id, embedding).withColumn("dims", F.size("vector")),
                    scratch_path(spark, "vectors"))
     asked = F.coalesce(is_query(F.col("id")), F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, warc
+from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, toxicity, warc
 from tidewater.llm.common import held_out
 from tidewater.session import scratch_path
 
@@ -41,6 +41,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = toxicity.toxicity(docs, labels, usable=~held_out(F.col("doc_id")))
+    evidence = F.transform("evidence", lambda e: F.concat_ws(
+        ":", e["example"], F.format_number(e["similarity"], 4), e["toxic"].cast("string")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                        F.array_join(evidence, ",").alias("evidence"))
+
+
 @query("op2_mixing", r"""
 WITH sized AS (
     SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,26 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a task hands to Python at once.
+def prepare_python(spark: SparkSession) -> None:
+    """Give Python workers this package, and bound what a task hands them at once.
 
     A batch exists several times over, in the JVM, in Arrow and as Python values; at the default of 64 MB
     two tasks can outgrow an executor's memory beside its heap.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver's own copy, which Spark hands out
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in package.rglob("*.py"):
+                out.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(application)
+
+
+_SHIPPED: set[str] = set()
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, quoted, texts
+from tidewater.llm.common import prepare_python, quoted, texts
 
 GRAM = 3
 FEATURES = 1 << 14
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     gives an empty one; other columns are not looked at.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     model = spark.sparkContext.broadcast(train(
         docs, quoted(lang).cast("string"), quoted(text), F.lit(True) if learn is None else learn))
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, quoted, texts
+from tidewater.llm.common import prepare_python, quoted, texts
 
 # Phrases whose every occurrence counts, and their labels.
 PHRASES = {
@@ -151,7 +151,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     unedited characters, 0 without any. A null or empty text has no words and no labels. Rows are judged
     one by one, so repeated or null ids come back as they are; other columns are not looked at.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     found = docs.select(quoted(doc_id), quoted(text)).mapInArrow(
         _scan, f"doc {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "

@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, bounded_batches, free_name, quoted, texts
+from tidewater.llm.common import BLANKS, prepare_python, free_name, quoted, texts
 from tidewater.session import discard, scratch_path, written
 
 SEGMENT_BITS = 1 << 18
@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     gives an empty one. Lines within one document may repeat.
     """
     spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     filter_, segments = twice_seen_filter(docs, text, min_chars, max_bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, mixed, quoted, shingle_set, texts
+from tidewater.llm.common import prepare_python, mixed, quoted, shingle_set, texts
 from tidewater.llm.components import components
 from tidewater.session import discard, scratch_path, written
 
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     give empty ones; other columns are not looked at.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
     signed = written(spark, named.mapInArrow(

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, quoted
+from tidewater.llm.common import prepare_python, quoted
 from tidewater.session import scratch_path, written
 
 # Fixed values of the format.
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     empty table gives an empty manifest. Other columns are not archived.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepare_python(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = store(folder)
@@ -242,6 +242,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
+    prepare_python(manifest.sparkSession)
     archives = max(1, manifest.count())
     names = {"int64": "long", "string": "string", "binary": "binary"}
     return manifest.select("path").repartition(archives, "path").mapInArrow(
