@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, linededup, mixing
-from tidewater.llm.common import free_name, quoted
+from tidewater.llm import decontaminate, linededup, mixing, neardup, toxicity
+from tidewater.llm.common import free_name, held_out, quoted
 from tidewater.session import scratch_path, written
 
 
@@ -16,6 +16,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.toDF(gone), quoted("doc_id") == quoted(gone), "left_anti")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go. Learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = toxicity.scorer(docs, toxicity.learn(docs, labels, usable=~held_out(F.col("doc_id"))))
+    return docs.filter(score(F.col("text"))["score"] < 0.5)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten characters or more stay only in the document of smallest id that holds them."""
     lines, dropped = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_dropped")
@@ -26,6 +33,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(*map(quoted, docs.columns))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the smallest id stays."""
+    found = neardup.near_duplicates(docs, width=5, percent=80)
+    return _without(docs, written(spark, found.filter("NOT kept").select("doc_id").distinct(),
+                                  scratch_path(spark, "copies")))
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's five-word shingles go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -39,7 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark_leaks),
     ("mixing sources to target weights", mix_sources),
 ]
