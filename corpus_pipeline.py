@@ -17,10 +17,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go. Learns from the labels that are not held out."""
+    """Documents with a toxicity score of 0.5 or more and labelled neighbours to show for it go.
+
+    Learns from the labels that are not held out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = toxicity.scorer(docs, toxicity.learn(docs, labels, usable=~held_out(F.col("doc_id"))))
-    return docs.filter(score(F.col("text"))["score"] < 0.5)
+    found = free_name(docs.columns, "toxicity")
+    return docs.withColumn(found, score(F.col("text"))).filter(
+        ~((quoted(found)["score"] >= 0.5) & (F.size(quoted(found)["evidence"]) > 0))).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
