@@ -194,8 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
              .groupBy(quoted(doc_id).alias("example")).agg(F.max((quoted(label) > 0).cast("int")).alias("toxic")))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "example"), "example").limit(max_examples)
     place = scratch_path(spark, "examples")
-    rows = written(spark, docs.join(F.broadcast(chosen), quoted(doc_id) == F.col("example")).select(
-        F.col("example").cast("string").alias("id"), "toxic", quoted(text).alias("text")).mapInArrow(
+    named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
+    rows = written(spark, named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
+        F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
             _families, "id string, toxic int, text string, family long"), place)
     base = rows.agg(F.avg("toxic")).first()[0] or 0.0
     own = rows.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("id"))).filter("place = 1")
