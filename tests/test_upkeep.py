@@ -139,6 +139,10 @@ def test_timing_summary(spark):
     ("api_key=abc;token='t t' ok", "api_key=<redacted>;token=<redacted> ok"),
     ("ALTER USER x password 'p';", "ALTER USER x password <redacted>;"),
     ("jdbc://user:pw@host/db", "jdbc://<redacted>@host/db"),
+    ("s3://bucket/a@b https://me@h/x@y", "s3://bucket/a@b https://<redacted>@h/x@y"),
+    ("[private-key: 'a ]' , credential=b]", "[private-key: <redacted> , credential=<redacted>]"),
+    ("{secret:x} (bearer t;u) passwords stay", "{secret:<redacted>} (bearer <redacted>;u) passwords stay"),
+    ('access.key="half', 'access.key=<redacted>'),
     ("one\ntwo\tthree\r", "one_two_three_"),
     ("nothing here", "nothing here"),
     (None, None),

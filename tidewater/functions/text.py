@@ -15,15 +15,14 @@ SECRET_WORDS = (
 )
 REDACTED = "<redacted>"
 
-BEARER_PATTERN = r"(?i)\bBearer\s+[^,;\s]+"
-KEY_VALUE_PATTERN = (
-    r"(?i)(['\"]?(?:" + SECRET_WORDS + r")['\"]?\s*[:=]\s*)"
-    r"(?:\"[^\"]*\"|'[^']*'|[^,;\s}\]]+)"
-)
-SPOKEN_PATTERN = (
-    r"(?i)(\b(?:" + SECRET_WORDS + r")\b\s+)(?:\"[^\"]*\"|'[^']*'|[^,;\s]+)"
-)
-URI_USER_PATTERN = r"(://)[^/@\s]+@"
+# A token after the scheme's name, up to white space or the next list item.
+_BEARER = r"(?i)\b(bearer)\s+(?:(?![,;])\S)+"
+# A secret's name, then a separator or just white space, then its value: quoted, or up to white
+# space, a list item's end or a closing bracket.
+_NAMED = (rf"(?i)((?:{SECRET_WORDS})(?:['\"]?\s*[:=]\s*|\s+))"
+          r"(?:\"[^\"]*\"|'[^']*'|(?:(?![,;}\]])\S)+)")
+# Who logs in, between a URI's scheme and its host.
+_LOGIN = r"(?<=://)(?:(?![/@])\S)+(?=@)"
 
 
 def blank_to_null(value: Column) -> Column:
@@ -43,12 +42,9 @@ def redact(value: Column, cap: int | None = None) -> Column:
     """
     lowered = F.lower(value)
     hinted = reduce(or_, [lowered.contains(word) for word in _SECRET_HINTS])
-    masked = F.regexp_replace(value, BEARER_PATTERN, f"Bearer {REDACTED}")
-    masked = F.regexp_replace(masked, KEY_VALUE_PATTERN, f"$1{REDACTED}")
-    masked = F.regexp_replace(masked, SPOKEN_PATTERN, f"$1{REDACTED}")
-    masked = F.when(hinted, masked).otherwise(value)
-    without_user = F.regexp_replace(masked, URI_USER_PATTERN, f"$1{REDACTED}@")
-    folded = F.when(value.contains("://"), without_user).otherwise(masked)
+    masked = F.regexp_replace(value, _BEARER, f"$1 {REDACTED}")
+    masked = F.when(hinted, F.regexp_replace(masked, _NAMED, f"$1{REDACTED}")).otherwise(value)
+    folded = F.when(value.contains("://"), F.regexp_replace(masked, _LOGIN, REDACTED)).otherwise(masked)
     for control in "\r\n\t":
         folded = F.replace(folded, F.lit(control), F.lit("_"))
     return folded if cap is None else F.substring(folded, 1, cap)

@@ -72,21 +72,22 @@ def operation_rollup(spark, folder):
     return measures.operation_rollup(tasks, stages, jobs)
 
 
-def _literal(pattern):
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-REDACTED_SQL = "text"
-for _pattern, _with in (
-        (text.BEARER_PATTERN, f"Bearer {text.REDACTED}"),
-        (text.KEY_VALUE_PATTERN, rf"\1{text.REDACTED}"),
-        (text.SPOKEN_PATTERN, rf"\1{text.REDACTED}"),
-        (text.URI_USER_PATTERN, rf"\1{text.REDACTED}@")):
-    REDACTED_SQL = f"regexp_replace({REDACTED_SQL}, {_literal(_pattern)}, {_literal(_with)}, 'g')"
-
-
-@query("redact_secrets", f"""
-SELECT doc_id, translate({REDACTED_SQL}, chr(13) || chr(10) || chr(9), '___') AS text, lang, source, n_chars
-FROM documents""")
+@query("redact_secrets", r"""
+WITH masked AS (
+  SELECT *, regexp_replace(text, '(?i)\b(bearer)\s+[^,;\s]+', '\1 <redacted>', 'g') AS m FROM documents),
+named AS (
+  SELECT *, regexp_replace(m, '(?i)((secret|password|token|credential|authorization|(api|access|private)[-_.]?key)'
+      || '([''"]?\s*[:=]\s*|\s+))("[^"]*"|''[^'']*''|[^,;\s}\]]+)', '\1<redacted>', 'g') AS n FROM masked)
+SELECT doc_id, translate(regexp_replace(n, '(://)[^/@\s]+@', '\1<redacted>@', 'g'), chr(13) || chr(10) || chr(9), '___') AS text,
+       'login ' || lang || ' password=<redacted>, via https://<redacted>@' || source || '/' || doc_id
+       || ' as {"api.key": <redacted>, "n": [' || n_chars || ', token <redacted>]} Bearer <redacted>; done' AS line
+FROM named""")
 def redact_secrets(spark, folder):
-    return conform.redact_secrets(scan(spark, folder, "documents"), "text")
+    """The texts, and a log line per document whose secrets are known."""
+    secret = F.md5(F.col("doc_id").cast("string"))
+    line = F.concat(
+        F.lit("login "), "lang", F.lit(" password="), secret, F.lit(", via https://u"), "doc_id", F.lit(":"), secret, F.lit("@"),
+        "source", F.lit("/"), "doc_id", F.lit(' as {"api.key": "'), secret, F.lit(' and more", "n": ['), "n_chars",
+        F.lit(", token '"), secret, F.lit(" x']} Bearer "), secret, F.lit(".y; done"))
+    rows = conform.redact_secrets(scan(spark, folder, "documents").select("doc_id", "text", line.alias("line")), "text")
+    return conform.redact_secrets(rows, "line")
