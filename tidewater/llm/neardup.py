@@ -3,20 +3,23 @@
 Each text becomes its set of word shingles and a signature of SIGNATURE minwise tokens. Texts of equal
 sets are one node from then on. In each of `trees` independent trees a node goes down a path: at every
 branch the tree and the path so far choose one signature position, and the token there names the child
-branch. Two sets of similarity s stay together with probability s per level. Branches of up to `leaf`
-nodes are compared exhaustively, larger ones branch again.
+branch. Two sets of similarity s stay together with probability s per level; all paths start FIRST_LEVEL
+levels deep, where unlike texts hardly meet. Branches of up to `LEAF` nodes are compared exhaustively,
+larger ones branch again down to LAST_LEVEL.
 
 A group of near copies stays together on any path, so comparing all its pairs, or branching until it is
 small, would cost the square of its size. Links are therefore found in two passes:
 
 1. `STAR_TREES` trees, every branch on the way down: each node is paired with the branch's pivot, one
-   pair per node. Verified links give components.
-2. All trees: a branch whose nodes are all in one component by now is done. The others branch again
-   until small, and the nodes outside a branch's largest component are compared with all in it. A branch
-   that is still large after MAX_LEVELS levels is compared block against block, which leaves out nothing.
+   pair per node. Links confirmed on the full sets give components.
+2. All trees: a branch whose nodes are all in one component by now is done. In the others the nodes
+   outside the largest component are compared with all. A branch still large at LAST_LEVEL is compared
+   block against block, each in a task of its own, which leaves out nothing. First signatures only are
+   compared, and nodes that have a likely partner in another component are kept; then these meet again
+   with their full sets. Pairs of one component are passed over, and only confirmed links leave a task.
 
 Pairs whose signatures agree too little to reach the threshold (by more than four standard deviations)
-are left out; all others are confirmed on the full sets, which are made again from the texts.
+are not compared further; all links are confirmed on the full sets, which are made again from the texts.
 """
 
 from __future__ import annotations
@@ -38,9 +41,10 @@ from tidewater.session import discard, scratch_path, written
 SIGNATURE = 128
 TREES = 12
 STAR_TREES = 3
+FIRST_LEVEL, LAST_LEVEL = 2, 4
 LEAF = 64
-MAX_LEVELS = 8
-BLOCK = 512
+BLOCK = 256
+BROADCAST_ROWS = 500_000  # of an id and a 16-byte key
 
 _RANDOM = np.random.default_rng(20240607)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, SIGNATURE, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -95,15 +99,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _roots(trees: range):
-    """Rows (tree, path, node) at the first level of each tree."""
+    """Rows (tree, path, node) at FIRST_LEVEL of each tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signatures, count = _matrix(batch.column(1)), batch.num_rows
             tree = np.repeat(np.array(list(trees), np.int32), count)
-            start = (tree.astype(np.uint64) + np.uint64(1)) * np.uint64(0x1000193)
-            path = _branch(tree, start, np.tile(signatures, (len(trees), 1)))
+            path = (tree.astype(np.uint64) + np.uint64(1)) * np.uint64(0x1000193)
+            for _ in range(FIRST_LEVEL):
+                path = _branch(tree, path, np.tile(signatures, (len(trees), 1)))
             yield pa.record_batch([pa.array(tree), pa.array(path.view(np.int64)),
                                    batch.column(0).take(pa.array(np.tile(np.arange(count), len(trees))))],
                                   names=["tree", "path", "node"])
@@ -138,56 +143,108 @@ def _similar_stars(least: int, ratio: float):
     return run
 
 
-def _across(rows: list[tuple], crossing: bool, least: int, ratio: float) -> tuple[list, list]:
-    """Similar pairs of different components among one branch's rows (block, node, root, size, signature).
-
-    Only rows outside the largest component are compared, with all rows. Where the rows are two blocks
-    of a branch (`crossing`), pairs within one block belong to another group.
-    """
-    common = Counter(row[2] for row in rows).most_common(1)[0][0]
-    blocks, sizes = (np.array([row[i] for row in rows], np.int64) for i in (0, 3))
-    names = {root: number for number, root in enumerate({row[2] for row in rows})}
-    roots = np.array([names[row[2]] for row in rows])
-    signatures = np.frombuffer(b"".join(row[4] for row in rows), np.uint16).reshape(-1, SIGNATURE)
-    others = np.flatnonzero(roots != names[common])
-    one, two = [], []
-    for start in range(0, len(others), 64):
-        left = others[start:start + 64]
-        agree = np.zeros((len(left), len(rows)), np.int16)
-        for position in range(0, SIGNATURE, 16):
-            part = slice(position, position + 16)
-            agree += (signatures[left][:, None, part] == signatures[None, :, part]).sum(axis=2, dtype=np.int16)
-        fits = (agree >= least) & (roots[left][:, None] != roots[None, :]) & (
-            np.minimum(sizes[left][:, None], sizes) >= ratio * np.maximum(sizes[left][:, None], sizes) - 1e-9)
-        if crossing:
-            fits &= blocks[left][:, None] != blocks
-        for i, j in zip(*np.nonzero(fits)):
-            one.append(rows[left[i]][1])
-            two.append(rows[j][1])
-    return one, two
-
-
-def _exhaustive(least: int, ratio: float):
-    """Pairs of different components in each group; rows come sorted by group, which is small."""
+class _Group:
+    """One branch's rows, or two blocks of them: (block, node, root, size, signature, set)."""
+
+    def __init__(self, rows: list[tuple], crossing: bool, least: int, ratio: float):
+        self.rows, self.crossing, self.least, self.ratio = rows, crossing, least, ratio
+        self.blocks, self.sizes = (np.array([row[i] for row in rows], np.int64) for i in (0, 3))
+        names = {root: number for number, root in enumerate({row[2] for row in rows})}
+        self.roots = np.array([names[row[2]] for row in rows])
+        self.signatures = np.frombuffer(b"".join(row[4] for row in rows), np.uint16).reshape(-1, SIGNATURE)
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Every row outside the largest component that has likely partners in others, these, and in how
+        many positions they agree. Pairs within one block belong to another group of the branch."""
+        common = Counter(self.roots.tolist()).most_common(1)[0][0]
+        others = np.flatnonzero(self.roots != common)
+        for start in range(0, len(others), 64):
+            left = others[start:start + 64]
+            agree = np.zeros((len(left), len(self.rows)), np.int16)
+            for position in range(0, SIGNATURE, 16):
+                part = slice(position, position + 16)
+                agree += (self.signatures[left][:, None, part] == self.signatures[None, :, part]).sum(axis=2, dtype=np.int16)
+            sizes = self.sizes[left][:, None]
+            fits = (agree >= self.least) & (self.roots[left][:, None] != self.roots) & (
+                np.minimum(sizes, self.sizes) >= self.ratio * np.maximum(sizes, self.sizes) - 1e-9)
+            if self.crossing:
+                fits &= self.blocks[left][:, None] != self.blocks
+            for place, row in enumerate(left):
+                found = np.flatnonzero(fits[place])
+                if len(found):
+                    yield int(row), found, agree[place, found]
+
+    def promising(self) -> list[int]:
+        rows: set[int] = set()
+        for row, found, _ in self.likely():
+            rows.update(found.tolist(), (row,))
+        return sorted(rows)
+
+    def links(self, percent: int) -> tuple[list, list]:
+        """Confirmed links, no more than it takes to join the components that they join."""
+        above = list(range(self.roots.max() + 1))
+
+        def top(root: int) -> int:
+            while above[root] != root:
+                above[root] = root = above[above[root]]
+            return root
+
+        one, two = [], []
+        for row, found, agree in self.likely():
+            for other in found[np.argsort(-agree, kind="stable")]:
+                a, b = top(self.roots[row]), top(self.roots[other])
+                if a != b and _linked(self.rows[row][5], self.rows[other][5], percent):
+                    above[a] = b
+                    one.append(self.rows[row][1])
+                    two.append(self.rows[other][1])
+        return one, two
+
+
+def _linked(one: bytes, two: bytes, percent: int) -> bool:
+    one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    both = len(one) + len(two) - len(np.union1d(one, two))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+_KEY = ("tree", "path", "low", "high")
+
+
+def _by_group(compare):
+    """Apply `compare` to each group of more than one row; rows come sorted by their four key columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(group: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            a, b = _across(rows, group[2] != group[3], least, ratio)
-            return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
         held: list[tuple] = []
         last = None
         for batch in batches:
-            for tree, path, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tree, path, low, high) != last:
+            for *key, row in zip(*(c.to_pylist() for c in batch.columns[:4]),
+                                 zip(*(c.to_pylist() for c in batch.columns[4:]))):
+                if key != last:
                     if len(held) > 1:
-                        yield compared(last, held)
-                    held, last = [], (tree, path, low, high)
-                held.append(tuple(row))
+                        yield compare(last, held)
+                    held, last = [], key
+                held.append(row)
         if len(held) > 1:
-            yield compared(last, held)
+            yield compare(last, held)
     return run
 
 
+def _promising(least: int, ratio: float):
+    def compare(key: list, rows: list[tuple]) -> pa.RecordBatch:
+        chosen = [rows[i] for i in _Group(rows, key[2] != key[3], least, ratio).promising()]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        return pa.record_batch(
+            [pa.array([part] * len(chosen), kind) for part, kind in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+            + [pa.array([row[i] for row in chosen], kind) for i, kind in enumerate(kinds)],
+            names=[*_KEY, "block", "node", "root", "size", "signature"])
+    return _by_group(compare)
+
+
+def _links(least: int, ratio: float, percent: int):
+    def compare(key: list, rows: list[tuple]) -> pa.RecordBatch:
+        a, b = _Group(rows, key[2] != key[3], least, ratio).links(percent)
+        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    return _by_group(compare)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,25 +258,20 @@ def _sets(width: int):
     return run
 
 
-def _confirmed(threshold: int):
+def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for left, right, one, two in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(one) + len(two) - len(np.union1d(one, two))
-                if 100 * both >= threshold * (len(one) + len(two) - both):
-                    a.append(left)
-                    b.append(right)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            held = [(a, b) for a, b, one, two in zip(*(c.to_pylist() for c in batch.columns)) if _linked(one, two, percent)]
+            yield pa.record_batch([pa.array([a for a, _ in held], pa.binary()), pa.array([b for _, b in held], pa.binary())],
+                                  names=["a", "b"])
     return run
 
 
 class _Join:
     """The steps of one run, which share its tables and parameters."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
-        self.spark, self.docs, self.nodes = docs.sparkSession, docs, nodes
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int, repeated: bool):
+        self.spark, self.docs, self.nodes, self.repeated = docs.sparkSession, docs, nodes, repeated
         self.width, self.percent = width, percent
         self.least, self.ratio = _close_enough(percent / 100), percent / 100
 
@@ -255,27 +307,34 @@ class _Join:
                 .select("node", "size", "signature", "pivot", "pivot_size", "pivot_signature")
                 .mapInArrow(_similar_stars(self.least, self.ratio), "a binary, b binary"))
 
-    def all_pairs(self, rows: DataFrame) -> DataFrame:
-        """Similar pairs across components. A branch of over BLOCK nodes is cut into blocks by hash, and
-        each pair of blocks is a group of its own, so no task holds a whole branch."""
+    def promising(self, rows: DataFrame) -> DataFrame:
+        """The nodes with a likely partner in another component, by group. A branch of over BLOCK nodes is
+        cut into blocks by hash, and each pair of blocks is a group, so no task holds a whole branch."""
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         return (dealt.select("tree", "path", F.least("block", "other").alias("low"),
                              F.greatest("block", "other").alias("high"), "block", "node", "root", "size", "signature")
-                .repartition("tree", "path", "low", "high").sortWithinPartitions("tree", "path", "low", "high")
-                .mapInArrow(_exhaustive(self.least, self.ratio), "a binary, b binary"))
+                .repartition(*_KEY).sortWithinPartitions(*_KEY)
+                .mapInArrow(_promising(self.least, self.ratio),
+                            "tree int, path long, low int, high int, block int, node binary, root binary, "
+                            "size long, signature binary"))
+
+    def sets(self, wanted: DataFrame) -> tuple[DataFrame, str]:
+        """The full sets of the nodes in `wanted`, made from the text that each stands for."""
+        named = self.store(wanted.distinct().join(self.nodes.select("node", "doc"), "node").select("node", "doc"), "wanted")
+        place = scratch_path(self.spark, "sets")
+        # While the wanted rows are few enough to send everywhere, texts are not shuffled for them.
+        small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+        made = self.docs.join(small, "doc").select("node", "text").mapInArrow(
+            _sets(self.width), "node binary, set binary")
+        return written(self.spark, made.dropDuplicates(["node"]) if self.repeated else made, place), place
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
         pairs = self.store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                            "pairs")
-        wanted = self.store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                            .join(self.nodes.select("node", "doc"), "node").select("node", "doc"), "wanted")
-        sets = (wanted.join(self.docs, "doc").select("node", "text").mapInArrow(
-            _sets(self.width), "node binary, set binary").dropDuplicates(["node"]))
-        place = scratch_path(self.spark, "sets")
-        sets = written(self.spark, sets, place)
+        sets, place = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
         links = self.store(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(
             _confirmed(self.percent), "a binary, b binary"), "links")
@@ -286,7 +345,7 @@ class _Join:
         """First pass: links with the pivots of every branch, level by level."""
         found: DataFrame | None = None
         rows = self.first_level(range(STAR_TREES))
-        for _ in range(3):
+        for _ in range(FIRST_LEVEL, LAST_LEVEL + 1):
             crowded = self.store(self.crowded(rows, None), "branches")
             pairs = self.star_pairs(crowded)
             found = pairs if found is None else found.union(pairs)
@@ -297,16 +356,23 @@ class _Join:
         """Second pass: links across components, in branches small enough to compare all."""
         found: DataFrame | None = None
         rows = self.first_level(range(trees))
-        for level in range(MAX_LEVELS):
+        for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
             crowded = self.store(self.crowded(rows, labels), "branches")
             large = crowded.filter(F.col("members") > LEAF)
-            last = level == MAX_LEVELS - 1 or large.isEmpty()
-            pairs = self.all_pairs(crowded if last else crowded.filter(F.col("members") <= LEAF))
-            found = pairs if found is None else found.union(pairs)
+            last = level == LAST_LEVEL or large.isEmpty()
+            likely = self.promising(crowded if last else crowded.filter(F.col("members") <= LEAF))
+            found = likely if found is None else found.union(likely)
             if last:
                 break
             rows = self.deeper(large)
-        return self.confirm(found)
+        found = self.store(found, "likely")
+        sets, place = self.sets(found.select("node"))
+        links = self.store(
+            found.join(sets, "node").select(*_KEY, "block", "node", "root", "size", "signature", "set")
+            .repartition(*_KEY).sortWithinPartitions(*_KEY)
+            .mapInArrow(_links(self.least, self.ratio, self.percent), "a binary, b binary").distinct(), "links")
+        discard(self.spark, place)
+        return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5,
@@ -333,7 +399,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(spark, present.join(members, ["node", "doc"]).dropDuplicates(["node"]).select(
         "node", "doc", "size", "signature"), scratch_path(spark, "nodes"))
 
-    join = _Join(named, nodes, width, percent)
+    repeated = not present.groupBy("doc", "node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    join = _Join(named, nodes, width, percent, repeated)
     links = join.stars()
     labels = written(spark, components(links), scratch_path(spark, "labels"))
     links = links.union(join.leaves(trees, labels))
