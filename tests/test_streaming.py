@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.sources import zones
+from tests.compare import plan
 from tidewater.streaming import cdc, queries
 
 IMAGE = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("email", T.StringType()),
@@ -32,8 +32,8 @@ def log(spark, rows):
     return spark.createDataFrame(rows, TOPIC_DDL)
 
 
-def spec(root):
-    return queries.BronzeStream(f"{root}/t", f"{root}/results", f"{root}/rejects", f"{root}/lineage",
+def spec(root, name="s"):
+    return queries.BronzeStream(name, f"{root}/t", f"{root}/results", f"{root}/rejects", f"{root}/lineage",
                                 "bronze.t", cdc.envelope(IMAGE), RULES)
 
 
@@ -41,9 +41,9 @@ def drop(spark, source, n, rows):
     log(spark, rows).coalesce(1).write.parquet(f"{source}/f={n}")
 
 
-def run(spark, source, root):
+def run(spark, source, root, checkpoint="checkpoint", name="s"):
     stream = spark.readStream.schema(TOPIC_DDL).parquet(f"{source}/f=*")
-    query = queries.start_bronze(stream, spec(root), f"{root}/checkpoint", lambda _: NOW, trigger=None)
+    query = queries.start_bronze(stream, spec(root, name), f"{root}/{checkpoint}", lambda _: NOW, trigger=None)
     query.awaitTermination()
     return query
 
@@ -54,7 +54,8 @@ def place(tmp_path):
 
 
 def offsets(spark, root):
-    return sorted(r["source_offset"] for r in zones.read_table(spark, f"{root}/t").collect())
+    rows = queries.read_stream_table(spark, f"{root}/t", queries.bronze_schema(spark, spec(root)))
+    return sorted(r["source_offset"] for r in rows.collect())
 
 
 def test_restart_resumes_and_duplicates_across_batches_are_refused(spark, place):
@@ -66,25 +67,60 @@ def test_restart_resumes_and_duplicates_across_batches_are_refused(spark, place)
     query = run(spark, source, root)
     assert query.lastProgress["numInputRows"] == 2
     assert offsets(spark, root) == [0, 1, 2]
-    rejects = zones.read_table(spark, f"{root}/rejects").collect()
+    rejects = queries.read_stream_table(spark, f"{root}/rejects").collect()
     assert sorted((r["source_offset"], r["reason"], r["records"]) for r in rejects) == [
         (1, "offset_not_duplicate", 1), (1, "offset_not_duplicate", 1)]
     lineage = sorted((r["run_id"], r["offset_min"], r["offset_max"])
-                     for r in zones.read_table(spark, f"{root}/lineage").collect())
-    assert lineage == [("batch-0", 0, 1), ("batch-1", 2, 2)]
+                     for r in queries.read_stream_table(spark, f"{root}/lineage").collect())
+    assert lineage == [(f"s/{query.id}/0", 0, 1), (f"s/{query.id}/1", 2, 2)]
+
+
+def test_a_second_checkpoint_on_the_same_table_loses_nothing(spark, place):
+    source, root = place
+    drop(spark, source, 1, [message(0, "c", 1), message(1, "u", 1, at=1)])
+    run(spark, source, root)
+    drop(spark, source, 2, [message(2, "u", 2, at=3)])
+    run(spark, source, root, "another-checkpoint")
+    assert offsets(spark, root) == [0, 1, 2]
+
+
+def test_two_streams_share_evidence_and_lineage(spark, place, tmp_path):
+    source, root = place
+    for n, name in enumerate(("one", "two")):
+        drop(spark, f"{source}-{name}", 1, [message(0, "c", 1, topic=name), message(1, "x", 1, topic=name)])
+        run(spark, f"{source}-{name}", root, f"checkpoint-{name}", name)
+    counts = {r["stream"]: (r["committed"], r["failed"]) for r in queries.record_counts(spark, spec(root)).collect()}
+    assert counts == {"one": (1, 1), "two": (1, 1)}
+    traced = queries.read_stream_table(spark, f"{root}/lineage").collect()
+    assert {(r["job_name"], r["quality_status"], r["rejected_records"]) for r in traced} == {
+        ("one", "FAILED", 1), ("two", "FAILED", 1)}
+    assert queries.read_stream_table(spark, f"{root}/results").select("run_id").distinct().count() == 2
+
+
+def test_held_positions_skip_other_partitions_files(spark, place):
+    source, root = place
+    drop(spark, source, 1, [message(i, "c", 1) for i in range(50)])
+    drop(spark, source, 2, [message(1000 + i, "c", 1, partition=1) for i in range(50)])
+    run(spark, source, root)
+    decoded = cdc.cdc_decode(log(spark, [message(60, "c", 1), message(1049, "c", 1, partition=1)]), cdc.envelope(IMAGE))
+    held = queries._held_positions(spark, spec(root), decoded, F.lit(False))
+    assert [r["source_offset"] for r in held.collect()] == [1049]
+    pushed = plan(held).partition("PushedFilters: ")[2].partition("\n")[0]
+    assert "source_partition" in pushed and "source_offset" in pushed and "Or(" in pushed, pushed
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, place):
     _, root = place
     rows = log(spark, [message(0, "c", 1), message(1, "x", 2), message(2, "d", 1, at=3)])
-    write = queries.bronze_batch_writer(spec(root), lambda _: NOW)
+    write = queries.bronze_batch_writer(spec(root), lambda _: NOW, "c")
     write(rows, 0)
     tables = ("t", "rejects", "results", "lineage")
-    snapshot = lambda: {t: sorted(map(str, zones.read_table(spark, f"{root}/{t}").collect())) for t in tables}
+    snapshot = lambda: {t: sorted(map(str, queries.read_stream_table(spark, f"{root}/{t}").collect())) for t in tables}
     first = snapshot()
     write(rows, 0)
     assert snapshot() == first
-    assert zones.version_log(spark, f"{root}/t").count() == 1
+    with pytest.raises(ValueError, match="checkpoint must be named"):
+        queries.bronze_batch_writer(spec(root), lambda _: NOW)(rows, 0)
 
 
 def test_a_crash_between_data_and_lineage_is_finished_by_the_rerun(spark, place):
@@ -92,12 +128,12 @@ def test_a_crash_between_data_and_lineage_is_finished_by_the_rerun(spark, place)
     rows = log(spark, [message(0, "c", 1), message(1, "u", 1, at=1)])
     full = spec(root)
     accepted = cdc.accepted_records(cdc.cdc_check(cdc.cdc_decode(rows, full.envelope), RULES), NOW, "batch-0")
-    zones.commit_micro_batch(accepted.withColumn("event_day", F.to_date("event_time")), full.table, 0,
-                             "bronze", NOW, ["event_day"])
-    queries.bronze_batch_writer(full, lambda _: NOW)(rows, 0)
+    accepted.withColumn("event_day", F.to_date("event_time")).write.partitionBy("event_day").parquet(
+        f"{full.table}/stream=s/checkpoint=c/batch=0")
+    queries.bronze_batch_writer(full, lambda _: NOW, "c")(rows, 0)
     assert offsets(spark, root) == [0, 1]
-    assert zones.read_table(spark, full.rejects_table).count() == 0
-    assert zones.read_table(spark, full.lineage_table).first()["row_count"] == 2
+    assert queries.read_stream_table(spark, full.rejects_table).count() == 0
+    assert queries.read_stream_table(spark, full.lineage_table).first()["row_count"] == 2
 
 
 def test_replay_equals_stream(spark, place):
@@ -108,7 +144,8 @@ def test_replay_equals_stream(spark, place):
     drop(spark, source, 2, rows[9:])
     run(spark, source, root)
     rebuilt = queries.replay_rebuild(log(spark, rows), spec(root), NOW).drop("pipeline_run_id")
-    streamed = zones.read_table(spark, f"{root}/t").select(*rebuilt.columns)
+    streamed = queries.read_stream_table(
+        spark, f"{root}/t", queries.bronze_schema(spark, spec(root))).select(*rebuilt.columns)
     assert streamed.exceptAll(rebuilt).isEmpty() and rebuilt.exceptAll(streamed).isEmpty()
 
 
@@ -173,9 +210,13 @@ def test_late_rows_are_dropped_and_counted(spark, place):
         query.awaitTermination()
         return query, frame.schema
 
+    metrics = queries.StreamMetrics()
+    spark.streams.addListener(metrics)
     step(1, 1, 2, 60)
     query, schema = step(2, 3, 61)
-    assert queries.late_rows(query) == 1
+    seen = metrics.of(query)
+    spark.streams.removeListener(metrics)
+    assert (seen["processed"], seen["late"]) == (5, 1) and seen["batches"] >= 2
     seen = queries.read_counts(spark, f"{root}/out", ["key", "window_start"], schema).collect()
     assert sorted((r["window_start"].minute, r["window_start"].hour, r["event_count"]) for r in seen) == [
         (0, 0, 2), (0, 1, 2)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.names import col
-from tidewater.functions.time import age_minutes, as_instant
+from tidewater.functions.time import age_minutes, as_instant, instant
 from tidewater.session import scratch_path, written
 
 # Fixed value: how an instant is written into a lineage payload.
@@ -68,15 +68,25 @@ def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
     return spark.read.schema(frontier.schema).parquet(*paths)
 
 
-def stream_lineage(accepted: DataFrame, batch_id: int, snapshot_id: int, target: str) -> DataFrame:
-    """What one committed micro-batch took from each topic partition."""
-    return accepted.groupBy("source_topic", "source_partition").agg(
+def stream_lineage(accepted: DataFrame, rejected: DataFrame, run_id: str, batch_id: int, target: str,
+                   now: datetime | str, facts: dict[str, str]) -> DataFrame:
+    """What one committed micro-batch took from each topic partition, and whether all of it was fit.
+
+    `facts` are constants of the stream, such as job name and version, source system, connector and
+    target catalog.
+    """
+    place = ["source_topic", "source_partition"]
+    refused = rejected.groupBy(*place).agg(F.sum("records").alias("rejected_records"))
+    return accepted.groupBy(*place).agg(
         F.min("source_offset").alias("offset_min"), F.max("source_offset").alias("offset_max"),
         F.min("event_time").alias("event_time_min"), F.max("event_time").alias("event_time_max"),
         F.count("*").alias("row_count"),
-    ).withColumns({
-        "run_id": F.lit(f"batch-{batch_id}"), "target_table": F.lit(target),
-        "target_snapshot_id": F.lit(snapshot_id).cast("bigint")})
+    ).join(refused, place, "left").withColumns({
+        "rejected_records": F.coalesce("rejected_records", F.lit(0)).cast("long"),
+        "quality_status": F.when(F.col("rejected_records") > 0, "FAILED").otherwise("PASSED"),
+        "run_id": F.lit(run_id), "target_table": F.lit(target),
+        "target_snapshot_id": F.lit(batch_id).cast("bigint"), "published_at": instant(now),
+        **{name: F.lit(value) for name, value in facts.items()}})
 
 
 def metadata_gaps(registry: DataFrame, tables: DataFrame, owners: DataFrame,

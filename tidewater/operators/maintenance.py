@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,6 +156,25 @@ def compact(df: DataFrame, total_bytes: int, target_bytes: int) -> DataFrame:
     return df.repartition(max(1, -(-total_bytes // target_bytes)))
 
 
+def compact_within(df: DataFrame, partition_by: list[str], row_bytes: float, target_bytes: int) -> DataFrame:
+    """The same rows, each directory's in as many tasks as it needs files of the target size.
+
+    A directory's rows are counted first; a large one is dealt out by a hash of the whole row, so the
+    same rows always fall into the same file.
+    """
+    dirs = df.groupBy(*partition_by).agg(
+        F.greatest(F.lit(1), F.ceil(F.count("*") * row_bytes / target_bytes)).cast("int").alias("_files"))
+    # A row per directory: the first of its tasks.
+    dirs = dirs.withColumn("_start", F.sum("_files").over(Window.orderBy(*partition_by)) - F.col("_files"))
+    files = dirs.agg(F.sum("_files")).first()[0] or 1
+    same = reduce(lambda a, b: a & b, [col(c, "r").eqNullSafe(col(c, "d")) for c in partition_by])
+    dealt = df.alias("r").join(dirs.alias("d"), same).select(
+        *[col(c, "r").alias(c) for c in df.columns],
+        (F.col("d._start") + F.pmod(F.xxhash64(*[col(c, "r") for c in df.columns]), F.col("d._files")))
+        .cast("int").alias("_task"))
+    return dealt.repartitionById(files, "_task").drop("_task")
+
+
 def file_health(versions: DataFrame, files: DataFrame, period: str) -> DataFrame:
     """Commits, failed commits, manifests, files per commit and file size per period.
 

@@ -59,6 +59,7 @@ def _merge_full(target: DataFrame, newest: DataFrame, keys: list[str], seq: str,
                 null_safe: bool) -> DataFrame:
     """Target rows with a null key bypass the join: they cannot match, and would pile up
     in one shuffle partition."""
+    null_safe = null_safe or not any(target.schema[k].nullable for k in keys)
     keyed = _all([col(k).isNotNull() for k in keys])
     matchable = target if null_safe else target.filter(keyed)
     held = matchable.withColumn("_held", F.lit(True)).alias("t")

@@ -290,7 +290,7 @@ def version_log(spark, folder):
     """Every commit with the rows its directory holds."""
     table = _stored_bronze(spark, folder)
     rows = spark.read.parquet(f"{table}/data").groupBy(
-        F.concat(F.lit("data/v="), F.col("v").cast("string")).alias("directory")).agg(
+        F.concat(F.lit("data/_version="), F.col("_version").cast("string")).alias("directory")).agg(
         F.count("*").alias("row_count"))
     return zones.version_log(spark, table).join(rows, "directory").select(
         "version", "unit", "operation", "row_count")

@@ -1,12 +1,12 @@
 """Stored tables: version directories and a version log, nothing more.
 
-    <table>/data/v=<n>/...     one immutable directory per commit, partitioned below if asked
+    <table>/data/_version=<n>/...     one immutable directory per commit, partitioned below if asked
     <table>/versions/...       one row per commit, written after its data
 
 A commit is visible once its log row exists, so a failed write leaves no trace for
-readers. Every row names the `unit` it holds: a delivery (bronze) or `*`, the whole
-table (silver, gold, compaction). Live data is the newest `*` and, after it, the newest
-version of each unit. One writer per table; where a catalog with its own table format
+readers. Every row names the `unit` it holds: a delivery (bronze), a bucket of keys
+(silver) or `*`, the whole table (gold, evidence, compaction). Live data is the newest `*`
+and, after it, the newest version of each unit. One writer per table; where a catalog with its own table format
 is deployed, use that instead.
 """
 
@@ -14,24 +14,24 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.names import col
+from tidewater.functions.names import BATCH_ID, col
 from tidewater.functions.time import instant
 from tidewater.operators.bronze import replace_batch
-from tidewater.operators.conform import (
-    align_schema, batch_filter, batch_is_held, require_values,
-)
-from tidewater.operators.maintenance import compact
+from tidewater.operators.conform import batch_filter, batch_is_held, require_values
+from tidewater.operators.maintenance import compact, compact_within
 from tidewater.operators.quality import REQUIRED_RESULT_COLUMNS, RESULT_COLUMNS
 from tidewater.operators.schema import merged_schema, refuse_conflicts, to_schema
+from tidewater.session import discard, scratch_path, written
 
-WHOLE = "*"
+WHOLE, BUCKET = "*", "_bucket"
 TARGET_FILE_BYTES = 512 * 1024 * 1024
 LOG_DDL = ("version bigint, unit string, operation string, committed_at timestamp, "
            "directory string, schema_json string, properties map<string,string>")
@@ -78,20 +78,23 @@ def version_log(spark: SparkSession, table: str) -> DataFrame:
 
 
 def _commits(spark: SparkSession, table: str) -> list[Row]:
-    """The log in order; metadata only, one row per commit."""
-    return sorted(version_log(spark, table).collect(), key=lambda r: r["version"])
+    """The log in order; metadata only, one row per commit, or per bucket that a merge touched."""
+    return sorted(version_log(spark, table).collect(), key=lambda r: (r["version"], r["unit"] != WHOLE))
 
 
 def _live(commits: list[Row]) -> list[Row]:
     """Rows of the live directories: the newest `*`, then the newest version per unit."""
     since = max((i for i, r in enumerate(commits) if r["unit"] == WHOLE), default=0)
     newest = {r["unit"]: r for r in commits[since:]}
-    return sorted(newest.values(), key=lambda r: r["version"])
+    return sorted((r for r in newest.values() if r["directory"]), key=lambda r: r["version"])
 
 
-def live_directories(spark: SparkSession, table: str) -> list[str]:
-    """Directories readers see now."""
-    return [r["directory"] for r in _live(_commits(spark, table))]
+def live_directories(spark: SparkSession, table: str, retain_last: int = 1) -> list[str]:
+    """Directories that the newest `retain_last` versions are read from."""
+    commits = _commits(spark, table)
+    kept = sorted({r["version"] for r in commits})[-retain_last:]
+    return sorted({r["directory"] for version in kept
+                   for r in _live([c for c in commits if c["version"] <= version])})
 
 
 def exists(spark: SparkSession, table: str) -> bool:
@@ -119,9 +122,11 @@ def read_batch(spark: SparkSession, table: str, batch_id: str) -> DataFrame:
     return batch_filter(_read(spark, table, commits, batch_id if batch_id in live else WHOLE), batch_id)
 
 
-def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None = None) -> DataFrame:
+def _read(spark: SparkSession, table: str, commits: list[Row],
+          unit: str | set[str] | None = None) -> DataFrame:
     schema = _schema_of(commits)
-    chosen = [r for r in _live(commits) if unit is None or r["unit"] == unit]
+    units = {unit} if isinstance(unit, str) else unit
+    chosen = [r for r in _live(commits) if units is None or r["unit"] in units]
     if not chosen:
         return spark.createDataFrame([], schema)
     rows = spark.read.option("basePath", f"{table}/data").schema(schema).parquet(
@@ -129,29 +134,42 @@ def _read(spark: SparkSession, table: str, commits: list[Row], unit: str | None
     return rows.select(*[col(f) for f in schema.fieldNames()])
 
 
-def _commit(df: DataFrame, table: str, commits: list[Row], unit: str, operation: str, zone: str,
+def _partitioning(commits: list[Row]) -> list[str]:
+    return [c for c in commits[-1]["properties"]["partition-by"].split(",") if c]
+
+
+def _commit(df: DataFrame, table: str, commits: list[Row], unit: str | list[str], operation: str, zone: str,
             now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None,
-            notes: dict[str, str] | None = None) -> int:
-    """Write the data, then its log row.
+            notes: dict[str, str] | None = None, dealt: bool = False, resets: bool = False) -> int:
+    """Write the data, then its log rows: one, or with a list of bucket units one for each.
 
-    A table is partitioned as its first commit was. A write that failed before its log
-    row is overwritten by the next attempt, which gets the same version.
+    A table stays partitioned as it was unless told otherwise. A write that failed before its
+    log rows is overwritten by the next attempt, which gets the same version. `dealt` says that
+    rows lie in tasks as they should lie in files, `resets` that earlier versions are all replaced.
     """
     version = commits[-1]["version"] + 1 if commits else 1
-    if commits:
-        partition_by = [c for c in commits[0]["properties"]["partition-by"].split(",") if c]
-    directory = f"data/v={version}"
-    if partition_by:
+    if commits and partition_by is None:
+        partition_by = _partitioning(commits)
+    directory = f"data/_version={version}"
+    if partition_by and not dealt:
         # Few files per directory; AQE splits a directory that holds most of the rows.
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
     properties = {**zone_options(zone), "partition-by": ",".join(partition_by or []),
                   **(notes or {})}
-    entry = df.sparkSession.range(0, 1, 1, 1).select(
-        F.lit(version).cast("bigint").alias("version"), F.lit(unit).alias("unit"),
+    if isinstance(unit, str):
+        units = [(unit, directory)]
+    else:  # a bucket that lost all its rows has no directory to read
+        held = {r[BUCKET] for r in df.sparkSession.read.parquet(f"{table}/{directory}").select(BUCKET).distinct().collect()}
+        units = [(u, f"{directory}/{BUCKET}={k}" if (k := int(u.rpartition("-")[2])) in held else "") for u in unit]
+    if resets:
+        units.insert(0, (WHOLE, ""))
+    named = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(d).alias("directory")) for u, d in units]))
+    entry = df.sparkSession.range(0, 1, 1, 1).select(named.alias("u")).select(
+        F.lit(version).cast("bigint").alias("version"), F.col("u.unit").alias("unit"),
         F.lit(operation).alias("operation"), instant(now).alias("committed_at"),
-        F.lit(directory).alias("directory"), F.lit(schema.json()).alias("schema_json"),
+        F.col("u.directory").alias("directory"), F.lit(schema.json()).alias("schema_json"),
         F.create_map(*[F.lit(x) for kv in properties.items() for x in kv]).alias("properties"))
     entry.write.mode("append").parquet(f"{table}/versions")
     return version
@@ -176,7 +194,7 @@ def land_batch(df: DataFrame, table: str, batch_id: str, now: datetime | str,
     commits = _commits(spark, table)
     if not commits:
         return _commit(df, table, commits, batch_id, "create", "bronze", now,
-                       _nullable(df.schema), partition_by, notes)
+                       _nullable(df.schema), [BATCH_ID, *(partition_by or [])], notes)
     held_schema = _schema_of(commits)
     refuse_conflicts(table, held_schema, df.schema)
     schema = merged_schema(held_schema, df.schema)
@@ -204,30 +222,52 @@ def publish(df: DataFrame, table: str, zone: str, now: datetime | str,
     """
     commits = _commits(df.sparkSession, table)
     out = df.repartition(*[col(k) for k in keys]) if keys else df
+    if commits and partition_by is None:
+        partition_by = [c for c in _partitioning(commits) if c != BUCKET]
     return _commit(out, table, commits, WHOLE, "overwrite" if commits else "create", zone, now,
-                   _nullable(df.schema), partition_by)
+                   _nullable(df.schema), partition_by or [])
 
 
-def create_results(spark: SparkSession, table: str, schema: str, now: datetime | str) -> int:
-    """Provision the evidence table; quality runs append and never create it."""
-    empty = spark.createDataFrame([], schema)
-    return _commit(empty, table, [], WHOLE, "create", "platform", now, _nullable(empty.schema))
+def create_results(spark: SparkSession, table: str, schema: str) -> None:
+    """Provision the evidence table, once: quality runs append and never create it.
 
+    Evidence and lineage are plain directories, partitioned by zone and day where they have them, that
+    Spark appends to; no log is needed, as nothing in them is ever replaced.
+    """
+    if not evidence_exists(spark, table):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/{_START}")
 
-def append_rows(df: DataFrame, table: str, unit: str, now: datetime | str) -> int:
-    """Append to a platform table (evidence, lineage), creating it if need be."""
-    commits = _commits(df.sparkSession, table)
-    schema = _schema_of(commits) if commits else _nullable(df.schema)
-    return _commit(to_schema(df, schema), table, commits, f"{unit}@{len(commits)}", "append",
-                   "platform", now, schema)
+
+_START, _DAY = "zone=__HIVE_DEFAULT_PARTITION__/checked_day=__HIVE_DEFAULT_PARTITION__", "checked_day"
+
+
+def evidence_exists(spark: SparkSession, table: str) -> bool:
+    try:
+        spark.read.parquet(f"{table}/{_START}")
+        return True
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
-def append_results(df: DataFrame, table: str, run_id: str, now: datetime | str) -> int:
+def read_results(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """All evidence; a filter on zone or checked_day opens only those directories."""
+    stored = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField(_DAY, T.DateType())])
+    return spark.read.schema(stored).parquet(table)
+
+
+def append_rows(df: DataFrame, table: str) -> None:
+    """Append to a platform table of plain rows, such as lineage."""
+    df.write.mode("append").parquet(table)
+
+
+def append_results(df: DataFrame, table: str) -> None:
     """Append one run's evidence; the table must exist, and required columns be filled."""
-    if not exists(df.sparkSession, table):
+    if not evidence_exists(df.sparkSession, table):
         raise LookupError(f"{table} does not exist; provision it before running checks")
     rows = require_values(df.select(*RESULT_COLUMNS), REQUIRED_RESULT_COLUMNS)
-    return append_rows(rows, table, run_id, now)
+    rows.withColumn(_DAY, F.to_date("checked_at")).write.mode("append").partitionBy("zone", _DAY).parquet(table)
 
 
 def current_version(spark: SparkSession, table: str) -> int | None:
@@ -235,27 +275,56 @@ def current_version(spark: SparkSession, table: str) -> int | None:
     return version_log(spark, table).agg(F.max("version")).first()[0]
 
 
-def commit_micro_batch(df: DataFrame, table: str, batch_id: int, zone: str, now: datetime | str,
-                       partition_by: list[str] | None = None) -> bool:
-    """Idempotent streaming commit: a micro-batch in the log is not written again."""
-    unit = f"micro-batch-{batch_id}"
-    commits = _commits(df.sparkSession, table)
-    if any(r["unit"] == unit for r in commits):
-        return False
-    schema = merged_schema(_schema_of(commits), df.schema) if commits else _nullable(df.schema)
-    _commit(align_schema(df, schema), table, commits, unit, "append", zone, now, schema,
-            partition_by)
-    return True
-
-
 def compact_table(spark: SparkSession, table: str, now: datetime | str, zone: str,
                   target_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Rewrite the live files to the target size; the rows stay the same."""
+    """Rewrite the live files to the target size, in a partitioned table per directory; the rows stay."""
     commits = _commits(spark, table)
+    if BUCKET in _partitioning(commits):
+        return commits[-1]["version"]  # every merge writes the buckets that it touches whole
     live = _read(spark, table, commits)
-    size = file_inventory(live).agg(F.sum("size_bytes")).first()[0] or 0
-    return _commit(compact(live, size, target_bytes), table, commits, WHOLE, "compact", zone, now,
-                   live.schema)
+    totals = file_inventory(live).agg(F.sum("size_bytes").alias("size"), F.sum("row_count").alias("n")).first()
+    size, rows = totals["size"] or 0, totals["n"] or 0
+    partition_by = _partitioning(commits)
+    out = (compact_within(live, partition_by, size / max(rows, 1), target_bytes) if partition_by
+           else compact(live, size, target_bytes))
+    return _commit(out, table, commits, WHOLE, "compact", zone, now, live.schema, dealt=True)
+
+
+def merge_buckets(batch: DataFrame, table: str, keys: list[str], zone: str, now: datetime | str,
+                  merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64,
+                  empty: T.StructType | None = None) -> int:
+    """Apply `merge(target, batch)` to the key buckets that the batch touches; the others stay as they are.
+
+    Rows lie in directories by a hash of their key, and a commit writes the touched directories anew.
+    The batch is stored first, as it is read for its buckets and for the merge. A table that was
+    published whole is bucketed by its first merge. A table that does not exist starts as the batch, or,
+    where the schema of its state is given as `empty`, as the batch merged into nothing.
+    """
+    spark = batch.sparkSession
+    commits = _commits(spark, table)
+    place = scratch_path(spark, "merge-batch")
+    bucketed = written(spark, batch.withColumn(BUCKET, _bucket(keys, buckets)), place)
+    live = _live(commits)
+    whole = not commits or any(r["unit"] == WHOLE for r in live)
+    touched = sorted(r[BUCKET] for r in bucketed.select(BUCKET).distinct().collect())  # `buckets` rows at most
+    if commits:
+        units = None if whole else {f"bucket-{k}" for k in touched}
+        target = _read(spark, table, commits, units)
+        out = merge(target, bucketed.drop(BUCKET))
+    elif empty is not None:
+        out = merge(spark.createDataFrame([], empty), bucketed.drop(BUCKET))
+    else:
+        out = bucketed.drop(BUCKET)
+    schema = _schema_of(commits) if commits else _nullable(out.schema)
+    version = _commit(out.withColumn(BUCKET, _bucket(keys, buckets)), table, commits,
+                      [f"bucket-{k}" for k in (range(buckets) if whole else touched)], "merge", zone, now, schema,
+                      [BUCKET], resets=whole)
+    discard(spark, place)
+    return version
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
 def drop_probe_table(spark: SparkSession, table: str, allowed: str) -> None:

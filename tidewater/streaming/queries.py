@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidewater.functions.names import col
 from tidewater.operators.conform import latest_by_key
 from tidewater.operators.lineage import stream_lineage
 from tidewater.sources import zones
 from tidewater.streaming.cdc import (
-    POSITION, CdcRules, accepted_records, cdc_check, cdc_decode, record_results, rejected_records,
+    POSITION, CdcRules, accepted_records, cdc_check, cdc_current_state, cdc_decode, record_results, rejected_records,
 )
 
 
@@ -38,8 +43,8 @@ def stream_key_counts(df: DataFrame, ts: str, lateness: str, key: str,
                       window: str | None = None) -> DataFrame:
     """Events per key, and per event-time window where one is given.
 
-    The watermark bounds the state: rows later than `lateness` are dropped and counted by
-    the query's progress as `numRowsDroppedByWatermark`.
+    With a window the watermark bounds the state: rows later than `lateness` are dropped and
+    counted (`StreamMetrics`). Without one nothing is dropped and the state holds every key.
     """
     timed = df.withColumn("_ts", col(ts).cast("timestamp")).withWatermark("_ts", lateness)
     if window is None:
@@ -78,17 +83,46 @@ def read_counts(spark: SparkSession, path: str, keys: list[str], schema: T.Struc
     return latest_by_key(rows, keys, "_batch", []).drop("_batch")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, over all reported micro-batches."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0))
-               for progress in query.recentProgress
-               for op in progress["stateOperators"])
+class StreamMetrics(StreamingQueryListener):
+    """Rows processed and rows dropped as late, per query, over its whole run.
+
+    `recentProgress` keeps the last hundred reports; a listener sees every one.
+    """
+
+    def __init__(self):
+        self.totals: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.totals.setdefault(str(event.id), {"batches": 0, "processed": 0, "late": 0, "last_batch": -1})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        total = self.totals.setdefault(str(progress.id), {"batches": 0, "processed": 0, "late": 0, "last_batch": -1})
+        total["batches"] += progress.batchId > total["last_batch"]
+        total["processed"] += progress.numInputRows
+        total["late"] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        total["last_batch"] = max(total["last_batch"], progress.batchId)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def of(self, query: StreamingQuery, wait_seconds: float = 10) -> dict[str, int]:
+        """The query's totals, once its newest report has come in."""
+        newest = (query.lastProgress or {}).get("batchId", -1)
+        until = time.monotonic() + wait_seconds
+        while self.totals.get(str(query.id), {}).get("last_batch", -1) < newest and time.monotonic() < until:
+            time.sleep(0.05)
+        return dict(self.totals.get(str(query.id), {}))
 
 
 @dataclass(frozen=True)
 class BronzeStream:
-    """Where a change stream goes and how its records are judged."""
+    """A change stream: its name, where it goes, how its records are judged, and what lineage says of it."""
 
+    name: str
     table: str
     results_table: str
     rejects_table: str
@@ -96,49 +130,94 @@ class BronzeStream:
     dataset: str
     envelope: T.StructType
     rules: CdcRules
+    version: str = "1"
+    source_system: str = ""
+    connector: str = ""
+    catalog: str = ""
+
+    def __post_init__(self):
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", self.name):
+            raise ValueError(f"a stream's name has letters, digits, - and _ only: {self.name!r}")
+
+
+#: A micro-batch lies in a directory of its own, named by the stream, its checkpoint and the batch, in
+#: each of the four tables. Run again, it writes the same directory again; a stream with a new checkpoint,
+#: or another stream that shares a table, writes others.
+STREAM, CHECKPOINT, BATCH = "stream", "checkpoint", "batch"
+_PLACE = [T.StructField(STREAM, T.StringType()), T.StructField(CHECKPOINT, T.StringType()),
+          T.StructField(BATCH, T.LongType())]
+
+
+def _own(table: str, name: str, checkpoint: str, batch_id: int) -> str:
+    return f"{table}/{STREAM}={name}/{CHECKPOINT}={checkpoint}/{BATCH}={batch_id}"
+
 
+def read_stream_table(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """All micro-batches of all streams that write to a table, with where each row came from."""
+    reader = spark.read.option("recursiveFileLookup", False)
+    if schema is not None:
+        reader = reader.schema(T.StructType([*schema.fields, *_PLACE]))
+    return reader.parquet(table)
 
-def _held_positions(spark: SparkSession, table: str, decoded: DataFrame,
-                    run_id: str) -> DataFrame | None:
-    """Positions other batches committed, within the offsets this batch spans.
 
-    Offsets outside that span cannot match, and a batch holds neighbouring offsets, so
-    the pushed-down range skips nearly all files of the table.
+def bronze_schema(spark: SparkSession, spec: BronzeStream) -> T.StructType:
+    """Columns of the accepted rows."""
+    topic = spark.createDataFrame([], "topic string, partition int, offset bigint, key string, value string, "
+                                      "timestamp timestamp")
+    accepted = accepted_records(cdc_check(cdc_decode(topic, spec.envelope), spec.rules), "1970-01-01 00:00:00", "")
+    return accepted.withColumn("event_day", F.to_date("event_time")).schema
+
+
+def _held_positions(spark: SparkSession, spec: BronzeStream, decoded: DataFrame, own: Column) -> DataFrame | None:
+    """Positions that other micro-batches hold, within this one's offsets of each topic partition.
+
+    One pair of bounds per topic partition reaches the driver; as a condition on columns of the files it
+    skips row groups of other partitions and offsets.
     """
-    if not zones.exists(spark, table):
+    try:
+        held = read_stream_table(spark, spec.table, bronze_schema(spark, spec))
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    offset = F.col("source_offset")
-    low, high = decoded.agg(F.min(offset), F.max(offset)).first()
-    others = zones.read_table(spark, table).filter(F.col("pipeline_run_id") != run_id)
-    return others.filter(offset.between(low, high)).select(*POSITION)
+    bounds = decoded.groupBy("source_topic", "source_partition").agg(
+        F.min("source_offset").alias("low"), F.max("source_offset").alias("high")).collect()
+    spans = [(F.col("source_topic") == r["source_topic"]) & (F.col("source_partition") == r["source_partition"])
+             & F.col("source_offset").between(r["low"], r["high"]) for r in bounds]
+    return held.filter(~own & reduce(or_, spans, F.lit(False))).select(*POSITION)
 
 
-def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | str]
-                        ) -> Callable[[DataFrame, int], None]:
+def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | str],
+                        checkpoint: str | None = None) -> Callable[[DataFrame, int], None]:
     """What one micro-batch does: accepted rows, dead letters, evidence, then lineage.
 
-    Every commit is keyed by the batch id and skipped when logged, and lineage comes
-    after the data, so a batch that runs again changes nothing. `clock` gives the
-    processing time of a batch.
+    Each goes to the batch's own directory, so a batch that runs again changes nothing, also after the
+    table was compacted by others. `checkpoint` names the stream's checkpoint; inside a running query it
+    is the query's id, which is stored there. `clock` gives the processing time of a batch.
     """
     def write(rows: DataFrame, batch_id: int) -> None:
-        spark, now, run_id = rows.sparkSession, clock(batch_id), f"batch-{batch_id}"
+        spark, now = rows.sparkSession, clock(batch_id)
+        who = checkpoint or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not who:
+            raise ValueError("outside of a streaming query the checkpoint must be named")
+        run_id = f"{spec.name}/{who}/{batch_id}"
+        own = (F.col(STREAM) == spec.name) & (F.col(CHECKPOINT) == who) & (F.col(BATCH) == batch_id)
+
+        def store(df: DataFrame, table: str, *partition_by: str) -> None:
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(_own(table, spec.name, who, batch_id))
+
         # The source is read once; the checked rows feed four writes.
         decoded = cdc_decode(rows, spec.envelope).persist()
-        held = _held_positions(spark, spec.table, decoded, run_id)
-        checked = cdc_check(decoded, spec.rules, held).persist()
+        checked = cdc_check(decoded, spec.rules, _held_positions(spark, spec, decoded, own)).persist()
         try:
-            accepted = accepted_records(checked, now, run_id).withColumn(
-                "event_day", F.to_date("event_time"))
-            if not zones.commit_micro_batch(accepted, spec.table, batch_id, "bronze", now,
-                                            ["event_day"]):
-                accepted = zones.read_table(spark, spec.table, f"micro-batch-{batch_id}")
-            zones.commit_micro_batch(rejected_records(checked), spec.rejects_table, batch_id,
-                                     "platform", now)
-            evidence = record_results(checked, spec.rules, spec.dataset, run_id, now, batch_id)
-            zones.commit_micro_batch(evidence, spec.results_table, batch_id, "platform", now)
-            traced = stream_lineage(accepted, batch_id, batch_id, spec.dataset)
-            zones.commit_micro_batch(traced, spec.lineage_table, batch_id, "platform", now)
+            accepted = accepted_records(checked, now, run_id)
+            rejected = rejected_records(checked)
+            store(accepted.withColumn("event_day", F.to_date("event_time")), spec.table, "event_day")
+            store(rejected, spec.rejects_table)
+            store(record_results(checked, spec.rules, spec.dataset, run_id, now, batch_id), spec.results_table)
+            store(stream_lineage(accepted, rejected, run_id, batch_id, spec.dataset, now, {
+                "job_name": spec.name, "job_version": spec.version, "source_system": spec.source_system,
+                "connector": spec.connector, "target_catalog": spec.catalog}), spec.lineage_table)
         finally:
             checked.unpersist()
             decoded.unpersist()
@@ -146,10 +225,38 @@ def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | st
     return write
 
 
+def record_counts(spark: SparkSession, spec: BronzeStream) -> DataFrame:
+    """Records committed and refused, per stream and checkpoint, from what is stored."""
+    place = [STREAM, CHECKPOINT]
+    count = lambda table, column, name: read_stream_table(spark, table).groupBy(*place).agg(
+        F.sum(column).alias(name))
+    return (count(spec.lineage_table, "row_count", "committed")
+            .join(count(spec.rejects_table, "records", "failed"), place, "full_outer").na.fill(0))
+
+
+def start_current_state(changes: DataFrame, table: str, checkpoint: str, state: T.StructType, keys: list[str],
+                        seq: str, delete_operations: tuple[str, ...], clock: Callable[[int], datetime | str],
+                        ties: list[str] | None = None, trigger: str | None = "5 minutes") -> StreamingQuery:
+    """Keep a silver table, of the columns in `state`, at the newest state per key of a stream of accepted changes.
+
+    Each micro-batch merges into the key buckets it touches. The merge is guarded by the sequence, so a
+    batch that runs again, or arrives late, changes nothing that is newer.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        zones.merge_buckets(
+            batch, table, keys, "silver", clock(batch_id),
+            lambda held, rows: cdc_current_state(held, rows, keys, seq, delete_operations, ties), empty=state)
+
+    return (changes.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**_trigger(trigger)).foreachBatch(write).start())
+
+
 def start_bronze(stream: DataFrame, spec: BronzeStream, checkpoint: str,
                  clock: Callable[[int], datetime | str],
                  trigger: str | None = "5 minutes") -> StreamingQuery:
-    """Append a change topic to bronze, one commit per micro-batch.
+    """Append a change topic to bronze, one directory per micro-batch.
 
     Source offsets are committed to the checkpoint after the writer returns, so data is
     durable first; a restart resumes behind the last finished batch.
