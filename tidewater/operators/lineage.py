@@ -40,19 +40,21 @@ def lineage_edges(events: DataFrame) -> DataFrame:
 def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
     """Every (source, target) reachable along edges, with the shortest distance.
 
-    Breadth-first: each round joins the newly reached pairs to the edges and keeps
-    those not seen before, so cycles end by themselves. Rounds are written to the shared
-    folder, and the loop stops when one adds nothing; lineage graphs are shallow (landing,
-    bronze, silver, gold), so there are few. A path longer than `max_depth` is an error,
-    not a silent cut.
+    Nearly all nodes are landing objects, which nothing leads to. The search starts from the other
+    nodes only, breadth first: each round joins the newly reached pairs to the edges and keeps those
+    not seen before, so cycles end by themselves. Landing objects reach what their targets reach, which
+    is one join at the end. Rounds are written to the shared folder, and the loop stops when one adds
+    nothing. A path longer than `max_depth` is an error, not a silent cut.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "closure")
     links = written(spark, edges.select("source", "target").filter("source <> target").distinct(),
                     f"{root}/links")
-    step = links.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+    led_to = links.select(F.col("target").alias("source")).distinct()
+    inner = written(spark, links.join(led_to, "source", "left_semi"), f"{root}/inner")
+    step = inner.select(F.col("source").alias("target"), F.col("target").alias("_next"))
     paths = [f"{root}/depth-1"]
-    frontier = written(spark, links.withColumn("depth", F.lit(1)), paths[0])
+    frontier = written(spark, inner.withColumn("depth", F.lit(1)), paths[0])
     while not frontier.isEmpty():
         depth = len(paths) + 1
         seen = spark.read.schema(frontier.schema).parquet(*paths).select("source", "target")
@@ -65,7 +67,16 @@ def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
         frontier = written(spark, found, paths[-1])
         if depth > max_depth and not frontier.isEmpty():
             raise ValueError(f"lineage reaches deeper than max_depth={max_depth}")
-    return spark.read.schema(frontier.schema).parquet(*paths)
+    reached = spark.read.schema(frontier.schema).parquet(*paths)
+    landing = links.join(led_to, "source", "left_anti")
+    onward = reached.select(F.col("source").alias("_by"), F.col("target").alias("_next"), "depth")
+    beyond = (landing.join(onward, landing.target == onward._by)
+              .select("source", F.col("_next").alias("target"), (F.col("depth") + 1).alias("depth"))
+              .unionByName(landing.withColumn("depth", F.lit(1)))
+              .groupBy("source", "target").agg(F.min("depth").alias("depth")))
+    if len(paths) > max_depth and not beyond.filter(F.col("depth") > max_depth).isEmpty():
+        raise ValueError(f"lineage reaches deeper than max_depth={max_depth}")
+    return reached.unionByName(beyond)
 
 
 def stream_lineage(accepted: DataFrame, rejected: DataFrame, run_id: str, batch_id: int, target: str,

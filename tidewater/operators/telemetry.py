@@ -45,9 +45,9 @@ def _ranked(df: DataFrame, metric: str, value: str, quantiles: dict[str, float])
                        & (F.col("_rank") > F.col("_upto") - F.col("_n")))
                .select("_metric", "_slice", "_quantile", *totals,
                        (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
-    counted = (sliced.join(located, ["_metric", "_slice"])
-               .groupBy("_metric", "_quantile", "_rank", *totals, "_value")
-               .agg(F.count("*").alias("_n")))
+    # Counted before the join: a value that most rows share is one row there.
+    counted = (sliced.groupBy("_metric", "_slice", "_value").agg(F.count("*").alias("_n"))
+               .join(located, ["_metric", "_slice"]))
     order = Window.partitionBy("_metric", "_quantile").orderBy("_value")
     reached = counted.withColumn("_upto", F.sum("_n").over(order))
     return (reached.filter(F.col("_upto") >= F.col("_rank"))

@@ -119,17 +119,17 @@ def bronze_replay(spark, folder):
 
 
 @query("bronze_evolve", """
-SELECT o_orderkey,
-       CASE WHEN o_orderdate < '1998-01-01' THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE)
-            ELSE o_totalprice END AS o_totalprice,
-       CASE WHEN o_orderdate >= '1998-01-01' THEN o_orderpriority END AS o_orderpriority
-FROM orders""")
+SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CASE WHEN l_shipdate < '1998-01-01' THEN CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE)
+            ELSE l_extendedprice END AS l_extendedprice,
+       CASE WHEN l_shipdate >= '1998-01-01' THEN l_linestatus END AS l_linestatus
+FROM lineitem""")
 def bronze_evolve(spark, folder):
-    rows = scan(spark, folder, "orders")
-    held = rows.filter(F.col("o_orderdate") < at("1998-01-01")).select(
-        F.col("o_orderkey").cast("int"), F.col("o_totalprice").cast("float"))
-    wider = rows.filter(F.col("o_orderdate") >= at("1998-01-01")).select(
-        "o_totalprice", "o_orderpriority", "o_orderkey")
+    rows = scan(spark, folder, "lineitem")
+    held = rows.filter(F.col("l_shipdate") < at("1998-01-01")).select(
+        F.col("l_linenumber").cast("int"), F.col("l_extendedprice").cast("float"))
+    wider = rows.filter(F.col("l_shipdate") >= at("1998-01-01")).select(
+        "l_extendedprice", "l_linestatus", F.col("l_linenumber").cast("bigint"))
     return bronze.append_batch(held, wider)
 
 
@@ -297,8 +297,14 @@ def version_log(spark, folder):
 
 
 @query("file_inventory", """
-SELECT count(*) AS row_count, FALSE AS has_empty_file FROM lineitem""")
+SELECT l_returnflag, count(*) AS row_count, 1 AS files, FALSE AS has_empty_file FROM lineitem GROUP BY l_returnflag""")
 def file_inventory(spark, folder):
-    inventory = zones.file_inventory(scan(spark, folder, "lineitem"))
-    return inventory.agg(F.sum("row_count").alias("row_count"),
-                         F.bool_or(F.col("size_bytes") <= 0).alias("has_empty_file"))
+    """A table of several files: one per return flag, counted file by file."""
+    place = scratch_path(spark, "by-flag")
+    scan(spark, folder, "lineitem").select("l_orderkey", "l_returnflag").repartition("l_returnflag").write.partitionBy(
+        "l_returnflag").parquet(place)
+    inventory = zones.file_inventory(spark.read.parquet(place))
+    flag = F.url_decode(F.regexp_extract("file_path", "l_returnflag=([^/]+)/", 1)).alias("l_returnflag")
+    return inventory.groupBy(flag).agg(
+        F.sum("row_count").alias("row_count"), F.count("*").cast("int").alias("files"),
+        F.bool_or(F.col("size_bytes") <= 0).alias("has_empty_file"))

@@ -10,8 +10,8 @@ from tidewater.session import scratch_path
 from tidewater.sources import zones
 from tidewater.sources.extract import scan
 
-REVENUE = ("CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) "
-           "* (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE)")
+AMOUNT = "CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))"
+REVENUE = f"CAST(sum({AMOUNT}) AS DOUBLE)"
 
 ROLLUP = f"""
 SELECT r_name, n_name, year(o_orderdate) AS order_year, count(*) AS line_count, {REVENUE} AS revenue
