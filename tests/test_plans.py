@@ -95,3 +95,27 @@ def test_status_of_datasets_aggregates_before_ranking(spark, sf):
 
 def test_newest_is_a_bounded_heap(spark, sf):
     assert "TakeOrderedAndProject" in plan(relational.newest(lines(spark, sf), "l_shipdate", 5, ["l_orderkey"]))
+
+
+def test_flagship_reads_orders_three_times_at_most(spark):
+    """Scans that end below the orders file, over all jobs of the flagship."""
+    import tidewater.flagship as flagship
+    read = []
+    scan = flagship.scan
+
+    def counted(session, folder, name):
+        read.append(name)
+        return scan(session, folder, name)
+
+    flagship.scan = counted
+    try:
+        text = plan(entry.entry(spark))
+    finally:
+        flagship.scan = scan
+    assert read.count("orders") == 1 and "orders.parquet" not in text
+    assert text.count("customer.parquet") <= 2 and "silver" in text
+
+
+def test_mart_needs_no_distinct_count(spark, sf):
+    text = plan(entry.queries()["mart_customer_revenue"](spark, sf))
+    assert "distinct" not in text.lower()

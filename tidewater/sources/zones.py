@@ -77,9 +77,18 @@ def version_log(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([], LOG_DDL)
 
 
-def _commits(spark: SparkSession, table: str) -> list[Row]:
-    """The log in order; metadata only, one row per commit, or per bucket that a merge touched."""
-    return sorted(version_log(spark, table).collect(), key=lambda r: (r["version"], r["unit"] != WHOLE))
+def _commits(spark: SparkSession, table: str, back_to: int | None = None) -> list[Row]:
+    """The log's rows, in order, that the newest version (and those from `back_to` on) are read by.
+
+    Nothing before the newest `*` matters, so what reaches the driver is a row per delivery since then,
+    or per bucket that a merge touched, and not the table's history.
+    """
+    log = version_log(spark, table)
+    whole = log.filter(F.col("unit") == WHOLE)
+    if back_to is not None:
+        whole = whole.filter(F.col("version") <= back_to)
+    since = whole.agg(F.max("version")).first()[0] or 0
+    return sorted(log.filter(F.col("version") >= since).collect(), key=lambda r: (r["version"], r["unit"] != WHOLE))
 
 
 def _live(commits: list[Row]) -> list[Row]:
@@ -91,8 +100,9 @@ def _live(commits: list[Row]) -> list[Row]:
 
 def live_directories(spark: SparkSession, table: str, retain_last: int = 1) -> list[str]:
     """Directories that the newest `retain_last` versions are read from."""
-    commits = _commits(spark, table)
-    kept = sorted({r["version"] for r in commits})[-retain_last:]
+    kept = sorted(r["version"] for r in version_log(spark, table).select("version").distinct()
+                  .orderBy(F.desc("version")).limit(retain_last).collect())
+    commits = _commits(spark, table, kept[0] if kept else None)
     return sorted({r["directory"] for version in kept
                    for r in _live([c for c in commits if c["version"] <= version])})
 
