@@ -39,6 +39,7 @@ NEIGHBOURS = 25
 BLOCK = 64
 SOFT = 0.05
 CALIBRATION = 3000
+KNOWN = 20_000
 
 
 def terms(text: str | None) -> Counter:
@@ -63,6 +64,7 @@ class Examples:
     bound_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     bound_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     bound: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    known: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def build(self) -> Examples:
         """For every term the blocks that hold it and its largest weight there."""
@@ -98,19 +100,25 @@ class Examples:
         query[at] = weight
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-limits, kind="stable")
-        for block in order[limits[order] > 0]:
-            if len(rows) >= k and limits[block] < scores[-1] - 1e-9:
-                break
-            low, high = block * BLOCK, min(len(self.ids), (block + 1) * BLOCK)
-            a, b = self.pointers[low], self.pointers[high]
-            found = np.add.reduceat(self.values[a:b] * query[self.columns[a:b]], self.pointers[low:high] - a)
-            use = np.flatnonzero(found > 0)
-            use = use[use + low != without]
-            rows, scores = np.concatenate([rows, use + low]), np.concatenate([scores, found[use]])
+        order, place, step = order[limits[order] > 0], 0, 4
+        while place < len(order) and (len(rows) < k or limits[order[place]] >= scores[-1] - 1e-9):
+            at_hand, found = self._scored(order[place:place + step], query)
+            use = (found > 0) & (at_hand != without)
+            rows, scores = np.concatenate([rows, at_hand[use]]), np.concatenate([scores, found[use]])
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
+            place, step = place + step, 4 * step
         return rows, scores
 
+    def _scored(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some blocks and their products with the query."""
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[rows < len(self.ids)]
+        sizes = self.pointers[rows + 1] - self.pointers[rows]
+        ends = np.cumsum(sizes)
+        entries = np.arange(ends[-1]) + np.repeat(self.pointers[rows] - ends + sizes, sizes)
+        return rows, np.add.reduceat(self.values[entries] * query[self.columns[entries]], ends - sizes)
+
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The neighbours' weighted share of toxic ones, with the base rate as one far neighbour."""
         weight = 1 / (np.maximum(1 - scores, 0) + SOFT)
@@ -123,7 +131,12 @@ class Examples:
         at, weight, length, words = self.weigh(terms(text))
         if not len(at) or not self.ids:
             return self.none_rate, np.zeros(0, np.int64), np.zeros(0)
-        rows, scores = self.nearest(at, weight, NEIGHBOURS)
+        key = at.tobytes() + weight.tobytes()  # texts with one kept term all ask the same
+        if key not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[key] = self.nearest(at, weight, NEIGHBOURS)
+        rows, scores = self.known[key]
         return self.calibrated(self.vote(rows, scores), length, words), rows, scores
 
 
