@@ -303,10 +303,33 @@ def test_notices_are_found_with_as_many_edits_as_allowed(notice):
         for place in sorted(dice.sample(range(1, len(notice) - 1), licenses.edits_allowed(notice)), reverse=True):
             if notice[place] != " ":
                 chars[place] = dice.choice(["", "q", chars[place] + "z"])
-        padded = b" some words before " + "".join(chars).encode() + b" and after "
-        found = [x for x in licenses.fuzzy_places(padded) if x[2] == licenses.NOTICES[notice]]
+        words = licenses.Words(b"some words, before " + "".join(chars).encode() + b" AND after.")
+        found = [x for x in licenses.fuzzy_places(words) if x[2] == licenses.NOTICES[notice]]
         assert found and min(x[0] for x in found) <= 3 and max(x[1] for x in found) >= 3
-    assert not licenses.fuzzy_places(b" nothing of the kind stands in here at all ")
+    assert not licenses.fuzzy_places(licenses.Words(b"nothing of the kind stands in here at all"))
+
+
+def test_notices_close_together_are_searched_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    for text in (b"all rights " * 10_000, b"cc by " * 20_000, b"license public general " * 5_000, b"permission to use " * 5_000):
+        words = licenses.Words(text)
+        assert len(licenses.phrase_places(words)) == text.count(b"cc by")
+        licenses.fuzzy_places(words)
+    assert time.perf_counter() - start < 30
+    many = licenses.Words(b"all rights reserved. " * 300)
+    assert {x[0] for x in licenses.fuzzy_places(many) if x[3] == 0} == set(range(0, 900, 3))
+
+
+def test_many_spans_are_reconciled_in_order():
+    import time
+
+    text = "a@b.cd 5550109999 " * 20_000
+    base = pii.base_spans(text)
+    start = time.perf_counter()
+    offered = [(0.95, (3, 18 * i + 7, 18 * i + 17)) for i in range(20_000)] + [(0.99, (0, 18 * i, 18 * i + 6)) for i in range(20_000)]
+    assert len(pii.reconciled(base, offered, text)) == len(base) + 20_000 and time.perf_counter() - start < 5
 
 
 def test_nearest_vectors_reach_the_recall(spark):

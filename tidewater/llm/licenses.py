@@ -8,9 +8,10 @@ notice can be. There the regex library matches the notice with at most e edits a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,54 +77,76 @@ def _machine():
     return automaton, patterns
 
 
-def phrase_places(padded: bytes) -> list[tuple[int, str]]:
-    """(index of the first word, label) of every place of every phrase; words stand between single spaces."""
+class Words:
+    """A text's words between single spaces, and which word stands at a position."""
+
+    def __init__(self, text: bytes):
+        words = normal_words(text)
+        self.count, self.padded = len(words), b" " + b" ".join(words) + b" "
+
+    @cached_property
+    def spaces(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.padded, np.uint8) == 32)
+
+    def at(self, position: int) -> int:
+        """The number of the word that the position, or the next one after a space, belongs to."""
+        return int(np.searchsorted(self.spaces, position, "right")) - 1
+
+
+def phrase_places(words: Words) -> list[tuple[int, str]]:
+    """(index of the first word, label) of every place of every phrase."""
     found = []
     for phrase, label in PHRASES.items():
         wanted = b" " + phrase.encode() + b" "
-        at = padded.find(wanted)
+        at = words.padded.find(wanted)
         while at >= 0:
-            found.append((padded.count(b" ", 0, at), label))
-            at = padded.find(wanted, at + 1)
+            found.append((words.at(at), label))
+            at = words.padded.find(wanted, at + 1)
     return found
 
 
-def fuzzy_places(padded: bytes) -> list[tuple[int, int, str, int, float]]:
-    """(first word, end word, label, edits, similarity) of every notice found with few enough edits."""
+def fuzzy_places(words: Words) -> list[tuple[int, int, str, int, float]]:
+    """(first word, end word, label, edits, similarity) of every notice found with few enough edits.
+
+    Windows around neighbouring seeds are joined up to some lengths of the notice, so the search stays
+    in proportion to the text also where seeds stand close together; what two windows both find is one
+    place, the one with fewer edits.
+    """
     automaton, patterns = _machine()
     windows: dict[str, list[list[int]]] = {}
-    for end, (length, held) in automaton.iter(padded.decode("latin-1")):
+    for end, (length, held) in automaton.iter(words.padded.decode("latin-1")):
         for notice, offset in held:
             reach, start = edits_allowed(notice), end + 1 - length - offset
             span = [max(0, start - 2 * reach - 1), start + len(notice) + 2 * reach + 1]
             known = windows.setdefault(notice, [])
-            if known and span[0] <= known[-1][1]:
+            if known and span[0] <= known[-1][1] and span[1] - known[-1][0] <= 6 * len(notice):
                 known[-1][1] = max(known[-1][1], span[1])
             else:
                 known.append(span)
-    found = []
+    best: dict[tuple[int, int, str], tuple[int, float]] = {}
     for notice, spans in windows.items():
         for low, high in spans:
-            for match in patterns[notice].finditer(padded[low:high].decode("utf-8", "replace")):
-                edits = sum(match.fuzzy_counts)
-                start = low + len(match.string[:match.start()].encode())
+            window = words.padded[low:high].decode("utf-8", "replace")
+            for match in patterns[notice].finditer(window):
                 text = match.group().strip()
-                first = padded.count(b" ", 0, start + 1) - 1 + (match.group()[:1] == " ")
-                found.append((max(0, first), max(0, first) + len(text.split()), NOTICES[notice], edits,
-                              1 - edits / len(notice)))
-    return found
+                if not text:
+                    continue
+                edits = sum(match.fuzzy_counts)
+                first = words.at(low + len(window[:match.start()].encode()) + match.group().startswith(" "))
+                place = (first, first + len(text.split()), NOTICES[notice])
+                best[place] = min(best.get(place, (edits, 0.0)), (edits, 1 - edits / len(notice)), key=lambda x: -x[1])
+    return [(*place, edits, share) for place, (edits, share) in sorted(best.items())]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in texts(batch.column(1)):
-            words = normal_words(text)
-            padded = b" " + b" ".join(words) + b" "
-            base, fuzzy = phrase_places(padded), fuzzy_places(padded)
+            words = Words(text)
+            base, fuzzy = phrase_places(words), fuzzy_places(words)
             starts = [start for start, _ in base]
             rows.append({
-                "n_words": len(words), "n_base": len(base),
+                "n_words": words.count, "n_base": len(base),
                 "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                 "base_labels": ",".join(sorted({label for _, label in base})),
                 "labels": ",".join(sorted({label for _, label in base} | {label for _, _, label, _, _ in fuzzy})),

@@ -11,8 +11,10 @@ is sure of them and they can be what they are called.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -304,18 +306,29 @@ def _tagged_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -
 
 def reconciled(base: list[Span], offered: list[tuple[float, Span]], text: str) -> list[Span]:
     """Base spans and the sure, plausible offers beside them: of overlapping ones the set of largest total."""
+    starts = [start for _, start, _ in base]
+    reach = list(accumulate((end for _, _, end in base), max))
     best: dict[Span, float] = {}
     for chance, span in offered:
-        if chance >= SURE and plausible(span[0], text[span[1]:span[2]]) and not any(
-                span[1] < b and a < span[2] for _, a, b in base):
+        before = bisect_left(starts, span[2])  # base spans that start ahead of its end
+        if chance >= SURE and not (before and reach[before - 1] > span[1]) and plausible(
+                span[0], text[span[1]:span[2]]):
             best[span] = max(best.get(span, 0.0), chance)
     spans = sorted(best, key=lambda s: (s[2], s[1], s[0]))
-    totals: list[tuple[float, list[Span]]] = [(0.0, [])]
+    ends = [end for _, _, end in spans]
+    totals, chosen = [0.0], []  # of the first spans; whether the last of them is in, and what it follows
     for place, span in enumerate(spans):
-        free = max(i for i in range(place + 1) if i == 0 or spans[i - 1][2] <= span[1])
-        with_it = (totals[free][0] + best[span], [*totals[free][1], span])
-        totals.append(max(totals[place], with_it, key=lambda x: x[0]))
-    return sorted([*base, *totals[-1][1]], key=lambda s: (s[1], s[0], s[2]))
+        free = bisect_right(ends, span[1], 0, place)
+        with_it = totals[free] + best[span]
+        chosen.append((with_it > totals[place], free))
+        totals.append(max(totals[place], with_it))
+    added, place = [], len(spans)
+    while place:
+        taken, free = chosen[place - 1]
+        if taken:
+            added.append(spans[place - 1])
+        place = free if taken else place - 1
+    return sorted([*base, *added], key=lambda s: (s[1], s[0], s[2]))
 
 
 def all_spans(values: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
