@@ -217,7 +217,12 @@ def test_late_rows_are_dropped_and_counted(spark, place):
     seen = metrics.of(query)
     spark.streams.removeListener(metrics)
     assert (seen["processed"], seen["late"]) == (5, 1) and seen["batches"] >= 2
-    seen = queries.read_counts(spark, f"{root}/out", ["key", "window_start"], schema).collect()
+    before = queries.read_counts(spark, f"{root}/out", ["key", "window_start"], schema).collect()
+    queries.fold_counts(spark, f"{root}/out", ["key", "window_start"], schema)
+    folded = queries.read_counts(spark, f"{root}/out", ["key", "window_start"], schema)
+    seen = folded.collect()
+    assert sorted(map(tuple, seen)) == sorted(map(tuple, before))
+    assert plan(folded).count("PartitionFilters: [isnotnull(_batch") == 2
     assert sorted((r["window_start"].minute, r["window_start"].hour, r["event_count"]) for r in seen) == [
         (0, 0, 2), (0, 1, 2)]
 

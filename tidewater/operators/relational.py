@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.names import col
@@ -42,10 +42,16 @@ def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[col(c) for c in columns]).distinct().agg(F.count("*").alias("distinct_keys"))
 
 
-def range_sum(spark: SparkSession, n: int, parts: int) -> DataFrame:
-    """Sum and count of 0..n-1, generated in `parts` partitions."""
-    return spark.range(0, n, 1, parts).agg(
-        F.sum("id").alias("total"), F.count("*").alias("row_count"))
+def range_sum(df: DataFrame, size: str, group: list[str]) -> DataFrame:
+    """Every row stands for the numbers 0 to `size` - 1: their sum and count per group.
+
+    The ranges are generated where the rows are and summed before the shuffle. A null, zero or negative
+    size stands for no numbers.
+    """
+    numbers = F.sequence(F.lit(0).cast("long"), col(size).cast("long") - 1)
+    ranged = df.select(*map(col, group), F.explode_outer(F.when(col(size) > 0, numbers)).alias("_n"))
+    return ranged.groupBy(*map(col, group)).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count("_n").alias("row_count"))
 
 
 def newest(df: DataFrame, ts: str, n: int, ties: list[str]) -> DataFrame:

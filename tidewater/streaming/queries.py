@@ -69,18 +69,38 @@ def start_counts(counts: DataFrame, path: str, checkpoint: str,
     after a failure overwrites its own directory.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/batch-{batch_id:012d}")
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 
     return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(**_trigger(trigger)).foreachBatch(write).start())
 
 
+def _count_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest fold, if there is one, and the micro-batches after it."""
+    stored = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+    batches = spark.read.schema(stored).parquet(path)
+    try:
+        folds = spark.read.schema(stored).parquet(f"{path}-folded")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return batches
+    upto = folds.agg(F.max("_batch")).first()[0]
+    return batches.filter(F.col("_batch") > upto).unionByName(folds.filter(F.col("_batch") == upto))
+
+
 def read_counts(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
     """The current value of every group: its newest micro-batch."""
-    stored = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
-    rows = spark.read.schema(stored).parquet(f"{path}/batch-*")
-    return latest_by_key(rows, keys, "_batch", []).drop("_batch")
+    return latest_by_key(_count_rows(spark, path, schema), keys, "_batch", []).drop("_batch")
+
+
+def fold_counts(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> None:
+    """Write the current values as one fold, so that later reads leave out the micro-batches behind it."""
+    rows = _count_rows(spark, path, schema)
+    newest = rows.agg(F.max("_batch")).first()[0]
+    if newest is not None:
+        latest_by_key(rows, keys, "_batch", []).drop("_batch").write.mode("overwrite").parquet(
+            f"{path}-folded/_batch={newest}")
 
 
 class StreamMetrics(StreamingQueryListener):
