@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import text
 from tidewater.operators import conform
 from tidewater.operators import telemetry as measures
 from tidewater.plans.registry import query
