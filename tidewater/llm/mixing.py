@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import quoted
-from tidewater.session import discard, scratch_path, written
+from tidewater.session import scratch_path, written
 
 BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4,096 buckets per source
 
@@ -81,10 +81,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     for place, value in enumerate(weights):
         weight = F.when(F.col("rank") % len(weights) == place, value).otherwise(weight)
     identity = quoted(doc_id).cast("string")
-    place = scratch_path(spark, "sizes")
     sizes = written(spark, docs.select(
         quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), word_count(quoted(text)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(identity, F.lit("")))).alias("hash")), place)
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(identity, F.lit("")))).alias("hash")),
+        scratch_path(spark, "sizes"))
     bucket = F.substring("hash", 1, BUCKET_DIGITS)
 
     targets = water_fill(ranked_sources(sizes).withColumn("weight", weight), max_epochs)
