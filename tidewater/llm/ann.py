@@ -13,6 +13,7 @@ Inner product becomes distance by one more component that gives all of a shard's
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,61 +26,92 @@ from tidewater.session import scratch_path, written
 
 SHARD = 8192
 QUERY_BLOCK = 4096
-PROJECTIONS = 64
-THRESHOLD = 0.6
+PROJECTIONS = 96
+THRESHOLD = 0.7
 RATIO = 1.3
-VERIFIED = 0.12
+VERIFIED = 0.15
 SEED = 11
+PILOTS = 9
+MAX_TASKS = 20_000
 
 
 class CollisionIndex:
-    """Sorted projections of one shard's vectors (rows of `vectors`)."""
+    """Sorted projections of one shard's vectors (rows of `vectors`), and every vector's rank in each."""
 
     def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         self.vectors = vectors
+        count = len(vectors)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         lift = np.sqrt(np.maximum(norms.max() - norms, 0.0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
         self.norm = math.sqrt(norms.max())
-        projected = vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        projected = (vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.rank = np.empty((projections, count), np.uint16 if count < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(count, dtype=self.rank.dtype)[None, :], axis=1)
         self.first_width = 0.05 * float(projected.std()) or 1e-9
-        self.level = 0
 
-    def candidates(self, centre: np.ndarray, wanted: int, threshold: int) -> np.ndarray:
-        """Rows that collide with the query in `threshold` projections or more, `wanted` at least."""
+    def windows(self, centres: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First ranks and lengths (query, projection) of the windows around the queries' projections."""
+        width = self.first_width * RATIO ** level
+        low = np.stack([values.searchsorted(at - width) for values, at in zip(self.sorted, centres.T)], axis=1)
+        high = np.stack([values.searchsorted(at + width, "right") for values, at in zip(self.sorted, centres.T)], axis=1)
+        return low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype)
+
+    def collisions(self, low: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """In how many of one query's windows each vector lies. A rank below `low` wraps to a large number."""
+        inside = (self.rank - low[:, None]) < length[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
+
+    def candidates(self, centres: np.ndarray, wanted: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each query the rows that reach the collision threshold, `wanted` at least.
+
+        The first queries find the level at which their windows hold enough; the others start there,
+        and those that need more widen further.
+        """
         count = len(self.vectors)
         if wanted >= count:
-            return np.arange(count)
-        self.level = max(0, self.level - 2)
-        collisions = np.zeros(count, np.int64)
-        low = high = [int(values.searchsorted(at)) for values, at in zip(self.sorted, centre)]
-        while True:
-            width = self.first_width * RATIO ** self.level
-            wider_low = [int(values.searchsorted(at - width)) for values, at in zip(self.sorted, centre)]
-            wider_high = [int(values.searchsorted(at + width, "right")) for values, at in zip(self.sorted, centre)]
-            added = [row[a:b] for row, *ends in zip(self.order, wider_low, low, high, wider_high)
-                     for a, b in (ends[:2], ends[2:]) if a < b]
-            if added:
-                collisions += np.bincount(np.concatenate(added), minlength=count)
-            low, high = wider_low, wider_high
-            found = np.flatnonzero(collisions >= threshold)
-            if len(found) >= wanted:
-                return found
-            self.level += 1
-
-    def nearest(self, ids: np.ndarray, query: np.ndarray, own: int, k: int, *,
-                verified: float = VERIFIED, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids other than `own`, with their inner products, ties to smaller ids."""
-        # The query, at the norm that the vectors have been lifted to.
-        centre = (query * (self.norm / math.sqrt(float(query @ query)))) @ self.axes[:-1]
+            yield from ((query, np.arange(count)) for query in range(len(centres)))
+            return
+
+        def at_level(queries: list[int], level: int) -> Iterator[tuple[int, np.ndarray]]:
+            for query, low, length in zip(queries, *self.windows(centres[queries], level)):
+                yield query, np.flatnonzero(self.collisions(low, length) >= threshold)
+
+        levels = []
+        for query in range(min(PILOTS, len(centres))):
+            level = 0
+            while len(next(at_level([query], level))[1]) < wanted:
+                level += 1
+            levels.append(level)
+        level, waiting = sorted(levels)[len(levels) // 2] if levels else 0, list(range(len(centres)))
+        while waiting:
+            short = []
+            for query, found in at_level(waiting, level):
+                if len(found) >= wanted:
+                    yield query, found
+                else:
+                    short.append(query)
+            waiting, level = short, level + 1
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, *, verified: float = VERIFIED,
+                threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the k best ids other than its own, with their inner products, ties to smaller ids."""
+        if not len(queries):
+            return
+        # The queries, at the norm that the vectors have been lifted to.
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        centres = (queries * (self.norm / lengths)[:, None]) @ self.axes[:-1]
         wanted = k + 1 + max(300, math.ceil(verified * len(ids)))
-        rows = self.candidates(centre, wanted, math.ceil(threshold * len(centre)))
-        rows = rows[ids[rows] != own]
-        scores = self.vectors[rows] @ query
-        best = np.lexsort((ids[rows], -scores))[:k]
-        return ids[rows[best]], scores[best]
+        for query, rows in self.candidates(centres, wanted, math.ceil(threshold * centres.shape[1])):
+            rows = rows[ids[rows] != own[query]]
+            scores = self.vectors[rows] @ queries[query]
+            if len(rows) > k:  # all that reach the k-th best score, ties included
+                top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[top], scores[top]
+            best = np.lexsort((ids[rows], -scores))[:k]
+            yield query, ids[rows[best]], scores[best]
 
 
 def _search(k: int, verified: float):
@@ -92,10 +124,9 @@ def _search(k: int, verified: float):
         asks, ids, vectors = asks[order], ids[order], vectors[order]
         found = [[], [], []]
         if (~asks).any():
-            index, indexed = CollisionIndex(vectors[~asks]), ids[~asks]
-            for query, vector in zip(ids[asks], vectors[asks]):
-                near, scores = index.nearest(indexed, vector, query, k, verified=verified)
-                found[0].append(np.full(len(near), query))
+            index, own = CollisionIndex(vectors[~asks]), ids[asks]
+            for query, near, scores in index.nearest(ids[~asks], vectors[asks], own, k, verified=verified):
+                found[0].append(np.full(len(near), own[query]))
                 found[1].append(near)
                 found[2].append(scores)
         columns = [np.concatenate(x) if x else np.empty(0) for x in found]
@@ -132,6 +163,7 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     sizes = rows.groupBy("dims").agg(  # a row per number of components
         F.greatest(F.ceil(F.count("*") / shard), F.lit(1)).cast("int").alias("shards"),
         F.greatest(F.ceil(F.sum(asked.cast("long")) / query_block), F.lit(1)).cast("int").alias("blocks"))
+    groups = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("blocks"))).first()[0] or 1
     sized = rows.join(sizes, "dims")
     hashed = F.xxhash64(F.lit(SEED), "id")
     indexed = sized.select(
@@ -140,7 +172,9 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     asking = sized.filter(asked).select(
         "dims", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
         F.pmod(hashed, "blocks").cast("int").alias("block"), F.lit(True).alias("asks"), "id", "vector")
-    found = indexed.union(asking).groupBy("dims", "shard", "block").applyInArrow(
+    # Groups are few and cost much more time than bytes, so they are dealt out by number and not by size.
+    found = indexed.union(asking).repartition(min(groups, MAX_TASKS), "dims", "shard", "block").groupBy(
+        "dims", "shard", "block").applyInArrow(
         _search(k, verified), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
