@@ -178,11 +178,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     place = scratch_path(spark, "suspect-lines")
     suspects = written(spark, docs.filter(quoted(doc_id).isNotNull()).select(quoted(doc_id), quoted(text))
                        .mapInArrow(emit, f"doc {kind}, key binary"), place)
-    holders = (suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-               .filter("first < last").select("key", "first"))
+    # Stored ahead of the join: an aggregate that feeds a join keeps Spark from splitting a hot key there.
+    held = scratch_path(spark, "repeated-lines")
+    holders = written(spark, suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                      .filter("first < last").select("key", "first"), held)
     lost = written(spark, suspects.join(holders, "key").filter("doc > first")
                    .groupBy("doc").agg(F.collect_set("key").alias("lost")), scratch_path(spark, "lost-lines"))
     discard(spark, place)
+    discard(spark, held)
 
     @F.pandas_udf("boolean")
     def suspect(values):
