@@ -296,8 +296,10 @@ class _Join:
             F.count("*").alias("members"),
             F.min(F.struct(F.xxhash64("tree", "path", "node").alias("order"), "node")).alias("pivot"),
             *([F.min("root").alias("low"), F.max("root").alias("high")] if labels is not None else []))
-        counts = counts.filter("members > 1" if labels is None else "low <> high")
-        kept = rows.join(counts.select("tree", "path", "members", F.col("pivot.node").alias("pivot")), ["tree", "path"])
+        # Stored ahead of the join: an aggregate that feeds a join keeps Spark from splitting a hot branch there.
+        counts = self.store(counts.filter("members > 1" if labels is None else "low <> high").select(
+            "tree", "path", "members", F.col("pivot.node").alias("pivot")), "branch-counts")
+        kept = rows.join(counts, ["tree", "path"])
         return kept.join(self.nodes.select("node", "size", "signature"), "node")
 
     def star_pairs(self, rows: DataFrame) -> DataFrame:
