@@ -66,6 +66,14 @@ def test_near_copies_in_large_groups_and_borderline_links(spark):
     assert got == expected
 
 
+def test_trees_follow_the_recall_asked_for():
+    for percent in (80, 85, 95):
+        trees = neardup.trees_for(percent, 0.9998)
+        missed = lambda n: (1 - (percent / 100) ** neardup.LAST_LEVEL) ** n  # noqa: B023,E731
+        assert missed(trees) <= 0.0002 < missed(trees - 1)
+    assert neardup.trees_for(85, 0.9998) == 12
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)] + [("h", f"s{i}") for i in range(500)] + [("z", "z")]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a string, b string")).collect()))

@@ -1,11 +1,13 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 Each text becomes its set of word shingles and a signature of SIGNATURE minwise tokens. Texts of equal
-sets are one node from then on. In each of `trees` independent trees a node goes down a path: at every
+sets are one node from then on. In each of several independent trees a node goes down a path: at every
 branch the tree and the path so far choose one signature position, and the token there names the child
 branch. Two sets of similarity s stay together with probability s per level; all paths start FIRST_LEVEL
 levels deep, where unlike texts hardly meet. Branches of up to `LEAF` nodes are compared exhaustively,
-larger ones branch again down to LAST_LEVEL.
+larger ones branch again down to LAST_LEVEL. There are as many trees as it takes for two sets just at the
+threshold to stay together down to LAST_LEVEL in one of them with probability `recall`; most pairs need
+not go that far, and links within a group are found by way of its other members too.
 
 A group of near copies stays together on any path, so comparing all its pairs, or branching until it is
 small, would cost the square of its size. Links are therefore found in two passes:
@@ -39,7 +41,7 @@ from tidewater.llm.components import components
 from tidewater.session import discard, scratch_path, written
 
 SIGNATURE = 128
-TREES = 12
+RECALL = 0.9998
 STAR_TREES = 3
 FIRST_LEVEL, LAST_LEVEL = 2, 4
 LEAF = 64
@@ -124,6 +126,12 @@ def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["tree", "path", "node"])
 
 
+def trees_for(percent: int, recall: float) -> int:
+    """How many trees keep a pair at the threshold together in one of them with probability `recall`."""
+    together = (percent / 100) ** LAST_LEVEL
+    return max(STAR_TREES, math.ceil(math.log(1 - recall) / math.log(1 - together))) if together < 1 else STAR_TREES
+
+
 def _close_enough(threshold: float):
     """How many signature positions must agree, and the least ratio of sizes."""
     spread = math.sqrt(threshold * (1 - threshold) / SIGNATURE)
@@ -378,7 +386,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5,
-                    percent: int = 80, trees: int = TREES) -> DataFrame:
+                    percent: int = 80, recall: float = RECALL) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but blanks with A-Z lower-cased; a document's set is that of its distinct
@@ -405,7 +413,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     join = _Join(named, nodes, width, percent, repeated)
     links = join.stars()
     labels = written(spark, components(links), scratch_path(spark, "labels"))
-    links = links.union(join.leaves(trees, labels))
+    links = links.union(join.leaves(trees_for(percent, recall), labels))
     rooted = components(links)
     least = rooted.join(nodes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
     component = written(spark, rooted.join(least, "root").select("node", "component"),
