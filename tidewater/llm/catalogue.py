@@ -130,7 +130,31 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(manifest, payloads=False).drop("url")
 
 
-@query("op4_near_dedup")
+@query("op4_near_dedup", r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents WHERE doc_id IS NOT NULL
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(
+        range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle
+    FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+    WHERE 100 * common >= 85 * (a.n + b.n - common)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+    SELECT x, y FROM edges
+    UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x
+), least AS (SELECT x, min(y) AS smallest FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
+       least(d.doc_id, coalesce(smallest, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(smallest, d.doc_id)) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.x = d.doc_id""")
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
 
