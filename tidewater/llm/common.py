@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words and ends lines' margins: space, tab, line feed, vertical tab, form feed,
@@ -57,6 +57,14 @@ def prepare_python(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+def in_few_files(df: DataFrame, rows: int, rows_per_file: int = 200_000) -> DataFrame:
+    """The same rows in no more tasks than a step of at most `rows` rows needs, or than there are cores.
+
+    A small step written by every shuffle partition is mostly files that hold nothing.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_file)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import in_few_files
 from tidewater.session import discard, scratch_path, written
 
 
@@ -13,9 +14,9 @@ def _hash_sum(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _store(df: DataFrame) -> tuple[DataFrame, str]:
+def _store(df: DataFrame, rows: int | None) -> tuple[DataFrame, str]:
     place = scratch_path(df.sparkSession, "stars")
-    return written(df.sparkSession, df, place), place
+    return written(df.sparkSession, df if rows is None else in_few_files(df, rows), place), place
 
 
 def _hooked(edges: DataFrame, small: bool) -> DataFrame:
@@ -36,19 +37,19 @@ def _hooked(edges: DataFrame, small: bool) -> DataFrame:
     return sent.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Each linked node with the smallest node of its component: node, root.
 
     `edges` has two columns, a and b, of one orderable type; direction, repetition and self-links don't
-    matter; null ends are ignored. Every round is stored in the shared folder; the number of rounds
+    matter; null ends are ignored. `rows` is about how many there are, if that is known. Every round is stored in the shared folder; the number of rounds
     grows with the logarithm of the longest chain.
     """
     current, place = _store(edges.toDF("x", "y").filter("x <> y").select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), rows)
     mark = _hash_sum(current)
     while True:
-        large, large_place = _store(_hooked(current, small=False))
-        after, after_place = _store(_hooked(large, small=True))
+        large, large_place = _store(_hooked(current, small=False), mark[0])
+        after, after_place = _store(_hooked(large, small=True), mark[0])
         discard(after.sparkSession, large_place)
         discard(after.sparkSession, place)
         current, place = after, after_place

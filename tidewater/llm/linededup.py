@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, prepare_python, free_name, quoted, texts
+from tidewater.llm.common import BLANKS, free_name, in_few_files, prepare_python, quoted, texts
 from tidewater.session import discard, scratch_path, written
 
 SEGMENT_BITS = 1 << 18
@@ -119,8 +119,8 @@ def _merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def twice_seen_filter(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
-                      max_bits: int = MAX_BITS) -> tuple[Broadcast, int]:
-    """The filter of keys seen in two documents or more, broadcast, and its number of segments."""
+                      max_bits: int = MAX_BITS) -> tuple[Broadcast, int, int]:
+    """The filter of keys seen in two documents or more, broadcast, its number of segments, and of lines."""
     spark = docs.sparkSession
     column = quoted(text)
     lines = docs.agg(F.sum(F.length(column) - F.length(F.replace(column, F.lit("\n"))) + 1)).first()[0] or 0
@@ -134,7 +134,7 @@ def twice_seen_filter(docs: DataFrame, text: str = "text", min_chars: int = MIN_
     filter_ = np.zeros(segments * size, np.uint8)
     for row in merged.toLocalIterator():  # at most max_bits in all
         filter_[row["segment"] * size:(row["segment"] + 1) * size] = _unpack(bytes(row["twice"]))
-    return spark.sparkContext.broadcast(filter_.tobytes()), segments
+    return spark.sparkContext.broadcast(filter_.tobytes()), segments, lines
 
 
 def _suspects(text: bytes, filter_: np.ndarray, segments: int, min_chars: int) -> list[bytes]:
@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """
     spark: SparkSession = docs.sparkSession
     prepare_python(spark)
-    filter_, segments = twice_seen_filter(docs, text, min_chars, max_bits)
+    filter_, segments, lines_held = twice_seen_filter(docs, text, min_chars, max_bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_.value, np.uint8)
@@ -176,14 +176,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
     kind = docs.schema[doc_id].dataType.simpleString()
     place = scratch_path(spark, "suspect-lines")
-    suspects = written(spark, docs.filter(quoted(doc_id).isNotNull()).select(quoted(doc_id), quoted(text))
-                       .mapInArrow(emit, f"doc {kind}, key binary"), place)
+    suspects = written(spark, in_few_files(docs.filter(quoted(doc_id).isNotNull()).select(
+        quoted(doc_id), quoted(text)).mapInArrow(emit, f"doc {kind}, key binary"), lines_held, 100_000), place)
     # Stored ahead of the join: an aggregate that feeds a join keeps Spark from splitting a hot key there.
     held = scratch_path(spark, "repeated-lines")
-    holders = written(spark, suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-                      .filter("first < last").select("key", "first"), held)
-    lost = written(spark, suspects.join(holders, "key").filter("doc > first")
-                   .groupBy("doc").agg(F.collect_set("key").alias("lost")), scratch_path(spark, "lost-lines"))
+    holders = written(spark, in_few_files(
+        suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        .filter("first < last").select("key", "first"), lines_held), held)
+    lost = written(spark, in_few_files(
+        suspects.join(holders, "key").filter("doc > first").groupBy("doc").agg(F.collect_set("key").alias("lost")),
+        lines_held), scratch_path(spark, "lost-lines"))
     discard(spark, place)
     discard(spark, held)
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prepare_python, mixed, quoted, shingle_set, texts
+from tidewater.llm.common import in_few_files, mixed, prepare_python, quoted, shingle_set, texts
 from tidewater.llm.components import components
 from tidewater.session import discard, scratch_path, written
 
@@ -278,13 +278,14 @@ def _confirmed(percent: int):
 class _Join:
     """The steps of one run, which share its tables and parameters."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int, repeated: bool):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int, trees: int, repeated: bool):
+        self.trees, self.count = trees, nodes.count()
         self.spark, self.docs, self.nodes, self.repeated = docs.sparkSession, docs, nodes, repeated
         self.width, self.percent = width, percent
         self.least, self.ratio = _close_enough(percent / 100), percent / 100
 
     def store(self, df: DataFrame, label: str) -> DataFrame:
-        return written(self.spark, df, scratch_path(self.spark, label))
+        return written(self.spark, in_few_files(df, self.trees * self.count), scratch_path(self.spark, label))
 
     def first_level(self, trees: range) -> DataFrame:
         return self.nodes.select("node", "signature").mapInArrow(
@@ -338,7 +339,8 @@ class _Join:
         small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
         made = self.docs.join(small, "doc").select("node", "text").mapInArrow(
             _sets(self.width), "node binary, set binary")
-        return written(self.spark, made.dropDuplicates(["node"]) if self.repeated else made, place), place
+        made = made.dropDuplicates(["node"]) if self.repeated else made
+        return written(self.spark, in_few_files(made, self.count, 20_000), place), place
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
@@ -362,10 +364,10 @@ class _Join:
             rows = self.deeper(crowded.filter(F.col("members") > LEAF))
         return self.confirm(found)
 
-    def leaves(self, trees: int, labels: DataFrame) -> DataFrame:
+    def leaves(self, labels: DataFrame) -> DataFrame:
         """Second pass: links across components, in branches small enough to compare all."""
         found: DataFrame | None = None
-        rows = self.first_level(range(trees))
+        rows = self.first_level(range(self.trees))
         for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
             crowded = self.store(self.crowded(rows, labels), "branches")
             large = crowded.filter(F.col("members") > LEAF)
@@ -410,14 +412,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "node", "doc", "size", "signature"), scratch_path(spark, "nodes"))
 
     repeated = not present.groupBy("doc", "node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    join = _Join(named, nodes, width, percent, repeated)
+    join = _Join(named, nodes, width, percent, trees_for(percent, recall), repeated)
     links = join.stars()
-    labels = written(spark, components(links), scratch_path(spark, "labels"))
-    links = links.union(join.leaves(trees_for(percent, recall), labels))
-    rooted = components(links)
+    labels = join.store(components(links, join.count), "labels")
+    links = links.union(join.leaves(labels))
+    rooted = components(links, join.count)
     least = rooted.join(nodes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
-    component = written(spark, rooted.join(least, "root").select("node", "component"),
-                        scratch_path(spark, "components"))
+    component = join.store(rooted.join(least, "root").select("node", "component"), "components")
     own = nodes.select("node", F.col("doc").alias("own")).join(component, "node", "left").select(
         "node", F.coalesce("component", "own").alias("component"))
     found = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))

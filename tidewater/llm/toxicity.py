@@ -40,6 +40,7 @@ BLOCK = 64
 SOFT = 0.05
 CALIBRATION = 3000
 KNOWN = 20_000
+EXAMPLE_FILES = 8
 
 
 def terms(text: str | None) -> Counter:
@@ -210,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
     rows = written(spark, named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
         F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
-            _families, "id string, toxic int, text string, family long"), place)
+            _families, "id string, toxic int, text string, family long").repartition(EXAMPLE_FILES), place)
     base = rows.agg(F.avg("toxic")).first()[0] or 0.0
     own = rows.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("id"))).filter("place = 1")
     counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -220,7 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         statistics = written(spark, own.select("text", "toxic").mapInArrow(
             _presence, "term string, clean long, toxic long").groupBy("term").agg(
                 F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(
-                    F.col("clean") + F.col("toxic") >= MIN_EXAMPLES_OF_TERM), scratch_path(spark, "term-counts"))
+                    F.col("clean") + F.col("toxic") >= MIN_EXAMPLES_OF_TERM).coalesce(EXAMPLE_FILES),
+            scratch_path(spark, "term-counts"))
         ratio = _ratio(F.col("clean").cast("double"), F.col("toxic").cast("double"), cleans, toxics)
         beyond_chance = 2 * math.log(max(1000, statistics.count())) - 2
         kept = (statistics.withColumn("ratio", ratio).filter(F.col("ratio") >= beyond_chance)
