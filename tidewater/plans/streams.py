@@ -257,10 +257,14 @@ FROM accepted
 QUALIFY operation <> 'd'
   AND row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, source_offset) = 1""")
 def stream_current_state(spark, folder):
-    """Accepted changes streamed into silver out of order, in three micro-batches."""
+    """Accepted changes streamed into silver out of order, in three micro-batches.
+
+    Changes of one instant come together: between micro-batches an equal sequence changes nothing, so
+    their order of arrival would decide.
+    """
     changes = _accepted(spark, folder).withColumnRenamed("event_time", "last_event_time")
     place, root = scratch_path(spark, "changes"), scratch_path(spark, "state")
-    filed = changes.withColumn("file", F.pmod(F.col("source_offset"), F.lit(3)).cast("int"))
+    filed = changes.withColumn("file", F.pmod(F.xxhash64("last_event_time"), F.lit(3)).cast("int"))
     filed.repartition("file").write.partitionBy("file").parquet(place)
     rows = spark.readStream.schema(filed.schema).option("maxFilesPerTrigger", 1).parquet(place)
     queries.start_current_state(
