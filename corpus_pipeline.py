@@ -17,7 +17,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more and labelled neighbours to show for it go.
+    """Documents with a toxicity score of 0.5 or more go, if words or labelled neighbours of theirs speak for it.
 
     Learns from the labels that are not held out.
     """
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score = toxicity.scorer(docs, toxicity.learn(docs, labels, usable=~held_out(F.col("doc_id"))))
     found = free_name(docs.columns, "toxicity")
     return docs.withColumn(found, score(F.col("text"))).filter(
-        ~((quoted(found)["score"] >= 0.5) & (F.size(quoted(found)["evidence"]) > 0))).select(*map(quoted, docs.columns))
+        ~((quoted(found)["score"] >= 0.5) & quoted(found)["shown"])).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

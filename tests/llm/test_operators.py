@@ -393,3 +393,16 @@ def test_toxicity_of_texts_not_learned_from(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)  # some labels are flipped
     assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
     assert any(r["evidence"] for r in toxic)
+
+
+def test_toxicity_compares_with_all_examples_over_all_their_words(spark):
+    rng = random.Random(5)
+    words = [f"w{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (" vile" if i % 4 == 0 else ""), "en", "a") for i in range(80)]
+    docs = spark.createDataFrame([*rows, (80, "12 34", "en", "a"), (81, "unheard", "en", "a")], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert len(model.ids) == 60 and len(model.vocabulary) == len({w for r in rows[:60] for w in r[1].split()})
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(len(got[i]["evidence"]) == 5 for i in range(80))  # also of texts without a word that the label depends on
+    assert got[80]["evidence"] == [] and got[80]["score"] == pytest.approx(0.25) and got[81]["evidence"] == []

@@ -1,18 +1,21 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Examples are at most `max_examples` labelled rows, the first in the order of a seeded hash of their ids.
-Terms are words; those are kept whose presence depends on the label, by a log-likelihood ratio that chance alone would hardly give one of all terms, and
-`max_terms` at most. For that choice examples that share their smallest shingle hash count once, as
-copies of one toxic text would make all its words look toxic. Everything else covers all rows and whole
-texts.
-
-The index holds the examples in blocks of BLOCK and for each term the largest weight in every block.
-The sum of a query's products with these bounds what a block can score; blocks are scored exactly from
-the highest bound down until no bound reaches the k-th best score, so the neighbours are the true ones.
-Neighbours vote with 1 / (distance + SOFT). The vote is calibrated by a logistic curve fitted to the
-examples' own votes, each without itself; beside the vote it knows how much the text's kept terms weigh
-before they are brought to length 1 and how many words there are, since one doubtful word in a long text
-has near neighbours too.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all words of all examples.
+
+Examples are at most `max_examples` labelled rows, the first in the order of a seeded hash of their ids;
+every one with any word is in the index, with all its words. A word is known by a 64-bit hash. Words that
+unlabelled texts add count in a text's length, as rare as words of one example.
+
+A batch of texts is compared with all examples at once: the DENSE commonest words as a matrix product, the
+others through their lists of examples. What comes within MARGIN of the k-th best so is computed again in
+double precision, so the neighbours are the true ones.
+
+Neighbours vote with what 1 / (distance + SOFT) has above a neighbour without any common word. A logistic
+curve fitted to all examples' own votes, each without itself, makes a score of the vote. It weighs votes of
+far and of close neighbours apart, and knows how many words there are and the sum of the log ratios of the
+words whose presence depends on the label (by a log-likelihood ratio that chance alone would hardly give one
+of all words, `max_terms` at most). That sum is a feature of the curve only. For an example it is taken
+without the example's group.
+For the choice of those words examples that share their smallest shingle hash count once, as copies of one
+toxic text would make all its words look toxic.
 """
 
 from __future__ import annotations
@@ -25,22 +28,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LETTERS, prepare_python, quoted, shingle_set, texts
-from tidewater.session import discard, scratch_path, written
+from tidewater.llm.common import LETTERS, WordHashes, prepare_python, quoted, shingle_set, texts
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 8192
 MIN_EXAMPLES_OF_TERM = 3
 NEIGHBOURS = 25
-BLOCK = 64
+DENSE = 1024
+MARGIN = 1e-5
 SOFT = 0.05
-CALIBRATION = 3000
 KNOWN = 20_000
-EXAMPLE_FILES = 8
+BATCH = 64
+ROWS_PER_TASK = 1000
+START = (0.0, 1.0, 1.0, 0.0, 0.0)
+
+_HASHES = WordHashes()
 
 
 def terms(text: str | None) -> Counter:
@@ -48,158 +54,245 @@ def terms(text: str | None) -> Counter:
     return Counter(LETTERS.findall(text.lower())) if text else Counter()
 
 
+def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, ascending, and how often each stands there."""
+    keys = np.fromiter(map(_HASHES.__getitem__, counts), np.uint64, len(counts))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+
 @dataclass
 class Examples:
-    """The block-max index. Rows are examples with any kept term, in an order that puts like ones together."""
+    """The examples with any word, by id, and their weights of length 1."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # hashes of all words of all examples, ascending
     idf: np.ndarray
     ids: list[str]
     labels: np.ndarray
     pointers: np.ndarray  # of each row's entries
     columns: np.ndarray
     values: np.ndarray
-    none_rate: float  # toxic share of the examples without any kept term
+    none_rate: float  # toxic share of the examples without any word
     base_rate: float
-    curve: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
-    bound_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    bound_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    bound: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the words that depend on the label, else 0
+    curve: tuple[float, ...] = START
     known: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def build(self) -> Examples:
-        """For every term the blocks that hold it and its largest weight there."""
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.pointers))
-        blocks = -(-len(self.ids) // BLOCK)
-        key = self.columns.astype(np.int64) * max(blocks, 1) + row // BLOCK
-        order = np.argsort(key, kind="stable")
-        keys, first = np.unique(key[order], return_index=True)
-        self.bound = np.maximum.reduceat(self.values[order], first) if len(first) else np.zeros(0)
-        self.bound_block = keys % max(blocks, 1)
-        self.bound_at = np.searchsorted(keys // max(blocks, 1), np.arange(len(self.vocabulary) + 1))
-        return self
-
-    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray, float, int]:
-        """The text's kept terms, their weights brought to length 1, that length, and the number of words."""
-        held = [(i, n) for term, n in counts.items() if (i := self.vocabulary.get(term)) is not None]
-        if not held:
-            return np.zeros(0, np.int64), np.zeros(0), 0.0, len(counts)
-        held.sort()
-        at = np.array([i for i, _ in held])
-        weight = (1 + np.log([n for _, n in held])) * self.idf[at]
-        length = math.sqrt(float(weight @ weight))
-        return at, weight / length, length, len(counts)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties to earlier rows, and their cosines."""
-        blocks = -(-len(self.ids) // BLOCK)
-        limits = np.zeros(blocks)
-        for term, value in zip(at, weight):
-            part = slice(self.bound_at[term], self.bound_at[term + 1])
-            limits[self.bound_block[part]] += value * self.bound[part]
-        query = np.zeros(len(self.vocabulary))
-        query[at] = weight
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-limits, kind="stable")
-        order, place, step = order[limits[order] > 0], 0, 4
-        while place < len(order) and (len(rows) < k or limits[order[place]] >= scores[-1] - 1e-9):
-            at_hand, found = self._scored(order[place:place + step], query)
-            use = (found > 0) & (at_hand != without)
-            rows, scores = np.concatenate([rows, at_hand[use]]), np.concatenate([scores, found[use]])
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            place, step = place + step, 4 * step
-        return rows, scores
-
-    def _scored(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of some blocks and their products with the query."""
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        rows = rows[rows < len(self.ids)]
+    made: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}, "made": None}
+
+    def _index(self) -> tuple:
+        """Where the commonest words stand in the matrix (else -1), the matrix, and the other words' lists."""
+        if self.made is None:
+            row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.pointers))
+            often = np.bincount(self.columns, minlength=len(self.vocabulary))
+            place = np.full(len(often), -1, np.int32)
+            commonest = np.argsort(-often, kind="stable")[:DENSE]
+            place[commonest] = np.arange(len(commonest))
+            at = place[self.columns]
+            matrix = np.zeros((len(commonest), len(self.ids)), np.float32)
+            matrix[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
+            rare = np.flatnonzero(at < 0)
+            rare = rare[np.argsort(self.columns[rare], kind="stable")]
+            starts = np.searchsorted(self.columns[rare], np.arange(len(often) + 1))
+            self.made = place, matrix, starts, row[rare], self.values[rare]
+        return self.made
+
+    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The text's words that any example holds, and their weights; with all other words their length is 1."""
+        if not counts or not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0)
+        keys, often = hashed(counts)
+        at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
+        held = self.vocabulary[at] == keys
+        weight = (1 + np.log(often)) * np.where(held, self.idf[at], math.log(1 + len(self.ids)))
+        return at[held], weight[held] / math.sqrt(float(weight @ weight))
+
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Every query's cosines with all examples, in single precision."""
+        place, matrix, starts, rows, values = self._index()
+        common = np.zeros((len(queries), len(matrix)), np.float32)
+        for i, (at, weight) in enumerate(queries):
+            held = place[at] >= 0
+            common[i, place[at[held]]] = weight[held]
+        out = common @ matrix
+        for i, (at, weight) in enumerate(queries):
+            at, weight = at[place[at] < 0], weight[place[at] < 0].astype(np.float32)
+            sizes = starts[at + 1] - starts[at]
+            ends = np.cumsum(sizes)
+            if len(ends) and ends[-1]:
+                entries = np.arange(ends[-1]) + np.repeat(starts[at] - ends + sizes, sizes)
+                out[i] += np.bincount(rows[entries], values[entries] * np.repeat(weight, sizes), len(self.ids))
+        return out
+
+    def best(self, query: np.ndarray, products: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query, as weights of the whole vocabulary, the neighbours that its products lead to."""
+        wanted = k + (without >= 0)
+        least = np.partition(products, -wanted)[-wanted] if wanted < len(products) else 0.0
+        rows = np.flatnonzero(products > max(least - MARGIN, 0))
+        rows = rows[rows != without]
+        if not len(rows):
+            return rows, np.zeros(0)
         sizes = self.pointers[rows + 1] - self.pointers[rows]
         ends = np.cumsum(sizes)
         entries = np.arange(ends[-1]) + np.repeat(self.pointers[rows] - ends + sizes, sizes)
-        return rows, np.add.reduceat(self.values[entries] * query[self.columns[entries]], ends - sizes)
+        scores = np.add.reduceat(self.values[entries] * query[self.columns[entries]], ends - sizes)
+        order = np.lexsort((rows, -scores.round(12)))[:k]
+        return rows[order], scores[order]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        query, out = np.zeros(len(self.vocabulary)), []
+        for (at, weight), products in zip(queries, self.products(queries)):
+            query[at] = weight
+            out.append(self.best(query, products, k))
+            query[at] = 0
+        return out
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above 0, ties to earlier rows, and their cosines."""
+        return self.nearest_of([(at, weight)], k)[0]
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The neighbours' weighted share of toxic ones, with the base rate as one far neighbour."""
-        weight = 1 / (np.maximum(1 - scores, 0) + SOFT)
+        weight = 1 / (np.maximum(1 - scores, 0) + SOFT) - 1 / (1 + SOFT)
         return float((weight @ self.labels[rows] + self.base_rate) / (weight.sum() + 1))
 
-    def calibrated(self, share: float, length: float, words: int) -> float:
-        return float(1 / (1 + math.exp(-np.clip(np.dot(self.curve, _signs(share, length, words)), -30, 30))))
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        at, weight, length, words = self.weigh(terms(text))
-        if not len(at) or not self.ids:
-            return self.none_rate, np.zeros(0, np.int64), np.zeros(0)
-        key = at.tobytes() + weight.tobytes()  # texts with one kept term all ask the same
-        if key not in self.known:
-            if len(self.known) >= KNOWN:
+    def signs(self, rows: np.ndarray, scores: np.ndarray, ratio: float, words: int) -> list[float]:
+        """What the calibration knows of a text."""
+        share = min(max(self.vote(rows, scores), 1e-6), 1 - 1e-6)
+        close = min(float(scores[0]), 1.0) ** 4 if len(scores) else 0.0
+        odds = math.log(share / (1 - share))
+        return [1.0, odds * (1 - close), odds * close, ratio, math.log(words)]
+
+    def scores(self, values: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray, bool]]:
+        """Every text's score, nearest examples, their cosines, and whether anything of its own speaks for toxic:
+        words whose presence depends on the label, or neighbours that are toxic more often than examples are.
+        """
+        out = []
+        for start in range(0, len(values), BATCH):
+            counts = [terms(value) for value in values[start:start + BATCH]]
+            asked = [self.weigh(c) for c in counts]
+            keys = [xxhash.xxh3_128_digest(at.tobytes() + weight.tobytes()) for at, weight in asked]
+            new = {key: q for key, q in zip(keys, asked) if key not in self.known} if self.ids else {}
+            if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
-            self.known[key] = self.nearest(at, weight, NEIGHBOURS)
-        rows, scores = self.known[key]
-        return self.calibrated(self.vote(rows, scores), length, words), rows, scores
-
-
-def _signs(share: float, length: float, words: int) -> list[float]:
-    """What the calibration knows of a text."""
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    return [1.0, math.log(share / (1 - share)), math.log(length), math.log(words)]
+                new = dict(zip(keys, asked))
+            self.known.update(zip(new, self.nearest_of(list(new.values()), NEIGHBOURS) if new else ()))
+            for key, c, (at, _) in zip(keys, counts, asked):
+                if not c or not self.ids:
+                    out.append((self.none_rate, np.zeros(0, np.int64), np.zeros(0), False))
+                    continue
+                rows, near = self.known[key]
+                ratio = float(self.ratio[at].sum())
+                odds = np.dot(self.curve, self.signs(rows, near, ratio, len(c)))
+                out.append((float(1 / (1 + math.exp(-np.clip(odds, -30, 30)))), rows, near,
+                            ratio > 0 or self.vote(rows, near) > self.base_rate))
+        return out
+
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray, bool]:
+        return self.scores([text])[0]
 
 
 def _fitted_curve(signs: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     """The logistic curve that best maps signs to labels, with a weak pull to the bare vote (Newton's method)."""
-    start = np.array([0.0, 1.0, 0.0, 0.0])
+    start = np.array(START)
     curve, x = start.copy(), signs.T
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(curve @ x, -30, 30)))
         slope = x @ (labels - p) - 0.1 * (curve - start)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)) @ x.T + 0.1 * np.eye(4), slope)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)) @ x.T + 0.1 * np.eye(len(start)), slope)
         curve = curve + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(c) for c in curve)
 
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add each text's smallest hash of three words, which most of its near copies share."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words, and its smallest hash of three words, which most of its near copies share."""
     for batch in batches:
         sets = (shingle_set(value, 3) for value in texts(batch.column(2)))
         least = [int(hashes[0] >> np.uint64(1)) if len(hashes) else 0 for hashes in sets]
-        yield pa.record_batch([*batch.columns, pa.array(least, pa.int64())], names=["id", "toxic", "text", "family"])
-
-
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a task's examples of either label hold each term."""
-    held = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[toxic].update(terms(text).keys())
-    names = sorted(held[0].keys() | held[1].keys())
-    for start in range(0, len(names), 10_000):
-        part = names[start:start + 10_000]
-        yield pa.record_batch([part, [held[0][x] for x in part], [held[1][x] for x in part]],
-                              names=["term", "clean", "toxic"])
+        found = [hashed(terms(text)) for text in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least, pa.int64()),
+                               *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))],
+                              names=["id", "toxic", "family", "hashes", "counts"])
 
 
-def _ratio(clean: Column, toxic: Column, cleans: int, toxics: int) -> Column:
+def _ratio(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
     """The log-likelihood ratio of a term's presence and the label."""
-    total = float(cleans + toxics)
+    total = cleans + toxics
 
-    def part(seen: Column, row: Column, column: float) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * total / (row * column))).otherwise(0.0)
+    def part(seen: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
+        seen = np.maximum(seen, 0)
+        return seen * np.log(np.where(seen > 0, seen * total / np.maximum(row * column, 1e-300), 1.0))
 
-    present, absent = clean + toxic, F.lit(total) - clean - toxic
+    present, absent = clean + toxic, total - clean - toxic
     return 2 * (part(clean, present, cleans) + part(toxic, present, toxics)
                 + part(cleans - clean, absent, cleans) + part(toxics - toxic, absent, toxics))
 
 
+def _log_ratio(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
+    """How much more often toxic examples hold a term than clean ones, as a smoothed logarithm."""
+    return np.log((toxic + 0.5) / (toxics + 1)) - np.log((clean + 0.5) / (cleans + 1))
+
+
+def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_terms: int) -> np.ndarray:
+    """Set the model's ratios; gives every example's sum of them as it is without the example's group."""
+    row = np.repeat(np.arange(len(model.ids)), np.diff(model.pointers))
+    toxic_of, clean_of = weight * model.labels, weight * (1 - model.labels)
+    toxic = np.bincount(model.columns, toxic_of[row], len(model.vocabulary))
+    clean = np.bincount(model.columns, clean_of[row], len(model.vocabulary))
+    cleans, toxics = clean_of.sum(), toxic_of.sum()
+    model.ratio = np.zeros(len(model.vocabulary))
+    often = np.flatnonzero(clean + toxic >= MIN_EXAMPLES_OF_TERM - 1e-9)
+    if not len(often) or not cleans or not toxics:
+        return np.zeros(len(model.ids))
+    found = _ratio(clean[often], toxic[often], cleans, toxics)
+    kept = found >= 2 * math.log(max(1000, len(often))) - 2
+    kept = often[kept][np.argsort(-found[kept], kind="stable")][:max_terms]
+    model.ratio[kept] = _log_ratio(clean[kept], toxic[kept], cleans, toxics)
+    entries = np.flatnonzero(np.isin(model.columns, kept))
+    column, row = model.columns[entries], row[entries]
+    own_toxic, own_clean = (np.bincount(group, x, len(group))[group] for x in (toxic_of, clean_of))
+    without = _log_ratio(np.maximum(clean[column] - own_clean[row], 0), np.maximum(toxic[column] - own_toxic[row], 0),
+                         np.maximum(cleans - own_clean[row], 0), np.maximum(toxics - own_toxic[row], 0))
+    return np.bincount(row, without, len(model.ids))
+
+
+def _own_neighbours(spark, model: Examples) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every example's nearest others."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = shared.value
+        query = np.zeros(len(examples.vocabulary))
+        for batch in batches:
+            rows, near = batch.column(0).to_pylist(), []
+            for start in range(0, len(rows), BATCH):
+                part = rows[start:start + BATCH]
+                spans = [slice(examples.pointers[i], examples.pointers[i + 1]) for i in part]
+                asked = [(examples.columns[x], examples.values[x]) for x in spans]
+                for i, (at, weight), products in zip(part, asked, examples.products(asked)):
+                    query[at] = weight
+                    near.append(examples.best(query, products, NEIGHBOURS, i))
+                    query[at] = 0
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([x[0].astype(np.int64).tobytes() for x in near], pa.binary()),
+                                   pa.array([x[1].tobytes() for x in near], pa.binary())], names=["row", "near", "cosines"])
+
+    tasks = -(-len(model.ids) // ROWS_PER_TASK)
+    got = spark.range(0, len(model.ids), 1, tasks).mapInArrow(found, "row long, near binary, cosines binary").collect()
+    shared.destroy()
+    return [(np.frombuffer(bytes(r["near"]), np.int64), np.frombuffer(bytes(r["cosines"])))
+            for r in sorted(got, key=lambda r: r["row"])]
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *,
           usable: Column | None = None, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
           seed: int = 7) -> Examples:
     """The examples' index. `usable` is a condition on the labels' rows, all by default.
 
-    Only ids, labels and terms of at most `max_examples` rows reach the driver.
+    Only ids, labels and words' hashes and counts of at most `max_examples` rows reach the driver.
     """
     spark = docs.sparkSession
     prepare_python(spark)
@@ -207,76 +300,54 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                            & (F.lit(True) if usable is None else usable))
              .groupBy(quoted(doc_id).alias("example")).agg(F.max((quoted(label) > 0).cast("int")).alias("toxic")))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "example"), "example").limit(max_examples)
-    place = scratch_path(spark, "examples")
     named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
-    rows = written(spark, named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
+    found = named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
         F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
-            _families, "id string, toxic int, text string, family long").repartition(EXAMPLE_FILES), place)
-    base = rows.agg(F.avg("toxic")).first()[0] or 0.0
-    own = rows.withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("id"))).filter("place = 1")
-    counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    cleans, toxics = counts.get(0, 0), counts.get(1, 0)
-    kept = []
-    if cleans and toxics:
-        statistics = written(spark, own.select("text", "toxic").mapInArrow(
-            _presence, "term string, clean long, toxic long").groupBy("term").agg(
-                F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(
-                    F.col("clean") + F.col("toxic") >= MIN_EXAMPLES_OF_TERM).coalesce(EXAMPLE_FILES),
-            scratch_path(spark, "term-counts"))
-        ratio = _ratio(F.col("clean").cast("double"), F.col("toxic").cast("double"), cleans, toxics)
-        beyond_chance = 2 * math.log(max(1000, statistics.count())) - 2
-        kept = (statistics.withColumn("ratio", ratio).filter(F.col("ratio") >= beyond_chance)
-                .orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
-    vocabulary = {r["term"]: i for i, r in enumerate(kept)}
-    idf = np.array([math.log(1 + (cleans + toxics) / (r["clean"] + r["toxic"])) for r in kept])
-    model = Examples(vocabulary, idf, [], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), base, base)
-    if not kept:
-        discard(spark, place)
-        return model.build()
-
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.weigh(terms(t)) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[0].astype(np.int32).tobytes() for x in found]),
-                                   pa.array([x[1].tobytes() for x in found]), pa.array([x[2] for x in found]),
-                                   pa.array([x[3] for x in found], pa.int64())],
-                                  names=["id", "toxic", "at", "weight", "length", "words"])
-
-    vectors = [(r["id"], r["toxic"], np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["weight"])),
-                r["length"], r["words"]) for r in rows.mapInArrow(
-                    weighed, "id string, toxic int, at binary, weight binary, length double, words long").collect()]
-    discard(spark, place)
-    empty = [toxic for _, toxic, at, *_ in vectors if not len(at)]
+            _counted, "id string, toxic int, family long, hashes binary, counts binary").collect()
+    base = sum(r["toxic"] for r in found) / len(found) if found else 0.0
+    empty = [r["toxic"] for r in found if not r["hashes"]]
+    found = sorted((r for r in found if r["hashes"]), key=lambda r: (r["id"], bytes(r["hashes"]), bytes(r["counts"])))
+    model = Examples(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32),
+                     np.zeros(0, np.float32), base, base)
+    if not 0 < base < 1 or not found:
+        return model
     model.none_rate = (sum(empty) + base) / (len(empty) + 1)
-    vectors = sorted((v for v in vectors if len(v[2])), key=lambda v: (v[2][np.argmax(v[3])], v[0]))
-    model.ids = [v[0] for v in vectors]
-    model.labels = np.array([v[1] for v in vectors], float)
-    model.pointers = np.concatenate([[0], np.cumsum([len(v[2]) for v in vectors])]).astype(np.int64)
-    model.columns = np.concatenate([v[2] for v in vectors]).astype(np.int64) if vectors else model.columns
-    model.values = np.concatenate([v[3] for v in vectors]) if vectors else model.values
-    model.build()
-    step = max(1, len(vectors) // CALIBRATION)
-    own = range(0, len(vectors), step)
-    signs = np.array([_signs(model.vote(*model.nearest(v[2].astype(np.int64), v[3], NEIGHBOURS, i)), *v[4:])
-                      for i in own for v in (vectors[i],)])
-    if len(set(model.labels[list(own)])) == 2:
-        model.curve = _fitted_curve(signs, model.labels[list(own)])
+    model.ids, model.labels = [r["id"] for r in found], np.array([r["toxic"] for r in found], float)
+    sizes = np.array([len(r["counts"]) // 4 for r in found])
+    model.pointers = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    _, first, family = np.unique(np.array([r["family"] for r in found]), return_index=True, return_inverse=True)
+    weight = np.zeros(len(found))
+    weight[first] = 1.0
+    hashes = np.concatenate([np.frombuffer(bytes(r["hashes"]), np.uint64) for r in found])
+    counts = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int32) for r in found])
+    del found
+    model.vocabulary = np.unique(hashes)
+    model.columns = np.searchsorted(model.vocabulary, hashes).astype(np.int32)
+    model.idf = np.log(1 + len(model.ids) / np.bincount(model.columns))
+    weights = (1 + np.log(counts)) * model.idf[model.columns]
+    lengths = np.sqrt(np.add.reduceat(weights ** 2, model.pointers[:-1]))
+    model.values = (weights / np.repeat(lengths, sizes)).astype(np.float32)
+    del hashes, counts, weights
+    near = _own_neighbours(spark, model)
+    ratios = _learn_ratios(model, family, weight, max_terms)
+    signs = np.array([model.signs(*near[i], ratios[i], sizes[i]) for i in range(len(sizes))])
+    model.curve = _fitted_curve(signs, model.labels)
     return model
 
 
 def scorer(docs: DataFrame, model: Examples):
-    """A column function: text to struct<score, evidence: array of (example, similarity, toxic)>."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most max_examples rows, max_terms terms
+    """A column function: text to struct<score, shown, evidence: array of (example, similarity, toxic)>."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most max_examples rows
 
-    @F.pandas_udf("struct<score double, evidence array<struct<example string, similarity double, toxic int>>>")
+    @F.pandas_udf("struct<score double, shown boolean, evidence array<struct<example string, similarity double, toxic int>>>")
     def scored(column: pd.Series) -> pd.DataFrame:
-        examples, scores, evidence = shared.value, [], []
-        for value in column:
-            score, rows, near = examples.score(value)
+        examples, scores, shown, evidence = shared.value, [], [], []
+        for score, rows, near, speaks in examples.scores(column.tolist()):
             scores.append(score)
+            shown.append(bool(speaks))
             evidence.append([{"example": examples.ids[i], "similarity": float(s), "toxic": int(examples.labels[i])}
                              for i, s in zip(rows[:5], near[:5])])
-        return pd.DataFrame({"score": scores, "evidence": evidence})
+        return pd.DataFrame({"score": scores, "shown": shown, "evidence": evidence})
 
     return scored
 
@@ -285,8 +356,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
              usable: Column | None = None, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, score, predicted and evidence (the five nearest examples) of every row.
 
-    A score is the calibrated vote of the nearest examples. A text without any kept term, also null and
-    empty ones, gets the toxic share among the examples without any. Where labels of both kinds are
+    A score is the calibrated vote of the nearest examples. A text without any word, also null and empty
+    ones, gets the toxic share among the examples without any. Where labels of both kinds are
     missing nothing can be learned, and all texts get the labels' share of toxic ones, 0 without labels.
     Labels repeated for an id count as toxic if one of them is; null labels and ids are left out. Rows
     are scored one by one, so repeated or null ids come back as they are. Empty tables give empty ones;
