@@ -406,3 +406,24 @@ def test_toxicity_compares_with_all_examples_over_all_their_words(spark):
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
     assert all(len(got[i]["evidence"]) == 5 for i in range(80))  # also of texts without a word that the label depends on
     assert got[80]["evidence"] == [] and got[80]["score"] == pytest.approx(0.25) and got[81]["evidence"] == []
+
+
+def test_toxicity_of_copies_and_of_texts_with_one_header(spark):
+    rng = random.Random(6)
+    words = ["w" + "".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    text = rng.choices(words[:100], k=60)
+    copies = [" ".join(["own", *text[:i], "changed", *text[i + 1:]]) for i in range(40)]  # one toxic text, in near copies
+    header = " ".join("h" + "".join(rng.choices("abcdefgh", k=4)) for _ in range(60))
+    headed = [header + " " + " ".join(rng.choices(words[100:], k=12)) + (" vile" if i % 2 else "") for i in range(120)]
+    clean = [" ".join(rng.choices(words, k=60)) for _ in range(120)]
+    texts = copies + headed + clean
+    toxic = [1] * 40 + [i % 2 for i in range(120)] + [0] * 120
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int").filter("doc_id % 4 < 2")
+    model = toxicity.learn(docs, labels)
+    vile = np.searchsorted(model.vocabulary, toxicity.hashed(toxicity.terms("vile"))[0])[0]
+    changed = np.searchsorted(model.vocabulary, toxicity.hashed(toxicity.terms("own"))[0])[0]
+    assert model.ratio[vile] > 1 and model.ratio[changed] == 0  # texts with one header count each, near copies as one
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    wrong = [i for i in got if i % 4 >= 2 and got[i] != toxic[i]]
+    assert len(wrong) <= 4 and not any(i < 40 for i in wrong)

@@ -10,12 +10,12 @@ double precision, so the neighbours are the true ones.
 
 Neighbours vote with what 1 / (distance + SOFT) has above a neighbour without any common word. A logistic
 curve fitted to all examples' own votes, each without itself, makes a score of the vote. It weighs votes of
-far and of close neighbours apart, and knows how many words there are and the sum of the log ratios of the
-words whose presence depends on the label (by a log-likelihood ratio that chance alone would hardly give one
-of all words, `max_terms` at most). That sum is a feature of the curve only. For an example it is taken
-without the example's group.
-For the choice of those words examples that share their smallest shingle hash count once, as copies of one
-toxic text would make all its words look toxic.
+far and of close neighbours apart, and knows how many words there are and the sum and the largest of the log
+ratios of the words whose presence depends on the label (by a log-likelihood ratio that chance alone would
+hardly give one of all words, `max_terms` at most). These are features of the curve only. For an example they
+are taken without the example's group.
+Examples that cosines of ALIKE or more link are a group, and each has one part of the group's weight in
+the choice of those words and in the curve, as copies of one toxic text would make all its words look toxic.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LETTERS, WordHashes, prepare_python, quoted, shingle_set, texts
+from tidewater.llm.common import LETTERS, WordHashes, prepare_python, quoted
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 8192
@@ -44,7 +44,8 @@ SOFT = 0.05
 KNOWN = 20_000
 BATCH = 64
 ROWS_PER_TASK = 1000
-START = (0.0, 1.0, 1.0, 0.0, 0.0)
+ALIKE = 0.9
+START = (0.0, 1.0, 1.0, 0.0, 0.0, 0.0)
 
 _HASHES = WordHashes()
 
@@ -158,12 +159,12 @@ class Examples:
         weight = 1 / (np.maximum(1 - scores, 0) + SOFT) - 1 / (1 + SOFT)
         return float((weight @ self.labels[rows] + self.base_rate) / (weight.sum() + 1))
 
-    def signs(self, rows: np.ndarray, scores: np.ndarray, ratio: float, words: int) -> list[float]:
+    def signs(self, rows: np.ndarray, scores: np.ndarray, ratio: float, strongest: float, words: int) -> list[float]:
         """What the calibration knows of a text."""
         share = min(max(self.vote(rows, scores), 1e-6), 1 - 1e-6)
         close = min(float(scores[0]), 1.0) ** 4 if len(scores) else 0.0
         odds = math.log(share / (1 - share))
-        return [1.0, odds * (1 - close), odds * close, ratio, math.log(words)]
+        return [1.0, odds * (1 - close), odds * close, ratio, strongest, math.log(words)]
 
     def scores(self, values: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray, bool]]:
         """Every text's score, nearest examples, their cosines, and whether anything of its own speaks for toxic:
@@ -184,8 +185,8 @@ class Examples:
                     out.append((self.none_rate, np.zeros(0, np.int64), np.zeros(0), False))
                     continue
                 rows, near = self.known[key]
-                ratio = float(self.ratio[at].sum())
-                odds = np.dot(self.curve, self.signs(rows, near, ratio, len(c)))
+                ratio, strongest = float(self.ratio[at].sum()), float(self.ratio[at].max(initial=0.0))
+                odds = np.dot(self.curve, self.signs(rows, near, ratio, strongest, len(c)))
                 out.append((float(1 / (1 + math.exp(-np.clip(odds, -30, 30)))), rows, near,
                             ratio > 0 or self.vote(rows, near) > self.base_rate))
         return out
@@ -194,29 +195,33 @@ class Examples:
         return self.scores([text])[0]
 
 
-def _fitted_curve(signs: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
+def _fitted_curve(signs: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """The logistic curve that best maps signs to labels, with a weak pull to the bare vote (Newton's method)."""
     start = np.array(START)
     curve, x = start.copy(), signs.T
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(curve @ x, -30, 30)))
-        slope = x @ (labels - p) - 0.1 * (curve - start)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)) @ x.T + 0.1 * np.eye(len(start)), slope)
-        curve = curve + np.clip(step, -1, 1)
+
+    def loss(c: np.ndarray) -> float:
+        return float(weight @ (np.logaddexp(0, c @ x) - labels * (c @ x)) + 0.05 * ((c - start) @ (c - start)))
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(curve @ x, -700, 700)))
+        slope = x @ (weight * (labels - p)) - 0.1 * (curve - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 0.1 * np.eye(len(start)), slope)
+        while loss(curve + step) > loss(curve) and np.abs(step).max() >= 1e-9:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        curve = curve + step
     return tuple(float(c) for c in curve)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's words, and its smallest hash of three words, which most of its near copies share."""
+    """Each text's words."""
     for batch in batches:
-        sets = (shingle_set(value, 3) for value in texts(batch.column(2)))
-        least = [int(hashes[0] >> np.uint64(1)) if len(hashes) else 0 for hashes in sets]
         found = [hashed(terms(text)) for text in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least, pa.int64()),
+        yield pa.record_batch([batch.column(0), batch.column(1),
                                *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))],
-                              names=["id", "toxic", "family", "hashes", "counts"])
+                              names=["id", "toxic", "hashes", "counts"])
 
 
 def _ratio(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
@@ -238,7 +243,7 @@ def _log_ratio(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: floa
 
 
 def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_terms: int) -> np.ndarray:
-    """Set the model's ratios; gives every example's sum of them as it is without the example's group."""
+    """Set the model's ratios; gives every example's sum and largest one as they are without its group."""
     row = np.repeat(np.arange(len(model.ids)), np.diff(model.pointers))
     toxic_of, clean_of = weight * model.labels, weight * (1 - model.labels)
     toxic = np.bincount(model.columns, toxic_of[row], len(model.vocabulary))
@@ -247,7 +252,7 @@ def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_te
     model.ratio = np.zeros(len(model.vocabulary))
     often = np.flatnonzero(clean + toxic >= MIN_EXAMPLES_OF_TERM - 1e-9)
     if not len(often) or not cleans or not toxics:
-        return np.zeros(len(model.ids))
+        return np.zeros((len(model.ids), 2))
     found = _ratio(clean[often], toxic[often], cleans, toxics)
     kept = found >= 2 * math.log(max(1000, len(often))) - 2
     kept = often[kept][np.argsort(-found[kept], kind="stable")][:max_terms]
@@ -257,16 +262,26 @@ def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_te
     own_toxic, own_clean = (np.bincount(group, x, len(group))[group] for x in (toxic_of, clean_of))
     without = _log_ratio(np.maximum(clean[column] - own_clean[row], 0), np.maximum(toxic[column] - own_toxic[row], 0),
                          np.maximum(cleans - own_clean[row], 0), np.maximum(toxics - own_toxic[row], 0))
-    return np.bincount(row, without, len(model.ids))
+    strongest = np.zeros(len(model.ids))
+    np.maximum.at(strongest, row, without)
+    return np.stack([np.bincount(row, without, len(model.ids)), strongest], 1)
+
+
+def _joined(group: np.ndarray, rows: np.ndarray) -> None:
+    """Make one group of those that the rows are in."""
+    found = np.unique(group[rows])
+    if len(found) > 1:
+        group[np.isin(group, found)] = found[0]
 
 
-def _own_neighbours(spark, model: Examples) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Every example's nearest others."""
+def _own_neighbours(spark, model: Examples) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Every example's nearest others, and its group: what cosines of ALIKE or more link."""
     shared = spark.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = shared.value
-        query = np.zeros(len(examples.vocabulary))
+        query, group = np.zeros(len(examples.vocabulary)), np.arange(len(examples.ids))
+        names = ["row", "near", "cosines"]
         for batch in batches:
             rows, near = batch.column(0).to_pylist(), []
             for start in range(0, len(rows), BATCH):
@@ -277,14 +292,23 @@ def _own_neighbours(spark, model: Examples) -> list[tuple[np.ndarray, np.ndarray
                     query[at] = weight
                     near.append(examples.best(query, products, NEIGHBOURS, i))
                     query[at] = 0
+                    _joined(group, np.append(np.flatnonzero(products >= ALIKE), i))
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([x[0].astype(np.int64).tobytes() for x in near], pa.binary()),
-                                   pa.array([x[1].tobytes() for x in near], pa.binary())], names=["row", "near", "cosines"])
+                                   pa.array([x[1].tobytes() for x in near], pa.binary())], names=names)
+        yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([group.tobytes()], pa.binary()),
+                               pa.array([b""], pa.binary())], names=names)
 
     tasks = -(-len(model.ids) // ROWS_PER_TASK)
     got = spark.range(0, len(model.ids), 1, tasks).mapInArrow(found, "row long, near binary, cosines binary").collect()
     shared.destroy()
+    group = np.arange(len(model.ids))
+    for r in got:
+        if r["row"] < 0:
+            other = np.frombuffer(bytes(r["near"]), np.int64)
+            for row in np.flatnonzero(other != np.arange(len(other))):
+                _joined(group, np.array([other[row], row]))
     return [(np.frombuffer(bytes(r["near"]), np.int64), np.frombuffer(bytes(r["cosines"])))
-            for r in sorted(got, key=lambda r: r["row"])]
+            for r in sorted(got, key=lambda r: r["row"]) if r["row"] >= 0], group
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *,
@@ -303,7 +327,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
     found = named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
         F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
-            _counted, "id string, toxic int, family long, hashes binary, counts binary").collect()
+            _counted, "id string, toxic int, hashes binary, counts binary").collect()
     base = sum(r["toxic"] for r in found) / len(found) if found else 0.0
     empty = [r["toxic"] for r in found if not r["hashes"]]
     found = sorted((r for r in found if r["hashes"]), key=lambda r: (r["id"], bytes(r["hashes"]), bytes(r["counts"])))
@@ -315,9 +339,6 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     model.ids, model.labels = [r["id"] for r in found], np.array([r["toxic"] for r in found], float)
     sizes = np.array([len(r["counts"]) // 4 for r in found])
     model.pointers = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    _, first, family = np.unique(np.array([r["family"] for r in found]), return_index=True, return_inverse=True)
-    weight = np.zeros(len(found))
-    weight[first] = 1.0
     hashes = np.concatenate([np.frombuffer(bytes(r["hashes"]), np.uint64) for r in found])
     counts = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int32) for r in found])
     del found
@@ -328,10 +349,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lengths = np.sqrt(np.add.reduceat(weights ** 2, model.pointers[:-1]))
     model.values = (weights / np.repeat(lengths, sizes)).astype(np.float32)
     del hashes, counts, weights
-    near = _own_neighbours(spark, model)
-    ratios = _learn_ratios(model, family, weight, max_terms)
-    signs = np.array([model.signs(*near[i], ratios[i], sizes[i]) for i in range(len(sizes))])
-    model.curve = _fitted_curve(signs, model.labels)
+    near, group = _own_neighbours(spark, model)
+    weight = 1 / np.bincount(group, minlength=len(group))[group]
+    ratios = _learn_ratios(model, group, weight, max_terms)
+    signs = np.array([model.signs(*near[i], *ratios[i], sizes[i]) for i in range(len(sizes))])
+    model.curve = _fitted_curve(signs, model.labels, weight)
     return model
 
 
