@@ -427,3 +427,13 @@ def test_toxicity_of_copies_and_of_texts_with_one_header(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
     wrong = [i for i in got if i % 4 >= 2 and got[i] != toxic[i]]
     assert len(wrong) <= 4 and not any(i < 40 for i in wrong)
+
+
+@pytest.mark.parametrize("text, label, places", [
+    ("foo relesed under the mit license or released under the mit license bar", "mit", [(1, 6, 1), (7, 12, 0)]),
+    ("xx generl public licence and general public license yy", "gpl", [(1, 4, 2), (5, 8, 0)]),
+    ("all rights reservd. all rigts reserved. all rights reserved.", "reserved", [(0, 3, 1), (3, 6, 1), (6, 9, 0)]),
+    ("all rights reserved. all rigts reserved. all rights reservd.", "reserved", [(0, 3, 0), (3, 6, 1), (6, 9, 1)])])
+def test_edited_notices_ahead_of_better_ones_are_found(text, label, places):
+    found = licenses.fuzzy_places(licenses.Words(text.encode()))
+    assert [(a, b, edits) for a, b, name, edits, _ in found if name == label] == places

@@ -105,6 +105,17 @@ def phrase_places(words: Words) -> list[tuple[int, str]]:
     return found
 
 
+def _matches(pattern, window: str, least: int) -> Iterator:
+    """The best match of the window, then those of what is left on either side of it, `least` characters or more."""
+    parts = [(0, len(window))]
+    while parts:
+        low, high = parts.pop()
+        match = pattern.search(window, low, high) if high - low >= least else None
+        if match and match.end() > match.start():
+            yield match
+            parts += [(low, match.start()), (match.end(), high)]
+
+
 def fuzzy_places(words: Words) -> list[tuple[int, int, str, int, float]]:
     """(first word, end word, label, edits, similarity) of every notice found with few enough edits.
 
@@ -119,15 +130,15 @@ def fuzzy_places(words: Words) -> list[tuple[int, int, str, int, float]]:
             reach, start = edits_allowed(notice), end + 1 - length - offset
             span = [max(0, start - 2 * reach - 1), start + len(notice) + 2 * reach + 1]
             known = windows.setdefault(notice, [])
-            if known and span[0] <= known[-1][1] and span[1] - known[-1][0] <= 6 * len(notice):
-                known[-1][1] = max(known[-1][1], span[1])
+            if known and span[0] <= known[-1][1] and span[1] - min(span[0], known[-1][0]) <= 6 * len(notice):
+                known[-1][:] = min(known[-1][0], span[0]), max(known[-1][1], span[1])
             else:
                 known.append(span)
     best: dict[tuple[int, int, str], tuple[int, float]] = {}
     for notice, spans in windows.items():
         for low, high in spans:
             window = words.padded[low:high].decode("utf-8", "replace")
-            for match in patterns[notice].finditer(window):
+            for match in _matches(patterns[notice], window, len(notice) - edits_allowed(notice)):
                 text = match.group().strip()
                 if not text:
                     continue
