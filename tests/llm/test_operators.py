@@ -437,3 +437,17 @@ def test_toxicity_of_copies_and_of_texts_with_one_header(spark):
 def test_edited_notices_ahead_of_better_ones_are_found(text, label, places):
     found = licenses.fuzzy_places(licenses.Words(text.encode()))
     assert [(a, b, edits) for a, b, name, edits, _ in found if name == label] == places
+
+
+def test_items_shorter_than_a_shingle_are_found_inside_documents(spark):
+    filler = " ".join(f"filler{i}" for i in range(200))
+    texts = [f"{filler} What is, it? {filler}", f"{filler} whatis it", "What is it", "is it", f"{filler} 漢字文。{filler}",
+             f"{filler} 漢字文字", f"it {filler} one two three four five six", None, ""]
+    items = [(1, "what is it"), (2, "漢字文"), (3, "IT"), (4, "two three four five"), (5, "one two three four five six"),
+             (6, "two four"), (7, None), (8, "!")]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS)
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [
+        (0, 1), (0, 3), (1, 3), (2, 1), (2, 3), (3, 3), (4, 2), (6, 3), (6, 4), (6, 5)]
+    assert all(r["containment"] == 1.0 for r in got)
+    assert {r["item_shingles"] for r in got if r["item_id"] != 5} == {1}
