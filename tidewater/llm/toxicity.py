@@ -83,6 +83,12 @@ class Examples:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "known": {}, "made": None}
 
+    def parts(self) -> Iterator[tuple[slice, slice]]:
+        """Some rows at a time, and their entries."""
+        for start in range(0, len(self.ids), ROWS_PER_TASK):
+            end = min(start + ROWS_PER_TASK, len(self.ids))
+            yield slice(start, end), slice(int(self.pointers[start]), int(self.pointers[end]))
+
     def _index(self) -> tuple:
         """Where the commonest words stand in the matrix (else -1), the matrix, and the other words' lists."""
         if self.made is None:
@@ -244,10 +250,12 @@ def _log_ratio(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: floa
 
 def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_terms: int) -> np.ndarray:
     """Set the model's ratios; gives every example's sum and largest one as they are without its group."""
-    row = np.repeat(np.arange(len(model.ids)), np.diff(model.pointers))
+    sizes = np.diff(model.pointers)
     toxic_of, clean_of = weight * model.labels, weight * (1 - model.labels)
-    toxic = np.bincount(model.columns, toxic_of[row], len(model.vocabulary))
-    clean = np.bincount(model.columns, clean_of[row], len(model.vocabulary))
+    toxic, clean = np.zeros(len(model.vocabulary)), np.zeros(len(model.vocabulary))
+    for rows, part in model.parts():
+        for into, of in ((toxic, toxic_of), (clean, clean_of)):
+            into += np.bincount(model.columns[part], np.repeat(of[rows], sizes[rows]), len(into))
     cleans, toxics = clean_of.sum(), toxic_of.sum()
     model.ratio = np.zeros(len(model.vocabulary))
     often = np.flatnonzero(clean + toxic >= MIN_EXAMPLES_OF_TERM - 1e-9)
@@ -258,7 +266,7 @@ def _learn_ratios(model: Examples, group: np.ndarray, weight: np.ndarray, max_te
     kept = often[kept][np.argsort(-found[kept], kind="stable")][:max_terms]
     model.ratio[kept] = _log_ratio(clean[kept], toxic[kept], cleans, toxics)
     entries = np.flatnonzero(np.isin(model.columns, kept))
-    column, row = model.columns[entries], row[entries]
+    column, row = model.columns[entries], np.searchsorted(model.pointers, entries, "right") - 1
     own_toxic, own_clean = (np.bincount(group, x, len(group))[group] for x in (toxic_of, clean_of))
     without = _log_ratio(np.maximum(clean[column] - own_clean[row], 0), np.maximum(toxic[column] - own_toxic[row], 0),
                          np.maximum(cleans - own_clean[row], 0), np.maximum(toxics - own_toxic[row], 0))
@@ -330,7 +338,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             _counted, "id string, toxic int, hashes binary, counts binary").collect()
     base = sum(r["toxic"] for r in found) / len(found) if found else 0.0
     empty = [r["toxic"] for r in found if not r["hashes"]]
-    found = sorted((r for r in found if r["hashes"]), key=lambda r: (r["id"], bytes(r["hashes"]), bytes(r["counts"])))
+    found = sorted((r for r in found if r["hashes"]), key=lambda r: (
+        r["id"], xxhash.xxh3_128_digest(r["hashes"]), xxhash.xxh3_128_digest(r["counts"])))
     model = Examples(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32),
                      np.zeros(0, np.float32), base, base)
     if not 0 < base < 1 or not found:
@@ -339,16 +348,21 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     model.ids, model.labels = [r["id"] for r in found], np.array([r["toxic"] for r in found], float)
     sizes = np.array([len(r["counts"]) // 4 for r in found])
     model.pointers = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    hashes = np.concatenate([np.frombuffer(bytes(r["hashes"]), np.uint64) for r in found])
-    counts = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int32) for r in found])
+    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in found])
+    model.values = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in found]).astype(np.float32)
     del found
     model.vocabulary = np.unique(hashes)
-    model.columns = np.searchsorted(model.vocabulary, hashes).astype(np.int32)
-    model.idf = np.log(1 + len(model.ids) / np.bincount(model.columns))
-    weights = (1 + np.log(counts)) * model.idf[model.columns]
-    lengths = np.sqrt(np.add.reduceat(weights ** 2, model.pointers[:-1]))
-    model.values = (weights / np.repeat(lengths, sizes)).astype(np.float32)
-    del hashes, counts, weights
+    model.columns = np.zeros(len(hashes), np.int32)
+    often = np.zeros(len(model.vocabulary))
+    for _, part in model.parts():  # by parts, as the driver has little memory
+        model.columns[part] = np.searchsorted(model.vocabulary, hashes[part])
+        often += np.bincount(model.columns[part], minlength=len(often))
+    del hashes
+    model.idf = np.log(1 + len(model.ids) / often)
+    for rows, part in model.parts():
+        weights = (1 + np.log(model.values[part].astype(float))) * model.idf[model.columns[part]]
+        lengths = np.sqrt(np.add.reduceat(weights ** 2, model.pointers[rows] - part.start))
+        model.values[part] = weights / np.repeat(lengths, sizes[rows])
     near, group = _own_neighbours(spark, model)
     weight = 1 / np.bincount(group, minlength=len(group))[group]
     ratios = _learn_ratios(model, group, weight, max_terms)
