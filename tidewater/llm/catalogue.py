@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, toxicity, warc
+from tidewater.llm import (
+    ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, toxicity, vectorcodes, warc,
+)
 from tidewater.llm.common import held_out
 from tidewater.session import scratch_path
 
@@ -215,3 +217,48 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _codes_sql() -> str:
+    """Four Lloyd rounds over all pairs of parts and entries."""
+    def nearest(round_: int) -> str:
+        return f"""nearest{round_} AS MATERIALIZED (
+    SELECT x.p, x.row, any_value(x.v) AS v, min({{'d': CAST(list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v)
+        + list_inner_product(c.v, c.v) AS BIGINT), 'e': c.e}}) AS best
+    FROM parts x JOIN book{round_} c ON c.p = x.p GROUP BY x.p, x.row)"""
+
+    def moved(round_: int) -> str:
+        return f"""book{round_ + 1} AS MATERIALIZED (
+    SELECT c.p, c.e, coalesce(n.v, c.v) AS v FROM book{round_} c LEFT JOIN (
+        SELECT p, e, list(CAST(floor(total / n) AS DOUBLE) ORDER BY i) AS v FROM (
+            SELECT p, best.e AS e, i, sum(v[i]) AS total, count(*) AS n
+            FROM nearest{round_}, range(1, 1 + len(v)) AS places(i) GROUP BY ALL) GROUP BY p, e) n
+    ON n.p = c.p AND n.e = c.e)"""
+
+    rounds = ",\n".join(f"{nearest(r)},\n{moved(r)}" for r in range(4))
+    return f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label,
+           list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT p, row, v[1 + p * (len(v) // 4):(p + 1) * (len(v) // 4)] AS v FROM kept, range(4) AS numbers(p)
+), book0 AS MATERIALIZED (SELECT p, row - 1 AS e, v FROM parts WHERE row <= 256),
+{rounds},
+{nearest(4)},
+coded AS (
+    SELECT row, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+    FROM nearest4 GROUP BY row
+), books AS (
+    SELECT sha256(string_agg(CAST(CAST(c.v[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+    FROM book4 c, range(1, 1 + len(c.v)) AS places(i)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row), books"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, folder, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(vectorcodes.digest(books)))
