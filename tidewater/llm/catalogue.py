@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import (
-    ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, toxicity, vectorcodes, warc,
+    ann, decontaminate, langid, licenses, linededup, mixing, neardup, pii, prefixtrie, suffixindex, toxicity, vectorcodes, warc,
 )
 from tidewater.llm.common import held_out
 from tidewater.session import scratch_path
@@ -219,6 +219,57 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixindex.dedup_passages(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_prefix_trie", r"""
+WITH turns AS (
+    SELECT conv_id AS c, reference, n_words,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, reference) AS pos
+    FROM (SELECT *, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text)) AS reference,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words FROM conversations)
+    WHERE conv_id IS NOT NULL
+), convs AS (  -- the low bits of the CRC of the id's digits, bit by bit
+    SELECT c, count(*) AS n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+        string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END
+        ), 4294967295) % 4 AS h
+    FROM turns GROUP BY c
+), rebuilt AS (
+    SELECT c.c, t.pos AS d, reference, n_words FROM convs c JOIN turns t ON t.c = c.c - c.c % 20 AND t.pos <= c.h
+    UNION ALL
+    SELECT t.c, least(c.h, coalesce(b.n, 0)) + t.pos - c.h, reference, n_words
+    FROM turns t JOIN convs c ON c.c = t.c LEFT JOIN convs b ON b.c = c.c - c.c % 20 WHERE t.pos > c.h
+), sequences AS (
+    SELECT c, coalesce(s, []) AS s, coalesce(w, []) AS w FROM convs LEFT JOIN (
+        SELECT c, list(reference ORDER BY d) AS s, list(n_words ORDER BY d) AS w FROM rebuilt GROUP BY c) USING (c)
+), prefixes AS (
+    SELECT c, d, array_to_string(s[1:d], ' ') AS prefix, CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], ' ') END AS above,
+           w[d] AS words, d = len(s) AS ends
+    FROM sequences, unnest(range(0, len(s) + 1)) AS depths(d)
+), nodes AS (
+    SELECT d, prefix, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY d, prefix
+), kids AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), subtrees AS (
+    SELECT t.top_d AS d, t.top AS prefix, count(*) FILTER (k.n_children IS NULL) AS n_leaves,
+           sum((n.n_convs - 1) * n.words) AS saved_tokens
+    FROM (SELECT DISTINCT a.d AS top_d, a.prefix AS top, b.d, b.prefix FROM prefixes a JOIN prefixes b ON a.c = b.c AND a.d <= b.d) t
+    JOIN nodes n ON n.d = t.d AND n.prefix = t.prefix LEFT JOIN kids k ON k.d = t.d AND k.prefix = t.prefix GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.above
+LEFT JOIN kids k ON k.d = n.d AND k.prefix = n.prefix JOIN subtrees s ON s.d = n.d AND s.prefix = n.prefix""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations")).drop("turn")
+
+
 def _codes_sql() -> str:
     """Four Lloyd rounds over all pairs of parts and entries."""
     def nearest(round_: int) -> str:
