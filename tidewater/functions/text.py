@@ -1,4 +1,4 @@
-"""String expressions; all run inside whole-stage codegen."""
+"""String expressions, without Python rows."""
 
 from __future__ import annotations
 
@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 # Words that introduce a secret, and what replaces its value.
 SECRET_WORDS = (
-    "secret|password|token|credential|authorization|api[-_.]?key|"
-    "access[-_.]?key|private[-_.]?key"
+    "secret", "password", "token", "credential", "authorization", "api_key", "api-key", "api.key", "apikey",
+    "access_key", "access-key", "access.key", "accesskey", "private_key", "private-key", "private.key", "privatekey",
 )
+SCHEME_WORD = "bearer"
 REDACTED = "<redacted>"
 
-# A token after the scheme's name, up to white space or the next list item.
-_BEARER = r"(?i)\b(bearer)\s+(?:(?![,;])\S)+"
-# A secret's name, then a separator or just white space, then its value: quoted, or up to white
-# space, a list item's end or a closing bracket.
-_NAMED = (rf"(?i)((?:{SECRET_WORDS})(?:['\"]?\s*[:=]\s*|\s+))"
-          r"(?:\"[^\"]*\"|'[^']*'|(?:(?![,;}\]])\S)+)")
-# Who logs in, between a URI's scheme and its host.
-_LOGIN = r"(?<=://)(?:(?![/@])\S)+(?=@)"
+# What a text is cut into: blanks, list items' ends, and fields. A quote that does not follow a letter or digit
+# opens a quoted part, which belongs to its field with all blanks in it.
+_QUOTED = r"""(?<![\p{L}\p{N}])"[^"]*"|(?<![\p{L}\p{N}])'[^']*'"""
+_FIELDS = rf"""\s+|[,;\]}}]|(?:{_QUOTED}|[^\s,;\]}}"']+|["']){{1,500}}"""
+_WORDS = "|".join(word.replace(".", "[.]") for word in SECRET_WORDS)
+# A field that ends with a secret's name announces the next field; one that goes on after it holds the value.
+_ANNOUNCES = rf"""(?i)(?:{_WORDS})["']?[:=]?$|(?:^|[^\p{{L}}\p{{N}}_]){SCHEME_WORD}$"""
+_HOLDS = rf"""(?is)^(.*?(?:{_WORDS})["']?[:=]).+$"""
 
 
 def blank_to_null(value: Column) -> Column:
@@ -31,20 +32,53 @@ def blank_to_null(value: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
-# Text without any of these holds nothing the secret patterns could match.
-_SECRET_HINTS = ("bearer", "secret", "password", "token", "credential", "authorization", "key")
+# Text without any of these holds no secret's name.
+_SECRET_HINTS = (SCHEME_WORD, "secret", "password", "token", "credential", "authorization", "key")
+
+
+def _masked_field(fields: Column, field: Column, place: Column) -> Column:
+    """The field, masked as far as it or the fields before it say so."""
+    before = [F.get(fields, place - back) for back in range(1, 5)]
+    blank = lambda c: F.trim(F.translate(c, "\t\n\x0b\x0c\r", "     ")) == ""
+    lone = lambda c: c.isin(":", "=")
+    announced = F.coalesce(blank(before[0]) & (before[1].rlike(_ANNOUNCES) | (
+        lone(before[1]) & blank(before[2]) & before[3].rlike(_ANNOUNCES))), F.lit(False))
+    mark = field.substr(1, 1)
+    return (F.when(blank(field) | field.isin(",", ";", "]", "}") | (announced & lone(field)), field)
+            .when(announced & lone(mark), F.concat(mark, F.lit(REDACTED)))
+            .when(announced, F.lit(REDACTED))
+            .when(field.rlike(_HOLDS), F.concat(F.regexp_extract(field, _HOLDS, 1), F.lit(REDACTED)))
+            .otherwise(field))
+
+
+def _without_secrets(value: Column) -> Column:
+    # The array around the fields binds them to a name, so they are made once and not per field.
+    bound = F.array(F.regexp_extract_all(value, F.lit(_FIELDS), F.lit(0)))
+    return F.transform(bound, lambda fields: F.array_join(
+        F.transform(fields, lambda field, place: _masked_field(fields, field, place)), ""))[0]
+
+
+def _without_logins(value: Column) -> Column:
+    """Who logs in is what stands ahead of the last @ of a URI's authority, which ends at a slash or blank."""
+    def masked(part: Column, place: Column) -> Column:
+        authority = F.regexp_extract(part, r"^[^/\s]*", 0)
+        shown = F.concat(F.lit(f"{REDACTED}@"), F.substring_index(authority, "@", -1), F.substr(part, F.length(authority) + 1))
+        return F.when((place > 0) & authority.contains("@"), shown).otherwise(part)
+
+    return F.array_join(F.transform(F.split(value, "://"), masked), "://")
 
 
 def redact(value: Column, cap: int | None = None) -> Column:
     """Mask secrets, fold to one line and, where a cap is given, cut the result.
 
-    Most text holds no secret, so a plain search decides whether the patterns run at all.
+    A secret is a field behind a secret's name or behind the scheme word of an authorization, with a colon, an equals
+    sign or just blanks between, or the login in a URI. Most text holds none, so a plain search decides whether
+    it is cut into fields at all.
     """
     lowered = F.lower(value)
     hinted = reduce(or_, [lowered.contains(word) for word in _SECRET_HINTS])
-    masked = F.regexp_replace(value, _BEARER, f"$1 {REDACTED}")
-    masked = F.when(hinted, F.regexp_replace(masked, _NAMED, f"$1{REDACTED}")).otherwise(value)
-    folded = F.when(value.contains("://"), F.regexp_replace(masked, _LOGIN, REDACTED)).otherwise(masked)
+    masked = F.when(hinted, _without_secrets(value)).otherwise(value)
+    folded = F.when(value.contains("://"), _without_logins(masked)).otherwise(masked)
     for control in "\r\n\t":
         folded = F.replace(folded, F.lit(control), F.lit("_"))
     return folded if cap is None else F.substring(folded, 1, cap)

@@ -71,22 +71,28 @@ def operation_rollup(spark, folder):
     return measures.operation_rollup(tasks, stages, jobs)
 
 
-@query("redact_secrets", r"""
-WITH masked AS (
-  SELECT *, regexp_replace(text, '(?i)\b(bearer)\s+[^,;\s]+', '\1 <redacted>', 'g') AS m FROM documents),
-named AS (
-  SELECT *, regexp_replace(m, '(?i)((secret|password|token|credential|authorization|(api|access|private)[-_.]?key)'
-      || '([''"]?\s*[:=]\s*|\s+))("[^"]*"|''[^'']*''|[^,;\s}\]]+)', '\1<redacted>', 'g') AS n FROM masked)
-SELECT doc_id, translate(regexp_replace(n, '(://)[^/@\s]+@', '\1<redacted>@', 'g'), chr(13) || chr(10) || chr(9), '___') AS text,
+# Texts that hold no secret: what could introduce one, and quotes, are replaced.
+CARRIER = "(?i)secret|password|token|credential|authorization|key|bearer|://|[\"']"
+
+
+@query("redact_secrets", f"""
+WITH carried AS (
+  SELECT *, translate(regexp_replace(text, '{CARRIER.replace("'", "''")}', '#', 'g'), chr(13) || chr(10) || chr(9), '___') AS c
+  FROM documents)
+SELECT doc_id, c || ' db_password = <redacted>, ' || c || '_"private-key":<redacted>;_ftp://<redacted>@' || lang || '/'
+         || c || ' Token <redacted>' AS text,
        'login ' || lang || ' password=<redacted>, via https://<redacted>@' || source || '/' || doc_id
-       || ' as {"api.key": <redacted>, "n": [' || n_chars || ', token <redacted>]} Bearer <redacted>; done' AS line
-FROM named""")
+         || ' as {{"api.key": <redacted>, "n": [' || n_chars || ', token <redacted>]}} Bearer <redacted>; done' AS line
+FROM carried""")
 def redact_secrets(spark, folder):
-    """The texts, and a log line per document whose secrets are known."""
+    """A log line per document, and its text with secrets put in; the SQL states what must come out."""
     secret = F.md5(F.col("doc_id").cast("string"))
     line = F.concat(
         F.lit("login "), "lang", F.lit(" password="), secret, F.lit(", via https://u"), "doc_id", F.lit(":"), secret, F.lit("@"),
         "source", F.lit("/"), "doc_id", F.lit(' as {"api.key": "'), secret, F.lit(' and more", "n": ['), "n_chars",
         F.lit(", token '"), secret, F.lit(" x']} Bearer "), secret, F.lit(".y; done"))
-    rows = conform.redact_secrets(scan(spark, folder, "documents").select("doc_id", "text", line.alias("line")), "text")
-    return conform.redact_secrets(rows, "line")
+    carrier = F.regexp_replace("text", CARRIER, "#")
+    text = F.concat(carrier, F.lit(" db_password = "), secret, F.lit(":=x, "), carrier, F.lit('\n"private-key":"'), secret,
+                    F.lit(' 1, 2";\tftp://a@b:'), secret, F.lit("@"), "lang", F.lit("/"), carrier, F.lit(" Token '"), secret, F.lit("'"))
+    rows = scan(spark, folder, "documents").select("doc_id", text.alias("text"), line.alias("line"))
+    return conform.redact_secrets(conform.redact_secrets(rows, "text"), "line")
