@@ -17,7 +17,7 @@ def test_matches_sql(spark, sf, name):
 
 def test_every_operator_has_its_query():
     assert sorted(catalogue.queries()) == sorted(
-        ["pipeline", *(n for n in catalogue.queries() if n.startswith("op"))]) and len(catalogue.queries()) == 11
+        ["pipeline", *(n for n in catalogue.queries() if n.startswith("op"))]) and len(catalogue.queries()) == 14
 
 
 @pytest.mark.parametrize("name", ["op2_mixing", "op5_decontamination"])
