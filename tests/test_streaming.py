@@ -1,5 +1,6 @@
 """Streams: restart, replayed batches, duplicates, late rows, counts."""
 
+import dataclasses
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.compare import plan
-from tidewater.streaming import cdc, queries
+from tidewater.streaming import cdc, joins, queries, rotation
 
 IMAGE = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("email", T.StringType()),
                       T.StructField("status", T.StringType())])
@@ -103,7 +104,7 @@ def test_held_positions_skip_other_partitions_files(spark, place):
     drop(spark, source, 2, [message(1000 + i, "c", 1, partition=1) for i in range(50)])
     run(spark, source, root)
     decoded = cdc.cdc_decode(log(spark, [message(60, "c", 1), message(1049, "c", 1, partition=1)]), cdc.envelope(IMAGE))
-    held = queries._held_positions(spark, spec(root), decoded, F.lit(False))
+    held = queries._held_positions(spark, spec(root), queries._offset_spans(spec(root), decoded))
     assert [r["source_offset"] for r in held.collect()] == [1049]
     pushed = plan(held).partition("PushedFilters: ")[2].partition("\n")[0]
     assert "source_partition" in pushed and "source_offset" in pushed and "Or(" in pushed, pushed
@@ -128,6 +129,7 @@ def test_a_crash_between_data_and_lineage_is_finished_by_the_rerun(spark, place)
     rows = log(spark, [message(0, "c", 1), message(1, "u", 1, at=1)])
     full = spec(root)
     accepted = cdc.accepted_records(cdc.cdc_check(cdc.cdc_decode(rows, full.envelope), RULES), NOW, "batch-0")
+    queries._announce(spark, full, queries._offset_spans(full, cdc.cdc_decode(rows, full.envelope)), "c", 0, NOW)
     accepted.withColumn("event_day", F.to_date("event_time")).write.partitionBy("event_day").parquet(
         f"{full.table}/stream=s/checkpoint=c/batch=0")
     queries.bronze_batch_writer(full, lambda _: NOW, "c")(rows, 0)
@@ -236,3 +238,78 @@ def test_positions_seen_within_the_watermark_are_dropped_in_the_stream(spark, pl
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert spark.read.parquet(f"{root}/out").count() == 2
+
+
+def test_held_positions_cost_the_batches_of_their_offsets_only(spark, place):
+    """Fifty micro-batches; each opens the few that share its span of offsets, found before or after a rotation."""
+    source, root = place
+    narrow = dataclasses.replace(spec(root), offset_span=4)
+    write = queries.bronze_batch_writer(narrow, lambda _: NOW, "c")
+    opened = []
+    for n in range(50):
+        rows = log(spark, [message(2 * n, "c", 1, at=n), message(2 * n + 1, "u", 1, at=n)])
+        if n % 12 == 0:
+            spans = queries._offset_spans(narrow, cdc.cdc_decode(rows, narrow.envelope))
+            held = queries._held_positions(spark, narrow, spans)
+            opened.append(0 if held is None else len(held.inputFiles()))
+        write(rows, n)
+    assert max(opened) <= 2, opened
+    again = cdc.cdc_decode(log(spark, [message(17, "u", 1, at=70), message(200, "u", 1, at=70)]), narrow.envelope)
+    spans = queries._offset_spans(narrow, again)
+    assert [r["source_offset"] for r in queries._held_positions(spark, narrow, spans).collect()] == [17]
+    assert rotation.rotate(spark, narrow, "c", 48) == 49
+    assert [r["source_offset"] for r in queries._held_positions(spark, narrow, spans).collect()] == [17]
+    rows = rotation.read_bronze(spark, narrow)
+    assert sorted(r["source_offset"] for r in rows.collect()) == list(range(100))
+
+
+def test_rotation_shows_rows_once_in_either_form(spark, place):
+    _, root = place
+    full = spec(root)
+    write = queries.bronze_batch_writer(full, lambda _: NOW, "c")
+    seen = lambda: sorted(r["source_offset"] for r in rotation.read_bronze(spark, full).collect())
+    assert rotation.rotate(spark, full, "c", 3) == 0 and seen() == []
+    for n in range(4):
+        write(log(spark, [message(3 * n + i, "c", 1, at=45 * i + n) for i in range(3)]), n)
+    assert seen() == list(range(12))
+    # A rotation that breaks off before it deletes what it folded.
+    kept = rotation.discard
+    rotation.discard = lambda *_: None
+    try:
+        assert rotation.rotate(spark, full, "c", 1) == 2
+    finally:
+        rotation.discard = kept
+    assert seen() == list(range(12))
+    assert rotation.rotate(spark, full, "c", 2) == 3 and seen() == list(range(12))
+    stored = spark.read.parquet(rotation.rotated_path(full))
+    assert stored.count() == 9 and len(stored.inputFiles()) == 2  # one file for each of two hours
+    write(log(spark, [message(1, "c", 1, at=45)]), 4)  # delivered again, held by a folded batch
+    assert seen() == list(range(12))
+
+
+def test_interval_join_releases_outer_rows_and_bounds_its_state(spark, place):
+    source, root = place
+    asked = lambda n, *rows: spark.createDataFrame(rows, "k long, a long, at timestamp").coalesce(1).write.parquet(f"{source}/a{n}")
+    answered = lambda n, *rows: spark.createDataFrame(rows, "k long, b long, bt timestamp").coalesce(1).write.parquet(f"{source}/b{n}")
+    minute = lambda m: T0 + timedelta(minutes=m)
+    for n in range(12):
+        asked(n, (1, n, minute(10 * n)), (None, 100 + n, minute(10 * n)))
+        answered(n, (1, n, minute(10 * n + (3 if n % 2 else 7))), (2, 200 + n, minute(10 * n)))
+    asked(12, (9, 999, minute(1000)))
+    answered(12, (9, 999, minute(1000)))
+    stream = lambda side, ddl: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{source}/{side}*")
+    pairs = joins.interval_join(
+        joins.Side(stream("a", "k long, a long, at timestamp"), "at", "5 minutes"),
+        joins.Side(stream("b", "k long, b long, bt timestamp"), "bt", "5 minutes"), ["k"], "0 minutes", "5 minutes", "left_outer")
+    assert pairs.columns == ["k", "a", "at", "b", "bt"]
+    metrics = []
+    query = joins.start_pairs(pairs, f"{root}/pairs", f"{root}/checkpoint")
+    query.awaitTermination()
+    metrics = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(metrics) >= 13 and max(metrics) <= 16, metrics
+    got = {r["a"]: r["b"] for r in spark.read.parquet(f"{root}/pairs").collect()}
+    assert {a: b for a, b in got.items() if a != 999} == {
+        **{n: n if n % 2 else None for n in range(12)}, **{100 + n: None for n in range(12)}}
+    with pytest.raises(ValueError, match="columns of both sides"):
+        joins.interval_join(joins.Side(stream("a", "k long, a long, at timestamp"), "at", "1 hour"),
+                            joins.Side(stream("b", "k long, a long, bt timestamp"), "bt", "1 hour"), ["k"], "0 hours", "1 hour")

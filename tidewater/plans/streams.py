@@ -12,7 +12,7 @@ from tidewater.plans.registry import query
 from tidewater.session import scratch_path, written
 from tidewater.sources import zones
 from tidewater.sources.extract import scan
-from tidewater.streaming import cdc, queries
+from tidewater.streaming import cdc, joins, queries, rotation
 
 RUN = "batch-0"
 TOPIC_DDL = "topic string, partition int, offset bigint, key string, value string, timestamp timestamp"
@@ -157,6 +157,58 @@ def stream_bronze(spark, folder):
     return _bronze_rows(spark, spec).select(*ACCEPTED_COLUMNS, "event_day")
 
 
+@query("stream_rotated", "WITH" + DECODED + f"""
+SELECT {', '.join(ACCEPTED_COLUMNS)}, CAST(event_time AS DATE) AS event_day, CAST(hour(event_time) AS INTEGER) AS event_hour
+FROM accepted""")
+def stream_rotated(spark, folder):
+    """Five micro-batches, of which the first four are folded in two rotations; readers see both forms."""
+    spec = _run_bronze(spark, folder)
+    (checkpoint,) = (r["checkpoint"] for r in _bronze_rows(spark, spec).select("checkpoint").distinct().collect())
+    for upto in (1, 3):
+        rotation.rotate(spark, spec, checkpoint, upto)
+    return rotation.read_bronze(spark, spec).select(*ACCEPTED_COLUMNS, "event_day", "event_hour")
+
+
+# Event time of the files that a stream takes one by one; both sides of a join move on together.
+CUTS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01")
+
+
+def _in_order(spark, rows, key, ts, place):
+    """One file per stretch of event time, in order, and last a row beyond all others, which releases what waits.
+
+    That row has a key, as rows without one are left out ahead of the watermark.
+    """
+    low = None
+    for n, high in enumerate(CUTS):
+        part = rows.filter(F.col(ts) < at(high).cast("timestamp"))
+        (part if low is None else part.filter(F.col(ts) >= at(low).cast("timestamp"))).coalesce(1).write.parquet(f"{place}/f={n}")
+        low = high
+    last = {ts: "2030-01-01 00:00:00", key: "-1"}
+    closing = [F.lit(last.get(c)).cast(t).alias(c) for c, t in rows.dtypes]
+    spark.range(1).select(*closing).coalesce(1).write.parquet(f"{place}/f={len(CUTS)}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/f=*")
+
+
+@query("stream_interval_join", """
+SELECT c.user_id, c.event_id AS click_id, c.ts AS clicked_at, p.event_id AS purchase_id, p.ts AS purchased_at, p.value AS amount
+FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.event_type = 'purchase'
+  AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR
+WHERE c.event_type = 'click'""")
+def stream_interval_join(spark, folder):
+    """Clicks with the purchases of the six hours after them, both as streams in five micro-batches."""
+    events = scan(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = scratch_path(spark, "pairs")
+    clicks = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked_at"))
+    purchases = events.filter("event_type = 'purchase'").select(
+        "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("purchased_at"), F.col("value").alias("amount"))
+    pairs = joins.interval_join(
+        joins.Side(_in_order(spark, clicks, "user_id", "clicked_at", f"{root}/clicks"), "clicked_at", "1 hour"),
+        joins.Side(_in_order(spark, purchases, "user_id", "purchased_at", f"{root}/purchases"), "purchased_at", "1 hour"),
+        ["user_id"], "0 hours", "6 hours", "left_outer")
+    joins.start_pairs(pairs, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(f"{root}/out").select(*pairs.columns).filter("click_id IS NOT NULL")
+
+
 @query("stream_dead_letters", "WITH" + DECODED + """
 SELECT event_id, reason, 1 AS records FROM judged WHERE reason <> ''
 UNION ALL SELECT event_id, CASE WHEN """ + SAME + """ OR reason = '' THEN 'offset_not_duplicate' ELSE reason END, 1

@@ -48,11 +48,17 @@ _USED: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`.
 
-    Where a session leaves it unset, a folder beside the warehouse tables takes its place, which
-    every executor must reach anyway.
+    Where a session leaves it unset, a folder beside the warehouse tables takes its place. A warehouse on the
+    driver's own disk is refused unless the executors run in the driver, as they could not reach it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_steps").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not local and (warehouse.startswith(("file:", "/")) or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return f"{warehouse}/_steps".rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -64,6 +70,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stored path is there; one question to the store, nothing is listed."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a step that nothing reads any more; a stopped session leaves it to the store's own expiry."""
     context = spark.sparkContext

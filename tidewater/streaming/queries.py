@@ -6,12 +6,12 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidewater.functions.names import col
 from tidewater.operators.conform import latest_by_key
 from tidewater.operators.lineage import stream_lineage
+from tidewater.functions.time import instant
+from tidewater.session import exists
 from tidewater.sources import zones
 from tidewater.streaming.cdc import (
     POSITION, CdcRules, accepted_records, cdc_check, cdc_current_state, cdc_decode, record_results, rejected_records,
@@ -154,6 +156,7 @@ class BronzeStream:
     source_system: str = ""
     connector: str = ""
     catalog: str = ""
+    offset_span: int = 1 << 20
 
     def __post_init__(self):
         if not re.fullmatch(r"[A-Za-z0-9_-]+", self.name):
@@ -168,7 +171,7 @@ _PLACE = [T.StructField(STREAM, T.StringType()), T.StructField(CHECKPOINT, T.Str
           T.StructField(BATCH, T.LongType())]
 
 
-def _own(table: str, name: str, checkpoint: str, batch_id: int) -> str:
+def own_path(table: str, name: str, checkpoint: str, batch_id: int) -> str:
     return f"{table}/{STREAM}={name}/{CHECKPOINT}={checkpoint}/{BATCH}={batch_id}"
 
 
@@ -188,23 +191,62 @@ def bronze_schema(spark: SparkSession, spec: BronzeStream) -> T.StructType:
     return accepted.withColumn("event_day", F.to_date("event_time")).schema
 
 
-def _held_positions(spark: SparkSession, spec: BronzeStream, decoded: DataFrame, own: Column) -> DataFrame | None:
-    """Positions that other micro-batches hold, within this one's offsets of each topic partition.
 
-    One pair of bounds per topic partition reaches the driver; as a condition on columns of the files it
-    skips row groups of other partitions and offsets.
+def _pointers(spec: BronzeStream, place: int | None = None) -> str:
+    """Where it stands which micro-batches may hold an offset; a place is a span of offsets of a topic partition."""
+    return f"{spec.table}-positions" + ("" if place is None else f"/place={place}")
+
+
+def _offset_spans(spec: BronzeStream, decoded: DataFrame) -> list[Row]:
+    """Per topic partition and span of `offset_span` offsets, the batch's lowest and highest, and its days."""
+    day, span = F.to_date("event_time"), F.floor(F.col("source_offset") / spec.offset_span)
+    return decoded.groupBy("source_topic", "source_partition", F.xxhash64("source_topic", "source_partition", span).alias("place")).agg(
+        F.min("source_offset").alias("low"), F.max("source_offset").alias("high"),
+        F.min(day).alias("first_day"), F.max(day).alias("last_day")).collect()
+
+
+def _announce(spark: SparkSession, spec: BronzeStream, spans: list[Row], who: str, batch_id: int, now: datetime | str) -> None:
+    """Record where positions are about to be stored, ahead of the rows, so that no stored row is without a pointer.
+
+    Rows without an event time will have the processing time's day. A batch run again records the same once more.
     """
-    try:
-        held = read_stream_table(spark, spec.table, bronze_schema(spark, spec))
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
+    rows = [(r["place"], spec.name, who, batch_id, r["first_day"], r["last_day"]) for r in spans]
+    frame = spark.createDataFrame(
+        rows, f"place bigint, {STREAM} string, {CHECKPOINT} string, {BATCH} bigint, first_day date, last_day date")
+    frame.withColumn("today", F.to_date(instant(now))).coalesce(1).write.mode("append").partitionBy("place").parquet(_pointers(spec))
+
+
+def _held_positions(spark: SparkSession, spec: BronzeStream, spans: list[Row], own: Column | None = None) -> DataFrame | None:
+    """Positions that other micro-batches hold, within the given offsets of each topic partition.
+
+    Only the pointers of these spans are read, and of the table only the micro-batches and, where those are folded, the
+    days that they name. So the cost follows the batches of a span and not the table's history. As conditions on columns of
+    the files the bounds skip row groups of other offsets.
+    """
+    places = [place for r in spans if exists(spark, place := _pointers(spec, r["place"]))]
+    if not places:
+        return None
+    found = spark.read.parquet(*places).groupBy(STREAM, CHECKPOINT, BATCH).agg(
+        F.min("first_day").alias("first"), F.max("last_day").alias("last"), F.collect_set("today").alias("today"))
+    schema = bronze_schema(spark, spec)
+    live, days = [], set()
+    for r in (found if own is None else found.filter(~own)).collect():  # as many as micro-batches share these spans
+        path = own_path(spec.table, r[STREAM], r[CHECKPOINT], r[BATCH])
+        if exists(spark, path):
+            live.append(path)
+            continue
+        folded = f"{spec.table}-rotated/{STREAM}={r[STREAM]}/{CHECKPOINT}={r[CHECKPOINT]}"
+        span = [r["first"] + timedelta(days=n) for n in range((r["last"] - r["first"]).days + 1)] if r["first"] else []
+        days.update(f"{folded}/event_day={day}" for day in {*span, *r["today"]})
+    read = lambda root, paths: spark.read.schema(T.StructType([schema[c] for c in POSITION])).option(
+        "basePath", root).parquet(*paths).select(*POSITION)
+    rotated = sorted(day for day in days if exists(spark, day))
+    held = [read(root, paths) for root, paths in ((spec.table, live), (f"{spec.table}-rotated", rotated)) if paths]
+    if not held:
         return None
-    bounds = decoded.groupBy("source_topic", "source_partition").agg(
-        F.min("source_offset").alias("low"), F.max("source_offset").alias("high")).collect()
-    spans = [(F.col("source_topic") == r["source_topic"]) & (F.col("source_partition") == r["source_partition"])
-             & F.col("source_offset").between(r["low"], r["high"]) for r in bounds]
-    return held.filter(~own & reduce(or_, spans, F.lit(False))).select(*POSITION)
+    bounds = [(F.col("source_topic") == r["source_topic"]) & (F.col("source_partition") == r["source_partition"])
+              & F.col("source_offset").between(r["low"], r["high"]) for r in spans]
+    return reduce(DataFrame.unionByName, held).filter(reduce(or_, bounds))
 
 
 def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | str],
@@ -224,15 +266,18 @@ def bronze_batch_writer(spec: BronzeStream, clock: Callable[[int], datetime | st
         own = (F.col(STREAM) == spec.name) & (F.col(CHECKPOINT) == who) & (F.col(BATCH) == batch_id)
 
         def store(df: DataFrame, table: str, *partition_by: str) -> None:
-            df.write.mode("overwrite").partitionBy(*partition_by).parquet(_own(table, spec.name, who, batch_id))
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(own_path(table, spec.name, who, batch_id))
 
         # The source is read once; the checked rows feed four writes.
         decoded = cdc_decode(rows, spec.envelope).persist()
-        checked = cdc_check(decoded, spec.rules, _held_positions(spark, spec, decoded, own)).persist()
+        spans = _offset_spans(spec, decoded)
+        checked = cdc_check(decoded, spec.rules, _held_positions(spark, spec, spans, own)).persist()
         try:
+            if spans:
+                _announce(spark, spec, spans, who, batch_id, now)
             accepted = accepted_records(checked, now, run_id)
             rejected = rejected_records(checked)
-            store(accepted.withColumn("event_day", F.to_date("event_time")), spec.table, "event_day")
+            store(accepted.withColumn("event_day", F.to_date("event_time")).hint("rebalance", "event_day"), spec.table, "event_day")
             store(rejected, spec.rejects_table)
             store(record_results(checked, spec.rules, spec.dataset, run_id, now, batch_id), spec.results_table)
             store(stream_lineage(accepted, rejected, run_id, batch_id, spec.dataset, now, {
