@@ -1,11 +1,13 @@
 """Guarded upsert: laws and edge cases."""
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tests.compare import plan
 from tidewater.operators import merge
 from tidewater.operators.conform import latest_by_key
 
@@ -133,3 +135,54 @@ def test_staging_lag(spark):
     assert tuple(lag.first()) == (5, 3, 1)
     empty = merge.staging_lag(frame(spark, []), frame(spark, [(1, 2, "a"), (2, 5, "b")]), "seq")
     assert tuple(empty.first()) == (5, None, 2)
+
+
+def test_bitmaps_drop_named_positions_without_moving_data(spark, tmp_path):
+    data = spark.createDataFrame([(f, p) for f in ("a", "b", None) for p in (0, 1, 7, 8, 32766, 32767, 32768, 99_999, None)],
+                                 "file string, pos long")
+    named = [("a", 0), ("a", 32767), ("a", 32768), ("a", 99_999), ("b", 8), ("b", 8), ("c", 1), (None, 1), ("b", None), ("b", -1)]
+    early, late = (merge.deletion_bitmaps(spark.createDataFrame(named[n::2], "file string, pos long"), "file", "pos") for n in (0, 1))
+    merged = merge.merged_bitmaps(early, late, "file")
+    assert merged.select("file", "_bucket").distinct().count() == merged.count() == 5
+    merged.write.parquet(str(tmp_path / "bitmaps"))
+    data.write.parquet(str(tmp_path / "data"))
+    stored = spark.read.parquet(str(tmp_path / "data"))
+    left = merge.drop_bitmap_positions(stored, spark.read.parquet(str(tmp_path / "bitmaps")), "file", "pos")
+    gone = {n for n in named if None not in n}
+    assert rows(left) == sorted([tuple(r) for r in data.collect() if tuple(r) not in gone], key=repr)
+    text = plan(left)
+    tree = text.split("\n\n")[0]
+    assert "BroadcastHashJoin" in tree and "Exchange" not in tree.replace("BroadcastExchange", "")
+
+
+def test_staged_deliveries_are_merged_once_up_to_the_fence(spark, tmp_path):
+    ddl = "k int, seq int, v string, at timestamp"
+    moment = datetime(2026, 1, 1)
+    staging = merge.Staging(str(tmp_path / "staging"), ["k"], "seq")
+    empty = frame(spark, [], ddl)
+    due = lambda now, count=10: staging.due(spark, empty.schema, now, count, timedelta(hours=1), "at")
+    assert not due(moment) and not staging.merge(spark, empty, 5, lambda _: None)
+    staging.stage(frame(spark, [(1, 1, "a", moment), (2, 1, "b", moment)], ddl), 0)
+    staging.stage(frame(spark, [(1, 2, "newer", moment)], ddl), 1)
+    assert not due(moment) and due(moment, 3) and due(moment + timedelta(hours=1))
+    stored = []
+
+    def keep(df):
+        path = str(tmp_path / f"state{len(stored)}")
+        df.write.parquet(path)
+        stored.append(spark.read.schema(ddl).parquet(path))
+
+    def broken(df):
+        raise OSError("store is away")
+
+    with pytest.raises(OSError):
+        staging.merge(spark, empty, 1, broken)
+    assert staging.fence(spark) == -1
+    assert staging.merge(spark, empty, 1, keep) and staging.fence(spark) == 1
+    assert [(r["k"], r["v"]) for r in stored[0].orderBy("k").collect()] == [(1, "newer"), (2, "b")]
+    assert not staging.merge(spark, stored[0], 1, keep) and len(stored) == 1  # the same turn once more
+    staging.stage(frame(spark, [(1, 1, "late", moment), (3, 1, "c", moment)], ddl), 2)
+    staging.stage(frame(spark, [(1, 1, "late", moment), (3, 1, "c", moment)], ddl), 2)
+    assert staging.waiting(spark, empty.schema).count() == 2
+    assert staging.merge(spark, stored[0], 2, keep)
+    assert [(r["k"], r["v"]) for r in stored[1].orderBy("k").collect()] == [(1, "newer"), (2, "b"), (3, "c")]

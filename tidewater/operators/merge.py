@@ -1,14 +1,19 @@
-"""Silver state: guarded upsert, deletes, buffered merge, merge on read."""
+"""Silver state: guarded upsert, deletes, fenced staging, merge on read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.functions.names import col, require_columns
 from tidewater.operators.conform import latest_by_key
+from tidewater.session import exists
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -151,3 +156,86 @@ def drop_positions(data: DataFrame, positions: DataFrame, file_col: str, pos_col
     """Positional deletes: leave out the named rows of the named files."""
     named = positions.select(file_col, pos_col).distinct()
     return data.join(named, [file_col, pos_col], "left_anti").select(*map(col, data.columns))
+
+
+def deletion_bitmaps(positions: DataFrame, file_col: str, pos_col: str) -> DataFrame:
+    """Positional deletes as one bitmap of 32,768 positions (4 KB) per file and stretch: file, _bucket, _bitmap.
+
+    Built map-side, so a file that many deletes name does not gather in one task. Positions count from 0.
+    """
+    place = col(pos_col).cast("bigint") + 1
+    return positions.filter(col(file_col).isNotNull() & (col(pos_col) >= 0)).groupBy(
+        col(file_col), F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bitmap"))
+
+
+def merged_bitmaps(held: DataFrame, added: DataFrame, file_col: str) -> DataFrame:
+    """Bitmaps of two generations of deletes as one."""
+    both = held.unionByName(added.select(*held.columns))
+    return both.groupBy(col(file_col), "_bucket").agg(F.bitmap_or_agg("_bitmap").alias("_bitmap"))
+
+
+def drop_bitmap_positions(data: DataFrame, bitmaps: DataFrame, file_col: str, pos_col: str) -> DataFrame:
+    """Leave out the rows whose bit is set. Rows without a file or position stay.
+
+    A lookup by file and stretch instead of a join on positions: where `bitmaps` is a stored table below the broadcast
+    threshold (a bit per row of the files with deletes), no data row moves; beyond it both sides are sort-merged
+    by file, and AQE splits a hot one.
+    """
+    place = col(pos_col, "d").cast("bigint") + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr(F.col("x._bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    joined = data.alias("d").join(bitmaps.alias("x"), (col(file_col, "d") == col(file_col, "x")) & (
+        F.bitmap_bucket_number(place) == F.col("x._bucket")), "left")
+    return joined.filter(~F.coalesce(set_, F.lit(False))).select(*[col(c, "d") for c in data.columns])
+
+
+@dataclass(frozen=True)
+class Staging:
+    """A staging buffer: staged deliveries by sequence, and the fence up to which they are merged.
+
+    `path` holds a directory per delivery and, below `_fences`, one file per merge that names the fence and the day of the
+    merge. Both are named by what they hold, so staging or merging again changes nothing.
+    """
+
+    path: str
+    keys: list[str]
+    seq: str
+    ties: list[str] | None = None
+
+    def stage(self, batch: DataFrame, delivery: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/rows/_delivery={delivery}")
+
+    def fence(self, spark: SparkSession) -> int:
+        """The last delivery that is merged; -1 before the first merge."""
+        place = f"{self.path}/_fences"
+        if not exists(spark, place):
+            return -1
+        return spark.read.schema("_fence bigint").parquet(place).agg(F.max("_fence")).first()[0]
+
+    def waiting(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """Staged rows behind the fence, with their delivery; a pruned read."""
+        stored = StructType([*schema.fields, StructField("_delivery", LongType())])
+        if not exists(spark, f"{self.path}/rows"):
+            return spark.createDataFrame([], stored)
+        return spark.read.schema(stored).parquet(f"{self.path}/rows").filter(F.col("_delivery") > self.fence(spark))
+
+    def due(self, spark: SparkSession, schema: StructType, now: datetime, max_rows: int, max_age: timedelta, staged_at: str) -> bool:
+        """Whether enough rows wait, or one of them (by its column `staged_at`) for too long."""
+        count, oldest = self.waiting(spark, schema).agg(F.count("*"), F.min(col(staged_at))).first()
+        return count >= max_rows or (count > 0 and oldest is not None and now - oldest >= max_age)
+
+    def merge(self, spark: SparkSession, target: DataFrame, upto: int, store: Callable[[DataFrame], None]) -> bool:
+        """Merge the deliveries behind the fence, up to and with `upto`, into the target; false if there is none.
+
+        `store` makes the merged state durable; only then the fence moves. A merge that breaks off in between is done once
+        more with the same outcome, as the merge is guarded by the sequence.
+        """
+        waiting = self.waiting(spark, target.schema).filter(F.col("_delivery") <= upto)
+        if waiting.isEmpty():
+            return False
+        store(upsert(target, waiting.drop("_delivery"), self.keys, self.seq, self.ties))
+        spark.range(1).select(F.lit(upto).cast("bigint").alias("_fence")).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/_fences/upto={upto}")
+        return True

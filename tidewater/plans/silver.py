@@ -7,6 +7,7 @@ from tidewater.operators import merge
 from tidewater.operators.conform import latest_by_key
 from tidewater.plans.inputs import BRONZE_ORDERS, at, bronze_orders
 from tidewater.plans.registry import query
+from tidewater.session import scratch_path, written
 from tidewater.sources.extract import scan
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -152,6 +153,39 @@ def merge_on_read_positions(spark, folder):
     return merge.drop_positions(lines, dropped, "l_orderkey", "_pos").drop("_pos")
 
 
+@query("merge_on_read_bitmap", """
+SELECT * FROM lineitem WHERE NOT (l_returnflag = 'R' AND EXISTS (
+  SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F'))""")
+def merge_on_read_bitmap(spark, folder):
+    """Positional deletes in two generations, as bitmaps: a supplier's rows are a file, the order and line a position."""
+    lines = scan(spark, folder, "lineitem").withColumn("_file", F.col("l_suppkey") % 7).withColumn(
+        "_pos", F.col("l_orderkey") * 32 + F.col("l_linenumber") * 4 + F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    closed = scan(spark, folder, "orders").filter(F.col("o_orderstatus") == "F")
+    dropped = lines.filter(F.col("l_returnflag") == "R").join(
+        closed, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("_file", "_pos")
+    early, late = (merge.deletion_bitmaps(dropped.filter(F.col("_file") % 2 == rest), "_file", "_pos") for rest in (0, 1))
+    bitmaps = written(spark, merge.merged_bitmaps(early, late, "_file"), scratch_path(spark, "bitmaps"))
+    return merge.drop_bitmap_positions(lines, bitmaps, "_file", "_pos").drop("_file", "_pos")
+
+
+@query("staged_merges", "WITH everything AS (" + newest_event() + ") SELECT * FROM everything")
+def staged_merges(spark, folder):
+    """Four deliveries staged, merged in two turns; the first turn once more changes nothing."""
+    events, root = _events(spark, folder), scratch_path(spark, "staged")
+    staging = merge.Staging(f"{root}/staging", ["user_id"], "ts", ["event_id"])
+    days = [at(day) for day in ("2024-01-08", "2024-01-15", "2024-01-22")]
+    bounds = [None, *days, None]
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        part = events if low is None else events.filter(F.col("ts") >= low)
+        staging.stage(part if high is None else part.filter(F.col("ts") < high), n)
+    state = events.filter(F.lit(False))
+    for turn, upto in enumerate((1, 1, 3)):
+        place = f"{root}/state-{turn}"
+        if staging.merge(spark, state, upto, lambda merged: merged.write.parquet(place)):
+            state = spark.read.schema(events.schema).parquet(place)
+    return state
+
+
 @query("conform", "WITH" + BRONZE_ORDERS + """
 SELECT * EXCLUDE (_batch_id, _ingested_at, _source_file) FROM bronze_orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")
