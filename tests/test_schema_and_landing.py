@@ -9,7 +9,7 @@ from tidewater.operators import schema
 from tidewater.operators.quality import RESULT_DDL, quality_suite
 from tidewater.operators.bronze import append_batch, replace_batch
 from tidewater.operators.conform import align_schema, normalise
-from tidewater.sources import landing, zones
+from tidewater.sources import extract, landing, zones
 
 ddl = T.StructType.fromDDL
 
@@ -142,3 +142,28 @@ def test_checked_landing_keeps_bad_rows(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"id": 1, "n": 2}\n{"id": "x", "n": 2}\n{broken\n')
     fits, rejects = landing.read_landing_checked(spark, str(tmp_path / "a.ndjson"), "id int, n int")
     assert [r["id"] for r in fits.collect()] == [1] and rejects.count() == 2
+
+
+@pytest.mark.parametrize("share", [0, 3])
+def test_balanced_ranges_of_a_skewed_key(spark, share):
+    rows = spark.range(60_000).withColumn("k", F.when(F.col("id") % 3 < share / 3, F.lit(7)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) - 500))
+    rows = rows.withColumn("k", F.when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.col("k")))
+    tagged = extract.balanced_ranges(rows, "k", 12)
+    sizes = {r["_range"]: r for r in tagged.groupBy("_range").agg(
+        F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()}
+    assert sizes.pop(-1)["n"] == 600 and sum(r["n"] for r in sizes.values()) == 59_400
+    assert max(r["n"] for r in sizes.values()) <= 2 * 59_400 / len(sizes) and len(sizes) >= 10
+    spans = sorted((r["low"], r["high"]) for r in sizes.values())
+    assert all(a[1] < b[0] or a == b == (7, 7) for a, b in zip(spans, spans[1:]))
+
+
+def test_balanced_ranges_of_odd_columns(spark):
+    none = spark.createDataFrame([(None,)], "k int")
+    assert [r["_range"] for r in extract.balanced_ranges(none, "k", 4).collect()] == [-1]
+    assert extract.balanced_ranges(none.limit(0), "k", 4).count() == 0
+    same = spark.createDataFrame([(5, i) for i in range(1000)], "k long, i int")
+    sizes = [r["count"] for r in extract.balanced_ranges(same, "k", 4).groupBy("_range").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 500
+    assert {r["_range"] for r in extract.balanced_ranges(same, "k", 1).collect()} == {0}
+    with pytest.raises(ValueError, match="integer"):
+        extract.balanced_ranges(spark.createDataFrame([("a",)], "k string"), "k", 4)

@@ -11,7 +11,7 @@ from tidewater.plans.inputs import (
     BRONZE_ORDERS, EVIDENCE, NOW, at, bronze_orders, evidence,
 )
 from tidewater.plans.registry import query
-from tidewater.session import scratch_path
+from tidewater.session import scratch_path, written
 from tidewater.sources import extract, landing, zones
 from tidewater.sources.extract import scan
 
@@ -181,6 +181,21 @@ def purge_run(spark, folder):
     return bronze.purge_run(evidence(spark, folder), "run-7")
 
 
+@query("balanced_extract", """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 50 = 1 THEN NULL ELSE l_suppkey END AS l_suppkey,
+       count(*) AS row_count, TRUE AS balanced
+FROM lineitem GROUP BY 1""")
+def balanced_extract(spark, folder):
+    """Rows per key over all ranges of a key that a third of them share, and whether the largest range is at most twice the mean."""
+    lines = scan(spark, folder, "lineitem")
+    key = F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 50 == 1, F.lit(None)).otherwise(F.col("l_suppkey"))
+    tagged = extract.balanced_ranges(lines.withColumn("l_suppkey", key.cast("bigint")), "l_suppkey", 16)
+    counts = written(spark, tagged.groupBy("_range", "l_suppkey").agg(F.count("*").alias("n")), scratch_path(spark, "ranges"))
+    sizes = counts.filter("_range >= 0").groupBy("_range").agg(F.sum("n").alias("size"))
+    balanced = sizes.agg(F.max("size") <= 2 * F.avg("size")).first()[0]
+    return counts.groupBy("l_suppkey").agg(F.sum("n").alias("row_count")).withColumn("balanced", F.lit(balanced))
+
+
 @query("incremental_extract", """
 SELECT * FROM events WHERE ts >= '2024-01-19'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""")

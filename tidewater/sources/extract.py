@@ -57,6 +57,45 @@ def snapshot_extract(df: DataFrame, key: str, ranges: int) -> DataFrame:
     return df.withColumn("_range", F.coalesce(index, F.lit(-1)))
 
 
+def balanced_ranges(df: DataFrame, key: str, ranges: int, accuracy: int = 400) -> DataFrame:
+    """Tag each row with one of about `ranges` ranges of the key, `_range`, that hold about equally many rows.
+
+    The boundaries are the quantiles of a sketch of `accuracy` that tasks make and merge, one row on the driver. A key that
+    fills several ranges by itself is dealt to as many parts by a hash of the whole row, so the largest range is
+    about the mean however skewed the key is. Rows without a key are range -1; an integer key is required.
+    """
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"key {key!r} must be an integer")
+    if ranges < 1:
+        raise ValueError("ranges must be at least 1")
+    sketch = df.filter(col(key).isNotNull()).agg(F.kll_sketch_agg_bigint(col(key).cast("bigint"), accuracy).alias("s"))
+    ranks = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)] or [F.lit(1.0)])
+    filled = F.kll_sketch_get_n_bigint("s") > 0  # an empty sketch has no quantiles
+    row = sketch.select(F.when(filled, F.kll_sketch_get_quantile_bigint("s", ranks)).alias("cuts")).first()
+    if row["cuts"] is None:
+        return df.withColumn("_range", F.lit(-1))
+    plan, number, last = [], 0, None
+    cuts = row["cuts"] if ranges > 1 else []
+    for cut in sorted(set(cuts)):
+        heavy = cuts.count(cut) - 1
+        # Keys up to the cut are one range; a cut met more than once is a key of its own weight.
+        if heavy:
+            plan += [(cut - 1, number, 1), (cut, number + 1, heavy + 1)]
+            number += heavy + 2
+        else:
+            plan.append((cut, number, 1))
+            number += 1
+        last = cut
+    highest = (1 << 63) - 1
+    if last != highest:
+        plan.append((highest, number, 1))
+    uppers = F.array(*[F.lit(upper).cast("bigint") for upper, _, _ in plan])
+    firsts, parts = (F.array(*[F.lit(p[i]) for p in plan]) for i in (1, 2))
+    place = F.size(F.filter(uppers, lambda upper: upper < col(key).cast("bigint"))) + 1
+    dealt = F.element_at(firsts, place) + F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.element_at(parts, place)).cast("int")
+    return df.withColumn("_range", F.when(col(key).isNull(), -1).otherwise(dealt))
+
+
 def bootstrap_with_tail(snapshot: DataFrame, log: DataFrame, keys: list[str], seq: str,
                         ties: list[str] | None = None) -> DataFrame:
     """State from a snapshot plus the log that overlaps it; highest sequence wins."""
