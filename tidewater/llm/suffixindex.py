@@ -9,21 +9,22 @@ reference to a text that holds them. Texts are known by a hash of their bytes.
 
 `Family` holds arrays of geometric sizes. A new batch of texts gets its array, which is merge-scanned against the
 arrays of all levels: what starts alike in the batch and anywhere else, or twice in the batch, is passed on. Then the
-array joins the family, and arrays of the same number of batches are merged into one of the next level, so a text's
-entries are rewritten as often as the number of batches has bits. Families can be added to at any time.
+array joins the family. Ahead of the next batch arrays of the same number of batches are merged into one of the next
+level, so a text's entries are rewritten as often as the number of batches has bits. Families can be added to at
+any time.
 
 What the scans pass on is decided exactly. Entries of equal bytes are one class; a class of two or more entries is
 covered whole. A class of one is compared, byte by byte to the left and right of the place, with the other classes
 whose suffixes start alike, in groups of at most LIMIT. Larger groups, however hot, are never in one task: the
-strings of each entry are halved by where they start, what all strings of a half have in common names a smaller
-group, and so on down to groups of one whole string.
+strings of each entry are halved by where they start, and what all strings of a half have in common names a smaller
+group, and so on down to groups of one whole string. Halves of equal bytes cover each other and go on as one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ LENGTH = 400
 HEAD = 64
 SHOWN = 16
 BATCHES = 4
-LIMIT = 128
+LIMIT = 512
 STEP = 1 << 19  # strings looked at in one go
 PLACES = (1 << 20) - 1
 B = 0x9E3779B97F4A7C15 | 1
@@ -154,6 +155,12 @@ class Family:
 
     def add(self, found: DataFrame) -> DataFrame:
         """Add a batch's entries; gives the classes, old and new, that start like one of the batch does (stored)."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one), (_, other) = self.levels.pop(), self.levels.pop()
+            _, place = self._array(self._read(one).unionByName(self._read(other)))
+            self.levels.append((2 * size, place))
+            discard(self.spark, one)
+            discard(self.spark, other)
         batch, place = self._array(found.filter(F.col("digest").isNotNull()).select(
             "suffix", "digest", "n", F.struct("text", "start", "before", "size").alias("of")))
         scanned = batch.withColumn("new", F.lit(True))
@@ -163,12 +170,6 @@ class Family:
         alike = alike.filter("new AND (rows > 1 OR most > 1)").select("suffix")
         met = written(self.spark, scanned.drop("new").join(alike, "suffix", "left_semi"), scratch_path(self.spark, "met"))
         self.levels.append((1, place))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, one), (_, other) = self.levels.pop(), self.levels.pop()
-            _, place = self._array(self._read(one).unionByName(self._read(other)))
-            self.levels.append((2 * size, place))
-            discard(self.spark, one)
-            discard(self.spark, other)
         return met
 
 
@@ -184,19 +185,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["core", "digest", "alone", "before", "bytes"])
 
 
+HALF = "core binary, lo int, hi int, part binary, digest binary, alone boolean, before int, from int, to int, bytes binary"
+
+
 def _halved(length: int):
-    """Each entry's strings in two halves by where they start, each with what its strings have in common."""
+    """Each entry's strings in two halves by where they start, each with what its strings have in common.
+
+    `part` is a digest of all bytes of the half's strings, which go from `from` to `to` in the entry's.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for _, lo, hi, digest, alone, before, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, lo, hi, digest, alone, before, offset, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 nearest, middle = before + length - len(whole), (lo + hi) // 2
                 for low, high in ((lo, middle), (middle + 1, hi)):
-                    if low <= high and max(low, nearest) <= min(high, before):
+                    first, last = max(low, nearest), min(high, before)
+                    if low <= high and first <= last:
                         common = whole[before - low:before + length - high]
-                        rows.append((hashlib.blake2b(common, digest_size=16).digest(), low, high, digest, alone, before, whole))
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, batch.schema)], names=batch.schema.names)
+                        held = whole[before - last:before + length - first]
+                        part = hashlib.blake2b(last.to_bytes(4, "big") + held, digest_size=16).digest()
+                        rows.append((hashlib.blake2b(common, digest_size=16).digest(), low, high, part, digest, alone, last,
+                                     offset + before - last, offset + before + length - first, held))
+            columns = list(zip(*rows)) or [()] * 10
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(),
+                     pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                  names=[field.split()[0] for field in HALF.split(", ")])
     return run
 
 
@@ -238,10 +252,10 @@ def _compared(length: int):
         group, rows = None, []
 
         def done() -> pa.RecordBatch:
-            found = covered([r[1:] for r in rows], group[1], group[2], length)
+            found = covered([(alone, before, whole) for _, alone, before, _, whole in rows], group[1], group[2], length)
             return pa.record_batch([pa.array([rows[i][0] for i, _, _ in found], pa.binary()),
-                                    pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())],
-                                   names=["digest", "from", "to"])
+                                    pa.array([rows[i][3] + a for i, a, _ in found], pa.int32()),
+                                    pa.array([rows[i][3] + b for i, _, b in found], pa.int32())], names=["digest", "from", "to"])
 
         for batch in batches:
             for core, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -267,10 +281,11 @@ def _decided(docs: DataFrame, text: str, classes: DataFrame, length: int, limit:
     holders = docs.filter(F.octet_length(column) >= length).select(column.alias("text"), text_name(column).alias("name"))
     sliced = holders.join(wanted, F.col("name") == F.col("held_by")).select("text", "wanted").mapInArrow(
         _slices, "core binary, digest binary, alone boolean, before int, bytes binary")
+    # `from` says where an entry's bytes here start in its own; halves have fewer.
     pending = sliced.groupBy("core", "digest").agg(*[F.first(c).alias(c) for c in ("alone", "before", "bytes")]).select(
-        "core", F.lit(0).alias("lo"), F.lit(length - head_size(length)).alias("hi"), "digest", "alone", "before", "bytes")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pending.schema.fields)
-    key, found = ["core", "lo", "hi"], []
+        "core", F.lit(0).alias("lo"), F.lit(length - head_size(length)).alias("hi"), "digest", "alone", "before",
+        F.lit(0).alias("from"), "bytes")
+    key, columns, found = ["core", "lo", "hi"], pending.columns, []
     while True:
         pending = written(spark, pending, scratch_path(spark, "alike"))
         groups = pending.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.max("alone").alias("open")).filter(
@@ -282,15 +297,16 @@ def _decided(docs: DataFrame, text: str, classes: DataFrame, length: int, limit:
         large = groups.filter(F.col("members") > limit)
         if large.isEmpty():
             break
-        large = pending.join(large, key, "left_semi")
-        # A large group of one string covers that string in all its entries.
-        found.append(large.filter("lo = hi AND alone").select("digest", (F.col("before") - F.col("lo")).alias("from"), (
-            F.col("before") - F.col("lo") + length).alias("to")))
-        pending = large.filter("lo < hi").mapInArrow(_halved(length), fields)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        # Halves of equal bytes cover each other, and one of them stands for all in what follows; at the end of the
+        # halving that is all there is to know.
+        halves = written(spark, pending.join(large, key, "left_semi").filter("lo < hi").select(*columns).mapInArrow(
+            _halved(length), HALF), scratch_path(spark, "halves"))
+        parts = halves.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("some"), *[
+            F.first(c).alias(c) for c in ("digest", "before", "from", "bytes")])
+        again = halves.drop("bytes").groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, "part")
+        found.append(halves.filter("alone").join(again, [*key, "part"], "left_semi").select("digest", "from", "to"))
+        pending = parts.select(*key, "digest", (F.col("some") & (F.col("n") == 1)).alias("alone"), "before", "from", "bytes")
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH, batches: int = BATCHES,
@@ -323,10 +339,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, runs = [], []
         for text, spans in zip(texts(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist()):
-            gone = merged_spans([(s["start"], s["end"]) for s in spans])
+            gone = merged_spans([(s["start"], s["end"]) for s in spans or ()])
             runs.append([{"start": a, "end": b} for a, b in gone])
             edges = [0, *(x for span in gone for x in span), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else text)
         yield pa.record_batch([*batch.columns[:-2], pa.array(kept, pa.binary()),
                                pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                               names=[*batch.schema.names[:-2], "kept", "spans"])
@@ -349,17 +365,12 @@ def dedup_passages(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     carried = [c for c in docs.columns if c not in added]
     name = free_name([*docs.columns, *added], "name")
     other = free_name([*docs.columns, *added, name], "spans")
-    bytes_ = F.coalesce(quoted(text), F.lit("")).cast("binary")
     joined = docs.withColumn(name, text_name(quoted(text))).join(
         found.select(F.col("name").alias(f"{name}_of"), F.col("spans").alias(other)), F.col(name) == F.col(f"{name}_of"), "left")
-    spans = "array<struct<start: int, end: int>>"
-    untouched = joined.filter(F.col(other).isNull()).select(
-        *map(quoted, carried), bytes_.alias("kept"), F.array().cast(spans).alias("spans"), F.octet_length(bytes_).alias("n_bytes"))
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in carried),
-                        "n_bytes int", "kept binary", f"spans {spans}"])
-    touched = joined.filter(F.col(other).isNotNull()).select(
-        *map(quoted, carried), F.octet_length(bytes_).alias("n_bytes"), quoted(text).alias("_text"), F.col(other)).mapInArrow(_without, schema)
-    size = F.col("n_bytes").cast("long")
-    return untouched.unionByName(touched.select(*untouched.columns)).select(
-        *map(quoted, carried), "kept", "spans", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+                        "n_bytes bigint", "kept binary", "spans array<struct<start: int, end: int>>"])
+    size = F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long")
+    return joined.select(*map(quoted, carried), size.alias("n_bytes"), quoted(text).alias(f"{name}_text"), F.col(other)).mapInArrow(
+        _without, schema).select(
+        *map(quoted, carried), "kept", "spans", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"))
