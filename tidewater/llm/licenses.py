@@ -137,6 +137,10 @@ def fuzzy_places(words: Words) -> list[tuple[int, int, str, int, float]]:
     best: dict[tuple[int, int, str], tuple[int, float]] = {}
     for notice, spans in windows.items():
         for low, high in spans:
+            while words.padded[low] & 0xC0 == 0x80:  # not in the middle of a character
+                low -= 1
+            while high < len(words.padded) and words.padded[high] & 0xC0 == 0x80:
+                high += 1
             window = words.padded[low:high].decode("utf-8", "replace")
             for match in _matches(patterns[notice], window, len(notice) - edits_allowed(notice)):
                 text = match.group().strip()
