@@ -301,13 +301,18 @@ class _Join:
         whose branch stays meet the signatures."""
         if labels is not None:
             rows = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        counts = rows.groupBy("tree", "path").agg(
-            F.count("*").alias("members"),
-            F.min(F.struct(F.xxhash64("tree", "path", "node").alias("order"), "node")).alias("pivot"),
-            *([F.min("root").alias("low"), F.max("root").alias("high")] if labels is not None else []))
+        first = F.min(F.struct(F.xxhash64("tree", "path", "node").alias("order"), "node")).alias("pivot")
+        if labels is None:
+            counts = rows.groupBy("tree", "path").agg(F.count("*").alias("members"), first).filter("members > 1").select(
+                "tree", "path", "members", F.col("pivot.node").alias("pivot"))
+        else:
+            counts = rows.groupBy("tree", "path", "root").agg(F.count("*").alias("n"), first).groupBy("tree", "path").agg(
+                F.sum("n").alias("members"), F.min("pivot").alias("pivot"), F.count("*").alias("roots"),
+                F.max(F.struct("n", "root")).alias("most")).filter("roots > 1").select(
+                "tree", "path", "members", F.col("pivot.node").alias("pivot"), F.col("most.root").alias("largest"),
+                (F.col("members") - F.col("most.n")).alias("outsiders"))
         # Stored ahead of the join: an aggregate that feeds a join keeps Spark from splitting a hot branch there.
-        counts = self.store(counts.filter("members > 1" if labels is None else "low <> high").select(
-            "tree", "path", "members", F.col("pivot.node").alias("pivot")), "branch-counts")
+        counts = self.store(counts, "branch-counts")
         kept = rows.join(counts, ["tree", "path"])
         return kept.join(self.nodes.select("node", "size", "signature"), "node")
 
@@ -320,10 +325,14 @@ class _Join:
 
     def promising(self, rows: DataFrame) -> DataFrame:
         """The nodes with a likely partner in another component, by group. A branch of over BLOCK nodes is
-        cut into blocks by hash, and each pair of blocks is a group, so no task holds a whole branch."""
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cut into blocks by hash, those outside of its largest component first, and each pair of blocks with an outer
+        one is a group. So no task holds a whole branch, and the largest component meets the outsiders only."""
+        whole, outer = F.col("members") <= BLOCK, F.col("root") != F.col("largest")
+        outers = F.ceil(F.col("outsiders") / BLOCK).cast("int")
+        inners = F.ceil((F.col("members") - F.col("outsiders")) / BLOCK).cast("int")
+        among = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+        dealt = rows.withColumn("block", F.when(whole, 0).when(outer, among(outers)).otherwise(outers + among(inners))).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.when(whole, 0).when(outer, outers + inners - 1).otherwise(outers - 1))))
         return (dealt.select("tree", "path", F.least("block", "other").alias("low"),
                              F.greatest("block", "other").alias("high"), "block", "node", "root", "size", "signature")
                 .repartition(*_KEY).sortWithinPartitions(*_KEY)
