@@ -1,9 +1,11 @@
 """Personal data: base patterns, and a character-level BiLSTM with CRF transitions that adds to them.
 
-The network is trained in numpy on windows with labelled spans: by default those that the base patterns
-mark in a bounded sample of windows (MAX_WINDOWS, chosen by hash). Texts are cut into overlapping windows; all windows with a
-digit or @, without which no kind of span can exist, are decoded. A span shorter than the overlap lies
-whole in some window. What the windows find is reconciled over the whole text: base spans stay, and of
+The network is trained in numpy on windows with labelled spans, a bounded sample of them (MAX_WINDOWS, chosen by
+hash): what the base patterns mark, also in copies of the text that are written as these patterns do not expect
+(`altered`: a domain beyond ASCII, other separators, another international prefix), and secrets, which have no base
+pattern (`labelled_spans`). Texts are cut into overlapping windows; all windows with a
+digit or @, without which no kind of span can exist, are decoded. Parts of a span that window edges cut are joined with
+the neighbouring windows' parts. What the windows find is reconciled over the whole text: base spans stay, and of
 the rest the set of spans without overlap that has the largest total confidence is added, if the model
 is sure of them and they can be what they are called.
 """
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import prepare_python, quoted
 
-#: In the order in which spans of equal start are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: In the order in which spans of equal start are listed. The last has no base pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 WINDOW, STRIDE = 96, 48
 MAX_WINDOWS = 1500
 EPOCHS = 24
@@ -90,14 +93,42 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
+_SECRET = re.compile(r"(?i)(?:token|secret|password|key)\"?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/-]{16,128})(?![A-Za-z0-9_+/-])")
+
+
+def labelled_spans(text: str) -> list[Span]:
+    """What the tagger learns from: the base spans, and long values that are named a secret."""
+    secrets = [(4, *m.span(1)) for m in _SECRET.finditer(text) if plausible(4, m.group(1))]
+    return sorted([*base_spans(text), *secrets], key=lambda s: (s[1], s[0], s[2]))
+
+
+def altered(text: str, spans: list[Span]) -> str:
+    """The text, of equal length, with its spans written in ways that the base patterns do not know."""
+    out = list(text)
+    for kind, start, end in spans:
+        if kind == 0:  # a letter of the domain beyond ASCII
+            at = next((i for i in range(text.index("@", start) + 1, end) if out[i].isalpha()), None)
+            if at is not None:
+                out[at] = "éüöñ"[(end - start) % 4]
+        elif kind == 2:
+            out[start:end] = ["." if c in " -" else c for c in out[start:end]]
+        elif kind == 3:
+            out[start] = "0"
+    return "".join(out)
+
+
 def plausible(kind: int, text: str) -> bool:
     """Whether an added span can be of its kind."""
     digits = _digits(text)
+    if kind == 4:
+        return len(text) >= 16 and len(digits) >= 2 and any(map(str.isalpha, text)) and not any(map(str.isspace, text))
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and text[0] in "+0("
     if kind == 0:
         return "@" in text and "." in text.rpartition("@")[2]
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in text.split("."))
-    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+    return 12 <= len(digits) <= 19 and luhn(digits)
 
 
 _PUNCTUATION = " \n.,:;@+-_%()/\\'\"=<>[]#&!?*|"
@@ -287,8 +318,11 @@ class Tagger:
         return tags.T, sure
 
 
-def _tagged_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> Iterator[tuple[float, Span]]:
-    """A window's whole spans: not those that its edges cut, unless the text ends there."""
+Part = tuple[float, Span, bool, bool]  # confidence, span, whether the window's edge cuts it on the left, on the right
+
+
+def _tagged_parts(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> Iterator[Part]:
+    """A window's spans, also those that its edges cut."""
     at = 0
     while at < WINDOW:
         tag = int(tags[at])
@@ -298,12 +332,28 @@ def _tagged_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -
         kind, end = (tag - 1) // 2, at + 1
         while end < WINDOW and tags[end] == 2 + 2 * kind:
             end += 1
-        inside = (at > 0 or start == 0) and (end < WINDOW or start + end >= length)
-        if inside and tag % 2 == 1 and start + end <= length:
-            yield float(sure[at:end].mean()), (kind, start + at, start + end)
+        if start + end <= length and (tag % 2 == 1 or at == 0):
+            yield (float(sure[at:end].mean()), (kind, start + at, start + end), at == 0 and start > 0,
+                   end == WINDOW and start + end < length)
         at = end
 
 
+def joined_parts(parts: list[Part]) -> list[tuple[float, Span]]:
+    """Whole spans: those that no edge cuts, and parts that are continued in the next window."""
+    out, held = [], {}  # of each kind the part that goes on
+    for chance, (kind, start, end), left, right in sorted(parts, key=lambda p: (p[1][1], p[1][2])):
+        known = held.get(kind)
+        if known and start <= known[1][2] and (left or start >= known[1][1]) and end >= known[1][2]:
+            chance, start, left = min(chance, known[0]), known[1][1], known[2]
+        elif left:
+            continue
+        if right:
+            held[kind] = chance, (kind, start, end), left
+        elif not left:
+            out.append((chance, (kind, start, end)))
+    return out
+
+
 def reconciled(base: list[Span], offered: list[tuple[float, Span]], text: str) -> list[Span]:
     """Base spans and the sure, plausible offers beside them: of overlapping ones the set of largest total."""
     starts = [start for _, start, _ in base]
@@ -334,7 +384,7 @@ def reconciled(base: list[Span], offered: list[tuple[float, Span]], text: str) -
 def all_spans(values: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text. The windows of all texts are decoded together."""
     base = [base_spans(value) for value in values]
-    offered: list[list[tuple[float, Span]]] = [[] for _ in values]
+    offered: list[list[Part]] = [[] for _ in values]
     if tagger is not None:
         held, owners = [], []
 
@@ -343,7 +393,7 @@ def all_spans(values: list[str], tagger: Tagger | None) -> list[tuple[list[Span]
                 tags, sure = tagger.decode(np.concatenate(held)[low:low + DECODE])
                 for (owner, start), row, chance in zip(owners[low:low + DECODE], tags, sure):
                     if row.any():
-                        offered[owner] += _tagged_spans(row, chance, start, len(values[owner]))
+                        offered[owner] += _tagged_parts(row, chance, start, len(values[owner]))
             held.clear()
             owners.clear()
 
@@ -357,25 +407,28 @@ def all_spans(values: list[str], tagger: Tagger | None) -> list[tuple[list[Span]
                     flush()
         if owners:
             flush()
-    return [(known, reconciled(known, offer, value) if offer else known)
+    return [(known, reconciled(known, joined_parts(offer), value) if offer else known)
             for known, offer, value in zip(base, offered, values)]
 
 
 def train(docs: DataFrame, text: Column, *, max_windows: int = MAX_WINDOWS,
-          label: Callable[[str], list[Span]] = base_spans) -> Tagger | None:
+          label: Callable[[str], list[Span]] = base_spans,
+          alter: Callable[[str, list[Span]], str] | None = None) -> Tagger | None:
     """Fit a tagger to at most `max_windows` windows of the texts, those of smallest hash.
 
-    `label` gives a text's labelled spans. Only codes and tags of these windows reach the driver.
+    `label` gives a text's labelled spans, `alter` the text in another spelling with the same spans. Only codes and
+    tags of these windows reach the driver.
     """
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, tags = [], []
             for value in batch.column(0).to_pylist():
-                encoded = encode(value)
-                starts = window_starts(encoded)
                 spans = label(value)
-                codes += [row.tobytes() for row in window_codes(encoded, starts)]
-                tags += [_tags(spans, int(start)).tobytes() for start in starts]
+                for written_ in {value, alter(value, spans) if alter else value}:
+                    encoded = encode(written_)
+                    starts = window_starts(encoded)
+                    codes += [row.tobytes() for row in window_codes(encoded, starts)]
+                    tags += [_tags(spans, int(start)).tobytes() for start in starts]
             yield pa.record_batch([pa.array(codes, pa.binary()), pa.array(tags, pa.binary())], names=["codes", "tags"])
 
     found = docs.filter(text.rlike("[0-9@]")).select(text.alias("text")).mapInArrow(
@@ -390,7 +443,7 @@ def train(docs: DataFrame, text: Column, *, max_windows: int = MAX_WINDOWS,
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
                        max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id and the spans of every text: base (those of the patterns) and spans (the tagger's too), as
-    arrays of kind, start, end in code points, by start and then kind.
+    arrays of kind, start, end in code points, by start and then kind. Secrets are found by the tagger only.
 
     A null or empty text has no spans. Where no text has a digit or @ there is nothing to train on and
     nothing to find. Rows are judged one by one, so repeated or null ids come back as they are; an empty
@@ -398,7 +451,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     prepare_python(spark)
-    tagger = spark.sparkContext.broadcast(train(docs, quoted(text), max_windows=max_windows))
+    tagger = spark.sparkContext.broadcast(train(
+        docs, quoted(text), max_windows=max_windows, label=labelled_spans, alter=altered))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
