@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import gate
+from tests.compare import plan
+from tidewater.operators import gate, parity, telemetry
 from tidewater.operators.quality import RESULT_COLUMNS, quality_suite, reconcile_batches
 
 AS_OF = "2026-08-02 00:00:00"
@@ -132,3 +133,42 @@ def test_reconcile_sees_both_sides(spark):
     seen = {r["batch"]: (r["landed_rows"], r["written_rows"], r["reconciled"])
             for r in reconcile_batches(a, b, "b").collect()}
     assert seen == {"x": (2, 1, False), "y": (1, 0, False), "z": (0, 1, False)}
+
+
+def test_parity_by_ranges_names_the_rows_and_moves_little(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("b"))
+    other = rows.filter("id <> 5").withColumn("a", F.when(F.col("id") == 77, F.lit(None)).otherwise(F.col("a")))
+    other = other.unionByName(rows.filter("id = 9")).select("b", "a", "id")
+    got = {(r["id"], r["a"], r["b"], r["side"], r["rows"]) for r in parity.parity_ranges(rows, other, ["id"]).collect()}
+    assert got == {(5, 5, "x", "left", 1), (9, 2, None, "right", 1), (77, 0, "x", "left", 1), (77, None, "x", "right", 1)}
+    ranges = parity.differing_ranges(rows, other.select(*rows.columns), ["id"], 16)
+    assert ranges.count() == 3
+    moved = parity._within(rows, ["id"], 16, [r["_range"] for r in ranges.collect()])
+    assert moved.count() < 20
+    many = parity._within(rows, ["id"], 16, list(range(0, 65536, 2)))
+    assert 9_000 < many.count() < 11_000 and "BroadcastHashJoin" in plan(many)
+    assert parity.parity_ranges(rows, rows, ["id"]).isEmpty()
+    # Nulls that change places, and rows of a null key.
+    left = spark.createDataFrame([(None, "a", None), (1, None, "b")], "k int, x string, y string")
+    right = spark.createDataFrame([(None, None, "a"), (1, "b", None)], "k int, x string, y string")
+    assert parity.parity_ranges(left, right, ["k"], (4,)).count() == 4
+    with pytest.raises(ValueError, match="columns differ"):
+        parity.parity_ranges(left, right.drop("y"), ["k"])
+    with pytest.raises(ValueError, match="levels"):
+        parity.parity_ranges(left, right, ["k"], (8, 30))
+
+
+def test_timing_states_merge_like_one_sketch(spark):
+    rows = spark.range(30_000).select(
+        (F.col("id") % 2).cast("string").alias("m"), (F.col("id") % 9).alias("day"), F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("ns"))
+    rows = rows.unionByName(spark.createDataFrame([("0", 1, None), ("2", 1, 5)], "m string, day bigint, ns bigint"))
+    states = telemetry.timing_states(rows, "m", "ns", "day")
+    merged = telemetry.timing_quantiles(telemetry.merged_timings(states, ["m"]), {"p50": 0.5, "p99": 0.99})
+    exact = {r["m"]: r for r in rows.filter("ns IS NOT NULL").groupBy("m").agg(
+        F.count("*").alias("n"), F.sum("ns").alias("total"), F.min("ns").alias("low"), F.max("ns").alias("high")).collect()}
+    for r in merged.collect():
+        own = exact[r["m"]]
+        assert (r["samples"], r["total"], r["lowest"], r["highest"]) == (own["n"], own["total"], own["low"], own["high"])
+        for name, q in (("p50", 0.5), ("p99", 0.99)) if r["m"] != "2" else ():
+            below = rows.filter((F.col("m") == r["m"]) & (F.col("ns") <= r[name])).count()
+            assert abs(below / own["n"] - q) < 0.02

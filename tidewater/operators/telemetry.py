@@ -54,6 +54,30 @@ def _ranked(df: DataFrame, metric: str, value: str, quantiles: dict[str, float])
             .groupBy("_metric", "_quantile", *totals).agg(F.min("_value").alias("_value")))
 
 
+def timing_states(df: DataFrame, metric: str, value: str, period: str, accuracy: int = 400) -> DataFrame:
+    """Per metric and period a state that can be stored and merged: samples, total, lowest, highest and a quantile sketch.
+
+    The sketch's rank error is about 1 % at an accuracy of 400; all other numbers are exact. Samples of a period are read
+    once, whatever is asked later.
+    """
+    return df.filter(col(value).isNotNull()).groupBy(col(metric), col(period)).agg(
+        F.count("*").alias("samples"), F.sum(col(value)).alias("total"), F.min(col(value)).alias("lowest"),
+        F.max(col(value)).alias("highest"), F.kll_sketch_agg_bigint(col(value).cast("bigint"), accuracy).alias("sketch"))
+
+
+def merged_timings(states: DataFrame, by: list[str]) -> DataFrame:
+    """States merged over what `by` leaves out, by a map-side aggregate of small rows."""
+    return states.groupBy(*[col(c) for c in by]).agg(
+        F.sum("samples").alias("samples"), F.sum("total").alias("total"), F.min("lowest").alias("lowest"),
+        F.max("highest").alias("highest"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def timing_quantiles(states: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """The states with approximate quantiles in place of their sketches; the lowest and highest stay exact."""
+    return states.select(*[col(c) for c in states.columns if c != "sketch"], *[
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias(name) for name, q in quantiles.items()])
+
+
 def _quantile_columns(quantiles: dict[str, float]) -> list[Column]:
     return [F.max(F.when(F.col("_quantile") == name, F.col("_value"))).alias(name)
             for name in quantiles]

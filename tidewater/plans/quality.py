@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import parity
 from tidewater.operators import quality as dq
 from tidewater.operators.products import materialise
 from tidewater.plans.gold import ROLLUP, ROLLUP_TABLES
@@ -188,6 +189,22 @@ def reconcile_batches(spark, folder):
 DECIMAL_TOTAL = "CAST(sum(CAST(o_totalprice AS DECIMAL(14, 2))) AS DOUBLE)"
 
 
+@query("parity_ranges", """
+WITH changed AS (
+  SELECT * REPLACE (CASE WHEN o_orderkey % 101 = 1 THEN NULL ELSE o_orderstatus END AS o_orderstatus)
+  FROM orders WHERE o_orderkey % 97 <> 5
+  UNION ALL SELECT * FROM orders WHERE o_orderkey % 89 = 3 AND o_orderkey % 97 <> 5 AND o_orderkey % 101 <> 1)
+SELECT *, 'left' AS side, CAST(1 AS BIGINT) AS rows FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM changed)
+UNION ALL SELECT *, 'right', 1 FROM (SELECT * FROM changed EXCEPT ALL SELECT * FROM orders)""")
+def parity_ranges(spark, folder):
+    """Orders against a copy with lost, changed and repeated rows."""
+    orders, key = scan(spark, folder, "orders"), F.col("o_orderkey")
+    status = F.when(key % 101 == 1, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    kept = orders.filter(key % 97 != 5)
+    twice = kept.filter((key % 89 == 3) & (key % 101 != 1))
+    return parity.parity_ranges(orders, kept.withColumn("o_orderstatus", status).unionByName(twice), ["o_orderkey"])
+
+
 @query("dataset_parity", f"""
 WITH a AS (SELECT * FROM orders),
 b AS (SELECT * REPLACE (CASE WHEN o_orderdate >= '2001-06-01' AND o_orderstatus = 'F' THEN 'C'

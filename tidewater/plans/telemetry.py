@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import conform
 from tidewater.operators import telemetry as measures
 from tidewater.plans.registry import query
+from tidewater.session import scratch_path, written
 from tidewater.sources.extract import scan
 
 
@@ -27,6 +28,24 @@ def timing_summary(spark, folder):
     return measures.timing_summary(timings, "event_type", "duration_ns")
 
 
+@query("timing_merged", """
+SELECT event_type, count(*) AS samples, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS total,
+       min(CAST(round(value * 1000000) AS BIGINT)) AS lowest, max(CAST(round(value * 1000000) AS BIGINT)) AS highest,
+       TRUE AS p50_close, TRUE AS p95_close
+FROM events GROUP BY event_type""")
+def timing_merged(spark, folder):
+    """Daily states stored, then merged per metric; whether the quantiles' ranks are within 2 % of those asked for."""
+    timings = scan(spark, folder, "events").select(
+        "event_type", F.to_date("ts").alias("day"), F.round(F.col("value") * 1_000_000).cast("bigint").alias("duration_ns"))
+    states = written(spark, measures.timing_states(timings, "event_type", "duration_ns", "day"), scratch_path(spark, "timings"))
+    merged = measures.timing_quantiles(measures.merged_timings(states, ["event_type"]), {"p50": 0.5, "p95": 0.95})
+    merged = written(spark, merged, scratch_path(spark, "quantiles"))  # a row per metric
+    ranks = timings.join(merged.select("event_type", "p50", "p95"), "event_type").groupBy("event_type").agg(*[
+        (F.avg((F.col("duration_ns") <= F.col(name)).cast("int")).between(q - 0.02, q + 0.02)).alias(f"{name}_close")
+        for name, q in (("p50", 0.5), ("p95", 0.95))])
+    return merged.drop("p50", "p95").join(ranks, "event_type")
+
+
 # Each counter as an expression both engines read the same way.
 COUNTERS = {
     "executor_run_ms": "CAST(l_quantity AS BIGINT)",
