@@ -1,12 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all words of all examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all words, by a block-max inverted index.
 
-Examples are at most `max_examples` labelled rows, the first in the order of a seeded hash of their ids;
-every one with any word is in the index, with all its words. A word is known by a 64-bit hash. Words that
-unlabelled texts add count in a text's length, as rare as words of one example.
+Examples are labelled rows, the first in the order of a seeded hash of their ids, at most `max_examples` of them and
+`max_entries` different words in them together; every one with any word is in the index, with all its words. A word is
+known by a 64-bit hash. Document frequencies are those of all documents. Words that no example holds count in a
+text's length, as rare as words of one document.
 
-A batch of texts is compared with all examples at once: the DENSE commonest words as a matrix product, the
-others through their lists of examples. What comes within MARGIN of the k-th best so is computed again in
-double precision, so the neighbours are the true ones.
+The index lies in blocks of BLOCK examples, similar ones together (by the pivot they are most alike, so languages and
+topics have their own blocks). Per word and block it holds the largest weight there. The sum of a text's weights
+times these bounds each block from above; blocks are visited by falling bound, their cosines computed in double precision, until
+no bound reaches the k-th best cosine. So the neighbours are those of a comparison with all examples.
 
 Neighbours vote with what 1 / (distance + SOFT) has above a neighbour without any common word. A logistic
 curve fitted to all examples' own votes, each without itself, makes a score of the vote. It weighs votes of
@@ -33,18 +35,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import LETTERS, WordHashes, prepare_python, quoted
+from tidewater.session import discard, scratch_path, written
 
-MAX_EXAMPLES = 20_000
+MAX_EXAMPLES = 3072
+MAX_ENTRIES = 1_500_000
 MAX_TERMS = 8192
 MIN_EXAMPLES_OF_TERM = 3
-NEIGHBOURS = 25
-DENSE = 1024
-MARGIN = 1e-5
+NEIGHBOURS = 64
+BLOCK = 64
+PIVOTS = 64
+AT_ONCE = 8
 SOFT = 0.05
 KNOWN = 20_000
 BATCH = 64
-ROWS_PER_TASK = 1000
+ROWS_PER_TASK = 250
 ALIKE = 0.9
+SLICE = 8192
 START = (0.0, 1.0, 1.0, 0.0, 0.0, 0.0)
 
 _HASHES = WordHashes()
@@ -62,12 +68,20 @@ def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
 
 
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one range after the other."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+
+
 @dataclass
 class Examples:
     """The examples with any word, by id, and their weights of length 1."""
 
     vocabulary: np.ndarray  # hashes of all words of all examples, ascending
     idf: np.ndarray
+    rarest: float  # the idf of a word of one document
     ids: list[str]
     labels: np.ndarray
     pointers: np.ndarray  # of each row's entries
@@ -79,6 +93,7 @@ class Examples:
     curve: tuple[float, ...] = START
     known: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     made: tuple | None = None
+    visited: int = 0
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "known": {}, "made": None}
@@ -90,20 +105,18 @@ class Examples:
             yield slice(start, end), slice(int(self.pointers[start]), int(self.pointers[end]))
 
     def _index(self) -> tuple:
-        """Where the commonest words stand in the matrix (else -1), the matrix, and the other words' lists."""
+        """Postings by word and block: where each word's (word, block) pairs begin; the pairs' blocks, largest
+        weights and where their postings begin; the postings' rows and weights."""
         if self.made is None:
+            blocks = -(-len(self.ids) // BLOCK)
             row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.pointers))
-            often = np.bincount(self.columns, minlength=len(self.vocabulary))
-            place = np.full(len(often), -1, np.int32)
-            commonest = np.argsort(-often, kind="stable")[:DENSE]
-            place[commonest] = np.arange(len(commonest))
-            at = place[self.columns]
-            matrix = np.zeros((len(commonest), len(self.ids)), np.float32)
-            matrix[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
-            rare = np.flatnonzero(at < 0)
-            rare = rare[np.argsort(self.columns[rare], kind="stable")]
-            starts = np.searchsorted(self.columns[rare], np.arange(len(often) + 1))
-            self.made = place, matrix, starts, row[rare], self.values[rare]
+            keys = self.columns.astype(np.int64) * blocks + row // BLOCK
+            order = np.argsort(keys, kind="stable")
+            keys, row, weights = keys[order], row[order], self.values[order]
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            pairs = keys[begins[:-1]]
+            self.made = (np.searchsorted(pairs // blocks, np.arange(len(self.vocabulary) + 1)), (pairs % blocks).astype(np.int16),
+                         np.maximum.reduceat(weights, begins[:-1]), begins, row, weights)
         return self.made
 
     def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -113,52 +126,46 @@ class Examples:
         keys, often = hashed(counts)
         at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
         held = self.vocabulary[at] == keys
-        weight = (1 + np.log(often)) * np.where(held, self.idf[at], math.log(1 + len(self.ids)))
+        weight = (1 + np.log(often)) * np.where(held, self.idf[at], self.rarest)
         return at[held], weight[held] / math.sqrt(float(weight @ weight))
 
-    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Every query's cosines with all examples, in single precision."""
-        place, matrix, starts, rows, values = self._index()
-        common = np.zeros((len(queries), len(matrix)), np.float32)
-        for i, (at, weight) in enumerate(queries):
-            held = place[at] >= 0
-            common[i, place[at[held]]] = weight[held]
-        out = common @ matrix
-        for i, (at, weight) in enumerate(queries):
-            at, weight = at[place[at] < 0], weight[place[at] < 0].astype(np.float32)
-            sizes = starts[at + 1] - starts[at]
-            ends = np.cumsum(sizes)
-            if len(ends) and ends[-1]:
-                entries = np.arange(ends[-1]) + np.repeat(starts[at] - ends + sizes, sizes)
-                out[i] += np.bincount(rows[entries], values[entries] * np.repeat(weight, sizes), len(self.ids))
-        return out
-
-    def best(self, query: np.ndarray, products: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Of a query, as weights of the whole vocabulary, the neighbours that its products lead to."""
-        wanted = k + (without >= 0)
-        least = np.partition(products, -wanted)[-wanted] if wanted < len(products) else 0.0
-        rows = np.flatnonzero(products > max(least - MARGIN, 0))
-        rows = rows[rows != without]
-        if not len(rows):
-            return rows, np.zeros(0)
-        sizes = self.pointers[rows + 1] - self.pointers[rows]
-        ends = np.cumsum(sizes)
-        entries = np.arange(ends[-1]) + np.repeat(self.pointers[rows] - ends + sizes, sizes)
-        scores = np.add.reduceat(self.values[entries] * query[self.columns[entries]], ends - sizes)
-        order = np.lexsort((rows, -scores.round(12)))[:k]
-        return rows[order], scores[order]
-
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        query, out = np.zeros(len(self.vocabulary)), []
-        for (at, weight), products in zip(queries, self.products(queries)):
-            query[at] = weight
-            out.append(self.best(query, products, k))
-            query[at] = 0
-        return out
+    def cosines(self, query: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The cosines of the rows from first to last with a query, given as weights of the whole vocabulary."""
+        part = slice(int(self.pointers[first]), int(self.pointers[last]))
+        return np.add.reduceat(self.values[part] * query[self.columns[part]], self.pointers[first:last] - part.start)
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties to earlier rows, and their cosines."""
-        return self.nearest_of([(at, weight)], k)[0]
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above 0, ties to earlier rows, and their cosines, but for one row."""
+        starts, of, most, begins, rows_of, weights = self._index()
+        pairs, blocks = _spread(starts[at], starts[at + 1]), -(-len(self.ids) // BLOCK)
+        if not len(pairs):
+            return np.zeros(0, np.int64), np.zeros(0)
+        block, factor = of[pairs], np.repeat(weight, starts[at + 1] - starts[at])
+        bounds = np.bincount(block, most[pairs] * factor, blocks) * (1 + 1e-9)
+        by_block, ends = np.argsort(block, kind="stable"), np.cumsum(np.bincount(block, minlength=blocks))
+        falling = np.argsort(-bounds, kind="stable")
+        rows, scores, least, visit = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        while visit < blocks:
+            part = falling[visit:visit + AT_ONCE]
+            part = part[bounds[part] > max(least - 1e-12, 0)]
+            if not len(part):
+                break
+            visit += len(part)
+            chosen = by_block[_spread(np.where(part > 0, ends[part - 1], 0), ends[part])]
+            pair = pairs[chosen]
+            postings = _spread(begins[pair], begins[pair + 1])
+            found = np.bincount(rows_of[postings], weights[postings] * np.repeat(factor[chosen], begins[pair + 1] - begins[pair]),
+                                len(self.ids))
+            good = np.flatnonzero(found > max(least - 1e-12, 0))
+            good = good[good != without]
+            rows, scores = np.append(rows, good), np.append(scores, found[good])
+            best = np.lexsort((rows, -scores.round(12)))[:k]
+            rows, scores = rows[best], scores[best]
+            least = scores[-1] if len(scores) == k else 0.0
+            if len(part) < AT_ONCE:
+                break
+        self.visited += visit
+        return rows, scores
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The neighbours' weighted share of toxic ones, with the base rate as one far neighbour."""
@@ -185,7 +192,7 @@ class Examples:
             if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
                 new = dict(zip(keys, asked))
-            self.known.update(zip(new, self.nearest_of(list(new.values()), NEIGHBOURS) if new else ()))
+            self.known.update((key, self.nearest(*q, NEIGHBOURS)) for key, q in new.items())
             for key, c, (at, _) in zip(keys, counts, asked):
                 if not c or not self.ids:
                     out.append((self.none_rate, np.zeros(0, np.int64), np.zeros(0), False))
@@ -292,15 +299,13 @@ def _own_neighbours(spark, model: Examples) -> tuple[list[tuple[np.ndarray, np.n
         names = ["row", "near", "cosines"]
         for batch in batches:
             rows, near = batch.column(0).to_pylist(), []
-            for start in range(0, len(rows), BATCH):
-                part = rows[start:start + BATCH]
-                spans = [slice(examples.pointers[i], examples.pointers[i + 1]) for i in part]
-                asked = [(examples.columns[x], examples.values[x]) for x in spans]
-                for i, (at, weight), products in zip(part, asked, examples.products(asked)):
-                    query[at] = weight
-                    near.append(examples.best(query, products, NEIGHBOURS, i))
-                    query[at] = 0
-                    _joined(group, np.append(np.flatnonzero(products >= ALIKE), i))
+            for i in rows:
+                span = slice(examples.pointers[i], examples.pointers[i + 1])
+                at = examples.columns[span]
+                query[at] = examples.values[span]
+                near.append(examples.nearest(at, query[at], NEIGHBOURS, i))
+                _joined(group, np.append(np.flatnonzero(examples.cosines(query, 0, len(examples.ids)) >= ALIKE), i))
+                query[at] = 0
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([x[0].astype(np.int64).tobytes() for x in near], pa.binary()),
                                    pa.array([x[1].tobytes() for x in near], pa.binary())], names=names)
         yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([group.tobytes()], pa.binary()),
@@ -319,28 +324,102 @@ def _own_neighbours(spark, model: Examples) -> tuple[list[tuple[np.ndarray, np.n
             for r in sorted(got, key=lambda r: r["row"]) if r["row"] >= 0], group
 
 
+def _documents_with(vocabulary):
+    """How many of a task's texts hold each word of the vocabulary, in slices; slice -1 counts texts with any word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, texts_ = vocabulary.value, 0
+        seen = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = set(LETTERS.findall(text.lower())) if text else ()
+                if words:
+                    texts_ += 1
+                    keys = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    seen[at[known[at] == keys]] += 1
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([np.array([texts_]).tobytes()], pa.binary())], names=["slice", "counts"])
+        for number, start in enumerate(range(0, len(known), SLICE)):
+            if seen[start:start + SLICE].any():
+                yield pa.record_batch([pa.array([number], pa.int32()), pa.array([seen[start:start + SLICE].tobytes()], pa.binary())],
+                                      names=["slice", "counts"])
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[number] = sums.get(number, 0) + np.frombuffer(counts, np.int64)
+    for number, counts in sums.items():
+        yield pa.record_batch([pa.array([number], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["slice", "counts"])
+
+
+def document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each word of the vocabulary, and how many have any word."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of at most max_entries words
+    found = docs.select(quoted(text)).mapInArrow(_documents_with(shared), "slice int, counts binary").repartition(
+        "slice").mapInArrow(_added, "slice int, counts binary").collect()  # 8 bytes a word
+    counts, total = np.zeros(len(vocabulary), np.int64), 0
+    for r in found:
+        if r["slice"] < 0:
+            total = int(np.frombuffer(r["counts"], np.int64)[0])
+        else:
+            part = np.frombuffer(r["counts"], np.int64)
+            counts[r["slice"] * SLICE:r["slice"] * SLICE + len(part)] = part
+    shared.unpersist()
+    return counts, total
+
+
+def _similar_first(model: Examples, sizes: np.ndarray) -> np.ndarray:
+    """The rows in an order that has similar ones together: by the pivot that each is most alike."""
+    pivots = np.linspace(0, len(sizes) - 1, min(PIVOTS, len(sizes))).astype(int)
+    query, alike = np.zeros(len(model.vocabulary)), np.empty((len(pivots), len(sizes)))
+    for number, pivot in enumerate(pivots):
+        span = slice(model.pointers[pivot], model.pointers[pivot + 1])
+        query[model.columns[span]] = model.values[span]
+        alike[number] = model.cosines(query, 0, len(sizes))
+        query[model.columns[span]] = 0
+    chain, left = [0], set(range(1, len(pivots)))  # each pivot is followed by the one most alike of those left
+    while left:
+        chain.append(max(sorted(left), key=lambda i: alike[chain[-1], pivots[i]]))
+        left.discard(chain[-1])
+    of = np.argmax(alike[chain], axis=0)
+    return np.lexsort((-alike[np.array(chain)[of], np.arange(len(sizes))], of))
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *,
-          usable: Column | None = None, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-          seed: int = 7) -> Examples:
+          usable: Column | None = None, max_examples: int = MAX_EXAMPLES, max_entries: int = MAX_ENTRIES,
+          max_terms: int = MAX_TERMS, seed: int = 7) -> Examples:
     """The examples' index. `usable` is a condition on the labels' rows, all by default.
 
-    Only ids, labels and words' hashes and counts of at most `max_examples` rows reach the driver.
+    Of the first `max_examples` labelled rows, in the order of a seeded hash, those are examples whose words still fit into
+    `max_entries`; only these rows' ids, labels and words' hashes and counts (12 bytes a word) reach the driver, however
+    long the texts and however often an id is repeated.
     """
     spark = docs.sparkSession
     prepare_python(spark)
     known = (labels.filter(quoted(doc_id).isNotNull() & quoted(label).isNotNull()
                            & (F.lit(True) if usable is None else usable))
              .groupBy(quoted(doc_id).alias("example")).agg(F.max((quoted(label) > 0).cast("int")).alias("toxic")))
-    chosen = known.orderBy(F.xxhash64(F.lit(seed), "example"), "example").limit(max_examples)
+    turn = F.xxhash64(F.lit(seed), "example")
+    chosen = known.orderBy(turn, "example").limit(max_examples)
     named = docs.select(quoted(doc_id).alias("doc"), quoted(text).alias("text"))
-    found = named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
+    place = scratch_path(spark, "examples")
+    counted = written(spark, named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
         F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
-            _counted, "id string, toxic int, hashes binary, counts binary").collect()
+            _counted, "id string, toxic int, hashes binary, counts binary").withColumn("mark", F.md5("hashes")), place)
+    order = [F.xxhash64(F.lit(seed), "id"), F.col("id"), F.col("mark"), F.md5("counts")]
+    taken, last = 0, 0
+    for r in counted.select(F.octet_length("counts").alias("size"), *order).orderBy(*order).limit(max_examples).collect():
+        if taken + r["size"] // 4 > max_entries:
+            break
+        taken, last = taken + r["size"] // 4, last + 1
+    found = counted.orderBy(*order).limit(last).collect() if last else []
+    discard(spark, place)
     base = sum(r["toxic"] for r in found) / len(found) if found else 0.0
     empty = [r["toxic"] for r in found if not r["hashes"]]
-    found = sorted((r for r in found if r["hashes"]), key=lambda r: (
-        r["id"], xxhash.xxh3_128_digest(r["hashes"]), xxhash.xxh3_128_digest(r["counts"])))
-    model = Examples(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32),
+    found = [r for r in found if r["hashes"]]
+    model = Examples(np.zeros(0, np.uint64), np.zeros(0), 0.0, [], np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32),
                      np.zeros(0, np.float32), base, base)
     if not 0 < base < 1 or not found:
         return model
@@ -352,17 +431,19 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     model.values = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in found]).astype(np.float32)
     del found
     model.vocabulary = np.unique(hashes)
-    model.columns = np.zeros(len(hashes), np.int32)
-    often = np.zeros(len(model.vocabulary))
-    for _, part in model.parts():  # by parts, as the driver has little memory
-        model.columns[part] = np.searchsorted(model.vocabulary, hashes[part])
-        often += np.bincount(model.columns[part], minlength=len(often))
+    model.columns = np.searchsorted(model.vocabulary, hashes).astype(np.int32)
     del hashes
-    model.idf = np.log(1 + len(model.ids) / often)
+    often, documents = document_frequencies(docs, text, model.vocabulary)
+    model.idf, model.rarest = np.log(1 + documents / np.maximum(often, 1)), math.log(1 + documents)
     for rows, part in model.parts():
         weights = (1 + np.log(model.values[part].astype(float))) * model.idf[model.columns[part]]
         lengths = np.sqrt(np.add.reduceat(weights ** 2, model.pointers[rows] - part.start))
         model.values[part] = weights / np.repeat(lengths, sizes[rows])
+    order = _similar_first(model, sizes)
+    entries = np.concatenate([np.arange(model.pointers[i], model.pointers[i + 1]) for i in order])
+    model.ids, model.labels, sizes = [model.ids[i] for i in order], model.labels[order], sizes[order]
+    model.columns, model.values = model.columns[entries], model.values[entries]
+    model.pointers = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     near, group = _own_neighbours(spark, model)
     weight = 1 / np.bincount(group, minlength=len(group))[group]
     ratios = _learn_ratios(model, group, weight, max_terms)
