@@ -8,9 +8,8 @@ Finding a part's nearest entry starts from its coarse grid cell, 2 ** CELL_BITS
 each entry's smallest and largest squared distance from the cell's box is taken; an entry whose smallest distance
 is above the least of the largest ones is dominated across the box, as some entry is nearer to every point of it.
 The others (about 4 % on unit vectors of 64 components) are remembered by the cell's hash, and only those are
-compared with the part itself. Ties are never dominated, so the result is that of a full search. The bounds are sums over pairs of components, made
-once for every distinct pair of a batch. The memory of cells is bounded and belongs to a task, and starts anew
-with each round's codebooks.
+compared with the part itself. Ties are never dominated, so the result is that of a full search. The memory of cells
+is bounded and belongs to a task, and starts anew with each round's codebooks.
 
 Rows are read once into the grid and stored; each round is one pass over the stored rows in which a task sends a
 count and a sum per used entry, so shuffles and the driver see tasks x parts x entries rows, whatever the input.
@@ -58,19 +57,24 @@ class Cells:
         self.exact = self.asked = 0
 
     def _undominated(self, cells: np.ndarray) -> list[np.ndarray]:
-        """For each cell the entries, ascending, that no other entry is nearer than to all of its box."""
-        least = np.zeros((len(cells), len(self.codebook)), np.int64)
-        most = np.zeros_like(least)
-        for at in range(0, cells.shape[1], 2):
-            pairs, which = np.unique(cells[:, at:at + 2], axis=0, return_inverse=True)
-            low = (pairs << self.bits)[:, None, :]
-            entry = self.codebook[None, :, at:at + 2]
-            below, above = low - entry, entry - (low + (1 << self.bits) - 1)
-            near, far = np.maximum(np.maximum(below, above), 0), np.maximum(abs(below), abs(above))
-            least += (near * near).sum(2)[which.ravel()]
-            most += (far * far).sum(2)[which.ravel()]
-        kept = least <= most.min(1)[:, None]
-        return np.split(np.nonzero(kept)[1], np.cumsum(kept.sum(1))[:-1])
+        """For each cell the entries, ascending, that no other entry is nearer than to all of its box.
+
+        The sphere around the box rules out most entries by their distance from its middle, for all cells in one
+        product; with a margin for its rounding.
+        """
+        entries, low = self.codebook, cells << self.bits
+        side = (1 << self.bits) - 1
+        middle, points = low + side / 2, entries.astype(float)
+        squares = (middle * middle).sum(1)[:, None], (points * points).sum(1)[None]
+        apart = np.sqrt(np.maximum(squares[0] - 2 * (middle @ points.T) + squares[1], 0))
+        margin = 1e-6 * np.sqrt(squares[0] + squares[1].max()) + 1e-3
+        which, of = np.nonzero(apart <= apart.min(1)[:, None] + side * np.sqrt(cells.shape[1]) + margin)
+        below, above = low[which] - entries[of], entries[of] - (low[which] + side)
+        near, far = np.maximum(np.maximum(below, above), 0), np.maximum(abs(below), abs(above))
+        starts = np.searchsorted(which, np.arange(len(cells)))
+        most = np.minimum.reduceat(np.einsum("ij,ij->i", far, far), starts)
+        kept = np.einsum("ij,ij->i", near, near) <= most[which]
+        return np.split(of[kept], np.cumsum(np.add.reduceat(kept.astype(np.int64), starts))[:-1])
 
     def nearest(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every row's nearest entry, ties to the lower index, and its squared distance."""
