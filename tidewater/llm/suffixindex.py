@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free_name, mixed, prepare_python, quoted, texts
+from tidewater.llm.common import free_name, in_few_files, mixed, prepare_python, quoted, texts
 from tidewater.session import discard, scratch_path, written
 
 LENGTH = 400
@@ -141,14 +141,15 @@ def entries(docs: DataFrame, text: str = "text", length: int = LENGTH, batches:
 class Family:
     """Suffix arrays of geometric sizes, stored; `levels` lists (number of batches, path), the largest first."""
 
-    def __init__(self, spark: SparkSession, levels: list[tuple[int, str]] | None = None):
-        self.spark, self.levels = spark, list(levels or [])
+    def __init__(self, spark: SparkSession, levels: list[tuple[int, str]] | None = None, rows: int = 1 << 62):
+        """`rows` is a bound on the entries, where one is known; few are kept in few files."""
+        self.spark, self.levels, self.rows = spark, list(levels or []), rows
 
     def _array(self, found: DataFrame) -> tuple[DataFrame, str]:
         """One row per class, each file in the order of the suffixes."""
         place = scratch_path(self.spark, "suffix-array")
         rows = found.groupBy("suffix", "digest").agg(F.sum("n").alias("n"), F.min("of").alias("of"))
-        return written(self.spark, rows.sortWithinPartitions("suffix", "digest"), place), place
+        return written(self.spark, in_few_files(rows, self.rows).sortWithinPartitions("suffix", "digest"), place), place
 
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
@@ -168,7 +169,8 @@ class Family:
             scanned = scanned.unionByName(self._read(path).withColumn("new", F.lit(False)))
         alike = scanned.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.max("new").alias("new"))
         alike = alike.filter("new AND (rows > 1 OR most > 1)").select("suffix")
-        met = written(self.spark, scanned.drop("new").join(alike, "suffix", "left_semi"), scratch_path(self.spark, "met"))
+        met = written(self.spark, in_few_files(scanned.drop("new").join(alike, "suffix", "left_semi"), self.rows),
+                      scratch_path(self.spark, "met"))
         self.levels.append((1, place))
         return met
 
@@ -271,12 +273,15 @@ def _compared(length: int):
 
 def _decided(docs: DataFrame, text: str, classes: DataFrame, length: int, limit: int) -> DataFrame:
     """digest, from, to: what is covered in classes of one entry, as offsets in its bytes."""
-    spark = docs.sparkSession
+    spark, count = docs.sparkSession, classes.count()
+
+    def store(df: DataFrame, label: str, rows: int, per_file: int = 200_000) -> DataFrame:
+        return written(spark, in_few_files(df, rows, per_file), scratch_path(spark, label))
+
     open_ = classes.groupBy("suffix").agg(F.count(F.lit(1)).alias("classes"), F.max("alone").alias("open")).filter(
         "open AND classes > 1").select("suffix")
-    wanted = written(spark, classes.join(open_, "suffix", "left_semi").groupBy(F.col("of.text").alias("held_by")).agg(
-        F.collect_list(F.struct("suffix", "digest", "alone", "of.start", "of.before", "of.size")).alias("wanted")),
-        scratch_path(spark, "wanted"))
+    wanted = store(classes.join(open_, "suffix", "left_semi").groupBy(F.col("of.text").alias("held_by")).agg(
+        F.collect_list(F.struct("suffix", "digest", "alone", "of.start", "of.before", "of.size")).alias("wanted")), "wanted", count)
     column = quoted(text)
     holders = docs.filter(F.octet_length(column) >= length).select(column.alias("text"), text_name(column).alias("name"))
     sliced = holders.join(wanted, F.col("name") == F.col("held_by")).select("text", "wanted").mapInArrow(
@@ -287,25 +292,27 @@ def _decided(docs: DataFrame, text: str, classes: DataFrame, length: int, limit:
         F.lit(0).alias("from"), "bytes")
     key, columns, found = ["core", "lo", "hi"], pending.columns, []
     while True:
-        pending = written(spark, pending, scratch_path(spark, "alike"))
-        groups = pending.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.max("alone").alias("open")).filter(
-            "open AND members > 1").drop("open")
-        groups = written(spark, groups, scratch_path(spark, "groups"))
+        pending = store(pending, "alike", count, 20_000)
+        rows = pending.count()
+        groups = store(pending.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.max("alone").alias("open")).filter(
+            "open AND members > 1").drop("open"), "groups", rows)
         small = pending.join(groups.filter(F.col("members") <= limit), key, "left_semi")
-        found.append(written(spark, small.repartition(*key).sortWithinPartitions(*key, "digest").mapInArrow(
-            _compared(length), "digest binary, from int, to int"), scratch_path(spark, "covered")))
+        found.append(store(small.repartition(*key).sortWithinPartitions(*key, "digest").mapInArrow(
+            _compared(length), "digest binary, from int, to int"), "covered", rows, 20_000))
         large = groups.filter(F.col("members") > limit)
         if large.isEmpty():
             break
         # Halves of equal bytes cover each other, and one of them stands for all in what follows; at the end of the
         # halving that is all there is to know.
-        halves = written(spark, pending.join(large, key, "left_semi").filter("lo < hi").select(*columns).mapInArrow(
-            _halved(length), HALF), scratch_path(spark, "halves"))
+        halves = store(pending.join(large, key, "left_semi").filter("lo < hi").select(*columns).mapInArrow(
+            _halved(length), HALF), "halves", 2 * rows, 20_000)
         parts = halves.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("some"), *[
             F.first(c).alias(c) for c in ("digest", "before", "from", "bytes")])
         again = halves.drop("bytes").groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, "part")
-        found.append(halves.filter("alone").join(again, [*key, "part"], "left_semi").select("digest", "from", "to"))
-        pending = parts.select(*key, "digest", (F.col("some") & (F.col("n") == 1)).alias("alone"), "before", "from", "bytes")
+        found.append(store(halves.filter("alone").join(again, [*key, "part"], "left_semi").select("digest", "from", "to"),
+                           "covered", 2 * rows))
+        pending, count = parts.select(
+            *key, "digest", (F.col("some") & (F.col("n") == 1)).alias("alone"), "before", "from", "bytes"), 2 * rows
     return reduce(DataFrame.unionByName, found)
 
 
@@ -316,14 +323,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     spark = docs.sparkSession
     place = scratch_path(spark, "entries")
     held = written(spark, entries(docs, text, length, batches), place)
-    family, met = Family(spark), None
+    count = held.count()
+    family, met = Family(spark, rows=count), None
     for number in range(batches):
         more = family.add(held.filter(F.col("batch") == number))
         met = more if met is None else met.unionByName(more)
     # A class that several scans pass on is the same entry each time unless it has two.
     classes = met.groupBy("suffix", "digest").agg(
         F.min("of").alias("of"), ((F.max("n") == 1) & (F.min("of") == F.max("of"))).alias("alone"))
-    classes = written(spark, classes, scratch_path(spark, "classes"))
+    classes = written(spark, in_few_files(classes, count), scratch_path(spark, "classes"))
     in_part = _decided(docs, text, classes, length, limit)
     ones = classes.filter("alone").select("digest", "of")
     in_part = in_part.join(ones, "digest").select(
@@ -331,8 +339,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     whole = held.join(classes.filter("NOT alone").select("digest"), "digest", "left_semi")
     whole = whole.unionByName(held.filter(F.col("digest").isNull())).select(
         F.col("text").alias("name"), "start", (F.col("start") + F.col("size")).alias("end"))
-    return written(spark, whole.unionByName(in_part).groupBy("name").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")), scratch_path(spark, "spans"))
+    return written(spark, in_few_files(whole.unionByName(in_part).groupBy("name").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")), count), scratch_path(spark, "spans"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
