@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import path_key, redact
-from tidewater.operators import lineage, maintenance, telemetry
+from tidewater.operators import bronze, lineage, maintenance, products, telemetry
 from tidewater.operators.bronze import batch_inventory, layout
 
 T0 = datetime(2026, 1, 1)
@@ -166,3 +166,36 @@ def test_layout_orders_rows_and_inventory_counts_files(spark, tmp_path, sf):
     assert back.count() == events.count()
     counts = batch_inventory(back, "event_type", files=True).agg(F.sum("row_count"), F.min("file_count")).first()
     assert counts[0] == events.count() and counts[1] >= 1
+
+
+def test_clustered_files_are_skipped_by_either_column(spark, tmp_path):
+    rows = spark.range(40_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("x"), F.timestamp_seconds(
+        F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(86_400))).alias("t"), F.when(F.col("id") % 5 > 0, F.lit(1)).alias("same"))
+    path = str(tmp_path / "clustered")
+    bronze.layout_clustered(rows, ["x", "t", "same"], 64, bits=4).write.parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    assert stored.exceptAll(rows).isEmpty() and stored.count() == 40_000
+    spans = bronze.file_spans(stored, ["x", "t"]).collect()
+    assert 30 <= len(spans) <= 64 and max(r["rows"] for r in spans) < 5 * 40_000 / len(spans)
+    assert sum(r["low_x"] <= 70 <= r["high_x"] for r in spans) <= len(spans) / 2
+    noon = datetime(1970, 1, 1, 12)
+    assert sum(r["low_t"] <= noon <= r["high_t"] for r in spans) <= len(spans) / 2
+    with pytest.raises(ValueError, match="1 to 60"):
+        bronze.layout_clustered(rows, ["x"], 4, bits=61)
+    empty = bronze.layout_clustered(rows.limit(0), ["x", "same"], 4)
+    assert empty.columns == rows.columns and empty.isEmpty()
+
+
+def test_states_roll_up_to_any_dimensions(spark):
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 700).alias("who"),
+                                      F.col("id").cast("decimal(12,2)").alias("v"))
+    states = products.metric_states(rows, ["a", "b"], {"v": "v"}, {"people": "who"})
+    assert states.count() == 15
+    for dims in (["a"], ["b"], ["a", "b"], []):
+        got = {tuple(r[d] for d in dims): r for r in products.rolled_up(states, dims, ["v"], ["people"]).collect()}
+        for r in rows.groupBy(*dims).agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.count_distinct("who").alias("p")).collect():
+            own = got.pop(tuple(r[d] for d in dims))
+            assert (own["rows"], own["v"]) == (r["n"], r["v"]) and abs(own["people"] / r["p"] - 1) < 0.05
+        assert not got
+    with pytest.raises(ValueError, match="named like"):
+        products.metric_states(rows, ["a"], {"a": "v"})

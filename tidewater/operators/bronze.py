@@ -55,6 +55,39 @@ def layout(df: DataFrame, zone_col: str, ts_col: str, sort: list[tuple[str, bool
             .sortWithinPartitions(col(zone_col), F.col("_day"), *order))
 
 
+def layout_clustered(df: DataFrame, columns: list[str], files: int, bits: int = 6) -> DataFrame:
+    """Rows arranged in about `files` stretches of a space-filling curve over several columns.
+
+    Each column (number, date or timestamp) is cut at 2**bits quantiles, a few hundred values on the driver; a row's ranks
+    are interleaved bit by bit, and rows are range-partitioned by that number. So each file spans little of every
+    column, and readers skip files by their minimum and maximum whichever column they ask for. Rows of one
+    place on the curve are spread by a hash, so a hot place fills several files. Nulls have the lowest rank.
+    """
+    if bits * len(columns) > 60 or not columns:
+        raise ValueError("columns x bits must be 1 to 60")
+    number = lambda c: (F.unix_micros(col(c).cast("timestamp")) if df.schema[c].dataType.typeName() in (
+        "timestamp", "timestamp_ntz", "date") else col(c)).cast("double")
+    steps = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
+    cuts = df.agg(*[F.percentile_approx(number(c), steps, 10_000).alias(f"_{n}") for n, c in enumerate(columns)]).first()
+    place = F.lit(0).cast("bigint")
+    for n, c in enumerate(columns):
+        bounds = F.array(*[F.lit(x) for x in sorted(set(cuts[n] or []))]).cast("array<double>")
+        value = number(c)
+        rank = F.when(col(c).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x < value)))  # noqa: B023
+        for bit in range(bits):
+            set_ = F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("bigint")
+            place = place + F.shiftleft(set_, bit * len(columns) + n)
+    spread = F.xxhash64(*[col(c) for c in df.columns])
+    return df.withColumns({"_place": place, "_spread": spread}).repartitionByRange(files, "_place", "_spread").sortWithinPartitions(
+        "_place", "_spread").drop("_place", "_spread")
+
+
+def file_spans(stored: DataFrame, columns: list[str]) -> DataFrame:
+    """Per file of a stored table its rows and the lowest and highest value of each column, as its footers hold them."""
+    return stored.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), *[
+        f(col(c)).alias(f"{name}_{c}") for c in columns for name, f in (("low", F.min), ("high", F.max))])
+
+
 def partition_counts(df: DataFrame, zone_col: str, ts_col: str) -> DataFrame:
     """Rows per (zone, day) with the time span inside, as a partition listing shows."""
     return df.groupBy(col(zone_col), F.to_date(col(ts_col)).alias("_day")).agg(

@@ -168,6 +168,23 @@ def partition_layout(spark, folder):
     return bronze.partition_counts(stored, "event_type", "ts")
 
 
+@query("layout_clustered", """
+SELECT event_type, count(*) AS row_count, min(ts) AS first_ts, max(user_id) AS last_user, TRUE AS skips FROM events GROUP BY event_type""")
+def layout_clustered(spark, folder):
+    """Events laid out by time and user at once, read back; whether a slice of either column opens at most half of the files."""
+    path, events = scratch_path(spark, "clustered"), scan(spark, folder, "events")
+    bronze.layout_clustered(events, ["ts", "user_id"], 64).write.parquet(path)
+    stored = spark.read.schema(events.schema).parquet(path)
+    spans = written(spark, bronze.file_spans(stored, ["ts", "user_id"]), scratch_path(spark, "spans"))
+    users = events.agg(F.percentile_approx("user_id", [0.5, 0.55])).first()[0]
+    met = spans.agg(
+        F.avg(F.expr("low_ts < timestamp_ntz '2024-01-17' AND high_ts >= timestamp_ntz '2024-01-16'").cast("int")).alias("by_time"),
+        F.avg(((F.col("low_user_id") <= users[1]) & (F.col("high_user_id") >= users[0])).cast("int")).alias("by_user")).first()
+    return stored.groupBy("event_type").agg(
+        F.count("*").alias("row_count"), F.min("ts").alias("first_ts"), F.max("user_id").alias("last_user")).withColumn(
+        "skips", F.lit(bool(met["by_time"] <= 0.5 and met["by_user"] <= 0.5)))
+
+
 @query("empty_clone", """
 SELECT * FROM customer WHERE c_acctbal >= 0
 UNION ALL SELECT * FROM (SELECT * FROM customer WHERE 1 = 0)""")

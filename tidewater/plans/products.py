@@ -6,6 +6,7 @@ from tidewater.operators import products
 from tidewater.plans import lineage as governed
 from tidewater.plans.gold import AMOUNT, REVENUE, ROLLUP, ROLLUP_TABLES
 from tidewater.plans.registry import query
+from tidewater.session import scratch_path, written
 from tidewater.sources.extract import scan
 
 MART = f"""
@@ -53,6 +54,28 @@ def semantic_view(spark, folder):
     return products.semantic_view(_mart(spark, folder), ["r_name", "c_mktsegment"], METRICS)
 
 
+@query("semantic_rollup", """
+SELECT CASE WHEN grouping(c_mktsegment) = 0 THEN c_mktsegment END AS c_mktsegment,
+       CASE WHEN grouping(o_orderstatus) = 0 THEN o_orderstatus END AS o_orderstatus,
+       count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue, TRUE AS customers_close
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((c_mktsegment), (o_orderstatus))""")
+def semantic_rollup(spark, folder):
+    """States by segment, status and month, stored; then by segment and by status, with distinct customers within 5 %."""
+    orders = scan(spark, folder, "orders").join(scan(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    states = written(spark, products.metric_states(
+        orders, ["c_mktsegment", "o_orderstatus", "month"], {"revenue": "CAST(o_totalprice AS DECIMAL(18, 2))"},
+        {"customers": "o_custkey"}), scratch_path(spark, "states"))
+    both = None
+    for dim, other in (("c_mktsegment", "o_orderstatus"), ("o_orderstatus", "c_mktsegment")):
+        exact = orders.groupBy(dim).agg(F.count_distinct("o_custkey").alias("exact"))
+        part = products.rolled_up(states, [dim], ["revenue"], ["customers"]).join(exact, dim).select(
+            dim, F.lit(None).cast("string").alias(other), "rows", F.col("revenue").cast("double").alias("revenue"),
+            (F.abs(F.col("customers") / F.col("exact") - 1) <= 0.05).alias("customers_close"))
+        both = part if both is None else both.unionByName(part)
+    return both
+
+
 @query("metric_parity", "WITH mart AS (" + MART_SQL + f"""
 ), view AS (SELECT r_name, {EXACT} AS revenue, CAST(sum(line_count) AS BIGINT) AS line_count
             FROM mart GROUP BY r_name),
