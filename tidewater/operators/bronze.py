@@ -71,7 +71,7 @@ def layout_clustered(df: DataFrame, columns: list[str], files: int, bits: int =
     cuts = df.agg(*[F.percentile_approx(number(c), steps, 10_000).alias(f"_{n}") for n, c in enumerate(columns)]).first()
     place = F.lit(0).cast("bigint")
     for n, c in enumerate(columns):
-        bounds = F.array(*[F.lit(x) for x in sorted(set(cuts[n] or []))]).cast("array<double>")
+        bounds = F.array(*[F.lit(x) for x in sorted(cuts[n] or [])]).cast("array<double>")
         value = number(c)
         rank = F.when(col(c).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x < value)))  # noqa: B023
         for bit in range(bits):
