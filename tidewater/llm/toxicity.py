@@ -181,7 +181,8 @@ class Examples:
 
     def scores(self, values: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray, bool]]:
         """Every text's score, nearest examples, their cosines, and whether anything of its own speaks for toxic:
-        words whose presence depends on the label, or neighbours that are toxic more often than examples are.
+        words whose presence depends on the label, or neighbours that are toxic more often than examples are. Where
+        fewer than half of the examples are toxic, a score of 0.5 says so by itself.
         """
         out = []
         for start in range(0, len(values), BATCH):
@@ -201,7 +202,7 @@ class Examples:
                 ratio, strongest = float(self.ratio[at].sum()), float(self.ratio[at].max(initial=0.0))
                 odds = np.dot(self.curve, self.signs(rows, near, ratio, strongest, len(c)))
                 out.append((float(1 / (1 + math.exp(-np.clip(odds, -30, 30)))), rows, near,
-                            ratio > 0 or self.vote(rows, near) > self.base_rate))
+                            self.base_rate < 0.5 or ratio > 0 or self.vote(rows, near) > self.base_rate))
         return out
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray, bool]:
