@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +359,41 @@ def test_nearest_vectors_reach_the_recall(spark):
     assert np.mean(hits) >= 0.95
 
 
+def test_windows_are_walked_and_few_rows_verified():
+    rng = np.random.default_rng(3)
+    given = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id")
+    centres = rng.standard_normal((500, 64))
+    for vectors, step in ((np.array(given["embedding"].to_pylist(), np.float64), 20),
+                          (centres[rng.integers(0, 500, 50_000)] + 0.3 * rng.standard_normal((50_000, 64)), 2000)):
+        ids, asked, hits, verified = np.arange(len(vectors)), np.arange(0, len(vectors), step), [], 0
+        got = {query: [] for query in asked.tolist()}
+        for start in range(0, len(ids), ann.SHARD):
+            index = ann.CollisionIndex(vectors[start:start + ann.SHARD])
+            for at, near, scores in index.nearest(ids[start:start + ann.SHARD], vectors[asked], asked, 20):
+                got[int(asked[at])] += zip(-scores, near.tolist())
+            verified += index.verified
+        for query in asked.tolist():
+            scores = vectors @ vectors[query]
+            best = [int(i) for i in np.lexsort((ids, -scores)) if i != query][:20]
+            hits.append(len({n for _, n in sorted(got[query])[:20]} & set(best)) / 20)
+        assert np.mean(hits) >= 0.95 and verified < 0.2 * len(ids) * len(asked)
+
+
+def test_nearest_of_ties_and_of_a_huge_group_of_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 == 0 else rng.standard_normal(3).tolist(), "x") for i in range(900)]
+    got = {}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("rank", F.lit(1))
+    for r in ann.nearest(frame, lambda i: i % 60 == 0, shard=200).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    matrix, ids = np.array([r[1] for r in rows]), np.arange(900)
+    for query, found in got.items():
+        scores = np.einsum("ij,j->i", matrix, matrix[query])
+        best = [int(i) for i in np.lexsort((ids, -scores)) if i != query][:20]
+        assert [r[1] for r in sorted(found)] == best
+    assert len(got) == 15
+
+
 def test_nearest_leaves_out_unusable_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, [2.0, 5.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [inf, 1.0]),

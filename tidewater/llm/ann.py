@@ -2,10 +2,13 @@
 
 Vectors are dealt to shards of about SHARD rows and queries to blocks of about QUERY_BLOCK; each pair of
 a shard and a block is one group, so a task holds a bounded number of either. A shard's index is one
-sorted array per random projection. For a query, a window centred at its own projection opens in every
-array; a vector collides where the window holds it. While fewer than a wanted number of vectors reach
-the collision threshold, all windows widen by RATIO (virtual rehashing: nothing is hashed again).
-Vectors that reach it are verified by their true inner product. Every row is indexed.
+sorted array per random projection. From a query's own place a window opens in every array, and only
+rows that a window meets are counted. Widening goes on from where the windows end (virtual rehashing:
+nothing is hashed again, no place is read twice). A row met in a THRESHOLD share of the arrays is verified
+by its true inner product. A vector at distance d is met in an array with the probability that a normal
+value of deviation d lies within the window, so the k-th best verified distance says how wide the windows
+must be for a vector as far as that to be met often enough with probability RECALL; there a query stops.
+Nearer vectors are met more often, so the share found is larger than RECALL. Every row is indexed.
 
 Inner product becomes distance by one more component that gives all of a shard's vectors the same norm.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,95 +30,109 @@ from tidewater.session import scratch_path, written
 
 SHARD = 8192
 QUERY_BLOCK = 4096
-PROJECTIONS = 96
+PROJECTIONS = 320
 THRESHOLD = 0.7
-RATIO = 1.3
-VERIFIED = 0.15
+RATIO = 1.05
+RECALL = 0.85
 SEED = 11
 PILOTS = 9
 MAX_TASKS = 20_000
 
 
+def reach(projections: int, threshold: int, recall: float) -> float:
+    """Half the width of a window, in distances, at which a vector is met in `threshold` of the arrays or
+    more with probability `recall`."""
+    def often(p: float) -> float:
+        return sum(math.exp(math.lgamma(projections + 1) - math.lgamma(i + 1) - math.lgamma(projections - i + 1)
+                            + i * math.log(p) + (projections - i) * math.log1p(-p))
+                   for i in range(threshold, projections + 1))
+
+    low, high = 1e-9, 1 - 1e-9
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if often(middle) < recall else (low, middle)
+    return NormalDist().inv_cdf((1 + high) / 2)
+
+
 class CollisionIndex:
-    """Sorted projections of one shard's vectors (rows of `vectors`), and every vector's rank in each."""
+    """Sorted projections of one shard's vectors (rows of `vectors`), with the rows in that order."""
 
-    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
+    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, threshold: float = THRESHOLD,
+                 recall: float = RECALL, seed: int = SEED):
         self.vectors = vectors
         count = len(vectors)
-        norms = np.einsum("ij,ij->i", vectors, vectors)
-        lift = np.sqrt(np.maximum(norms.max() - norms, 0.0))
+        # The longest gets norm 1, in two steps, so that squares of very large components do not overflow.
+        self.scale = float(np.abs(vectors).max())
+        scaled = vectors / self.scale
+        self.norm = math.sqrt(np.einsum("ij,ij->i", scaled, scaled).max())
+        scaled /= self.norm
+        lift = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0.0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
-        self.norm = math.sqrt(norms.max())
-        projected = (vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
+        projected = (scaled @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
         order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        self.rank = np.empty((projections, count), np.uint16 if count < 1 << 16 else np.uint32)
-        np.put_along_axis(self.rank, order, np.arange(count, dtype=self.rank.dtype)[None, :], axis=1)
+        self.order = order.astype(np.uint16 if count < 1 << 16 else np.uint32)
+        # All arrays lie one behind another, so that one search finds the places in each.
+        span = 2 * float(np.abs(self.axes).sum(axis=0).max()) + 1
+        self.starts = np.arange(projections) * count
+        self.offsets = np.arange(projections) * 2 * span
+        self.places = (np.take_along_axis(projected, order, axis=1) + self.offsets[:, None]).ravel()
+        self.order = self.order.ravel()
+        self.enough = math.ceil(threshold * projections)
+        self.reach = reach(projections, self.enough, recall)
         self.first_width = 0.05 * float(projected.std()) or 1e-9
-
-    def windows(self, centres: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First ranks and lengths (query, projection) of the windows around the queries' projections."""
-        width = self.first_width * RATIO ** level
-        low = np.stack([values.searchsorted(at - width) for values, at in zip(self.sorted, centres.T)], axis=1)
-        high = np.stack([values.searchsorted(at + width, "right") for values, at in zip(self.sorted, centres.T)], axis=1)
-        return low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype)
-
-    def collisions(self, low: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """In how many of one query's windows each vector lies. A rank below `low` wraps to a large number."""
-        inside = (self.rank - low[:, None]) < length[:, None]
-        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
-
-    def candidates(self, centres: np.ndarray, wanted: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query the rows that reach the collision threshold, `wanted` at least.
-
-        The first queries find the level at which their windows hold enough; the others start there,
-        and those that need more widen further.
+        self.met = self.verified = 0  # places read and rows verified so far, for reports
+
+    def walk(self, query: np.ndarray, own: np.ndarray, k: int, level: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows verified for a query, without those marked as its own, their inner products, and the last level."""
+        count, scale = len(self.vectors), float(np.abs(query).max())
+        length = math.sqrt((query / scale) @ (query / scale))
+        centres = (query / scale / length) @ self.axes[:-1] + self.offsets
+        low = high = np.clip(np.searchsorted(self.places, centres), self.starts, self.starts + count)
+        times, waiting = np.zeros(count, np.uint16), ~own
+        rows, scores = [], np.empty(0)
+        while True:
+            width = self.first_width * RATIO ** level
+            wide = np.searchsorted(self.places, np.concatenate([centres - width, centres + width]))
+            lower = np.minimum(np.maximum(wide[:len(centres)], self.starts), low)
+            higher = np.maximum(np.minimum(wide[len(centres):], self.starts + count), high)
+            edges = zip(lower.tolist(), low.tolist(), high.tolist(), higher.tolist())
+            met = np.concatenate([self.order[a:b] for l0, l1, h0, h1 in edges for a, b in ((l0, l1), (h0, h1)) if a < b]
+                                 or [self.order[:0]])
+            times += np.bincount(met, minlength=count).astype(np.uint16)
+            low, high = lower, higher
+            fresh = np.flatnonzero(waiting & (times >= self.enough))
+            waiting[fresh] = False
+            rows.append(fresh)
+            scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
+            self.met += len(met)
+            if len(scores) >= k:
+                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                cosine = worst / scale / self.scale / (length * self.norm)
+                if np.isfinite(worst) and width >= self.reach * math.sqrt(max(2 - 2 * cosine, 0.0)):
+                    break
+            if not waiting.any():
+                break
+            level += 1
+        self.verified += len(scores)
+        return np.concatenate(rows), scores, level
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[
+            tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the k best ids other than its own, with their inner products, ties to smaller ids.
+
+        The first queries start with narrow windows; the others where the soonest of these ended.
         """
-        count = len(self.vectors)
-        if wanted >= count:
-            yield from ((query, np.arange(count)) for query in range(len(centres)))
-            return
-
-        def at_level(queries: list[int], level: int) -> Iterator[tuple[int, np.ndarray]]:
-            for query, low, length in zip(queries, *self.windows(centres[queries], level)):
-                yield query, np.flatnonzero(self.collisions(low, length) >= threshold)
-
         levels = []
-        for query in range(min(PILOTS, len(centres))):
-            level = 0
-            while len(next(at_level([query], level))[1]) < wanted:
-                level += 1
-            levels.append(level)
-        level, waiting = sorted(levels)[len(levels) // 2] if levels else 0, list(range(len(centres)))
-        while waiting:
-            short = []
-            for query, found in at_level(waiting, level):
-                if len(found) >= wanted:
-                    yield query, found
-                else:
-                    short.append(query)
-            waiting, level = short, level + 1
-
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, *, verified: float = VERIFIED,
-                threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query the k best ids other than its own, with their inner products, ties to smaller ids."""
-        if not len(queries):
-            return
-        # The queries, at the norm that the vectors have been lifted to.
-        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        centres = (queries * (self.norm / lengths)[:, None]) @ self.axes[:-1]
-        wanted = k + 1 + max(300, math.ceil(verified * len(ids)))
-        for query, rows in self.candidates(centres, wanted, math.ceil(threshold * centres.shape[1])):
-            rows = rows[ids[rows] != own[query]]
-            scores = self.vectors[rows] @ queries[query]
-            if len(rows) > k:  # all that reach the k-th best score, ties included
-                top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                rows, scores = rows[top], scores[top]
+        for query, (vector, name) in enumerate(zip(queries, own)):
+            start = min(levels) if len(levels) >= PILOTS else 0
+            rows, scores, level = self.walk(vector, ids == name, k, start)
+            if len(levels) < PILOTS:
+                levels.append(level)
             best = np.lexsort((ids[rows], -scores))[:k]
             yield query, ids[rows[best]], scores[best]
 
 
-def _search(k: int, verified: float):
+def _search(k: int, recall: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         asks = group["asks"].to_numpy(zero_copy_only=False).astype(bool)
@@ -124,8 +142,8 @@ def _search(k: int, verified: float):
         asks, ids, vectors = asks[order], ids[order], vectors[order]
         found = [[], [], []]
         if (~asks).any():
-            index, own = CollisionIndex(vectors[~asks]), ids[asks]
-            for query, near, scores in index.nearest(ids[~asks], vectors[asks], own, k, verified=verified):
+            index, own = CollisionIndex(vectors[~asks], recall=recall), ids[asks]
+            for query, near, scores in index.nearest(ids[~asks], vectors[asks], own, k):
                 found[0].append(np.full(len(near), own[query]))
                 found[1].append(near)
                 found[2].append(scores)
@@ -146,7 +164,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", *, k: int = 20,
-            shard: int = SHARD, query_block: int = QUERY_BLOCK, verified: float = VERIFIED) -> DataFrame:
+            shard: int = SHARD, query_block: int = QUERY_BLOCK, recall: float = RECALL) -> DataFrame:
     """The k nearest rows of every query: query_id, rank from 1, vec_id, score.
 
     Queries are the rows of `vectors` whose id, as a column, fulfils `is_query`; candidates are all rows
@@ -175,7 +193,7 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     # Groups are few and cost much more time than bytes, so they are dealt out by number and not by size.
     found = indexed.union(asking).repartition(min(groups, MAX_TASKS), "dims", "shard", "block").groupBy(
         "dims", "shard", "block").applyInArrow(
-        _search(k, verified), "query_id long, vec_id long, score double")
+        _search(k, recall), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
