@@ -30,12 +30,12 @@ from tidewater.session import scratch_path, written
 
 SHARD = 8192
 QUERY_BLOCK = 4096
-PROJECTIONS = 320
+PROJECTIONS = 128
 THRESHOLD = 0.7
 RATIO = 1.05
-RECALL = 0.85
+RECALL = 0.8
 SEED = 11
-PILOTS = 9
+PILOTS = 5
 MAX_TASKS = 20_000
 
 
@@ -54,6 +54,17 @@ def reach(projections: int, threshold: int, recall: float) -> float:
     return NormalDist().inv_cdf((1 + high) / 2)
 
 
+def random_axes(dims: int, least: int, seed: int) -> np.ndarray:
+    """At least `least` axes as columns, in whole orthogonal bases, whose lengths are those of normal vectors:
+    each axis is like a random normal vector, and those of a basis repeat nothing of one another."""
+    rng = np.random.default_rng(seed)
+    bases = []
+    for _ in range(math.ceil(least / dims)):
+        basis, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
+        bases.append(basis * np.linalg.norm(rng.standard_normal((dims, dims)), axis=0))
+    return np.concatenate(bases, axis=1)
+
+
 class CollisionIndex:
     """Sorted projections of one shard's vectors (rows of `vectors`), with the rows in that order."""
 
@@ -67,16 +78,16 @@ class CollisionIndex:
         self.norm = math.sqrt(np.einsum("ij,ij->i", scaled, scaled).max())
         scaled /= self.norm
         lift = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0.0))
-        self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
+        self.axes = random_axes(vectors.shape[1] + 1, projections, seed)
+        projections = self.axes.shape[1]
         projected = (scaled @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
         order = np.argsort(projected, axis=1, kind="stable")
-        self.order = order.astype(np.uint16 if count < 1 << 16 else np.uint32)
         # All arrays lie one behind another, so that one search finds the places in each.
         span = 2 * float(np.abs(self.axes).sum(axis=0).max()) + 1
         self.starts = np.arange(projections) * count
         self.offsets = np.arange(projections) * 2 * span
         self.places = (np.take_along_axis(projected, order, axis=1) + self.offsets[:, None]).ravel()
-        self.order = self.order.ravel()
+        self.order = order.ravel()
         self.enough = math.ceil(threshold * projections)
         self.reach = reach(projections, self.enough, recall)
         self.first_width = 0.05 * float(projected.std()) or 1e-9
@@ -88,7 +99,7 @@ class CollisionIndex:
         length = math.sqrt((query / scale) @ (query / scale))
         centres = (query / scale / length) @ self.axes[:-1] + self.offsets
         low = high = np.clip(np.searchsorted(self.places, centres), self.starts, self.starts + count)
-        times, waiting = np.zeros(count, np.uint16), ~own
+        times, waiting = np.zeros(count, np.int64), ~own
         rows, scores = [], np.empty(0)
         while True:
             width = self.first_width * RATIO ** level
@@ -98,7 +109,7 @@ class CollisionIndex:
             edges = zip(lower.tolist(), low.tolist(), high.tolist(), higher.tolist())
             met = np.concatenate([self.order[a:b] for l0, l1, h0, h1 in edges for a, b in ((l0, l1), (h0, h1)) if a < b]
                                  or [self.order[:0]])
-            times += np.bincount(met, minlength=count).astype(np.uint16)
+            times += np.bincount(met, minlength=count)
             low, high = lower, higher
             fresh = np.flatnonzero(waiting & (times >= self.enough))
             waiting[fresh] = False
@@ -120,11 +131,11 @@ class CollisionIndex:
             tuple[int, np.ndarray, np.ndarray]]:
         """For each query the k best ids other than its own, with their inner products, ties to smaller ids.
 
-        The first queries start with narrow windows; the others where the soonest of these ended.
+        The first queries start with narrow windows; the others a step ahead of where most of these ended.
         """
         levels = []
         for query, (vector, name) in enumerate(zip(queries, own)):
-            start = min(levels) if len(levels) >= PILOTS else 0
+            start = max(sorted(levels)[PILOTS // 2] - 1, 0) if len(levels) >= PILOTS else 0
             rows, scores, level = self.walk(vector, ids == name, k, start)
             if len(levels) < PILOTS:
                 levels.append(level)
