@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import gate, lineage
+from tidewater.operators import gate, lineage, upstream
 from tidewater.plans.gate import STATUS
 from tidewater.plans.inputs import evidence
 from tidewater.plans.registry import query
@@ -91,6 +91,29 @@ def lineage_closure(spark, folder):
     return lineage.lineage_closure(zone_edges(spark, folder), 8)
 
 
+@query("lineage_upstream", """
+WITH RECURSIVE edges AS (
+  SELECT 'landing.order_' || o_orderkey AS source, 'bronze.customer_' || o_custkey AS target FROM orders
+  UNION SELECT 'bronze.customer_' || c_custkey, 'silver.nation_' || c_nationkey FROM customer
+  UNION SELECT 'silver.nation_' || n_nationkey, 'gold.region_' || n_regionkey FROM nation
+  UNION SELECT 'gold.region_' || r_regionkey, 'gold.region_0' FROM region
+  UNION SELECT 'gold.region_0', 'gold.region_' || r_regionkey FROM region WHERE r_regionkey = 1),
+back AS (
+  SELECT 'gold.region_' || r_regionkey AS asked, 'gold.region_' || r_regionkey AS node FROM region
+  UNION SELECT 'silver.nation_' || n_nationkey, 'silver.nation_' || n_nationkey FROM nation
+  UNION SELECT b.asked, e.source FROM back b JOIN edges e ON e.target = b.node)
+SELECT asked, node AS upstream FROM back WHERE asked <> node""")
+def lineage_upstream(spark, folder):
+    """Orders and customers are indexed first and nations and regions come later, two regions as a cycle."""
+    edges = zone_edges(spark, folder)
+    late = F.col("source").startswith("silver.") | F.col("source").startswith("gold.")
+    cycle = scan(spark, folder, "region").filter("r_regionkey = 1").select(
+        F.lit("gold.region_0").alias("source"), F.concat(F.lit("gold.region_"), F.col("r_regionkey").cast("string")).alias("target"))
+    index = upstream.extend_index(upstream.upstream_index(edges.filter(~late)), edges.filter(late).unionByName(cycle))
+    asked = edges.filter(late).select(F.col("source").alias("node"))
+    return upstream.upstream(index, asked)
+
+
 AS_OF = datetime(2001, 8, 2)
 QUARTER_MINUTES = 90 * 1440
 
