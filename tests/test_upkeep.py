@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import text
 from tidewater.functions.text import path_key, redact
 from tidewater.operators import bronze, lineage, maintenance, products, telemetry
 from tidewater.operators.bronze import batch_inventory, layout
@@ -152,6 +153,22 @@ def test_redaction(spark, text, wanted):
     assert df.first()["t"] == wanted
 
 
+def test_plain_words_are_taken_as_one_part(spark):
+    words = "plain, words; of text] " * 100_000
+    df = spark.createDataFrame([(f"{words}password: x{words} 'q' {words}",)], "t string")
+    parts = df.select(F.size(F.regexp_extract_all("t", F.lit(text._PARTS), F.lit(0)))).first()[0]
+    assert parts == 5
+    assert df.select(redact(F.col("t")).alias("t")).first()["t"] == f"{words}password: <redacted>{words[5:]} 'q' {words}"
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("token : x y", "token : <redacted> y"), ("token = =x y", "token = =<redacted> y"), ("token : : x", "token : : x"),
+    ("token :x y", "token :<redacted> y"), ("token , x", "token , x"), ("my api.key  secret= 'a b' c", "my api.key  <redacted> <redacted> c"),
+])
+def test_redaction_of_values_in_plain_words(spark, text, wanted):
+    assert spark.createDataFrame([(text,)], "t string").select(redact(F.col("t")).alias("t")).first()["t"] == wanted
+
+
 def test_cap_applies_after_masking(spark):
     df = spark.createDataFrame([("token=abcdefghij rest",)], "t string")
     assert df.select(redact(F.col("t"), 12).alias("t")).first()["t"] == "token=<redac"
