@@ -11,7 +11,7 @@ from tidewater.plans.inputs import (
     BRONZE_ORDERS, EVIDENCE, NOW, at, bronze_orders, evidence,
 )
 from tidewater.plans.registry import query
-from tidewater.session import scratch_path, written
+from tidewater.session import open_writers, scratch_path, written
 from tidewater.sources import extract, landing, zones
 from tidewater.sources.extract import scan
 
@@ -333,8 +333,9 @@ SELECT l_returnflag, count(*) AS row_count, 1 AS files, FALSE AS has_empty_file
 def file_inventory(spark, folder):
     """A table of several files: one per return flag, counted file by file."""
     place = scratch_path(spark, "by-flag")
-    scan(spark, folder, "lineitem").select("l_orderkey", "l_returnflag").repartition("l_returnflag").write.partitionBy(
-        "l_returnflag").parquet(place)
+    rows = scan(spark, folder, "lineitem").select("l_orderkey", "l_returnflag").repartition("l_returnflag")
+    with open_writers(spark, 16):
+        rows.write.partitionBy("l_returnflag").parquet(place)
     inventory = zones.file_inventory(spark.read.parquet(place))
     flag = F.url_decode(F.regexp_extract("file_path", "l_returnflag=([^/]+)/", 1)).alias("l_returnflag")
     return inventory.groupBy(flag).agg(
