@@ -13,6 +13,8 @@ from tidewater.session import scratch_path, written
 
 # Fixed value: how an instant is written into a lineage payload.
 PAYLOAD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+# Pairs that one task of the closure's last step holds in memory, about 150 bytes each.
+TASK_ROWS = 500_000
 EVENT_DDL = "type string, source string, target string, run_id string, timestamp string"
 
 
@@ -58,7 +60,9 @@ def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
     while not frontier.isEmpty():
         depth = len(paths) + 1
         seen = spark.read.schema(frontier.schema).parquet(*paths).select("source", "target")
-        found = (frontier.join(step, "target")
+        # Few nodes that many lead to end as few steps, which are sent to all tasks instead of sorting all rows of a node in one.
+        ahead = written(spark, step.join(frontier.select("target").distinct(), "target", "left_semi"), f"{root}/ahead-{depth}")
+        found = (frontier.join(ahead, "target")
                  .select("source", F.col("_next").alias("target"))
                  .filter("source <> target").distinct()
                  .join(seen, ["source", "target"], "left_anti")
@@ -70,9 +74,11 @@ def lineage_closure(edges: DataFrame, max_depth: int) -> DataFrame:
     reached = spark.read.schema(frontier.schema).parquet(*paths)
     landing = links.join(led_to, "source", "left_anti")
     onward = reached.select(F.col("source").alias("_by"), F.col("target").alias("_next"), "depth")
-    beyond = (landing.join(onward, landing.target == onward._by)
-              .select("source", F.col("_next").alias("target"), (F.col("depth") + 1).alias("depth"))
-              .unionByName(landing.withColumn("depth", F.lit(1)))
+    # Stored first: its rows are counted, so the smallest depths are taken in tasks of a fixed number of rows.
+    ways = written(spark, landing.join(onward, landing.target == onward._by)
+                   .select("source", F.col("_next").alias("target"), (F.col("depth") + 1).alias("depth"))
+                   .unionByName(landing.withColumn("depth", F.lit(1))), f"{root}/ways")
+    beyond = (ways.repartition(-(-ways.count() // TASK_ROWS) or 1, "source", "target")
               .groupBy("source", "target").agg(F.min("depth").alias("depth")))
     if len(paths) > max_depth and not beyond.filter(F.col("depth") > max_depth).isEmpty():
         raise ValueError(f"lineage reaches deeper than max_depth={max_depth}")
