@@ -313,3 +313,11 @@ def test_interval_join_releases_outer_rows_and_bounds_its_state(spark, place):
     with pytest.raises(ValueError, match="columns of both sides"):
         joins.interval_join(joins.Side(stream("a", "k long, a long, at timestamp"), "at", "1 hour"),
                             joins.Side(stream("b", "k long, a long, bt timestamp"), "bt", "1 hour"), ["k"], "0 hours", "1 hour")
+
+
+def test_neighbouring_spans_are_one_stretch(place):
+    """Each held row is compared with every stretch, so a long backlog must not have one for each span."""
+    row = lambda part, low, high: {"source_topic": "t", "source_partition": part, "low": low, "high": high}
+    narrow = dataclasses.replace(spec(f"{place}/b"), offset_span=10)
+    spans = [row(0, n * 10, n * 10 + 9) for n in reversed(range(500))] + [row(0, 9000, 9003), row(1, 0, 9), row(None, 3, 4)]
+    assert queries._stretches(narrow, spans) == [("t", 0, 0, 4999), ("t", 0, 9000, 9003), ("t", 1, 0, 9)]

@@ -205,6 +205,22 @@ def _offset_spans(spec: BronzeStream, decoded: DataFrame) -> list[Row]:
         F.min(day).alias("first_day"), F.max(day).alias("last_day")).collect()
 
 
+def _stretches(spec: BronzeStream, spans: list[Row]) -> list[tuple]:
+    """Spans of a topic partition as few stretches of offsets: every held row is compared with each of them.
+
+    A stretch takes in the next span where it begins at most `offset_span` offsets on; what it holds besides joins nothing.
+    """
+    found: list[tuple] = []
+    known = [r for r in spans if None not in (r["source_topic"], r["source_partition"], r["low"])]
+    for r in sorted(known, key=lambda r: (r["source_topic"], r["source_partition"], r["low"])):
+        place = (r["source_topic"], r["source_partition"])
+        if found and found[-1][:2] == place and r["low"] - found[-1][3] <= spec.offset_span:
+            found[-1] = (*place, found[-1][2], max(found[-1][3], r["high"]))
+        else:
+            found.append((*place, r["low"], r["high"]))
+    return found
+
+
 def _announce(spark: SparkSession, spec: BronzeStream, spans: list[Row], who: str, batch_id: int, now: datetime | str) -> None:
     """Record where positions are about to be stored, ahead of the rows, so that no stored row is without a pointer.
 
@@ -244,8 +260,10 @@ def _held_positions(spark: SparkSession, spec: BronzeStream, spans: list[Row], o
     held = [read(root, paths) for root, paths in ((spec.table, live), (f"{spec.table}-rotated", rotated)) if paths]
     if not held:
         return None
-    bounds = [(F.col("source_topic") == r["source_topic"]) & (F.col("source_partition") == r["source_partition"])
-              & F.col("source_offset").between(r["low"], r["high"]) for r in spans]
+    bounds = [(F.col("source_topic") == topic) & (F.col("source_partition") == partition)
+              & F.col("source_offset").between(low, high) for topic, partition, low, high in _stretches(spec, spans)]
+    if not bounds:
+        return None
     return reduce(DataFrame.unionByName, held).filter(reduce(or_, bounds))
 
 
