@@ -59,6 +59,31 @@ def test_compaction_meets_the_target_in_every_directory(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_batch_id" in plan(one) and one.count() == 50
 
 
+def test_large_directories_are_compacted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "bronze")
+    for batch, count in (("big", 6000), ("small", 50), (None, 5000)):
+        rows = spark.range(count).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("v"),
+                                         F.lit(batch).cast("string").alias("_batch_id"))
+        zones.land_batch(rows.repartition(5), table, batch or "none", NOW)
+    before = zones.read_table(spark, table)
+    monkeypatch.setattr(zones, "SHUFFLED_ROWS", 1000)
+    written_, commit = [], zones._commit
+    monkeypatch.setattr(zones, "_commit", lambda out, *rest, **more: written_.extend(out) or commit(out, *rest, **more))
+    rows = sorted(map(str, before.collect()))
+    zones.compact_table(spark, table, NOW, "bronze", zones.TARGET_FILE_BYTES)
+    dealt, scanned = map(plan, written_)
+    assert "Exchange" in dealt and "Exchange" not in scanned and scanned.count("Coalesce (") >= 2
+    after = zones.read_table(spark, table)
+    assert sorted(map(str, after.collect())) == rows
+    files = [f["file_path"] for f in zones.file_inventory(after).collect()]
+    assert len(files) == 3 and len({f.split("_batch_id=")[1].split("/")[0] for f in files}) == 3
+    whole = str(tmp_path / "gold")
+    zones.publish(spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("v")).repartition(5), whole, "gold", NOW)
+    zones.compact_table(spark, whole, NOW, "gold")
+    assert "Exchange" not in plan(written_[-1])
+    assert zones.read_table(spark, whole).distinct().count() == 3000 and len(zones.read_table(spark, whole).inputFiles()) == 1
+
+
 def test_a_mart_reads_gold_alone_and_keeps_its_evidence(spark, tmp_path):
     lake = jobs.Lake(spark, str(tmp_path))
     lake.bootstrap()

@@ -15,7 +15,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from contextlib import nullcontext
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -29,10 +31,12 @@ from tidewater.operators.conform import batch_filter, batch_is_held, require_val
 from tidewater.operators.maintenance import compact, compact_within
 from tidewater.operators.quality import REQUIRED_RESULT_COLUMNS, RESULT_COLUMNS
 from tidewater.operators.schema import merged_schema, refuse_conflicts, to_schema
-from tidewater.session import discard, scratch_path, written
+from tidewater.session import discard, open_writers, scratch_path, written
 
 WHOLE, BUCKET = "*", "_bucket"
 TARGET_FILE_BYTES = 512 * 1024 * 1024
+SHUFFLED_BYTES, SHUFFLED_ROWS = 32 * 1024 * 1024, 250_000  # rows are many times wider in a shuffle than in a file
+SCANS_AT_ONCE = 64
 LOG_DDL = ("version bigint, unit string, operation string, committed_at timestamp, "
            "directory string, schema_json string, properties map<string,string>")
 
@@ -148,7 +152,7 @@ def _partitioning(commits: list[Row]) -> list[str]:
     return [c for c in commits[-1]["properties"]["partition-by"].split(",") if c]
 
 
-def _commit(df: DataFrame, table: str, commits: list[Row], unit: str | list[str], operation: str, zone: str,
+def _commit(df: DataFrame | list[DataFrame], table: str, commits: list[Row], unit: str | list[str], operation: str, zone: str,
             now: datetime | str, schema: T.StructType, partition_by: list[str] | None = None,
             notes: dict[str, str] | None = None, dealt: bool = False, resets: bool = False) -> int:
     """Write the data, then its log rows: one, or with a list of bucket units one for each.
@@ -156,27 +160,32 @@ def _commit(df: DataFrame, table: str, commits: list[Row], unit: str | list[str]
     A table stays partitioned as it was unless told otherwise. A write that failed before its
     log rows is overwritten by the next attempt, which gets the same version. `dealt` says that
     rows lie in tasks as they should lie in files, `resets` that earlier versions are all replaced.
+    A list of rows is written one after the other into the same version.
     """
+    first, *others = df if isinstance(df, list) else [df]
     version = commits[-1]["version"] + 1 if commits else 1
     if commits and partition_by is None:
         partition_by = _partitioning(commits)
     directory = f"data/_version={version}"
     if partition_by and not dealt:
         # Few files per directory; AQE splits a directory that holds most of the rows.
-        df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
+        first, others = first.hint("rebalance", *partition_by), [x.hint("rebalance", *partition_by) for x in others]
+    spark = first.sparkSession
+    with open_writers(spark, 4) if dealt else nullcontext():  # a task that is one file needs no sort by directory
+        for mode, rows in [("overwrite", first), *(("append", x) for x in others)]:
+            writer = rows.write.mode(mode).option("compression", "zstd")
+            writer.partitionBy(*partition_by or []).parquet(f"{table}/{directory}")
     properties = {**zone_options(zone), "partition-by": ",".join(partition_by or []),
                   **(notes or {})}
     if isinstance(unit, str):
         units = [(unit, directory)]
     else:  # a bucket that lost all its rows has no directory to read
-        held = {r[BUCKET] for r in df.sparkSession.read.parquet(f"{table}/{directory}").select(BUCKET).distinct().collect()}
+        held = {r[BUCKET] for r in spark.read.parquet(f"{table}/{directory}").select(BUCKET).distinct().collect()}
         units = [(u, f"{directory}/{BUCKET}={k}" if (k := int(u.rpartition("-")[2])) in held else "") for u in unit]
     if resets:
         units.insert(0, (WHOLE, ""))
     named = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(d).alias("directory")) for u, d in units]))
-    entry = df.sparkSession.range(0, 1, 1, 1).select(named.alias("u")).select(
+    entry = spark.range(0, 1, 1, 1).select(named.alias("u")).select(
         F.lit(version).cast("bigint").alias("version"), F.col("u.unit").alias("unit"),
         F.lit(operation).alias("operation"), instant(now).alias("committed_at"),
         F.col("u.directory").alias("directory"), F.lit(schema.json()).alias("schema_json"),
@@ -295,11 +304,32 @@ def compact_table(spark: SparkSession, table: str, now: datetime | str, zone: st
     totals = file_inventory(live).agg(F.sum("size_bytes").alias("size"), F.sum("row_count").alias("n")).first()
     size, rows = totals["size"] or 0, totals["n"] or 0
     partition_by = _partitioning(commits)
-    out = (compact_within(live, partition_by, size / max(rows, 1), target_bytes) if partition_by
-           else compact(live, size, target_bytes))
+    large = _large_directories(live, partition_by, target_bytes)
+    # A large file's rows are not shuffled: its task reads what it writes, in the size it has in files.
+    scans = [live.filter(where).coalesce(-(-held // target_bytes)) for where, held in large]
+    if large and not partition_by:
+        out = scans
+    else:
+        rest = live.filter(~reduce(lambda a, b: a | b, [where for where, _ in large])) if large else live
+        out = [compact_within(rest, partition_by, size / max(rows, 1), target_bytes) if partition_by
+               else compact(rest, size, target_bytes)]
+        out += [reduce(DataFrame.unionByName, scans[i:i + SCANS_AT_ONCE]) for i in range(0, len(scans), SCANS_AT_ONCE)]
     return _commit(out, table, commits, WHOLE, "compact", zone, now, live.schema, dealt=True)
 
 
+def _large_directories(live: DataFrame, partition_by: list[str], target_bytes: int) -> list[tuple[Column, int]]:
+    """The directories with files of more bytes or rows than a task may read from a shuffle, each by its values and its
+    size; a row for each reaches the driver."""
+    values = [col(c) for c in partition_by]
+    files = live.select(*values, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    sized = files.groupBy(*values, "_path").agg(F.max("_size").alias("_size"), F.count("*").alias("_rows")).groupBy(*values).agg(
+        F.sum("_size").alias("_size"), F.sum("_rows").alias("_rows"))
+    share = F.least(F.lit(1.0), F.lit(target_bytes) / F.col("_size"))
+    found = sized.filter((F.col("_size") * share > SHUFFLED_BYTES) | (F.col("_rows") * share > SHUFFLED_ROWS))
+    same = lambda r: reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.lit(r[c])) for c in partition_by], F.lit(True))
+    return [(same(r), r["_size"]) for r in found.collect()]
+
+
 def merge_buckets(batch: DataFrame, table: str, keys: list[str], zone: str, now: datetime | str,
                   merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64,
                   empty: T.StructType | None = None) -> int:
