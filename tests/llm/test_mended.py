@@ -172,3 +172,9 @@ def test_learning_is_bounded_in_words_and_visits_few_blocks(spark):
         full[at] = 0
         assert np.allclose(scores, np.sort(every)[::-1][:10])
     assert model.visited < 0.7 * len(asked) * -(-len(model.ids) // toxicity.BLOCK)
+
+
+def test_plain_words_are_those_of_the_pattern():
+    plain = "".join(map(chr, range(128))) + " It's a_b c3d\x1cx\x0by -e- K\u212a"
+    for text in (plain[:-1], plain, "Stra\u00dfe_2 \u00c9t\u00e9\u00a0x\u00b2"):
+        assert toxicity.words(text) == toxicity.LETTERS.findall(text.lower())

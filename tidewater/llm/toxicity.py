@@ -54,11 +54,19 @@ SLICE = 8192
 START = (0.0, 1.0, 1.0, 0.0, 0.0, 0.0)
 
 _HASHES = WordHashes()
+_BLANKED = {code: " " for code in range(128) if not LETTERS.match(chr(code))}
+_POSTING = np.dtype([("row", np.int32), ("weight", np.float32)])
+
+
+def words(text: str) -> list[str]:
+    """The text's words in lower case; plain ASCII is split, which finds the same words as the pattern."""
+    text = text.lower()
+    return text.translate(_BLANKED).split() if text.isascii() else LETTERS.findall(text)
 
 
 def terms(text: str | None) -> Counter:
     """How often each word stands in the text, in lower case."""
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+    return Counter(words(text)) if text else Counter()
 
 
 def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +79,9 @@ def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
 def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers from each start up to its end, one range after the other."""
     sizes = ends - starts
-    total = np.cumsum(sizes)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+    out = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 @dataclass
@@ -106,7 +115,7 @@ class Examples:
 
     def _index(self) -> tuple:
         """Postings by word and block: where each word's (word, block) pairs begin; the pairs' blocks, largest
-        weights and where their postings begin; the postings' rows and weights."""
+        weights and where their postings begin; the postings, row and weight side by side, as they are read together."""
         if self.made is None:
             blocks = -(-len(self.ids) // BLOCK)
             row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.pointers))
@@ -115,8 +124,10 @@ class Examples:
             keys, row, weights = keys[order], row[order], self.values[order]
             begins = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             pairs = keys[begins[:-1]]
+            postings = np.empty(len(keys), _POSTING)
+            postings["row"], postings["weight"] = row, weights
             self.made = (np.searchsorted(pairs // blocks, np.arange(len(self.vocabulary) + 1)), (pairs % blocks).astype(np.int16),
-                         np.maximum.reduceat(weights, begins[:-1]), begins, row, weights)
+                         np.maximum.reduceat(weights, begins[:-1]), begins, postings.view(np.int64))
         return self.made
 
     def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ class Examples:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, ties to earlier rows, and their cosines, but for one row."""
-        starts, of, most, begins, rows_of, weights = self._index()
+        starts, of, most, begins, held = self._index()
         pairs, blocks = _spread(starts[at], starts[at + 1]), -(-len(self.ids) // BLOCK)
         if not len(pairs):
             return np.zeros(0, np.int64), np.zeros(0)
@@ -153,9 +164,11 @@ class Examples:
             visit += len(part)
             chosen = by_block[_spread(np.where(part > 0, ends[part - 1], 0), ends[part])]
             pair = pairs[chosen]
-            postings = _spread(begins[pair], begins[pair + 1])
-            found = np.bincount(rows_of[postings], weights[postings] * np.repeat(factor[chosen], begins[pair + 1] - begins[pair]),
-                                len(self.ids))
+            begin, end = begins[pair], begins[pair + 1]
+            postings = held[_spread(begin, end)].view(_POSTING)
+            shares = np.repeat(factor[chosen], end - begin)
+            shares *= postings["weight"]
+            found = np.bincount(postings["row"], shares, len(self.ids))
             good = np.flatnonzero(found > max(least - 1e-12, 0))
             good = good[good != without]
             rows, scores = np.append(rows, good), np.append(scores, found[good])
@@ -332,10 +345,10 @@ def _documents_with(vocabulary):
         seen = np.zeros(len(known), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = set(LETTERS.findall(text.lower())) if text else ()
-                if words:
+                held = set(words(text)) if text else ()
+                if held:
                     texts_ += 1
-                    keys = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+                    keys = np.fromiter(map(_HASHES.__getitem__, held), np.uint64, len(held))
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     seen[at[known[at] == keys]] += 1
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([np.array([texts_]).tobytes()], pa.binary())], names=["slice", "counts"])
