@@ -178,3 +178,34 @@ def test_plain_words_are_those_of_the_pattern():
     plain = "".join(map(chr, range(128))) + " It's a_b c3d\x1cx\x0by -e- K\u212a"
     for text in (plain[:-1], plain, "Stra\u00dfe_2 \u00c9t\u00e9\u00a0x\u00b2"):
         assert toxicity.words(text) == toxicity.LETTERS.findall(text.lower())
+
+
+def test_neighbours_of_some_texts_at_a_time_are_those_of_all_examples(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(1500)]
+    rows = [(i, " ".join(rng.choices(words, k=50)) + (" vile" if i % 5 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    asked = [model.weigh(toxicity.terms(text)) for text in [text for _, text in rows[:40]] + ["", "zz"]]
+    full = np.zeros(len(model.vocabulary))
+
+    def check(k: int) -> list:
+        got = model.nearest_of(asked, k, [*range(40), -1, -1])
+        for number, ((at, weight), (found, scores)) in enumerate(zip(asked, got)):
+            full[at] = weight
+            every = model.cosines(full, 0, len(model.ids)) if len(model.ids) else np.zeros(0)
+            full[at] = 0
+            every[number if number < 40 else []] = 0
+            assert np.allclose(scores, np.sort(every[every > 0])[::-1][:k]) and np.allclose(every[found], scores)
+        return got
+
+    together = check(10)
+    check(500)
+    monkeypatch.setattr(toxicity, "POSTINGS", 500)  # halved until little is read in one go
+    monkeypatch.setattr(toxicity, "PARTS", 100)
+    for (one, near), (other, alike) in zip(together, check(10)):
+        assert np.array_equal(one, other) and np.array_equal(near, alike)
+    model.made = None
+    monkeypatch.setattr(toxicity, "COMMON", 2000)  # no word is left for the postings
+    check(10)

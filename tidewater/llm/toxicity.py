@@ -6,9 +6,12 @@ known by a 64-bit hash. Document frequencies are those of all documents. Words t
 text's length, as rare as words of one document.
 
 The index lies in blocks of BLOCK examples, similar ones together (by the pivot they are most alike, so languages and
-topics have their own blocks). Per word and block it holds the largest weight there. The sum of a text's weights
-times these bounds each block from above; blocks are visited by falling bound, their cosines computed in double precision, until
-no bound reaches the k-th best cosine. So the neighbours are those of a comparison with all examples.
+topics have their own blocks). The COMMON words of the most examples have a matrix of weights per block, and per word and
+block the largest weight there; the others have postings. What a text shares with each example of the other words,
+the largest such sum in a block, and the text's weights times the largest of the common words there bound the block from
+above. Blocks are visited by falling bound, some texts at a time, until no bound reaches the k-th best cosine; the
+cosines of those that may be among the best are computed in double precision. So the neighbours are those of a
+comparison with all examples.
 
 Neighbours vote with what 1 / (distance + SOFT) has above a neighbour without any common word. A logistic
 curve fitted to all examples' own votes, each without itself, makes a score of the vote. It weighs votes of
@@ -44,9 +47,12 @@ MIN_EXAMPLES_OF_TERM = 3
 NEIGHBOURS = 64
 BLOCK = 64
 PIVOTS = 64
+COMMON = 512
 AT_ONCE = 8
 SOFT = 0.05
-KNOWN = 20_000
+KNOWN = 4096
+POSTINGS = 1 << 20  # read in one go
+PARTS = 1 << 20  # shares of words and examples added up in one go
 BATCH = 64
 ROWS_PER_TASK = 250
 ALIKE = 0.9
@@ -114,20 +120,24 @@ class Examples:
             yield slice(start, end), slice(int(self.pointers[start]), int(self.pointers[end]))
 
     def _index(self) -> tuple:
-        """Postings by word and block: where each word's (word, block) pairs begin; the pairs' blocks, largest
-        weights and where their postings begin; the postings, row and weight side by side, as they are read together."""
+        """The words of the most examples, each word's column in a matrix of such words or -1; the matrix, a row per
+        example; its largest weight by word and block; where each other word's postings begin; these, row and weight
+        side by side, as they are read together."""
         if self.made is None:
-            blocks = -(-len(self.ids) // BLOCK)
+            blocks, count = -(-len(self.ids) // BLOCK), len(self.vocabulary)
+            common = np.argsort(-np.bincount(self.columns, minlength=count), kind="stable")[:COMMON]
+            place = np.full(count, -1, np.int32)
+            place[common] = np.arange(len(common))
             row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.pointers))
-            keys = self.columns.astype(np.int64) * blocks + row // BLOCK
-            order = np.argsort(keys, kind="stable")
-            keys, row, weights = keys[order], row[order], self.values[order]
-            begins = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            pairs = keys[begins[:-1]]
-            postings = np.empty(len(keys), _POSTING)
-            postings["row"], postings["weight"] = row, weights
-            self.made = (np.searchsorted(pairs // blocks, np.arange(len(self.vocabulary) + 1)), (pairs % blocks).astype(np.int16),
-                         np.maximum.reduceat(weights, begins[:-1]), begins, postings.view(np.int64))
+            at = place[self.columns]
+            matrix, held = np.zeros((blocks * BLOCK, len(common)), np.float32), at >= 0
+            matrix[row[held], at[held]] = self.values[held]
+            others = np.flatnonzero(~held)
+            others = others[np.argsort(self.columns[others], kind="stable")]
+            postings = np.empty(len(others), _POSTING)
+            postings["row"], postings["weight"] = row[others], self.values[others]
+            self.made = (place, matrix, matrix.reshape(blocks, BLOCK, -1).max(axis=1).T.astype(float),
+                         np.searchsorted(self.columns[others], np.arange(count + 1)), postings.view(np.int64))
         return self.made
 
     def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -147,38 +157,75 @@ class Examples:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, ties to earlier rows, and their cosines, but for one row."""
-        starts, of, most, begins, held = self._index()
-        pairs, blocks = _spread(starts[at], starts[at + 1]), -(-len(self.ids) // BLOCK)
-        if not len(pairs):
-            return np.zeros(0, np.int64), np.zeros(0)
-        block, factor = of[pairs], np.repeat(weight, starts[at + 1] - starts[at])
-        bounds = np.bincount(block, most[pairs] * factor, blocks) * (1 + 1e-9)
-        by_block, ends = np.argsort(block, kind="stable"), np.cumsum(np.bincount(block, minlength=blocks))
-        falling = np.argsort(-bounds, kind="stable")
-        rows, scores, least, visit = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while visit < blocks:
-            part = falling[visit:visit + AT_ONCE]
-            part = part[bounds[part] > max(least - 1e-12, 0)]
-            if not len(part):
-                break
-            visit += len(part)
-            chosen = by_block[_spread(np.where(part > 0, ends[part - 1], 0), ends[part])]
-            pair = pairs[chosen]
-            begin, end = begins[pair], begins[pair + 1]
-            postings = held[_spread(begin, end)].view(_POSTING)
-            shares = np.repeat(factor[chosen], end - begin)
-            shares *= postings["weight"]
-            found = np.bincount(postings["row"], shares, len(self.ids))
-            good = np.flatnonzero(found > max(least - 1e-12, 0))
-            good = good[good != without]
-            rows, scores = np.append(rows, good), np.append(scores, found[good])
-            best = np.lexsort((rows, -scores.round(12)))[:k]
-            rows, scores = rows[best], scores[best]
-            least = scores[-1] if len(scores) == k else 0.0
-            if len(part) < AT_ONCE:
+        return self.nearest_of([(at, weight)], k, [without])[0]
+
+    def nearest_of(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int,
+                   without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` for some texts at a time. A block is visited by all texts it may hold neighbours of, in single
+        precision; what may be among the k best by that is computed again in double precision, word by word."""
+        if not self.ids or not asked:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
+        place, matrix, most, starts, held = self._index()
+        blocks, words_ = len(matrix) // BLOCK, np.concatenate([at for at, _ in asked])
+        weights, text = np.concatenate([w for _, w in asked]), np.repeat(np.arange(len(asked)), [len(at) for at, _ in asked])
+        column, common = place[words_], np.zeros((len(asked), matrix.shape[1]))
+        dense, sparse = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        common[text[dense], column[dense]] = weights[dense]
+        begin, end = starts[words_[sparse]], starts[words_[sparse] + 1]
+        if len(asked) > 1 and int((end - begin).sum()) > POSTINGS:
+            half, without = len(asked) // 2, without or [-1] * len(asked)
+            return self.nearest_of(asked[:half], k, without[:half]) + self.nearest_of(asked[half:], k, without[half:])
+        postings = held[_spread(begin, end)].view(_POSTING)
+        shares = np.repeat(weights[sparse], end - begin)
+        shares *= postings["weight"]
+        into = np.repeat(text[sparse] * len(matrix), end - begin)
+        into += postings["row"]
+        sums = np.bincount(into, shares, len(asked) * len(matrix)).astype(float).reshape(len(asked), blocks, BLOCK)
+        for number, row in enumerate(without or ()):
+            if row >= 0:
+                sums[number, row // BLOCK, row % BLOCK] = -np.inf
+        bounds = (sums.max(axis=2) + common @ most) * (1 + 1e-9)
+        falling = np.argsort(-bounds, axis=1, kind="stable")
+        slack = 2 * (matrix.shape[1] + 4) * 2.0 ** -23 + 1e-9  # twice what single precision may be wrong by
+        scores, single = np.full(sums.shape, -1.0), common.astype(np.float32)
+        top, least = np.full((len(asked), k), -1.0), np.zeros(len(asked))
+        for start in range(0, blocks, AT_ONCE):
+            part = falling[:, start:start + AT_ONCE]
+            number, turn = np.nonzero(np.take_along_axis(bounds, part, 1) > np.maximum(least - slack, 0)[:, None])
+            if not len(number):
                 break
-        self.visited += visit
-        return rows, scores
+            self.visited += len(number)
+            block = part[number, turn]
+            order = np.argsort(block, kind="stable")
+            for who in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                one = block[who[0]]
+                scores[number[who], one] = sums[number[who], one] + single[number[who]] @ matrix[one * BLOCK:(one + 1) * BLOCK].T
+            new = np.take_along_axis(scores, part[:, :, None], 1).reshape(len(asked), -1)
+            top = np.partition(np.append(top, new, axis=1), new.shape[1], axis=1)[:, new.shape[1]:]
+            least = np.maximum(top[:, 0], 0)
+        out, among, counts = [], np.full(len(matrix), -1), np.zeros(len(words_) + 1, np.int64)
+        counts[1:][sparse] = end - begin
+        counts, firsts = np.cumsum(counts), np.searchsorted(text, np.arange(len(asked) + 1))
+        for number, enough in enumerate(least - slack):
+            rows = np.flatnonzero(scores[number].ravel() > max(enough, 0))
+            first, last = firsts[number], firsts[number + 1]
+            among[rows], exact = np.arange(len(rows)), np.zeros(max(len(rows), 2))  # two columns are summed word after word
+            step = max(PARTS // len(exact), 1)
+            for low in range(first, last, step):
+                high = min(low + step, last)
+                mine, own = column[low:high], slice(counts[low], counts[high])
+                parts, known = np.zeros((high - low + 1, len(exact))), np.flatnonzero(mine >= 0)
+                parts[0] = exact
+                parts[known + 1, :len(rows)] = matrix[rows[:, None], mine[known]].T * weights[low:high][known, None]
+                which = among[postings["row"][own]]
+                good = np.flatnonzero(which >= 0)
+                word = np.repeat(np.arange(1, high - low + 1), np.diff(counts[low:high + 1]))
+                parts[word[good], which[good]] = shares[own][good]
+                exact = parts.sum(axis=0)
+            among[rows], exact = -1, exact[:len(rows)]
+            best = np.lexsort((rows, -exact.round(12)))[:k]
+            out.append((rows[best], exact[best]))
+        return out
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The neighbours' weighted share of toxic ones, with the base rate as one far neighbour."""
@@ -206,7 +253,7 @@ class Examples:
             if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
                 new = dict(zip(keys, asked))
-            self.known.update((key, self.nearest(*q, NEIGHBOURS)) for key, q in new.items())
+            self.known.update(zip(new, self.nearest_of(list(new.values()), NEIGHBOURS)))
             for key, c, (at, _) in zip(keys, counts, asked):
                 if not c or not self.ids:
                     out.append((self.none_rate, np.zeros(0, np.int64), np.zeros(0), False))
@@ -313,11 +360,14 @@ def _own_neighbours(spark, model: Examples) -> tuple[list[tuple[np.ndarray, np.n
         names = ["row", "near", "cosines"]
         for batch in batches:
             rows, near = batch.column(0).to_pylist(), []
+            for start in range(0, len(rows), BATCH):
+                part = rows[start:start + BATCH]
+                spans = [slice(examples.pointers[i], examples.pointers[i + 1]) for i in part]
+                near += examples.nearest_of([(examples.columns[x], examples.values[x].astype(float)) for x in spans], NEIGHBOURS, part)
             for i in rows:
                 span = slice(examples.pointers[i], examples.pointers[i + 1])
                 at = examples.columns[span]
                 query[at] = examples.values[span]
-                near.append(examples.nearest(at, query[at], NEIGHBOURS, i))
                 _joined(group, np.append(np.flatnonzero(examples.cosines(query, 0, len(examples.ids)) >= ALIKE), i))
                 query[at] = 0
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([x[0].astype(np.int64).tobytes() for x in near], pa.binary()),
@@ -421,7 +471,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     place = scratch_path(spark, "examples")
     counted = written(spark, named.join(F.broadcast(chosen), F.col("doc") == F.col("example")).select(
         F.col("example").cast("string").alias("id"), "toxic", "text").mapInArrow(
-            _counted, "id string, toxic int, hashes binary, counts binary").withColumn("mark", F.md5("hashes")), place)
+            _counted, "id string, toxic int, hashes binary, counts binary").withColumn("mark", F.md5("hashes")).repartition(
+                spark.sparkContext.defaultParallelism), place)  # a few rows of every file of documents
     order = [F.xxhash64(F.lit(seed), "id"), F.col("id"), F.col("mark"), F.md5("counts")]
     taken, last = 0, 0
     for r in counted.select(F.octet_length("counts").alias("size"), *order).orderBy(*order).limit(max_examples).collect():
