@@ -209,3 +209,34 @@ def test_neighbours_of_some_texts_at_a_time_are_those_of_all_examples(spark, mon
     model.made = None
     monkeypatch.setattr(toxicity, "COMMON", 2000)  # no word is left for the postings
     check(10)
+
+
+def test_small_steps_are_few_files_and_remembered_words_are_few(spark, monkeypatch):
+    from tidewater.llm import common
+
+    stored, write = {}, toxicity.written
+
+    def counting(session, df, path):
+        out = write(session, df, path)
+        stored[path.rsplit("/", 1)[1].rsplit("-", 1)[0]] = len(out.inputFiles())
+        return out
+
+    rows = [(i, f"word{i % 7} and more of the words in {i}" + (" vile" if i % 5 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for module in (toxicity, neardup):
+        monkeypatch.setattr(module, "written", counting)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        toxicity.learn(docs, labels)
+        neardup.near_duplicates(docs).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert stored["examples"] <= cores and stored["nodes"] <= cores
+    hashes = common.WordHashes()
+    assert max(len(hashes) for i in range(140_000) if hashes[str(i).encode()]) <= 1 << 16
+    assert len(hashes) <= 1 << 16 and toxicity.KNOWN <= 4096

@@ -417,8 +417,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _signed(width), f"doc {kind}, size long, node binary, signature binary"), scratch_path(spark, "signed"))
     present = signed.filter("node IS NOT NULL AND doc IS NOT NULL")
     members = present.groupBy("node").agg(F.min("doc").alias("doc"))
-    nodes = written(spark, present.join(members, ["node", "doc"]).dropDuplicates(["node"]).select(
-        "node", "doc", "size", "signature"), scratch_path(spark, "nodes"))
+    nodes = written(spark, in_few_files(present.join(members, ["node", "doc"]).dropDuplicates(["node"]).select(
+        "node", "doc", "size", "signature"), signed.count()), scratch_path(spark, "nodes"))
 
     repeated = not present.groupBy("doc", "node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     join = _Join(named, nodes, width, percent, trees_for(percent, recall), repeated)
