@@ -45,6 +45,14 @@ def test_two_cut_spans_side_by_side_stay_two():
     assert pii.all_spans([text], Both())[0][1] == spans
 
 
+def test_the_tagger_adds_phones_as_it_learns_them_only():
+    for number, added in (("5550109999", False), ("0550109999", True), ("(555) 010 9999", True)):
+        text = "call " + number + " now"
+        span = (3, 5, 5 + len(number))
+        assert pii.reconciled([], [(0.99, span)], text) == [span]
+        assert pii.all_spans([text], Perfect(text, span)) == [([], [span] if added else [])]
+
+
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(0)
     tagger = pii.Tagger.fresh()

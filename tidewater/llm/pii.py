@@ -122,13 +122,16 @@ def plausible(kind: int, text: str) -> bool:
     digits = _digits(text)
     if kind == 4:
         return len(text) >= 16 and len(digits) >= 2 and any(map(str.isalpha, text)) and not any(map(str.isspace, text))
-    if kind == 3:
-        return 9 <= len(digits) <= 15 and text[0] in "+0("
     if kind == 0:
         return "@" in text and "." in text.rpartition("@")[2]
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in text.split("."))
-    return 12 <= len(digits) <= 19 and luhn(digits)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
+def spelled(kind: int, text: str) -> bool:
+    """Whether an offer starts as the spellings that the tagger learns do: phones with a prefix or a parenthesis."""
+    return kind != 3 or text[:1] in "+0("
 
 
 _PUNCTUATION = " \n.,:;@+-_%()/\\'\"=<>[]#&!?*|"
@@ -407,8 +410,10 @@ def all_spans(values: list[str], tagger: Tagger | None) -> list[tuple[list[Span]
                     flush()
         if owners:
             flush()
-    return [(known, reconciled(known, joined_parts(offer), value) if offer else known)
-            for known, offer, value in zip(base, offered, values)]
+    whole = [[(chance, span) for chance, span in joined_parts(offer) if spelled(span[0], value[span[1]:span[2]])]
+             for offer, value in zip(offered, values)]
+    return [(known, reconciled(known, offer, value) if offer else known)
+            for known, offer, value in zip(base, whole, values)]
 
 
 def train(docs: DataFrame, text: Column, *, max_windows: int = MAX_WINDOWS,
